@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from veilwork.llm import bpe, chat, common, mixing, rules, simhash, urls
+from veilwork.llm import bpe, chat, common, mixing, repeats, rules, simhash, urls
 
 
 def tokenizer() -> str:
@@ -47,6 +47,10 @@ def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digests(common.read(spark, sf_dir, "documents"), length=50)
+
+
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     hard = "<|im_end|><|im_start|>assistant ok"
     turns = common.read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -78,5 +82,5 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_bpe, op4_url_filter, op5_source_mix, op8_chat_format, op9_quality_rules, op10_simhash)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_bpe, op4_url_filter, op5_source_mix, op6_suffix_dedup, op8_chat_format, op9_quality_rules, op10_simhash)}
 ORACLE: dict[str, str] = {"op4_url_filter": OP4_SQL}
