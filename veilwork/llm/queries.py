@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from veilwork.llm import bpe, chat, common, mixing, repeats, rules, simhash, urls
+from veilwork.llm import bpe, chat, common, jaccard, mixing, repeats, rules, simhash, urls
 
 
 def tokenizer() -> str:
@@ -19,6 +19,10 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(common.read(spark, sf_dir, "documents"), tokenizer())
 
 
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.classes_of(common.read(spark, sf_dir, "documents"), n=3, percent=90)
+
+
 #: The rules that the contract gives: verdict, host, path.
 URL_RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 
@@ -82,5 +86,5 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_bpe, op4_url_filter, op5_source_mix, op6_suffix_dedup, op8_chat_format, op9_quality_rules, op10_simhash)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_bpe, op3_ngram_jaccard, op4_url_filter, op5_source_mix, op6_suffix_dedup, op8_chat_format, op9_quality_rules, op10_simhash)}
 ORACLE: dict[str, str] = {"op4_url_filter": OP4_SQL}
