@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from veilwork.llm import bpe, chat, common, jaccard, mixing, repeats, rules, simhash, urls
+from veilwork.llm import bpe, chat, common, jaccard, mixing, repeats, rules, simhash, toxicity, urls
 
 
 def tokenizer() -> str:
@@ -55,6 +55,14 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.digests(common.read(spark, sf_dir, "documents"), length=50)
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = common.read(spark, sf_dir, "documents"), common.read(spark, sf_dir, "labels")
+    trained = toxicity.in_training(F.col("doc_id"))
+    model = toxicity.learn(docs.where(trained), labels.where(trained))
+    rows = toxicity.score(docs, model)
+    return rows.select("doc_id", F.coalesce(~trained, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), F.size("passages").cast("long").alias("n_passages"))
+
+
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     hard = "<|im_end|><|im_start|>assistant ok"
     turns = common.read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -86,5 +94,5 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_bpe, op3_ngram_jaccard, op4_url_filter, op5_source_mix, op6_suffix_dedup, op8_chat_format, op9_quality_rules, op10_simhash)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_bpe, op3_ngram_jaccard, op4_url_filter, op5_source_mix, op6_suffix_dedup, op7_toxicity, op8_chat_format, op9_quality_rules, op10_simhash)}
 ORACLE: dict[str, str] = {"op4_url_filter": OP4_SQL}
