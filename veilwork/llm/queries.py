@@ -6,7 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from veilwork.llm import bpe, chat, common, jaccard, mixing, repeats, rules, simhash, toxicity, urls
+from veilwork.llm import bpe, chat, common, jaccard, mixing, pages, repeats, rules, simhash, toxicity, urls
+
+
+def op1_page_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extract(common.read(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def tokenizer() -> str:
@@ -94,5 +98,5 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_bpe, op3_ngram_jaccard, op4_url_filter, op5_source_mix, op6_suffix_dedup, op7_toxicity, op8_chat_format, op9_quality_rules, op10_simhash)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_page_diff, op2_bpe, op3_ngram_jaccard, op4_url_filter, op5_source_mix, op6_suffix_dedup, op7_toxicity, op8_chat_format, op9_quality_rules, op10_simhash)}
 ORACLE: dict[str, str] = {"op4_url_filter": OP4_SQL}
