@@ -6,9 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+from veilwork.plans import privacy, relational
 
-
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = relational.QUERIES | privacy.QUERIES
+ORACLE: dict[str, str] = relational.ORACLE | privacy.ORACLE
+flagship = privacy.flagship
