@@ -32,6 +32,8 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 
+from veilwork.llm.common import small_batches
+
 PIECE, LOOK = 1 << 16, 3
 WINDOW = 4096
 SHORT, REMEMBERED = 64, 250_000  # bytes of a pretoken merged at once; pretokens in each of two generations
@@ -264,4 +266,5 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
             n, i, d = zip(*out) if out else ((), (), ())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(i, pa.string()), pa.array(d, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
+    small_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -4,7 +4,7 @@ A document's set is its distinct n-word shingles (as 64-bit names); documents li
 intersection. The join gives classes of equal sets, and links between their representatives.
 
 1. Equal sets become one class, so copies cost one row each.
-2. Blocks. Shingles are ordered by how many documents hold their bucket (2^BUCKETS counts over all documents), rare first.
+2. Blocks. Shingles are ordered by how often their bucket occurs (2^BUCKETS counts over all documents), rare first.
    Two linked sets share one of the first n - ceil(percent * n / 100) + 1 shingles of each in this order, so a class is
    posted under those only. Any order is exact; rare first keeps blocks small.
 3. Vectors. A class's shingles are hashed to GROUPS groups; the group counts are its point. The overlap of two sets is at
@@ -58,6 +58,11 @@ class Namer(dict):
 
 def shingles(text: str, n: int, names: Namer) -> np.ndarray:
     """The sorted distinct shingle names of a text; A-Z is lower-cased, words end at U+0020 and U+0009..U+000D."""
+    return np.unique(all_shingles(text, n, names))
+
+
+def all_shingles(text: str, n: int, names: Namer) -> np.ndarray:
+    """A name for each shingle, repeats included."""
     found = text.encode().lower().split()
     if not found:
         return np.zeros(0, "u8")
@@ -66,7 +71,7 @@ def shingles(text: str, n: int, names: Namer) -> np.ndarray:
     h = np.full(len(w) - k + 1, k, "u8")
     for i in range(k):
         h = mixed(h * K2 + w[i : len(w) - k + 1 + i])
-    return np.unique(h)
+    return h
 
 
 def buckets_of(s: np.ndarray) -> np.ndarray:
@@ -74,13 +79,20 @@ def buckets_of(s: np.ndarray) -> np.ndarray:
 
 
 def bucket_counts(texts: DataFrame, n: int) -> np.ndarray:
-    """Documents by shingle bucket, counted over all documents: 2^BUCKETS numbers, whatever the size of the input."""
+    """Shingles by bucket, counted over all documents: 2^BUCKETS numbers, whatever the size of the input."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, names = np.zeros(1 << BUCKETS, "i8"), Namer()
         for b in batches:
+            held, size = [], 0
             for t in b.column("text"):
-                total += np.bincount(buckets_of(shingles(t.as_py() or "", n, names)), minlength=1 << BUCKETS) if t.is_valid else 0
+                held.append(all_shingles(t.as_py() or "", n, names))
+                size += len(held[-1])
+                if size > 1 << 20:
+                    total += np.bincount(buckets_of(np.concatenate(held)), minlength=1 << BUCKETS)
+                    held, size = [], 0
+            if held:
+                total += np.bincount(buckets_of(np.concatenate(held)), minlength=1 << BUCKETS)
         # packed by part of the range, so that parts are added in several tasks
         for part, x in enumerate(np.split(total, 16)):
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([x.astype("i8").tobytes()], pa.binary())], names=["part", "counts"])
@@ -108,7 +120,8 @@ def profiles(docs: DataFrame, n: int, percent: int) -> DataFrame:
                 s = shingles(t.as_py() or "", n, names)
                 size.append(len(s))
                 node.append(name_of(s))
-                vector.append(np.bincount((s & np.uint64(GROUPS - 1)).astype("i8"), minlength=GROUPS).astype("<u4").tobytes())
+                counts = np.bincount((s & np.uint64(GROUPS - 1)).astype("i8"), minlength=GROUPS)
+                vector.append(counts.astype("u1" if counts.max() < 256 else "<u4").tobytes())
                 first = len(s) - -(-percent * len(s) // 100) + 1
                 prefix.append(s[np.lexsort((s, load.value[buckets_of(s)]))[:first]].view("i8") if len(s) else [])
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(size, pa.int64()), pa.array(node, pa.int64()), pa.array(vector, pa.binary()), pa.array(prefix, pa.list_(pa.int64()))], names=["id", "n", "node", "vector", "prefix"])
@@ -116,6 +129,14 @@ def profiles(docs: DataFrame, n: int, percent: int) -> DataFrame:
     return docs.select("id", "text").mapInArrow(profile, "id long, n long, node long, vector binary, prefix array<long>")
 
 
+def vectors_of(column: pa.Array) -> np.ndarray:
+    """Packed vectors as rows; counts take one byte each, or four where one of them is large."""
+    packed = column.to_pylist()
+    if all(len(x) == GROUPS for x in packed):
+        return np.frombuffer(b"".join(packed), "u1").reshape(-1, GROUPS).astype("i4")
+    return np.stack([np.frombuffer(x, "u1" if len(x) == GROUPS else "<u4").astype("i4") for x in packed])
+
+
 def name_of(s: np.ndarray) -> int:
     return int(np.frombuffer(xxhash.xxh3_64_digest(s.tobytes()), "i8")[0])
 
@@ -160,6 +181,19 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, n: int, perc
     return hubs.unionByName(partners).repartition("a", "lot").sortWithinPartitions("a", "lot", F.col("b").asc_nulls_first()).mapInArrow(verify, "a long, b long")
 
 
+def bounded(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose summed coordinate minima reach the needed overlap."""
+    one, two = (classes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("vector").alias(f"v_{x}")) for x in "ab")
+
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in batches:
+            va, vb = (vectors_of(t.column(c)) for c in ("v_a", "v_b"))
+            need = percent * (t.column("n_a").to_numpy() + t.column("n_b").to_numpy()) / (100 + percent) - 1e-6
+            yield t.select(["a", "b"]).filter(pa.array(np.minimum(va, vb).sum(1) >= need))
+
+    return pairs.join(one, "a").join(two, "b").mapInArrow(bound, "a long, b long")
+
+
 def block_pairs(posted: DataFrame, vectors: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of different components that share a block and that the bounds let through.
 
@@ -182,7 +216,7 @@ def block_pairs(posted: DataFrame, vectors: DataFrame, percent: int) -> DataFram
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, ("token", "x", "y")):
             leaf, x, y, node, n, comp = (block.column(c).to_numpy() for c in ("leaf", "x", "y", "node", "n", "component"))
-            v = np.frombuffer(b"".join(block.column("vector").to_pylist()), "<u4").reshape(-1, GROUPS).astype("i4")
+            v = vectors_of(block.column("vector"))
             a, b = tree_join(v, n, comp, np.flatnonzero(leaf == x), np.flatnonzero(leaf == y), x[0] == y[0], percent)
             yield pa.RecordBatch.from_arrays([pa.array(f(node[a], node[b])) for f in (np.minimum, np.maximum)], names=["a", "b"])
 
@@ -238,16 +272,22 @@ def tree_join(v, n, comp, one, two, same, percent, fan: int = 16) -> tuple[np.nd
 def join(docs: DataFrame, n: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
     """(members, links). members: id (doc_id) and n_shingles of every row, and node, the name of its set; links: a, b:
     links between nodes which connect all that the full join connects."""
+    common.small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
-    rows = common.materialize(profiles(docs, n, percent))
-    classes = rows.where("n > 0").groupBy("node").agg(F.count("*").alias("weight"), F.min("id").alias("least"), F.first(F.struct("n", "vector", "prefix")).alias("x"))
+    profile = common.materialize(profiles(docs, n, percent))
+    rows = common.materialize(profile.select("id", "n", "node"))
+    classes = profile.where("n > 0").groupBy("node").agg(F.count("*").alias("weight"), F.min("id").alias("least"), F.first(F.struct("n", "vector", "prefix")).alias("x"))
     classes = common.materialize(classes.select("node", "weight", "least", "x.*"))
+    common.discard(profile)
     posted = classes.select("node", "n", "weight", F.explode("prefix").alias("token"))
-    heavy = posted.groupBy("token").agg(F.count("*").alias("count"), F.max_by("node", "weight").alias("hub"), F.max_by("n", "weight").alias("hub_n")).where("count > 1")
-    shared = common.materialize(posted.join(heavy, "token").select("token", "count", "node", "n", "hub", "hub_n"))
+    # most tokens are one class's alone; only the others are looked at further
+    several = posted.groupBy("token").agg(F.count("*").alias("count")).where("count > 1")
+    several = common.materialize(posted.join(several, "token"))
+    heavy = several.groupBy("token").agg(F.max(F.struct("weight", "node", "n")).alias("h")).select("token", F.col("h.node").alias("hub"), F.col("h.n").alias("hub_n"))
+    shared = several.join(heavy, "token")
     fits = 100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n")
     first = shared.where((F.col("node") != F.col("hub")) & fits).select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    links = common.materialize(verified(common.materialize(first), docs, classes, n, percent))
+    links = common.materialize(verified(common.materialize(bounded(first, classes, percent)), docs, classes, n, percent))
     known = common.components(links).select(F.col("id").alias("node"), "component")
     open_rows = shared.where("count > 2").join(known, "node", "left").select("token", "node", "n", F.coalesce("component", "node").alias("component"))
     second = common.materialize(block_pairs(open_rows, classes.select("node", "vector"), percent))

@@ -32,6 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from veilwork.llm import urls
+from veilwork.llm.common import small_batches
 
 MOST_SHARED = 0.5
 SAMPLE, MOST_RANGES = 64, 2000
@@ -182,6 +183,7 @@ ROW = "place string, host string, path string, page_id string, url string, lines
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text of every page."""
+    small_batches(pages.sparkSession)
     kind = dict(pages.dtypes)["page_id"]
     keyed = pages.select(F.col("page_id").cast("string").alias("page_id"), "url", "html", urls.host("url").alias("host"), urls.path("url").alias("path"))
     keyed = keyed.withColumn("place", F.concat_ws("\x00", "host", "path", F.lpad(F.coalesce("page_id", F.lit("")), 20, "0"), F.hex(F.xxhash64("url"))))

@@ -11,8 +11,8 @@ up to 2 * length bytes.
 3. Rank at ``length`` bytes, for the windows of what is left: the edges of repeated passages.
 
 Ranks are names (64-bit hashes), so equal strings need no sort across the cluster to agree; each round deals names to
-ranges of names and sorts each range. A chunk of documents sends one entry for each distinct name, with its least id, so
-a passage that a third of all documents share is one entry a chunk. Entries travel as packed arrays.
+ranges of names and sorts each range. COMBINED bytes of documents send one entry for each distinct name, with its least
+id, so a passage that a third of all documents share is one entry for each of these. Entries travel as packed arrays.
 
 Cases: null text counts as empty; texts shorter than ``length`` keep all bytes; documents with equal ids never remove from
 each other; null ids count as larger than all others, and not as smaller than each other; an empty table gives an empty
@@ -32,7 +32,8 @@ from pyspark.sql.types import BinaryType, StructField, StructType
 from veilwork.llm import common
 
 LENGTH, GRAM = 50, 16
-CHUNK = 1 << 20  # bytes of text worked on at once
+CHUNK, COMBINED = 1 << 17, 1 << 21  # bytes of text worked on at once, and whose entries are combined
+RANGE = 2 << 20  # bytes of text whose entries are ranked in one call
 LAST = np.iinfo("int64").max  # stands for a null id
 A, B, C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 S32, S29 = np.uint64(32), np.uint64(29)
@@ -166,18 +167,28 @@ def ranked(entries: DataFrame, rank) -> DataFrame:
 
 def marks(docs: DataFrame, length: int) -> DataFrame:
     """id, kind, names: which runs (DONE) and which windows (WINDOWS) of a document are repeated, by name."""
-    # a range's entries take about 20 bytes for each 17 bytes of text; keep ranges near 16 MB, as partitions are
-    ranges = max(2, docs.rdd.getNumPartitions())
+    # about 20 bytes for each 17 bytes of text: a range's entries fit in memory at any size
+    ranges = max(2, -(-(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // RANGE))
 
     def of_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, seen = [], 0
         for data, begin, size, ids, _, _ in chunks(batches):
-            p, _, gram, run, text = runs(data, begin, size, length)
-            own = ids[text]
-            least, first = least_by(run, own)
-            done = own > least  # repeated within the chunk: known already; its mark only passes through
-            rows = [(r, 1, *x) for r, x in packed(ranges, mixed(own[done].astype("u8")), run[done], own[done])]
-            rows += [(r, 0, *x) for r, x in packed(ranges, gram[first], run[first], own[first])]
-            yield batch_of(rows, ENTRY)
+            _, _, gram, run, text = runs(data, begin, size, length)
+            held.append((gram, run, ids[text]))
+            seen += len(data)
+            if seen >= COMBINED:
+                yield combined(held)
+                held, seen = [], 0
+        if held:
+            yield combined(held)
+
+    def combined(held: list[tuple]) -> pa.RecordBatch:
+        gram, run, own = (np.concatenate(x) for x in zip(*held))
+        least, first = least_by(run, own)
+        done = own > least  # known to be repeated: its mark only passes through
+        rows = [(r, 1, *x) for r, x in packed(ranges, mixed(own[done].astype("u8")), run[done], own[done])]
+        rows += [(r, 0, *x) for r, x in packed(ranges, gram[first], run[first], own[first])]
+        return batch_of(rows, ENTRY)
 
     def rank_runs(kind: int, gram: np.ndarray, run: np.ndarray, own: np.ndarray) -> list[tuple]:
         if kind == 1:
@@ -230,6 +241,7 @@ def expanded(p: np.ndarray, more: np.ndarray) -> np.ndarray:
 
 def marked(docs: DataFrame, length: int, schema, finish) -> DataFrame:
     """finish(rows of docs as a batch, their packed spans) for every batch of docs."""
+    common.small_batches(docs.sparkSession)
     plain = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     found = marks(plain, length).groupBy("id").agg(F.collect_list(F.struct("kind", "names")).alias("marks"))
     rows = docs.select(F.struct("*").alias("doc"), F.coalesce("doc_id", F.lit(int(LAST))).alias("id")).join(found, "id", "left")

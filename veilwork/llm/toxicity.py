@@ -104,6 +104,7 @@ def in_training(doc_id: Column) -> Column:
 
 def learn(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED) -> Model:
     """docs: the training rows (doc_id, text); labels: doc_id, toxic."""
+    common.small_batches(docs.sparkSession)
     labels = labels.where("toxic is not null").select(F.col("doc_id").alias("_id"), (F.col("toxic") == 1).cast("int").alias("toxic"))
     count = labels.count()
     rows = docs.select("doc_id", common.text_of().alias("text")).where("doc_id is not null")
