@@ -80,4 +80,4 @@ def with_facts(findings: DataFrame) -> DataFrame:
 
 
 def sql_values() -> str:
-    return ", ".join(f"('{k}', '{t}', {r}, '{HIPAA[h]}')" for k, t, r, h in FACTS)
+    return ", ".join(f"('{k}', '{t.replace(chr(39), chr(39) * 2)}', {r}, '{HIPAA[h]}')" for k, t, r, h in FACTS)

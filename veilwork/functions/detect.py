@@ -120,7 +120,11 @@ def matches(text: Column, pattern: str) -> Column:
 def findings(docs: DataFrame, kinds: list[str] | None = None, id_col: str = "doc_id") -> DataFrame:
     """One row for each match: id_col, kind, start, end, value, score."""
     chosen = [r for r in RECOGNISERS if kinds is None or r.kind in kinds]
-    found = F.concat(*[F.transform(matches(F.col("text"), r.pattern), lambda m, k=r.kind: F.struct(F.lit(k).alias("kind"), m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("value"))) for r in chosen])
+
+    def of_kind(r: Recogniser) -> Column:
+        return F.transform(matches(F.col("text"), r.pattern), lambda m: F.struct(F.lit(r.kind).alias("kind"), m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("value")))
+
+    found = F.concat(*[of_kind(r) for r in chosen])
     rows = docs.where("text is not null").select(id_col, F.explode(found).alias("f")).select(id_col, "f.*")
     score = None
     for r in chosen:

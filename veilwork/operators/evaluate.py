@@ -18,10 +18,10 @@ def zscore(value: str, group: str) -> Column:
     return F.when(sd == 0, 0.0).otherwise((F.col(value) - F.avg(value).over(w)) / sd)
 
 
-def softmax(value: str, group: str) -> Column:
+def with_softmax(df: DataFrame, value: str, group: str, name: str) -> DataFrame:
+    """df and name: exp(value) as a share of its group's sum, the group's greatest value taken off first."""
     w = Window.partitionBy(group)
-    top = F.exp(F.col(value) - F.max(value).over(w))
-    return top / F.sum(F.exp(F.col(value) - F.lit(0.0))).over(w) * F.exp(F.max(value).over(w))
+    return df.withColumn("_e", F.exp(F.col(value) - F.max(value).over(w))).withColumn(name, F.col("_e") / F.sum("_e").over(w)).drop("_e")
 
 
 def gazetteer_hits(docs: DataFrame, literals: DataFrame) -> DataFrame:
@@ -31,7 +31,7 @@ def gazetteer_hits(docs: DataFrame, literals: DataFrame) -> DataFrame:
     literals of fewer than three words are tested by a broadcast of these few.
     """
     inner = F.expr("slice(split(text, '[ \n]+'), 2, greatest(size(split(text, '[ \n]+')) - 2, 0))")
-    keyed = literals.where("length(text) > 0").select("item_id", F.col("text").alias("literal"), F.expr("array_max(transform(_w, x -> struct(length(x) as n, x as w))).w").alias("word")) if False else literals.where("length(text) > 0").withColumn("_w", inner).select("item_id", F.col("text").alias("literal"), F.expr("array_max(transform(_w, x -> struct(length(x) as n, x as w))).w").alias("word"))
+    keyed = literals.where("length(text) > 0").withColumn("_w", inner).select("item_id", F.col("text").alias("literal"), F.expr("array_max(transform(_w, x -> struct(length(x) as n, x as w))).w").alias("word"))
     words = docs.where("text is not null").select("doc_id", F.explode(F.array_distinct(F.split("text", "[ \n]+"))).alias("word"))
     candidates = words.join(keyed.where("word is not null"), "word").select("doc_id", "item_id", "literal")
     hits = candidates.join(docs.select("doc_id", "text"), "doc_id").where(F.contains("text", "literal")).select("doc_id", "item_id")

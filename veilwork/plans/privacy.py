@@ -159,7 +159,7 @@ def leak_scan(spark, sf_dir):
 
 
 def leak_scan_totals(spark, sf_dir):
-    return leak_scan(spark, sf_dir).agg(F.count_if("emails > 0" if False else F.col("emails") > 0).alias("docs_with_email"), F.count_if(F.col("ips") > 0).alias("docs_with_ip"), F.sum("emails").alias("emails"))
+    return leak_scan(spark, sf_dir).agg(F.count_if(F.col("emails") > 0).alias("docs_with_email"), F.count_if(F.col("ips") > 0).alias("docs_with_ip"), F.sum("emails").alias("emails"))
 
 
 def labelled_join(spark, sf_dir):
@@ -177,7 +177,7 @@ def elapsed_ms(spark, sf_dir):
 def embedding_dot(spark, sf_dir):
     e = load(spark, sf_dir, "embeddings")
     one = F.broadcast(e.where("vec_id = 0").select(F.col("embedding").alias("q")))  # one row
-    return e.crossJoin(one).select("vec_id", F.round(evaluate.dot(F.col("embedding"), F.col("q")), 4).alias("dot")) if False else e.join(one, F.lit(True)).select("vec_id", F.round(evaluate.dot(F.col("embedding"), F.col("q")), 4).alias("dot"))
+    return e.join(one, F.lit(True)).select("vec_id", F.round(evaluate.dot(F.col("embedding"), F.col("q")), 4).alias("dot"))
 
 
 def topk_similarity(spark, sf_dir):
@@ -191,7 +191,7 @@ def similarity_zscore(spark, sf_dir):
 
 def softmax_rank(spark, sf_dir):
     e = load(spark, sf_dir, "embeddings").select("vec_id", "label", F.element_at("embedding", 1).cast("double").alias("s"))
-    return e.select("vec_id", F.round(evaluate.softmax("s", "label"), 6).alias("p"))
+    return evaluate.with_softmax(e, "s", "label", "p").select("vec_id", F.round("p", 6).alias("p"))
 
 
 def dp_latent_bound(spark, sf_dir):
@@ -199,7 +199,7 @@ def dp_latent_bound(spark, sf_dir):
 
 
 def asof_segment(spark, sf_dir):
-    a = load(spark, sf_dir, "events").select("event_id", "user_id", "ts").where("event_type = 'purchase'" if False else F.col("event_type") == "purchase") if False else load(spark, sf_dir, "events").where(F.col("event_type") == "purchase").select("event_id", "user_id", "ts")
+    a = load(spark, sf_dir, "events").where(F.col("event_type") == "purchase").select("event_id", "user_id", "ts")
     b = load(spark, sf_dir, "events").where(F.col("event_type") == "view").select(F.col("event_id").alias("view_id"), "user_id", "ts")
     return events.as_of(a, b, "user_id", "ts", "view_id", "event_id")
 
@@ -268,7 +268,7 @@ ORACLE: dict[str, str] = {
     "levenshtein_ratio": "SELECT p_partkey, round(CAST(length(p_name) + length(p_type) - levenshtein(p_name, p_type) AS double) / (length(p_name) + length(p_type)), 9) AS ratio FROM part",
     "excerpt_around": """WITH d AS (SELECT doc_id, text, greatest(1, instr(text, substr(text, 31, 5)) - 12) AS at_ FROM documents WHERE length(text) > 0)
         SELECT doc_id, CASE WHEN at_ > 1 THEN '…' ELSE '' END || substr(text, at_, 24) || CASE WHEN at_ + 23 < length(text) THEN '…' ELSE '' END AS excerpt FROM d""",
-    "format_bytes": "WITH o AS (SELECT o_orderkey, CAST(trunc(o_totalprice * 10) AS bigint) AS n FROM orders) SELECT o_orderkey, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN printf('%.1f kB', n / 1024.0) ELSE printf('%.1f MB', n / 1048576.0) END AS size FROM o",
+    "format_bytes": "WITH o AS (SELECT o_orderkey, CAST(trunc(o_totalprice * 10) AS bigint) AS n FROM orders) SELECT o_orderkey, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN printf('%.1f kB', floor(n / 1024.0 * 10 + 0.5) / 10) ELSE printf('%.1f MB', floor(n / 1048576.0 * 10 + 0.5) / 10) END AS size FROM o",
     "ean13_check": f"SELECT c_custkey, CAST({EAN.format(x="('756' || lpad(CAST(c_custkey AS varchar), 9, '0'))")} AS integer) AS check_digit FROM customer",
     "iban_check": "SELECT c_custkey, lpad(CAST(98 - CAST(lpad(CAST(c_custkey AS varchar), 17, '0') || '121700' AS hugeint) % 97 AS varchar), 2, '0') AS check_digits FROM customer",
     "leak_scan": rf"SELECT doc_id, len(regexp_extract_all(text, '{EMAIL}')) AS emails, len(regexp_extract_all(text, '{IP}')) AS ips, len(regexp_extract_all(text, '\[(PERSON|AHV|IBAN|EMAIL)_[0-9]+\]')) AS tokens FROM documents WHERE text IS NOT NULL",
@@ -286,5 +286,5 @@ ORACLE: dict[str, str] = {
     "sliding_traffic": "WITH s AS (SELECT *, time_bucket(INTERVAL 12 HOURS, ts, TIMESTAMP '1970-01-01') AS b FROM events), w AS (SELECT b AS w, event_type, value FROM s UNION ALL SELECT b - INTERVAL 12 HOURS, event_type, value FROM s) SELECT epoch_ms(w) AS window_ms, event_type, count(*) AS n, round(sum(value), 3) AS total FROM w GROUP BY ALL",
     "gazetteer_hits": "SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON length(b.text) > 0 AND contains(d.text, b.text)",
     "encode_tokens": r"SELECT conv_id, turn, array_to_string((['<bos>'] || list_filter(string_split_regex(lower(text), '\s+'), lambda x: x <> '')[1:10] || ['<eos>'] || list_transform(range(12), lambda i: '<pad>'))[1:12], ' ') AS tokens FROM conversations",
-    "synth_persons": f"WITH p AS (SELECT n_nationkey AS id, upper(n_name[1]) || lower(n_name[2:]) || ' ' || upper(r_name[1]) || lower(r_name[2:]) AS name, '756' || lpad(CAST(n_nationkey * 7919 AS varchar), 9, '0') AS d FROM nation JOIN region ON n_regionkey = r_regionkey) SELECT id, name, d || {EAN.format(x='d')} AS ahv FROM p",
+    "synth_persons": f"WITH p AS (SELECT n_nationkey AS id, upper(n_name[1]) || lower(n_name[2:]) || ' ' || array_to_string(list_transform(string_split(r_name, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') AS name, '756' || lpad(CAST(n_nationkey * 7919 AS varchar), 9, '0') AS d FROM nation JOIN region ON n_regionkey = r_regionkey) SELECT id, name, d || {EAN.format(x='d')} AS ahv FROM p",
 }

@@ -50,7 +50,7 @@ SQL = {
         SELECT user_id, value AS median_ms FROM r WHERE i = CAST(floor(n / 2) AS bigint) + 1""",
     "vocab_counts": "SELECT lang, source, count(*) AS n, CAST(sum(n_chars) AS bigint) AS chars FROM {documents} GROUP BY lang, source HAVING count(*) >= 2",
     # windows
-    "trailing_latency": "SELECT event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 59 PRECEDING AND CURRENT ROW), 3) AS trailing FROM {events}",
+    "trailing_latency": "SELECT event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 59 PRECEDING AND CURRENT ROW), 9) AS trailing FROM {events}",
     "exchange_timeline": "SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS position, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM {events}",
     "exchange_stage": "SELECT user_id, max_by(event_type, CAST(stage AS bigint) * 1000000000 + event_id) AS stage FROM (SELECT user_id, event_type, event_id, CASE event_type WHEN 'view' THEN 1 WHEN 'click' THEN 2 WHEN 'signup' THEN 3 WHEN 'purchase' THEN 4 ELSE 5 END AS stage FROM {events}) s GROUP BY user_id",
     "exchange_retention": f"WITH {EV}, r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY CASE WHEN treatment = 'treated' THEN 1 ELSE 0 END, ts DESC, event_id DESC) AS i FROM ev) SELECT user_id, event_id, treatment FROM r WHERE i <= 20",
