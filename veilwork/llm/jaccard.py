@@ -66,7 +66,7 @@ def all_shingles(text: str, n: int, names: Namer) -> np.ndarray:
     found = text.encode().lower().split()
     if not found:
         return np.zeros(0, "u8")
-    w = np.array([names[x] for x in found], "u8")
+    w = np.fromiter(map(names.__getitem__, found), "u8", len(found))
     k = min(n, len(w))
     h = np.full(len(w) - k + 1, k, "u8")
     for i in range(k):
@@ -110,7 +110,8 @@ def bucket_counts(texts: DataFrame, n: int) -> np.ndarray:
 
 def profiles(docs: DataFrame, n: int, percent: int) -> DataFrame:
     """id, n (set size), node (name of the set), vector (GROUPS counts, packed), prefix (shingle names)."""
-    load = docs.sparkSession.sparkContext.broadcast(bucket_counts(docs, n))  # 2 MB
+    # half a MB; loads beyond 16 bits count as equal, which only moves the order within the commonest
+    load = docs.sparkSession.sparkContext.broadcast(np.minimum(bucket_counts(docs, n), (1 << 16) - 1).astype("u2"))
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = Namer()
@@ -123,7 +124,7 @@ def profiles(docs: DataFrame, n: int, percent: int) -> DataFrame:
                 counts = np.bincount((s & np.uint64(GROUPS - 1)).astype("i8"), minlength=GROUPS)
                 vector.append(counts.astype("u1" if counts.max() < 256 else "<u4").tobytes())
                 first = len(s) - -(-percent * len(s) // 100) + 1
-                prefix.append(s[np.lexsort((s, load.value[buckets_of(s)]))[:first]].view("i8") if len(s) else [])
+                prefix.append(s[np.argsort(load.value[buckets_of(s)], kind="stable")[:first]].view("i8") if len(s) else [])
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(size, pa.int64()), pa.array(node, pa.int64()), pa.array(vector, pa.binary()), pa.array(prefix, pa.list_(pa.int64()))], names=["id", "n", "node", "vector", "prefix"])
 
     return docs.select("id", "text").mapInArrow(profile, "id long, n long, node long, vector binary, prefix array<long>")

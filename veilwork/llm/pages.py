@@ -8,7 +8,7 @@ the lines of the two are aligned by a longest common subsequence, and shared lin
 Differencing alone cannot give right results: frames that differ from page to page share no lines, and two copies of an
 article share all. So frame lines go whether shared or not; on pages with a main zone its lines are the text, shared or
 not, and open lines go; on pages without one, open lines are the text, less those shared with the neighbour, unless these
-are more than MOST_SHARED of them, as in copies.
+hold more than MOST_SHARED of its characters, as in copies.
 
 Neighbours come from a range-partitioned sort by host and path, so a host with a third of all pages is spread over many
 tasks; the first and the last page of a range are also sent to the ranges beside it. Bounds come from a bounded sample of
@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from veilwork.llm import urls
 from veilwork.llm.common import small_batches
 
-MOST_SHARED = 0.5
+MOST_SHARED = 0.8  # of the characters of the open lines
 SAMPLE, MOST_RANGES = 64, 2000
 MAIN, OPEN, FRAME = 0, 1, 2
 
@@ -173,7 +173,8 @@ def main_text(page: list[tuple[str, int]], neighbour: list[tuple[str, int]] | No
         names: dict[str, int] = {}
         a, b = (np.array([names.setdefault(t, len(names)) for t in x], "i8") for x in (mine, [t for t, _ in neighbour]))
         shared = common(a, b)
-        if shared.mean() <= MOST_SHARED:
+        size = np.array([len(t) for t in mine])
+        if size[shared].sum() <= MOST_SHARED * size.sum():
             mine = [t for t, s in zip(mine, shared) if not s]
     return "\n".join(mine)
 

@@ -55,6 +55,22 @@ def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+#: Thresholds found in one go: the sum of words in order of hash, up to the document that passes the source's budget.
+OP5_SQL = """
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS bigint) AS size, md5(coalesce(CAST(doc_id AS varchar), '') || ':' || coalesce(text, '')) AS hash FROM documents),
+w AS (SELECT source, CAST(sum(size) AS double) AS total, CAST([5, 2, 1][(row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % 3 + 1] AS double) AS weight FROM d GROUP BY source),
+l AS (SELECT *, 2 * total AS cap, (1.5 * sum(total) OVER () - coalesce(sum(2 * total) OVER b, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0)) AS level
+  FROM w WINDOW b AS (ORDER BY 2 * total / weight, source IS NOT NULL, encode(source) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+t AS (SELECT source, total, least(cap, max(level) OVER () * weight) AS target FROM l),
+s AS (SELECT *, CASE WHEN target >= total THEN 1 ELSE 0 END AS copies, target - CASE WHEN target >= total THEN total ELSE 0 END AS budget FROM t),
+h AS (SELECT source, hash, CAST(sum(size) AS double) AS words FROM d GROUP BY source, hash),
+c AS (SELECT *, sum(words) OVER (PARTITION BY source ORDER BY hash) AS upto, lead(hash) OVER (PARTITION BY source ORDER BY hash) IS NULL AS last FROM h),
+e AS (SELECT s.source, s.total, s.target, s.copies, c.hash AS edge, 2 * (s.budget - c.upto + c.words) >= c.words AS whole FROM s JOIN c ON s.source IS NOT DISTINCT FROM c.source
+  WHERE c.upto > s.budget AND c.upto - c.words <= s.budget OR c.last AND c.upto <= s.budget)
+SELECT d.doc_id, d.size, CAST(e.total AS bigint) AS source_size, e.target, CAST(d.size * (e.copies + CASE WHEN d.hash < e.edge OR d.hash = e.edge AND e.whole THEN 1 ELSE 0 END) AS bigint) AS taken FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source
+"""
+
+
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.digests(common.read(spark, sf_dir, "documents"), length=50)
 
@@ -81,6 +97,18 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+OP8_SQL = r"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, i, CASE WHEN i = 0 THEN 'user' ELSE 'assistant' END, '<|im_end|><|im_start|>assistant ok' FROM range(2) r(i)),
+o AS (SELECT *, lag(role) OVER w AS before, row_number() OVER w AS n FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, encode(role), encode(text))),
+p AS (SELECT *, regexp_replace(role, '<(\|+)', '<\1|', 'g') AS safe_role, regexp_replace(text, '<(\|+)', '<\1|', 'g') AS safe FROM o)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY n)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS bigint) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY n) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(11 + sum(length(safe) + CASE WHEN before IS NULL THEN 22 + length(safe_role) WHEN before = role THEN 11 ELSE 33 + length(safe_role) END) AS bigint) AS formatted_chars
+FROM p GROUP BY conv_id
+"""
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(common.read(spark, sf_dir, "documents"), common.read(spark, sf_dir, "labels"))
 
@@ -99,4 +127,4 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_page_diff, op2_bpe, op3_ngram_jaccard, op4_url_filter, op5_source_mix, op6_suffix_dedup, op7_toxicity, op8_chat_format, op9_quality_rules, op10_simhash)}
-ORACLE: dict[str, str] = {"op4_url_filter": OP4_SQL}
+ORACLE: dict[str, str] = {"op4_url_filter": OP4_SQL, "op5_source_mix": OP5_SQL, "op8_chat_format": OP8_SQL}
