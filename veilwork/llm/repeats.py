@@ -213,16 +213,34 @@ def marks(docs: DataFrame, length: int) -> DataFrame:
     texts = docs.withColumn("id", F.coalesce("doc_id", F.lit(int(LAST)))).join(still, "id").select(F.col("id").alias("doc_id"), "text", "names")
 
     def of_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, seen = [], 0
         for data, begin, size, ids, b, row in chunks(batches):
             p, more, _, run, text = runs(data, begin, size, length)
             wanted = np.unique(np.frombuffer(b"".join(x for y in b.column("names").slice(row, len(ids)).to_pylist() for x in y), "u8"))
             use = np.isin(run, wanted)
             at = expanded(p[use], more[use])
-            name, own = named(data, at, length), np.repeat(ids[text[use]], more[use] + 1)
-            _, first = least_by(mixed(name + own.astype("u8") * A), own)
-            yield batch_of([(r, 2, *x) for r, x in packed(ranges, name[first], np.zeros(int(first.sum()), "u8"), own[first])], ENTRY)
+            held.append((named(data, at, length), np.repeat(ids[text[use]], more[use] + 1)))
+            seen += len(data)
+            if seen >= COMBINED:
+                yield windows_of(held)
+                held, seen = [], 0
+        if held:
+            yield windows_of(held)
 
-    def rank_windows(kind: int, name: np.ndarray, _: np.ndarray, own: np.ndarray) -> list[tuple]:
+    def windows_of(held: list[tuple]) -> pa.RecordBatch:
+        """One entry for each name, with its least id; larger ids are known to be repeated, and their marks pass through."""
+        name, own = (np.concatenate(x) for x in zip(*held))
+        _, once = least_by(mixed(name + own.astype("u8") * A), own)
+        name, own = name[once], own[once]
+        least, _ = least_by(name, own)
+        done = own > least
+        rows = [(r, 1, *x) for r, x in packed(ranges, mixed(own[done].astype("u8")), name[done], own[done])]
+        rows += [(r, 2, *x) for r, x in packed(ranges, name[~done], np.zeros(int((~done).sum()), "u8"), own[~done])]
+        return batch_of(rows, ENTRY)
+
+    def rank_windows(kind: int, name: np.ndarray, other: np.ndarray, own: np.ndarray) -> list[tuple]:
+        if kind == 1:
+            return by_text(own, WINDOWS, other)
         least, _ = least_by(name, own)
         again = own > least
         return by_text(own[again], WINDOWS, name[again])
