@@ -109,6 +109,25 @@ def test_jaccard_keeps_one_of_each(odd):
     assert {r["doc_id"] for r in kept.collect()} == {r["doc_id"] for r in classes if r["doc_id"] == r["component_id"]}
 
 
+def test_jaccard_links_near_copies_without_ids(spark):
+    """Classes of null ids as both sides of pairs, as hubs by weight, and as the only bridge between two ids."""
+    rng = random.Random(8)
+    rows, groups = [], []
+    for g in range(12):
+        w = [f"g{g}w{i}" for i in range(100)]
+        left, right = w[:3] + w[6:], w[:-3]  # each links to the middle, not to the other
+        middle = [None] * rng.choice([1, 4])
+        rows += [(10 * g + 2, " ".join(left)), (10 * g + 1, " ".join(right))] + [(i, " ".join(w)) for i in middle]
+        groups.append((10 * g + 1, len(middle), len(right) - 4, len(w) - 4, len(left) - 4))
+    rows += [(None, "alone " * 3 + "here"), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    expected = [x for least, k, right, middle, left in groups for x in [(least + 1, left, least), (least, right, least)] + [(None, middle, least)] * k]
+    same(jaccard.classes_of(docs, 5, 90).collect(), expected + [(None, 1, None), (None, 0, None)])
+    nameless = docs.select(F.lit(None).cast("long").alias("doc_id"), "text")
+    members, links = jaccard.join(nameless, 5, 90)
+    assert links.distinct().count() == 2 * len(groups) and {r["id"] for r in members.collect()} == {None}
+
+
 @pytest.mark.parametrize("length", [50, 100, 20])
 def test_repeats(docs, length):
     rows = [(i, t.encode()) for i, t in texts(docs)]

@@ -145,18 +145,26 @@ def name_of(s: np.ndarray) -> int:
 def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFrame:
     """The pairs (a, b) of nodes that link. Each b's set is sent to a's; a's set is held while its partners stream by.
 
-    The sets are made again from the texts of the classes' least ids, of the nodes in pairs only.
+    The sets are made again from the texts of the classes' least ids, of the nodes in pairs only; those of classes whose
+    rows all have a null id, from the rows with a null id, by the set's name.
     """
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes, "node").select(F.col("least").alias("id"), "node")
-    texts = common.lookup_join(docs.select("id", "text"), common.materialize(wanted), "id")
+    wanted = common.materialize(wanted)
+    texts = common.lookup_join(docs.select("id", "text"), wanted, "id")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = Namer()
         for b in batches:
-            rows = [(node, s.tobytes()) for node, t in zip(b.column("node").to_pylist(), b.column("text")) if name_of(s := shingles(t.as_py() or "", n, names)) == node]
+            made = ((node, shingles(t.as_py() or "", n, names)) for node, t in zip(b.column("node").to_pylist(), b.column("text")))
+            rows = [(name, s.tobytes()) for node, s in made if (name := name_of(s)) == node or node is None]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["id", "s"])
 
-    sets = common.materialize(texts.mapInArrow(pack, "id long, s binary").dropDuplicates(["id"]))
+    sets = texts.mapInArrow(pack, "id long, s binary")
+    nameless = wanted.where("id is null").select(F.col("node").alias("id"))
+    if not nameless.isEmpty():
+        made = docs.where("id is null").select("text", F.lit(None).cast("long").alias("node")).mapInArrow(pack, "id long, s binary")
+        sets = sets.unionByName(common.lookup_join(made, nameless, "id"))
+    sets = common.materialize(sets.dropDuplicates(["id"]))
     # a hub's partners are dealt into lots, each with a copy of the hub's set
     lots = pairs.withColumn("lot", F.pmod(F.xxhash64("b"), F.lit(64)))
     hubs = lots.select("a", "lot").distinct().join(sets.withColumnRenamed("id", "a"), "a").select("a", "lot", F.lit(None).cast("long").alias("b"), "s")
