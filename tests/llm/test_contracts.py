@@ -128,6 +128,23 @@ def test_jaccard_links_near_copies_without_ids(spark):
     assert links.distinct().count() == 2 * len(groups) and {r["id"] for r in members.collect()} == {None}
 
 
+def test_jaccard_keeps_rows_without_ids_and_one_of_repeated_rows(spark):
+    text = lambda g: " ".join(f"g{g}w{i}" for i in range(60))
+    near = lambda g: text(g) + " end"
+    rows = [(1, text(1)), (1, text(1)), (1, near(1)), (2, text(1)), (None, near(1))]  # one group: a row of id 1
+    rows += [(None, text(2)), (None, text(2)), (None, near(2))]  # a group without ids: one row
+    rows += [(None, text(3)), (None, text(4)), (3, text(5))]  # alone
+    rows += [(4, text(6)), (4, text(7)), (5, text(6))]  # an id of two groups: a row of each
+    rows += [(None, None), (None, ""), (6, " "), (7, "a"), (7, "a"), (8, None), (8, None)]  # without words: all stay
+    docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, id long")
+    out = jaccard.one_of_each(docs.repartition(3))
+    assert out.columns == docs.columns
+    got = sorted(r["id"] for r in out.collect())
+    kept = [sum(k in part for k in got) for part in ([0, 1, 2], [3, 4], [5, 6, 7], [8], [9], [10], [11], [12], [13], [14], [15], [16], [17, 18], [19], [20])]
+    assert kept == [1, 0, 1, 1, 1, 1, 1, 1, 0, 1, 1, 1, 1, 1, 1] and len(got) == 13
+    assert sorted(r["id"] for r in jaccard.one_of_each(docs.repartition(7)).collect()) == got
+
+
 @pytest.mark.parametrize("length", [50, 100, 20])
 def test_repeats(docs, length):
     rows = [(i, t.encode()) for i, t in texts(docs)]

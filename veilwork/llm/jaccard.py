@@ -30,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from veilwork.llm import common
 
@@ -304,16 +305,52 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80) -> tuple[DataFrame, Dat
     return rows.select("id", F.col("n").alias("n_shingles"), "node"), links
 
 
-def classes_of(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row: the least doc_id that links reach, the row's own included."""
+def rows_of(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """id, n_shingles, node, component (a node; null without words) for every row."""
     members, links = join(docs, n, percent)
     of_node = members.where("n_shingles > 0").select("node").distinct().join(common.components(links).withColumnRenamed("id", "node"), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
-    rows = common.materialize(members.join(of_node, "node", "left"))
+    return common.materialize(members.join(of_node, "node", "left"))
+
+
+def classes_of(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id for every row: the least doc_id that links reach, the row's own included."""
+    rows = rows_of(docs, n, percent)
     least = rows.where("component is not null").groupBy("component").agg(F.min("id").alias("component_id"))
     return rows.join(least, "component", "left").select(F.col("id").alias("doc_id"), "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """docs, with only the document of the least id of each component; rows that share an id stay or go together."""
-    found = classes_of(docs, n, percent).where("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(found, docs["doc_id"].cast("long").eqNullSafe(F.col("_id")), "left_semi")
+    """docs, with one row of each component: that of the least id (nulls last), then of the least name of its set, then of
+    the least hash of the whole row. Rows without words are in no component, and stay.
+
+    Where an id is one row's alone, it tells the row; rows of null and repeated ids are told by the names of their sets.
+    """
+    rows = rows_of(docs, n, percent)
+    first = rows.where("component is not null").groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node")).alias("x"))
+    first = common.materialize(first.select(F.col("x.id").alias("_id"), F.col("x.node").alias("_node")))
+    again = common.materialize(rows.where("id is not null").groupBy("id").count().where("count > 1").select(F.col("id").alias("_id")))
+    alone = first.where("_id is not null").select("_id").unionByName(rows.where("component is null and id is not null").select(F.col("id").alias("_id")))
+    repeated = not again.isEmpty()
+    if repeated:
+        alone = common.lookup_join(alone.withColumn("_row", F.lit(0)), again, "_id", "left_anti").select("_id")
+    keyed = docs.withColumn("_id", F.col("doc_id").cast("long"))
+    kept = keyed.join(alone, "_id", "left_semi").select(docs.columns)
+    odd = keyed.where("_id is null")
+    firsts = first.where("_id is null")
+    if repeated:
+        odd = odd.unionByName(common.lookup_join(keyed, again, "_id", "left_semi").select(odd.columns))
+        firsts = firsts.unionByName(common.lookup_join(first, again, "_id", "left_semi").select(first.columns))
+    elif rows.where("id is null").isEmpty():
+        return kept
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = Namer()
+        for b in batches:
+            sets = (shingles(t.as_py() or "", n, names) for t in b.column("text"))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([name_of(s) if len(s) else None for s in sets], pa.int64())], names=[*b.schema.names, "_node"])
+
+    named = common.materialize(odd.mapInArrow(name, StructType([*odd.schema.fields, StructField("_node", LongType())])))
+    firsts = common.materialize(firsts.withColumnRenamed("_id", "_first"))
+    of_first = common.lookup_join(named.where("_node is not null"), firsts, "_node").where("_id <=> _first")
+    one = of_first.groupBy("_node").agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("_row")).select("_row.*")
+    return kept.unionByName(one).unionByName(named.where("_node is null").select(docs.columns))
