@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-#: Literals up to this many are broadcast; beyond, they are joined on their first words.
+#: About so many literals are broadcast at once; more take several broadcasts.
 BROADCAST_LITERALS = 20_000
 
 
@@ -28,7 +28,7 @@ def gazetteer_hits(docs: DataFrame, literals: DataFrame) -> DataFrame:
     """doc_id, item_id for every literal (item_id, text) that a document holds.
 
     An equi-join on each literal's longest inner word, which a document must hold as a whole word, then the exact test;
-    literals of fewer than three words are tested by a broadcast of these few.
+    literals of fewer than three words are all tested, by a broadcast for each block of about BROADCAST_LITERALS.
     """
     inner = F.expr("slice(split(text, '[ \n]+'), 2, greatest(size(split(text, '[ \n]+')) - 2, 0))")
     keyed = literals.where("length(text) > 0").withColumn("_w", inner).select("item_id", F.col("text").alias("literal"), F.expr("array_max(transform(_w, x -> struct(length(x) as n, x as w))).w").alias("word"))
@@ -36,5 +36,10 @@ def gazetteer_hits(docs: DataFrame, literals: DataFrame) -> DataFrame:
     candidates = words.join(keyed.where("word is not null"), "word").select("doc_id", "item_id", "literal")
     hits = candidates.join(docs.select("doc_id", "text"), "doc_id").where(F.contains("text", "literal")).select("doc_id", "item_id")
     short = keyed.where("word is null").select("item_id", "literal")
-    few = docs.select("doc_id", "text").join(F.broadcast(short.limit(BROADCAST_LITERALS)), F.contains("text", "literal")).select("doc_id", "item_id")
-    return hits.unionByName(few)
+    distinct = short.select("literal").distinct()
+    n = -(-distinct.count() // BROADCAST_LITERALS)
+    for i in range(n):
+        block = distinct.where(F.pmod(F.xxhash64("literal"), F.lit(n)) == i)
+        held = docs.select("doc_id", "text").join(F.broadcast(block), F.contains("text", "literal")).select("doc_id", "literal")
+        hits = hits.unionByName(held.join(short, "literal").select("doc_id", "item_id"))
+    return hits
