@@ -9,7 +9,7 @@ import pytest
 from veilwork import facts
 from veilwork.functions import detect, text as T
 from veilwork.operators import evaluate, spans, vault
-from veilwork.plans import catalogue
+from veilwork.plans import catalogue, privacy
 from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
@@ -88,3 +88,14 @@ def test_gazetteer_tests_every_short_literal(spark, monkeypatch):
     items = [(i, f"w{i}x") for i in range(50)] + [(50 + i, f"w{i}x w{i + 1}x") for i in range(10)] + [(70, "w1x"), (71, "w7x w8x w9x"), (72, "")]
     got = evaluate.gazetteer_hits(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
     assert Counter(map(tuple, got)) == Counter((d, i) for d, t in texts for i, x in items if t and x and x in t)
+
+
+def test_redaction_uses_all_recognisers(spark, tmp_path):
+    rows = [(1, "card 4111111111111111, not 4111111111111112"), (2, "IBAN CH93 0076 2011 6238 5295 7"), (3, "on 2024-05-17 from http://a.example.org/x@y.org"), (4, "nothing"), (5, None), (6, "123-45-6789"), (7, "AHV 756.9217.0769.85")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    kept = {r["doc_id"]: [(x["kind"], x["value"]) for x in r["kept"]] for r in privacy.chosen(spark, str(tmp_path)).collect()}
+    assert kept == {
+        1: [("CREDIT_CARD_NUMBER", "4111111111111111")], 2: [("INTERNATIONAL_BANKING_ACCOUNT_NUMBER", "CH93 0076 2011 6238 5295 7")],
+        3: [("DATE", "2024-05-17"), ("URL", "http://a.example.org/x@y.org")], 6: [("US_SOCIAL_SECURITY_NUMBER", "123-45-6789")], 7: [("AHV", "756.9217.0769.85")],
+    }
+    assert {r["doc_id"]: r["n_spans"] for r in privacy.flagship(spark, str(tmp_path)).collect()} == {i: len(k) for i, k in kept.items()}

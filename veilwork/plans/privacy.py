@@ -19,6 +19,10 @@ def found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect.findings(load(spark, sf_dir, "documents"), KINDS)
 
 
+def found_of_all_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detect.findings(load(spark, sf_dir, "documents"))
+
+
 #: The oracle's findings: the same patterns, positions from the gaps between matches.
 FOUND = "f AS (" + " UNION ALL ".join(
     f"""SELECT doc_id, '{k}' AS kind, CAST(list_sum(list_transform(gaps[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda m: length(m))), 0) AS integer) AS start_, ms[i] AS value,
@@ -28,9 +32,9 @@ FOUND = "f AS (" + " UNION ALL ".join(
 ) + ")"
 
 
-def chosen(spark: SparkSession, sf_dir: str) -> DataFrame:
+def chosen(spark: SparkSession, sf_dir: str, find: Callable[[SparkSession, str], DataFrame] = found_of_all_kinds) -> DataFrame:
     """One row a document with findings: doc_id, text, kept (its disjoint findings above the threshold, with stand-ins)."""
-    hits = found(spark, sf_dir).where(F.col("score") >= detect.THRESHOLD)
+    hits = find(spark, sf_dir).where(F.col("score") >= detect.THRESHOLD)
     hits = hits.withColumn("standin", vault.standin(F.col("kind"), vault.digest(KEY, F.col("kind"), F.col("value"))))
     each = hits.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end", "kind", "value", "standin")).alias("all"))
     each = each.withColumn("kept", spans.non_overlapping("all"))
@@ -39,8 +43,9 @@ def chosen(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = chosen(spark, sf_dir)
+    # a kind without facts (AHV) keeps its document, and has no risk level
     risk = F.broadcast(facts.facts(spark).select("kind", "risk_level"))
-    most = rows.select("doc_id", F.explode("kept.kind").alias("kind")).join(risk, "kind").groupBy("doc_id").agg(F.max("risk_level").alias("risk_max"))
+    most = rows.select("doc_id", F.explode("kept.kind").alias("kind")).join(risk, "kind", "left").groupBy("doc_id").agg(F.max("risk_level").alias("risk_max"))
     out = rows.select("doc_id", F.size("kept").alias("n_spans"), F.array_sort(F.array_distinct("kept.kind")).alias("kinds"), F.length(spans.splice("text", "kept")).alias("redacted_len"))
     return out.join(most, "doc_id")
 
@@ -85,7 +90,7 @@ def redact_text(spark, sf_dir):
 
 
 def restore_roundtrip(spark, sf_dir):
-    rows = chosen(spark, sf_dir)
+    rows = chosen(spark, sf_dir, found)  # the kinds of its SQL
     pairs = rows.select(F.lit("c").alias("client"), F.col("doc_id").cast("string").alias("host"), F.explode("kept").alias("k")).select("client", "host", "k.standin", "k.value").distinct()
     texts = rows.select(F.lit("c").alias("client"), F.col("doc_id").cast("string").alias("host"), "doc_id", spans.splice("text", "kept").alias("text"))
     back = vault.restore(texts, pairs)
