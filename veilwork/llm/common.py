@@ -57,11 +57,12 @@ def discard(df: DataFrame) -> None:
             folder.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Send texts to Python in batches of at most so many rows: the default of 10,000 long texts fills a worker."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key, "10000")) > rows:
-        spark.conf.set(key, str(rows))
+def small_batches(spark: SparkSession, size: int = 16 << 20) -> None:
+    """Send texts to Python in batches of at most so many bytes (a row more, where one is larger): a worker's memory does
+    not depend on how long texts are. Plans read the setting when they run, so it stays set."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key).rstrip("b")) > size:
+        spark.conf.set(key, f"{size}b")
 
 
 def lookup_join(big: DataFrame, small: DataFrame, key: str, how: str = "inner") -> DataFrame:
