@@ -1,10 +1,13 @@
 """Each training-data query against brute force, on a small fixture of awkward rows and on the smallest test tables."""
 
+import os
 import random
 import re
+import time
 from collections import Counter, defaultdict
 from hashlib import sha256
 
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -147,6 +150,29 @@ def test_jaccard_keeps_rows_without_ids_and_one_of_repeated_rows(spark):
 
 @pytest.mark.parametrize("length", [50, 100, 20])
 def test_repeats(docs, length):
+    repeats_are_those_of_brute_force(docs, length)
+
+
+@pytest.mark.parametrize("frequent,held", [(0, 1), (2, 3), (10**6, 2), (10**6, 10**6)])
+def test_repeats_whatever_is_held_at_once(spark, odd, monkeypatch, frequent, held):
+    """Pairs with a sign, pairs with more runs than are held, and groups that go on over many small batches."""
+    monkeypatch.setattr(repeats, "FREQUENT", frequent)
+    monkeypatch.setattr(repeats, "HELD", held)
+    rows = [(i, t) for i, t in texts(odd)]
+    rng = random.Random(4)
+    passage = " ".join(rng.choice("abcdefghij") * rng.randint(1, 9) for _ in range(30))
+    rows += [(100 + i, "".join(rng.choice("qrstuv ") for _ in range(rng.randint(0, 90))) + passage[rng.randint(0, 40) :] + f" {i * 7919} {i}" * 9) for i in range(60)]
+    rows += [(None, passage), (100, passage)]
+    more = spark.createDataFrame(rows, "doc_id int, text string").repartition(9)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(key, "3")
+    try:
+        repeats_are_those_of_brute_force(more, 50)
+    finally:
+        spark.conf.unset(key)
+
+
+def repeats_are_those_of_brute_force(docs, length):
     rows = [(i, t.encode()) for i, t in texts(docs)]
     least, big = {}, 1 << 63
     for i, b in rows:
@@ -303,6 +329,108 @@ def test_page_differencing(spark):
     assert got == {1: "First story & more\nSecond line", 2: "Other story", 3: "T\nBody", 4: "", 5: "", 6: "unclosed bold"}
 
 
+def test_alignment_is_a_longest_common_subsequence():
+    rng = random.Random(6)
+
+    def longest(a, b):
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+        return best[-1][-1]
+
+    for _ in range(300):
+        a, b = ([rng.randrange(rng.choice([2, 6, 30])) for _ in range(rng.randint(0, 40))] for _ in "ab")
+        on = pages.common(np.array(a, "i8"), np.array(b, "i8"))
+        picked, at = [x for x, y in zip(a, on) if y], 0
+        for x in picked:  # a subsequence of b
+            at = b.index(x, at) + 1
+        assert len(picked) == longest(a, b)
+
+
+def page_of(body):
+    return f"<html><body>{body}</body></html>"
+
+
+def extracted(spark, rows):
+    table = spark.createDataFrame(rows, "page_id long, url string, html string")
+    out = [[(r["page_id"], r["text"]) for r in pages.extract(table.repartition(n)).collect()] for n in (1, 5)]
+    assert Counter(out[0]) == Counter(out[1]) and len(out[0]) == len(rows)
+    return dict(out[0])
+
+
+def test_pages_are_held_against_the_nearest_other_page(spark):
+    """Brute force over all pages of a host: before and after in order of path, with other lines; the longer common prefix decides."""
+    rng = random.Random(9)
+    rows = []
+    for i in range(80):
+        site = i % 3
+        body = "".join(f"<p>template {site} line {k}</p>" for k in range(4)) + "".join(f"<p>{rng.choice(['own', 'quoted'])} {rng.randrange(60)}</p>" for _ in range(rng.randint(1, 6))) + f"<p>the {i}th</p>"
+        rows.append((i, f"http://host{site}/{rng.choice('ab')}/{rng.choice('xyz') * rng.randint(1, 3)}{rng.randrange(40)}", page_of(body)))
+    rows += [(100 + i, f"http://host0/a/copy{i}", rows[0][2]) for i in range(4)]
+    parsed = {i: pages.lines(h) for i, _, h in rows}
+    place = lambda r: (r[1].split("/")[2], "/" + r[1].split("/", 3)[3], f"{r[0]:>020}")
+    ordered = sorted(rows, key=place)
+    expected = {}
+    for k, r in enumerate(ordered):
+        other = lambda x: place(x)[0] == place(r)[0] and parsed[x[0]] != parsed[r[0]]
+        before, after = [x for x in ordered[:k][::-1] if other(x)][:1], [x for x in ordered[k + 1 : k + 2] if other(x)]
+        near = sorted(before + after, key=lambda x: -len(os.path.commonprefix([place(r)[1], place(x)[1]])))
+        expected[r[0]] = pages.main_text(parsed[r[0]], [parsed[x[0]] for x in near])
+    got = extracted(spark, rows)
+    assert got == expected
+    # the copies are the first pages of their host: none of them but the last has another page beside it
+    assert {i for i, t in got.items() if "template" in t} == {100, 101, 102} and all(got.values())
+
+
+def test_markup_and_neighbours_together(spark):
+    head = "<div class=content-header>Site line</div>"
+    rows = [
+        # doubt lines of an article stay unless the neighbour has them; names of frames as parts of a word do not count
+        (1, "http://h/a/1", page_of(f"<article>{head}<header><h1>Title one</h1></header><p class=ad-free>Own<br>text</p><table class=share-prices><tr><td>1</td></tr></table></article>")),
+        (2, "http://h/a/2", page_of(f"<article>{head}<header><h1>Title two</h1></header><p>Other text</p><div class='ad big'>Buy</div><footer>f</footer></article>")),
+        # a teaser article beside a body in plain blocks
+        (3, "http://g/1", page_of("<p>Legal</p><article>Teaser</article><div>A body that is much longer than the teaser</div>")),
+        (4, "http://g/2", page_of("<p>Legal</p><div>Another</div>")),
+        # a group of copies without other pages keeps its lines
+        (5, "http://c/1", page_of("<p>Same</p><p>lines</p>")), (6, "http://c/2", page_of("<p>Same</p><p>lines</p>")), (7, "http://c/2", page_of("<p>Same</p><p>lines</p>")),
+        (8, None, None), (9, "no url", page_of("<p>x&nbsp;&amp;&#x41;</p>")), (10, "http://e/", ""),
+    ]
+    got = extracted(spark, rows)
+    assert got == {1: "Title one\nOwn text\n1", 2: "Title two\nOther text", 3: "Teaser\nA body that is much longer than the teaser", 4: "Another", 5: "Same\nlines", 6: "Same\nlines", 7: "Same\nlines", 8: "", 9: "x &A", 10: ""}
+
+
+def test_an_edited_copy_keeps_its_article(spark):
+    """A line that one side alone shares is a copied article; a line of both sides is a frame."""
+    frame, article = "<p>Legal notice</p>", "".join(f"<p>Paragraph {i} of the story</p>" for i in range(9))
+    rows = [(1, "http://h/a/x1", page_of(frame + article + "<p>first end</p>")), (2, "http://h/a/x2", page_of(frame + article + "<p>second end</p>")), (3, "http://h/a/z", page_of(frame + "<p>else</p>")), (0, "http://h/a/a", page_of(frame + "<p>other</p>"))]
+    got = extracted(spark, rows)
+    assert got[1].count("Paragraph") == got[2].count("Paragraph") == 9 and not any("Legal" in t for t in got.values())
+
+
+def test_long_and_deep_markup_takes_linear_time():
+    began = time.monotonic()
+    for html in ("<div>" * 200_000 + "x" + "</span>" * 200_000, "<p>a</b>" * 200_000, "<ul><li>" * 100_000 + "</ul>" * 100_000, "<" * 300_000, "<a " * 100_000, "&amp;" * 300_000):
+        pages.lines(html)
+    assert time.monotonic() - began < 30
+
+
+def test_what_differencing_decides_on_the_test_pages(spark):
+    """The test pages' frames differ from page to page and are marked; the articles quote each other: the markup decides all
+    of them, and differencing, which runs on each, must not cut what articles share."""
+    rows = [(("", "") if not r["url"] or "://" not in r["url"] else tuple(re.match(r"(?s).*?://([^/?#]*)([^?#]*)", r["url"]).groups()), r["page_id"], r["html"]) for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    rows.sort(key=lambda r: (r[0][0].lower(), r[0][1], r[1]))
+    shared = decided = 0
+    for before, now in zip(rows, rows[1:]):
+        if before[0][0].lower() == now[0][0].lower():
+            page, near = pages.lines(now[2] or ""), pages.lines(before[2] or "")
+            on = pages.aligned(page, near)
+            shared += any(on)
+            decided += pages.main_text(page) != pages.main_text(page, [near])
+    print("pages that share lines with the page before", shared, "of", len(rows), "; decided by differencing", decided)
+    assert shared > 0 and decided == 0
+
+
 def test_toxicity_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.1"
     out = queries.op7_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic"), "doc_id").where("held_out").select("score", "predicted", "toxic").collect()

@@ -1,69 +1,77 @@
-"""HTML extraction: nearest-URL page differencing.
+"""HTML extraction: nearest-URL page differencing, with the markup as evidence where a neighbour cannot tell.
 
-Each page becomes text lines, a line for a block, each with a zone: main (inside an article or main element), frame
-(inside menus, headers, footers, sidebars, notices, adverts, forms, comments, by tag, role or class) or open. Pages of a
-host are sorted by URL path, and each is held against the neighbour whose path shares the longer prefix with its own;
-the lines of the two are aligned by a longest common subsequence, and shared lines are deleted.
+Each page becomes text lines, a line for a block, each with a zone: main (inside an article or main element), open (outside
+of these), frame (inside menus, headers, footers, sidebars, notices, adverts, forms, comments, by tag, role or a class of
+that very name), or doubt (inside main, but in a header or a class with such a name as a part, like content-header).
+Pages of a host are sorted by URL path, and each is held against the page with other lines, of those beside it, whose path
+shares the longer prefix with its own; all lines of the two are aligned by a longest common subsequence. A line is shared
+if it is on that alignment and, where the page on the other side has open lines in common too, on that with it as well: the frames of
+a template are on both, a copied article is on one.
 
-Differencing alone cannot give right results: frames that differ from page to page share no lines, and two copies of an
-article share all. So frame lines go whether shared or not; on pages with a main zone its lines are the text, shared or
-not, and open lines go; on pages without one, open lines are the text, less those shared with the neighbour, unless these
-hold more than MOST_SHARED of its characters, as in copies.
+Shared lines are deleted, but for those that the markup says are the article: differencing alone cannot give right results,
+as frames that differ from page to page share no lines, and articles quote each other. So frame lines go whether shared or not;
+main lines stay; doubt lines stay unless shared; and open lines go where main holds most of the text, else stay unless shared.
+Where the deletion would leave nothing of a page, as in a group of copies, its lines stay.
 
 Neighbours come from a range-partitioned sort by host and path, so a host with a third of all pages is spread over many
-tasks; the first and the last page of a range are also sent to the ranges beside it. Bounds come from a bounded sample of
-keys, the same on each run, and do not change which pages are neighbours.
+tasks; the first and the last page of a range are also sent to the ranges beside it. Bounds come from a sample of keys, of
+SAMPLE a range, the same on each run, and do not change which pages are beside each other.
 
 Cases: null html counts as empty; pages without text give an empty text; null urls, and urls without ://, are on the host
-'' and neighbours of each other; equal urls are neighbours, sorted by page_id; repeated rows stay; cut-off markup is read
-as far as it goes; an empty table gives an empty result; extra columns are ignored.
+'' and beside each other; equal urls are beside each other, sorted by page_id; repeated rows stay; pages with equal lines
+are not held against each other, and one with a copy before it is held against the last page before the copies (copies that start a host have none, but the last); cut-off or
+deeply nested markup is read as far as it goes, in linear time; an empty table gives an empty result; extra columns are
+ignored.
 """
 
 from __future__ import annotations
 
 import re
 from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 from os.path import commonprefix
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
 from veilwork.llm import urls
 from veilwork.llm.common import small_batches
 
-MOST_SHARED = 0.8  # of the characters of the open lines
-SAMPLE, MOST_RANGES = 64, 2000
-MAIN, OPEN, FRAME = 0, 1, 2
+MAIN, OPEN, FRAME, DOUBT = 0, 1, 2, 3
 
 # Fixed values of HTML: elements without content, of raw text, and that start a block of their own
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "noembed", "noframes", "xmp", "svg", "math"}
 BLOCK = {
-    "address", "article", "aside", "blockquote", "body", "br", "caption", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6",
+    "address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6",
     "head", "header", "hgroup", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "optgroup", "option", "p", "pre", "search", "section", "select", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul",
 }
 FRAMES = {"nav", "header", "footer", "aside", "form", "menu", "dialog", "button", "select", "head", "search", "object", "audio", "video", "canvas"}
 FRAME_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "form", "menu", "menubar", "toolbar"}
-FRAME_CLASS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|comments?|disqus|replies|sidebar|side-bar|nav|navbar|navigation|menu|breadcrumbs?|footer|header|masthead|share|sharing|social|related|recommended|newsletter|subscribe|signup|popup|modal|overlay|widget|pagination|pager|skip-link)(?:$|[\s_-])", re.I
-)
+FRAME_NAME = r"ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|comments?|disqus|replies|sidebar|side-bar|nav|navbar|navigation|menu|breadcrumbs?|footer|header|masthead|share|sharing|social|related|recommended|newsletter|subscribe|signup|popup|modal|overlay|widget|pagination|pager|skip-link"
+FRAME_CLASS = re.compile(rf"(?:^|\s)(?:{FRAME_NAME})(?:$|\s)", re.I)
+FRAME_PART = re.compile(rf"(?:^|[\s_-])(?:{FRAME_NAME})(?:$|[\s_-])", re.I)
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)|<(?P<odd>/?[a-zA-Z])[^>]*(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S)
 ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 
 
-def is_frame(name: str, attrs: str) -> bool:
-    if name in FRAMES:
-        return True
-    if "=" not in attrs and "hidden" not in attrs:
-        return False
-    for m in ATTR.finditer(attrs):
-        key, value = m[1].lower(), unescape(m[2] or m[3] or m[4] or "")
-        if key in ("class", "id") and FRAME_CLASS.search(value) or key == "role" and value.lower() in FRAME_ROLES or key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none", value, re.I):
-            return name not in ("html", "body", "main", "article")
-    return False
+def marked_as(name: str, attrs: str) -> int:
+    """FRAME, DOUBT or (neither) OPEN, by what an element's tag says."""
+    if name in ("html", "body", "main", "article"):
+        return OPEN
+    found = DOUBT if name == "header" else FRAME if name in FRAMES else OPEN
+    if "=" in attrs or "hidden" in attrs:
+        for m in ATTR.finditer(attrs):
+            key, value = m[1].lower(), unescape(m[2] or m[3] or m[4] or "")
+            if key in ("class", "id") and FRAME_CLASS.search(value) or key == "role" and value.lower() in FRAME_ROLES or key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none", value, re.I):
+                return FRAME
+            if key in ("class", "id") and found == OPEN and FRAME_PART.search(value):
+                found = DOUBT
+    return found
 
 
 def lines(html: str) -> list[tuple[str, int]]:
@@ -71,6 +79,7 @@ def lines(html: str) -> list[tuple[str, int]]:
     out: list[tuple[str, int]] = []
     held: list[str] = []
     stack: list[tuple[str, int]] = []  # open elements, with the zone around each
+    depth: Counter = Counter()  # of them, by name
     zone, at, end = OPEN, 0, len(html)
 
     def flush() -> None:
@@ -94,15 +103,18 @@ def lines(html: str) -> list[tuple[str, int]]:
         if m["close"]:
             if name in BLOCK or name in RAW:
                 flush()
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    flush_zone = stack[i][1]
-                    if flush_zone != zone:
-                        flush()
-                    zone = flush_zone
-                    del stack[i:]
+            around = zone
+            while depth[name]:
+                inner, around = stack.pop()
+                depth[inner] -= 1
+                if inner == name:
                     break
+            if around != zone:
+                flush()
+                zone = around
             continue
+        if name == "br":
+            held.append(" ")
         if name in BLOCK:
             flush()
         if name in VOID or m["attrs"].endswith("/") and name not in BLOCK:
@@ -113,15 +125,20 @@ def lines(html: str) -> list[tuple[str, int]]:
             continue
         if name in ("p", "li", "dt", "dd", "option", "tr", "td", "th") and stack and stack[-1][0] == name:
             zone = stack.pop()[1]
+            depth[name] -= 1
         inner = zone
         if zone != FRAME:
-            if is_frame(name, m["attrs"]):
+            says = marked_as(name, m["attrs"])
+            if says == FRAME:
                 inner = FRAME
+            elif says == DOUBT:  # outside of an article, a header is a frame
+                inner = DOUBT if zone in (MAIN, DOUBT) else FRAME if name == "header" else OPEN
             elif name in ("article", "main"):
                 inner = MAIN
         if inner != zone:
             flush()
         stack.append((name, zone))
+        depth[name] += 1
         zone = inner
     flush()
     return out
@@ -164,22 +181,36 @@ def common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def main_text(page: list[tuple[str, int]], neighbour: list[tuple[str, int]] | None) -> str:
-    main = [t for t, z in page if z == MAIN]
-    if main:
-        return "\n".join(main)
-    mine = [t for t, z in page if z == OPEN]
-    if mine and neighbour is not None:
-        names: dict[str, int] = {}
-        a, b = (np.array([names.setdefault(t, len(names)) for t in x], "i8") for x in (mine, [t for t, _ in neighbour]))
-        shared = common(a, b)
-        size = np.array([len(t) for t in mine])
-        if size[shared].sum() <= MOST_SHARED * size.sum():
-            mine = [t for t, s in zip(mine, shared) if not s]
-    return "\n".join(mine)
+def aligned(page: list[tuple[str, int]], other: list[tuple[str, int]]) -> np.ndarray:
+    """Which lines of a page are on a longest common subsequence with another page's."""
+    names: dict[str, int] = {}
+    a, b = (np.array([names.setdefault(t, len(names)) for t, _ in x], "i8") for x in (page, other))
+    return common(a, b)
+
+
+def shared_lines(page: list[tuple[str, int]], near: list[list[tuple[str, int]]]) -> np.ndarray:
+    """Which lines are frames by the pages beside this one, nearest first: those on the alignment with the nearest, and with
+    the other too where the two have a template in common, that is open lines."""
+    shared = aligned(page, near[0])
+    if len(near) > 1:
+        plain = [[line for line in x if line[1] == OPEN] for x in (page, near[1])]
+        if aligned(*plain).any():
+            shared &= aligned(page, near[1])
+    return shared
+
+
+def main_text(page: list[tuple[str, int]], near: list[list[tuple[str, int]]] = ()) -> str:
+    zones = np.array([z for _, z in page], "i8")
+    size = np.array([len(t) for t, _ in page], "i8")
+    article = np.isin(zones, (MAIN, DOUBT))
+    kept = article if size[article].sum() > size[zones == OPEN].sum() else zones != FRAME
+    if kept.any() and near:
+        left = kept & ~(shared_lines(page, near) & (zones != MAIN))
+        kept = left if left.any() else kept
+    return "\n".join(t for (t, _), k in zip(page, kept) if k)
 
 
-ROW = "place string, host string, path string, page_id string, url string, lines array<struct<t:string,z:int>>"
+ROW = "place string, host string, path string, page_id string, url string, held long, lines array<struct<t:string,z:int>>"
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -188,15 +219,13 @@ def extract(pages: DataFrame) -> DataFrame:
     kind = dict(pages.dtypes)["page_id"]
     keyed = pages.select(F.col("page_id").cast("string").alias("page_id"), "url", "html", urls.host("url").alias("host"), urls.path("url").alias("path"))
     keyed = keyed.withColumn("place", F.concat_ws("\x00", "host", "path", F.lpad(F.coalesce("page_id", F.lit("")), 20, "0"), F.hex(F.xxhash64("url"))))
-    n = 2 * min(MOST_RANGES, max(1, int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    seen = sorted({r[0] for r in keyed.select("place", F.xxhash64("place").alias("h")).orderBy("h", "place").limit(n * SAMPLE).select("place").collect()})
-    bounds = sorted({seen[i * len(seen) // n] for i in range(1, n)}) if seen else []
+    bounds = urls.bounds_of(keyed.select("place"))
 
     @F.pandas_udf("int")
     def range_of(place: pd.Series) -> pd.Series:
         return place.map(lambda p: bisect_right(bounds, p)).astype("int32")
 
-    # the pages at the ends of ranges: two rows a range, at most 2 * MOST_RANGES ranges
+    # the pages at the ends of ranges: two rows a range
     keys = keyed.select("place", range_of("place").alias("range"))
     ends = keys.groupBy("range").agg(F.min("place").alias("first"), F.max("place").alias("last"))
     beside = Window.orderBy("range")
@@ -206,7 +235,9 @@ def extract(pages: DataFrame) -> DataFrame:
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            b["lines"] = [[{"t": t, "z": z} for t, z in lines(h)] if h else [] for h in b.pop("html")]
+            found = [lines(h) if h else [] for h in b.pop("html")]
+            b["held"] = [xxhash.xxh3_64_intdigest("\n".join(t for t, _ in x)) - (1 << 63) for x in found]
+            b["lines"] = [[{"t": t, "z": z} for t, z in x] for x in found]
             yield b
 
     parsed = keyed.select("place", "host", "path", "page_id", "url", F.coalesce("html", F.lit("")).alias("html")).mapInPandas(parse, ROW)
@@ -215,26 +246,27 @@ def extract(pages: DataFrame) -> DataFrame:
     rows = rows.withColumn("to", F.explode(to)).select("to.range", "to.copy", *[c.split(" ")[0] for c in ROW.split(", ")])
 
     def sweep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        # two pages before and the one to be done: a page is done when the next has come
-        before, now, out = None, None, []
+        # a page is done when the next has come; of those before it, the last and the last with other lines than that
+        zoned = lambda x: [(line["t"], line["z"]) for line in x.lines]
+        before, earlier, now, out = None, None, None, []
 
         def done(after) -> None:
-            best = None
-            if not now.copy:
-                near = [(len(commonprefix([now.path, x.path])), x is after) for x in (before, after) if x is not None and x.range == now.range and x.host == now.host]
-                if near:
-                    best = after if max(near, key=lambda y: (y[0], not y[1]))[1] else before
-                pair = None if best is None else [(x["t"], x["z"]) for x in best.lines]
-                out.append((now.page_id, now.url, main_text([(x["t"], x["z"]) for x in now.lines], pair)))
+            near = [x for x in ((earlier if before is not None and before.held == now.held else before), after) if x is not None and x.range == now.range and x.host == now.host and x.held != now.held]
+            near.sort(key=lambda x: -len(commonprefix([now.path, x.path])))  # of equals, the one before
+            out.append((now.page_id, now.url, main_text(zoned(now), [zoned(x) for x in near])))
 
         for b in batches:
             for r in b.itertuples(index=False):
                 if now is not None:
-                    done(r)
-                before, now = now, r
+                    if not now.copy:
+                        done(r)
+                    if before is not None and before.held != now.held:
+                        earlier = before
+                    before = now
+                now = r
             yield pd.DataFrame(out, columns=["page_id", "url", "text"])
             out = []
-        if now is not None:
+        if now is not None and not now.copy:
             done(None)
             yield pd.DataFrame(out, columns=["page_id", "url", "text"])
 

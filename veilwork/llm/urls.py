@@ -5,7 +5,7 @@ its labels in reverse, each ended by U+0001, so a rule's host is a prefix of the
 rules are dealt into ranges of keys and sorted; one sweep over each range keeps a stack of the active, nested rule hosts
 and gives each url the longest rule on it (by the length of host and path; of equals, the longer host).
 
-Range bounds come from a bounded sample of keys (SAMPLE a range); they decide the balance, never the result: a rule goes
+Range bounds come from a sample of keys (SAMPLE a range of at most RANGE rows); they decide the balance, never the result: a rule goes
 to each range that its interval touches, which for nested rules is its own ranges and the few that it spans. Keys go on
 with the path and a hash of the id, so a host, or a single url, with a third of all rows is spread over many ranges.
 
@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-SAMPLE, MOST_RANGES = 64, 2000
+SAMPLE, RANGE = 16, 50_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
@@ -39,18 +39,24 @@ def key(name: str | Column) -> Column:
     return F.concat(F.array_join(F.reverse(F.split(name, r"\.", -1)), "\x01"), F.lit("\x01"))
 
 
+def bounds_of(places: DataFrame) -> list[str]:
+    """Bounds of ranges of a table's one string column, distinct and sorted: as many as give RANGE rows a range, and twice the
+    shuffle partitions at least. They come from SAMPLE keys a range, the same on each run, whatever the number of tasks."""
+    (column,) = places.columns
+    count = places.count()
+    n = max(2 * int(places.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-count // RANGE))
+    share = min(1.0, n * SAMPLE / max(1, count))
+    seen = sorted(r[0] for r in places.where(F.pmod(F.xxhash64(column, F.lit(7)), F.lit(1 << 31)) < share * (1 << 31)).collect())
+    return sorted({seen[i * len(seen) // n] for i in range(1, n)}) if seen else []
+
+
 def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFrame:
     """pages: page_id, url; rules: host, path, verdict. Gives page_id, host, path, rule (host and path, or null), verdict."""
-    spark = pages.sparkSession
     kind = dict(pages.dtypes)["page_id"]
     # ids travel as text: pandas would make numbers with nulls inexact
     urls = pages.select(F.col("page_id").cast("string").alias("page_id"), host("url").alias("host"), path("url").alias("path"))
     urls = urls.select("*", key("host").alias("key"), F.concat_ws("\x00", key("host"), "path", F.hex(F.xxhash64("page_id"))).alias("place"))
-    n = min(MOST_RANGES, max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))) * 2
-    # a sample of bounded size, the same on each run: the least hashes of keys
-    seen = urls.select("place", F.xxhash64("place", F.lit(7)).alias("h")).orderBy("h", "place").limit(n * SAMPLE).select("place").collect()
-    seen = sorted({r[0] for r in seen})
-    bounds = sorted({seen[i * len(seen) // n] for i in range(1, n)}) if seen else []
+    bounds = bounds_of(urls.select("place"))
 
     # Python compares str by code point, as Spark compares UTF-8 bytes
     @F.pandas_udf("int")
