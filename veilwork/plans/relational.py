@@ -21,26 +21,13 @@ SQL = {
     "treatment_ladder": "SELECT event_id, CASE WHEN event_type = 'error' THEN 'disabled' WHEN value = 0 THEN 'no body' WHEN user_id % 17 = 0 THEN 'bot check' WHEN user_id % 5 = 0 THEN 'out of scope' WHEN event_type = 'signup' THEN 'signed' WHEN value > 90 THEN 'too large' ELSE 'mutate' END AS reason FROM {events}",
     "assessor_status": "SELECT doc_id, CASE WHEN n_chars = 0 THEN 'empty' WHEN text NOT LIKE '%@%' THEN 'no names' WHEN n_chars > 65536 THEN 'too large' ELSE 'assessed' END AS status FROM {documents}",
     # joins
-    "three_way_compare": """SELECT s.conv_id, s.turn, CASE WHEN r.text IS NULL THEN 'unknown' WHEN r.text = s.text THEN 'equal' ELSE 'changed' END AS received, CASE WHEN b.text IS NULL THEN 'unknown' WHEN length(b.text) >= length(s.text) THEN 'longer' ELSE 'shorter' END AS returned
-        FROM (SELECT * FROM {conversations} WHERE role = 'user') s LEFT JOIN (SELECT * FROM {conversations} WHERE role = 'assistant') r ON r.conv_id = s.conv_id AND r.turn = s.turn + 1 LEFT JOIN (SELECT * FROM {conversations} WHERE role = 'user') b ON b.conv_id = s.conv_id AND b.turn = s.turn + 2""",
     "vault_lookup": "SELECT c.conv_id, c.role, count(d.doc_id) AS n_known, count(*) AS n_turns FROM {conversations} c LEFT JOIN {documents} d ON c.conv_id = d.doc_id AND c.role = 'user' GROUP BY c.conv_id, c.role",
-    "corroborated_names": "SELECT c_custkey, c_name FROM {customer} c WHERE EXISTS (SELECT 1 FROM {supplier} s WHERE replace(lower(s.s_name), 'supplier#', '') = replace(lower(c.c_name), 'customer#', ''))",
     "names_intersect": "SELECT replace(lower(c_name), 'customer#', '') AS name FROM {customer} INTERSECT SELECT replace(lower(s_name), 'supplier#', '') FROM {supplier}",
-    "names_except": "SELECT replace(lower(c_name), 'customer#', '') AS name FROM {customer} EXCEPT SELECT replace(lower(s_name), 'supplier#', '') FROM {supplier}",
-    "org_suffix_antijoin": """WITH o AS (SELECT DISTINCT p_name AS org FROM {part}), tails AS (SELECT DISTINCT p_type AS tail FROM {part} UNION SELECT DISTINCT split_part(p_name, ' ', 2) FROM {part} WHERE p_name LIKE '% %')
-        SELECT org FROM o WHERE NOT EXISTS (SELECT 1 FROM tails t WHERE t.tail = substr(o.org, length(o.org) - length(split_part(o.org, ' ', -1)) + 1) AND length(t.tail) < length(o.org) AND t.tail <> '')""",
-    "candidate_union": """SELECT kind, count(*) AS n, CAST(sum(size) AS bigint) AS chars FROM (SELECT 'document' AS kind, n_chars AS size FROM {documents} UNION ALL SELECT 'benchmark', length(text) FROM {benchmark} UNION ALL SELECT 'turn', length(text) FROM {conversations}) x GROUP BY kind""",
     "interval_overlap": """WITH a AS (SELECT o_custkey AS k, o_orderkey AS id, o_orderdate AS s, o_orderdate + INTERVAL 30 DAYS AS e FROM {orders}), b AS (SELECT l.l_orderkey, o.o_custkey AS k, l.l_linenumber AS n, l.l_shipdate AS s, l.l_shipdate + INTERVAL 3 DAYS AS e FROM {lineitem} l JOIN {orders} o ON l.l_orderkey = o.o_orderkey)
         SELECT a.k, a.id, count(*) AS n_overlaps FROM a JOIN b ON a.k = b.k AND a.s < b.e AND b.s < a.e GROUP BY a.k, a.id""",
     "request_rollup": f"""WITH {EV}, done AS (SELECT user_id, ts, event_id, value FROM ev WHERE treatment = 'treated'), seen AS (SELECT user_id, count(*) AS n_seen, min(event_id) AS first_id FROM ev WHERE treatment = 'passthrough' GROUP BY user_id)
         SELECT d.event_id, d.user_id, coalesce(s.n_seen, 0) AS n_seen, s.first_id FROM done d LEFT JOIN seen s ON d.user_id = s.user_id""",
     # aggregations
-    "truth_totals": f"WITH {JUDGED} SELECT source, quality, toxic, count(*) AS n FROM j GROUP BY GROUPING SETS ((source), (quality), (quality, toxic))",
-    "doc_scorecard": f"WITH {JUDGED} SELECT doc_id, CAST(sum(toxic) AS bigint) AS leaked, CAST(sum(1 - quality) AS bigint) AS damaged, CAST(sum(CASE WHEN toxic = 0 AND quality = 1 THEN 1 ELSE 0 END) AS bigint) AS replaced FROM j GROUP BY doc_id",
-    "kind_scorecard": f"WITH {JUDGED} SELECT lang AS kind, count(*) AS total, CAST(sum(CASE WHEN toxic = 0 THEN 1 ELSE 0 END) AS bigint) AS replaced, CAST(sum(toxic) AS bigint) AS leaked, CAST(sum(1 - quality) AS bigint) AS damaged FROM j GROUP BY lang",
-    "category_scorecard": f"WITH {JUDGED} SELECT source AS category, count(DISTINCT doc_id) AS n_docs, CAST(sum(n_chars) AS bigint) AS redactable, CAST(sum(toxic) AS bigint) AS leaked, CAST(sum(1 - quality) AS bigint) AS damaged FROM j GROUP BY source",
-    "headline_metrics": f"""WITH {JUDGED}, t AS (SELECT count(*) AS n, sum(CASE WHEN toxic = 0 THEN 1 ELSE 0 END) AS hidden, sum(1 - quality) AS damaged, sum(CASE WHEN toxic = 0 AND quality = 1 THEN 1 ELSE 0 END) AS expected FROM j)
-        SELECT round(CAST(hidden AS double) / nullif(n, 0), 9) AS coverage, round(CAST(expected AS double) / nullif(hidden, 0), 9) AS precision_, round(CAST(n - damaged AS double) / nullif(n, 0), 9) AS restoration FROM t""",
     "device_stats": f"WITH {EV} SELECT user_id, count(*) AS seen, CAST(sum(CASE WHEN treatment = 'treated' THEN 1 ELSE 0 END) AS bigint) AS treated, max(value) AS max_risk, max(event_id) AS last_id FROM ev GROUP BY user_id",
     "vault_view": "SELECT user_id AS token, min(event_id) AS first_id, count(*) AS uses, min_by(event_type, event_id) AS first_kind FROM {events} GROUP BY user_id",
     "harness_totals": f"WITH {EV} SELECT treatment, event_type, count(*) AS n, round(sum(value), 4) AS total FROM ev GROUP BY GROUPING SETS ((treatment), (treatment, event_type), ())",

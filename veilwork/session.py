@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
@@ -20,3 +22,14 @@ def session(master: str | None = None, **conf: str) -> SparkSession:
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df, worked out once for all its uses: a table in spark.checkpoint.dir where that is set, else persisted (Spark works lost
+    parts out again). For tables that several later steps read."""
+    at = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        return df.persist()
+    path = f"{at}/veilwork-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
