@@ -105,6 +105,31 @@ def test_jaccard_join(docs, n, percent):
     same(jaccard.classes_of(docs, n, percent).collect(), [(i, len(s), least.get(root(s), i) if s else i) for (i, _), s in zip(rows, sets)])
 
 
+@pytest.mark.parametrize("leaf", [4096, 3])
+def test_jaccard_join_whatever_a_leaf_holds(spark, monkeypatch, leaf):
+    """Blocks of many leaves: a common shingle, and groups that no hub links as a whole."""
+    monkeypatch.setattr(jaccard, "LEAF", leaf)
+    rng = random.Random(12)
+    rows = []
+    for g in range(25):
+        w = [f"c{i}" for i in range(6)] + [f"g{g % 5}w{i}" for i in range(rng.randint(20, 40))]
+        rows += [(100 * g + i, " ".join([*w[: k - 1], f"x{i}", *w[k:]] if (k := rng.randint(1, len(w))) else w)) for i in range(8)]
+    test_jaccard_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(6), 2, 70)
+
+
+def test_the_tree_finds_all_pairs_that_the_bound_lets_through():
+    rng = np.random.default_rng(3)
+    for size in (1, 2, 9, 300):
+        base = rng.integers(0, 4, (max(1, size // 10), jaccard.GROUPS))
+        v = base[rng.integers(0, len(base), size)] + (rng.random((size, jaccard.GROUPS)) < 0.05)
+        n, comp = v.sum(1), rng.integers(0, max(2, size // 3), size)
+        for one, two in ((np.arange(size), np.arange(size)), (np.arange(size // 2), np.arange(size // 2, size))):
+            same = len(one) == len(two) == size
+            got = set(zip(*map(np.ndarray.tolist, jaccard.tree_join(v, n, comp, one, two, same, 80, at_once=7))))
+            expected = {(i, j) for i in one.tolist() for j in two.tolist() if comp[i] != comp[j] and (j > i or not same) and 100 * min(n[i], n[j]) >= 80 * max(n[i], n[j]) and np.minimum(v[i], v[j]).sum() >= 80 * (n[i] + n[j]) / 180 - 1e-6}
+            assert got == expected
+
+
 def test_jaccard_keeps_one_of_each(odd):
     kept = jaccard.one_of_each(odd)
     assert kept.columns == odd.columns

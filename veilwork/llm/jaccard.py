@@ -8,9 +8,11 @@ intersection. The join gives classes of equal sets, and links between their repr
    Two linked sets share one of the first n - ceil(percent * n / 100) + 1 shingles of each in this order, so a class is
    posted under those only. Any order is exact; rare first keeps blocks small.
 3. Vectors. A class's shingles are hashed to GROUPS groups; the group counts are its point. The overlap of two sets is at
-   most the sum of the coordinate minima of their points. In a block, points are sorted by size and packed into leaves of an
-   R-tree with the greatest counts and sizes of a leaf; a leaf or point whose bound is below the needed overlap is not
-   looked at. A large block is cut into leaves that meet pairwise in tasks of their own, so no task holds a block.
+   most the sum of the coordinate minima of their points. A block's classes are dealt into leaves of about LEAF by size and
+   name, from counts that Spark sums; leaves whose sizes allow a link meet in tasks of their own, so no task holds a block. There
+   one side's points are packed, by size and by their largest coordinates, into an R-tree whose nodes hold the greatest counts
+   and the sizes below them; the other side's points descend it, level by level, and leave a node whose bound is below the
+   needed overlap. The prefix blocks only deal the work out: they are exact, and a tree over all points would be one task.
 4. Verification of the surviving pairs against the sets.
 
 Links are found in two rounds. First each class meets its blocks' heaviest class (that of most documents); what these
@@ -24,7 +26,9 @@ the least id of none; an empty table gives an empty result; extra columns are ig
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -34,9 +38,9 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from veilwork.llm import common
 
-BUCKETS = 18
+BUCKETS, PARTS = 18, 64
 GROUPS, COARSE = 256, 64
-LEAF = 4096  # classes of a block that meet in one task, of each of two sides
+LEAF, FAN = 4096, 8  # classes of a block that meet in one task, of each of two sides; children of a node of the tree
 K1, K2, K3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 S = np.uint64(29)
 WORDS = 1 << 18  # words whose names a worker remembers
@@ -95,17 +99,25 @@ def bucket_counts(texts: DataFrame, n: int) -> np.ndarray:
             if held:
                 total += np.bincount(buckets_of(np.concatenate(held)), minlength=1 << BUCKETS)
         # packed by part of the range, so that parts are added in several tasks
-        for part, x in enumerate(np.split(total, 16)):
+        for part, x in enumerate(np.split(total, PARTS)):
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([x.astype("i8").tobytes()], pa.binary())], names=["part", "counts"])
 
-    def add(table: pa.Table) -> pa.Table:
-        total = np.zeros((1 << BUCKETS) // 16, "i8")
-        for x in table.column("counts"):
-            total += np.frombuffer(x.as_py(), "i8")
-        return pa.table({"part": pa.array([table.column("part")[0].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by part; a task holds one part's sums, whatever the number of rows."""
+        at, total = None, None
+        packed = lambda: pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["part", "counts"])
+        for b in batches:
+            for part, x in zip(b.column("part").to_pylist(), b.column("counts")):
+                if part != at:
+                    if at is not None:
+                        yield packed()
+                    at, total = part, np.zeros((1 << BUCKETS) // PARTS, "i8")
+                total += np.frombuffer(x.as_py(), "i8")
+        if at is not None:
+            yield packed()
 
     schema = "part int, counts binary"
-    rows = texts.select("text").mapInArrow(count, schema).groupBy("part").applyInArrow(add, schema).orderBy("part").collect()
+    rows = texts.select("text").mapInArrow(count, schema).repartition("part").sortWithinPartitions("part").mapInArrow(add, schema).orderBy("part").collect()
     return np.concatenate([np.frombuffer(r["counts"], "i8") for r in rows]) if rows else np.zeros(1 << BUCKETS, "i8")
 
 
@@ -207,21 +219,26 @@ def bounded(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 def block_pairs(posted: DataFrame, vectors: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of different components that share a block and that the bounds let through.
 
-    posted: token, node, n, component; vectors: node, vector. Leaves are runs of LEAF classes of a block by size; a pair
-    of leaves whose sizes and components allow a link is a task's unit.
+    posted: token, node, n, component, a written table; vectors: node, vector. Sizes fall into steps a little wider than two
+    linked sets may differ by, so links are within a step or between neighbours; a step's classes are dealt by name into leaves of
+    about LEAF; two leaves that may have links are a task's unit.
     """
-    order = Window.partitionBy("token").orderBy("n", "node")
-    rows = posted.withColumns({"before": F.lag("n").over(order), "after": F.lead("n").over(order)})
-    rows = rows.where((100 * F.col("before") >= percent * F.col("n")) | (100 * F.col("n") >= percent * F.col("after"))).drop("before", "after")
-    rows = rows.withColumns({"leaf": F.floor((F.row_number().over(order) - 1) / LEAF).cast("int"), "c0": F.min("component").over(Window.partitionBy("token")), "c1": F.max("component").over(Window.partitionBy("token"))})
-    rows = common.materialize(rows.where("c0 != c1").drop("c0", "c1"))
-    leaves = rows.groupBy("token", "leaf").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("component").alias("c0"), F.max("component").alias("c1"))
-    other = leaves.select("token", *[F.col(c).alias(f"{c}_b") for c in ("leaf", "least", "most", "c0", "c1")])
-    near = (F.col("leaf") <= F.col("leaf_b")) & (100 * F.col("most") >= percent * F.col("least_b"))
+    step = F.floor(F.log("n") / (math.log(100 / percent) * (1 + 1e-9) if percent < 100 else 1e-9)).cast("long")
+    several = posted.groupBy("token").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 != c1").select("token")
+    rows = common.materialize(common.written_join(posted, common.materialize(several), "token").withColumn("step", step))
+    steps = rows.groupBy("token", "step").agg(F.ceil(F.count("*") / LEAF).cast("int").alias("lanes"), F.count("*").alias("count"), F.min("component").alias("c0"), F.max("component").alias("c1"))
+    steps = common.materialize(steps)
+    other = F.explode(F.array("step", F.col("step") + 1)).alias("step_b")
+    upper = steps.select("token", F.col("step").alias("step_b"), *[F.col(c).alias(f"{c}_b") for c in ("lanes", "c0", "c1")])
+    same = F.col("step") == F.col("step_b")
     differ = ~((F.col("c0") == F.col("c1")) & (F.col("c0_b") == F.col("c1_b")) & (F.col("c0") == F.col("c0_b")))
-    meets = leaves.join(other, "token").where(near & differ).select("token", F.col("leaf").alias("x"), F.col("leaf_b").alias("y"))
-    sides = meets.select("token", "x", "y", F.explode(F.array_distinct(F.array("x", "y"))).alias("leaf"))
-    met = rows.join(sides, ["token", "leaf"]).join(vectors, "node").select("token", "x", "y", "leaf", "node", "n", "component", "vector")
+    near = steps.select("*", other).join(upper, ["token", "step_b"]).where(differ & (~same | (F.col("count") > 1)))
+    leaf = lambda step, lane: F.col(step) * F.lit(1 << 32) + F.col(lane)
+    lanes = near.select("*", F.explode(F.sequence(F.lit(0), F.col("lanes") - 1)).alias("i")).select("*", F.explode(F.sequence(F.when(same, F.col("i")).otherwise(F.lit(0)), F.col("lanes_b") - 1)).alias("j"))
+    meets = lanes.select("token", leaf("step", "i").alias("x"), leaf("step_b", "j").alias("y"))
+    sides = common.materialize(meets.select("token", "x", "y", F.explode(F.array_distinct(F.array("x", "y"))).alias("leaf")))
+    dealt = rows.join(steps.select("token", "step", "lanes"), ["token", "step"]).withColumn("lane", F.pmod(F.xxhash64("node"), F.col("lanes"))).withColumn("leaf", leaf("step", "lane"))
+    met = common.materialize(dealt.select("token", "leaf", "node", "n", "component")).join(sides, ["token", "leaf"]).join(vectors, "node").select("token", "x", "y", "leaf", "node", "n", "component", "vector")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, ("token", "x", "y")):
@@ -250,33 +267,65 @@ def blocks(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator
         yield pa.Table.from_batches(held).combine_chunks()
 
 
-def tree_join(v, n, comp, one, two, same, percent, fan: int = 16) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of different components whose bound reaches the needed overlap.
+@dataclass(frozen=True)
+class Level:
+    """The nodes of one level of the tree: greatest counts below each, least and greatest size, and the children (from, to) on the
+    level below."""
+
+    high: np.ndarray
+    least: np.ndarray
+    most: np.ndarray
+    begin: np.ndarray
+    end: np.ndarray
+
 
-    The second side's points are packed, in order of size, into nodes of fan points that hold the greatest count in each
-    coarse group and the least and greatest size. A point is held against nodes first, then against the points of the
-    nodes that are left, by coarse and then by fine groups.
+def packed_tree(coarse: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, list[Level]]:
+    """The points in packing order, and the levels from the root down; the last level's children are points.
+
+    Points are packed by size, in runs of FAN nodes, and in a run by the coordinates that vary most: near points are near.
     """
+    wide = np.argsort(-coarse.var(0), kind="stable")[:4]
+    run = np.argsort(np.argsort(n, kind="stable"), kind="stable") // (FAN * FAN)
+    order = np.lexsort((n, *coarse[:, wide[::-1]].T, run))
+    high, least, most = coarse[order], n[order], n[order]
+    levels: list[Level] = []
+    while not levels or len(high) > 1:
+        begin = np.arange(0, len(high), FAN)
+        end = np.minimum(begin + FAN, len(high))
+        high, least, most = np.maximum.reduceat(high, begin, axis=0), np.minimum.reduceat(least, begin), np.maximum.reduceat(most, begin)
+        levels.append(Level(high, least, most, begin, end))
+    return order, levels[::-1]
+
+
+def tree_join(v, n, comp, one, two, same, percent, at_once: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of different components whose bound reaches the needed overlap: the points of one side descend the tree of the
+    other, some at once; points that are left are held against each other by coarse, then by all groups."""
     need = lambda p, q: percent * (p + q) / (100 + percent) - 1e-6  # noqa: E731  of overlap, for sizes p and q
-    two = two[np.argsort(n[two], kind="stable")]
-    coarse = v.reshape(len(v), COARSE, -1).sum(2)
-    edges = np.arange(0, len(two), fan)
-    high = np.maximum.reduceat(coarse[two], edges, axis=0)
-    least, most = n[two[edges]], n[two[np.minimum(edges + fan, len(two)) - 1]]
-    node_of = np.arange(len(two)) // fan
-    a_out, b_out = [], []
-    for i in one:
-        fits = (100 * most >= percent * n[i]) & (100 * n[i] >= percent * least)
-        fits[fits] = np.minimum(high[fits], coarse[i]).sum(1) >= need(n[i], least[fits])
-        k = two[fits[node_of]]
-        k = k[(comp[k] != comp[i]) & ((k > i) | (not same))]
-        k = k[np.minimum(coarse[k], coarse[i]).sum(1) >= need(n[i], n[k])]
-        k = k[np.minimum(v[k], v[i]).sum(1) >= need(n[i], n[k])]
-        if len(k):
-            a_out.append(np.full(len(k), i))
-            b_out.append(k)
     none = np.zeros(0, "i8")
-    return (np.concatenate(a_out), np.concatenate(b_out)) if a_out else (none, none)
+    if not len(one) or not len(two):
+        return none, none
+    coarse = v.reshape(len(v), COARSE, -1).sum(2)
+    order, levels = packed_tree(coarse[two], n[two])
+    two = two[order]
+    out = [(none, none)]
+    for k in range(0, len(one), at_once):
+        mine = one[k : k + at_once]
+        p, node = np.repeat(mine, len(levels[0].least)), np.tile(np.arange(len(levels[0].least)), len(mine))
+        for level in levels:
+            fits = (100 * level.most[node] >= percent * n[p]) & (100 * n[p] >= percent * level.least[node])
+            p, node = p[fits], node[fits]
+            fits = np.minimum(level.high[node], coarse[p]).sum(1) >= need(n[p], np.maximum(level.least[node], -(-percent * n[p] // 100)))
+            p, node = p[fits], node[fits]
+            size = level.end[node] - level.begin[node]
+            p, node = np.repeat(p, size), np.repeat(level.begin[node] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        q = two[node]
+        fits = (comp[q] != comp[p]) & ((q > p) | (not same))
+        p, q = p[fits], q[fits]
+        for points in (coarse, v):
+            fits = np.minimum(points[p], points[q]).sum(1) >= need(n[p], n[q])
+            p, q = p[fits], q[fits]
+        out.append((p, q))
+    return tuple(np.concatenate(x) for x in zip(*out))
 
 
 def join(docs: DataFrame, n: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
@@ -290,17 +339,16 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80) -> tuple[DataFrame, Dat
     classes = common.materialize(classes.select("node", "weight", "least", "x.*"))
     common.discard(profile)
     posted = classes.select("node", "n", "weight", F.explode("prefix").alias("token"))
-    # most tokens are one class's alone; only the others are looked at further
-    several = posted.groupBy("token").agg(F.count("*").alias("count")).where("count > 1")
-    several = common.materialize(posted.join(several, "token"))
-    heavy = several.groupBy("token").agg(F.max(F.struct("weight", "node", "n")).alias("h")).select("token", F.col("h.node").alias("hub"), F.col("h.n").alias("hub_n"))
-    shared = several.join(heavy, "token")
+    # most tokens are one class's alone; only the others are looked at further, with the heaviest class of each
+    heavy = F.max(F.struct("weight", "node", "n")).alias("h")
+    tokens = posted.groupBy("token").agg(F.count("*").alias("count"), heavy).where("count > 1").select("token", "count", F.col("h.node").alias("hub"), F.col("h.n").alias("hub_n"))
+    shared = common.materialize(common.written_join(posted, common.materialize(tokens), "token"))
     fits = 100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n")
     first = shared.where((F.col("node") != F.col("hub")) & fits).select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     links = common.materialize(verified(common.materialize(bounded(first, classes, percent)), docs, classes, n, percent))
     known = common.components(links).select(F.col("id").alias("node"), "component")
     open_rows = shared.where("count > 2").join(known, "node", "left").select("token", "node", "n", F.coalesce("component", "node").alias("component"))
-    second = common.materialize(block_pairs(open_rows, classes.select("node", "vector"), percent))
+    second = common.materialize(block_pairs(common.materialize(open_rows), classes.select("node", "vector"), percent))
     links = common.materialize(links.unionByName(verified(second, docs, classes, n, percent)))
     return rows.select("id", F.col("n").alias("n_shingles"), "node"), links
 
@@ -308,15 +356,16 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80) -> tuple[DataFrame, Dat
 def rows_of(docs: DataFrame, n: int, percent: int) -> DataFrame:
     """id, n_shingles, node, component (a node; null without words) for every row."""
     members, links = join(docs, n, percent)
-    of_node = members.where("n_shingles > 0").select("node").distinct().join(common.components(links).withColumnRenamed("id", "node"), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
-    return common.materialize(members.join(of_node, "node", "left"))
+    of_node = common.materialize(common.components(links).withColumnRenamed("id", "node"))
+    rows = common.written_join(members, of_node, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    return common.materialize(rows.withColumn("component", F.when(F.col("n_shingles") > 0, F.col("component"))))
 
 
 def classes_of(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id for every row: the least doc_id that links reach, the row's own included."""
     rows = rows_of(docs, n, percent)
     least = rows.where("component is not null").groupBy("component").agg(F.min("id").alias("component_id"))
-    return rows.join(least, "component", "left").select(F.col("id").alias("doc_id"), "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
+    return common.written_join(rows, common.materialize(least), "component", "left").select(F.col("id").alias("doc_id"), "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
