@@ -18,7 +18,8 @@ Ranks only serve to tell equal strings, so a rank is a name (a hash) and needs n
 a removal has two names of 64 bits, of different strings or of different hashes. All rows are flat: one for each run, whatever the
 number of tasks. A task's text is combined first: a gram or pair that is frequent in it is known to be in several
 documents, so only a sign goes to the gram's task, and its runs are dealt by themselves; pairs with a sign, or with more than
-HELD runs, have their windows ranked by a Spark aggregate. So no task or group holds a frequent string's rows.
+HELD runs, have their windows ranked by a Spark aggregate, less those that the task's own text shows to be repeated. So no
+task or group holds a frequent string's rows.
 
 Cases: null text counts as empty; texts shorter than ``length`` keep all bytes; documents with equal ids never remove from
 each other; null ids count as larger than all others, and not as smaller than each other; an empty table gives an empty
@@ -281,7 +282,7 @@ def ranked_windows(texts: DataFrame, length: int) -> DataFrame:
             rest = ~often
             yield table(PAIR, r1[rest], r2[rest], np.full(int(rest.sum()), CONTEXT), own[rest], run[rest], first[rest], pa.array(data[rest].tolist(), pa.binary()))
             if often.any():
-                yield flat(own[often], run[often], first[often], data[often].tolist())
+                yield from flat(own[often], run[often], first[often], data[often].tolist())
 
     def windows(first: np.ndarray, data: list[bytes]) -> tuple[np.ndarray, ...]:
         """For each window of the contexts: index of its context, index in its run, two names."""
@@ -298,9 +299,27 @@ def ranked_windows(texts: DataFrame, length: int) -> DataFrame:
         bits[row, at] = True
         return np.packbits(bits, axis=1, bitorder="little")
 
-    def flat(own, run, first, data) -> pa.RecordBatch:
+    def repeated(who, n1, n2) -> np.ndarray:
+        """Which windows have an equal one of a smaller id among these."""
+        order = np.lexsort((who, n2, n1))
+        new = starts(n1[order], n2[order])
+        least = np.empty_like(who)
+        least[order] = who[order][new][np.cumsum(new) - 1]
+        return who > least
+
+    def found(own, run, row, at) -> pa.RecordBatch:
+        """The rows of the contexts in row, with the windows at."""
+        hit, index = np.unique(row, return_inverse=True)
+        return table(PAIR, run[hit], own[hit], np.full(len(hit), FOUND), own[hit], run[hit], np.zeros(len(hit), "i8"), packed(masks(index, at, len(hit))))
+
+    def flat(own, run, first, data) -> Iterator[pa.RecordBatch]:
+        """Contexts by their windows; those that these contexts show to be repeated are done."""
         row, at, n1, n2 = windows(first, data)
-        return table(PAIR, n1, n2, np.full(len(row), WINDOW), own[row], run[row], at, pa.nulls(len(row), pa.binary()))
+        again = repeated(own[row], n1, n2)
+        if again.any():
+            yield found(own, run, row[again], at[again])
+        row, at, n1, n2 = (x[~again] for x in (row, at, n1, n2))
+        yield table(PAIR, n1, n2, np.full(len(row), WINDOW), own[row], run[row], at, pa.nulls(len(row), pa.binary()))
 
     def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by pair, kind and id. Whole pairs are ranked in a go; a pair with a sign, or of more than HELD runs, is passed on by its windows."""
@@ -309,10 +328,10 @@ def ranked_windows(texts: DataFrame, length: int) -> DataFrame:
         for b in chain(batches, [None]):
             now = held
             if b is not None:
-                passed = b.filter(pc.equal(b.column("kind"), WINDOW))
+                passed = b.filter(pc.greater_equal(b.column("kind"), WINDOW))
                 if len(passed):
                     yield passed
-                b = b.filter(pc.not_equal(b.column("kind"), WINDOW))
+                b = b.filter(pc.less(b.column("kind"), WINDOW))
                 now = pa.Table.from_batches([b] if held is None else [held, b]).combine_chunks().to_batches()
                 now = now[0] if now else None
             if now is None or not len(now):
@@ -331,7 +350,7 @@ def ranked_windows(texts: DataFrame, length: int) -> DataFrame:
             use = np.arange(len(now)) < ends
             far = np.flatnonzero(use & signed[group] & (kind == CONTEXT))
             if len(far):
-                yield flat(own[far], run[far], first[far], now.column("data").take(pa.array(far)).to_pylist())
+                yield from flat(own[far], run[far], first[far], now.column("data").take(pa.array(far)).to_pylist())
             # a pair of one document is unique
             at = np.flatnonzero(new)
             several = np.minimum.reduceat(own, at) < np.maximum.reduceat(own, at)
@@ -339,22 +358,13 @@ def ranked_windows(texts: DataFrame, length: int) -> DataFrame:
             if not len(near):
                 continue
             row, w, n1, n2 = windows(first[near], now.column("data").take(pa.array(near)).to_pylist())
-            who = own[near][row]
-            order = np.lexsort((who, n2, n1))
-            new_name = starts(n1[order], n2[order])
-            least = np.empty_like(who)
-            least[order] = who[order][new_name][np.cumsum(new_name) - 1]
-            again = who > least
-            hit = np.unique(row[again])
-            index = np.zeros(len(near), "i8")
-            index[hit] = np.arange(len(hit))
-            mine = near[hit]
-            zero = np.zeros(len(hit), "i8")
-            yield table(PAIR, zero, zero, zero + FOUND, own[mine], run[mine], zero, packed(masks(index[row[again]], w[again], len(hit))))
+            again = repeated(own[near][row], n1, n2)
+            if again.any():
+                yield found(own[near], run[near], row[again], w[again])
 
     out = texts.mapInArrow(send, PAIR).repartition("r1", "r2").sortWithinPartitions("r1", "r2", "kind", "id").mapInArrow(resolve, PAIR)
     out = common.materialize(out)
-    found = out.where(F.col("kind") == FOUND).select("id", "run", F.col("data").alias("masks"))
+    done = out.where(F.col("kind") == FOUND).select("id", "run", F.col("data").alias("masks"))
     single = out.where(F.col("kind") == WINDOW)
     if not single.isEmpty():
         least = single.groupBy("r1", "r2").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("r1", "r2", "least")
@@ -365,13 +375,13 @@ def ranked_windows(texts: DataFrame, length: int) -> DataFrame:
                 w = b.column("first").to_numpy()
                 yield table("id long, run long, masks binary", b.column("id"), b.column("run"), packed(masks(np.arange(len(w)), w, len(w))))
 
-        found = found.unionByName(common.materialize(again).mapInArrow(pack, "id long, run long, masks binary"))
+        done = done.unionByName(common.materialize(again).mapInArrow(pack, "id long, run long, masks binary"))
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield table(MARK, pa.array(np.zeros(len(b), bool)), b.column("id"), names_as(b.column("run").to_numpy()), b.column("masks"))
 
-    return found.mapInArrow(name, MARK)
+    return done.mapInArrow(name, MARK)
 
 
 def marks(texts: DataFrame, length: int) -> DataFrame:
