@@ -40,11 +40,14 @@ def clamp(x: Column) -> Column:
 
 
 def excerpt(text: Column, focus: Column, width: int) -> Column:
-    """width characters of text around the first place of focus, with ellipses where something is left out."""
-    side = width // 2
-    at = F.greatest(F.lit(1), F.instr(text, focus) - side)
-    cut = F.substring(text, at, F.lit(width))
-    return F.concat(F.when(at > 1, F.lit("…")).otherwise(F.lit("")), cut, F.when(at + width - 1 < F.length(text), F.lit("…")).otherwise(F.lit("")))
+    """About width characters of text with the first place of focus in the middle, or the first width where it is not, with
+    ellipses where something is left out."""
+    dots = lambda test: F.when(test, F.lit("…")).otherwise(F.lit(""))
+    at = F.when(F.length(focus) > 0, F.instr(text, focus) - 1).otherwise(F.lit(-1))
+    pad = F.greatest(F.lit(0), F.floor((width - F.length(focus)) / 2)).cast("int")
+    begin, end = F.greatest(F.lit(0), at - pad), F.least(F.length(text), at + F.length(focus) + pad)
+    around = F.concat(dots(begin > 0), F.substring(text, begin + 1, end - begin), dots(end < F.length(text)))
+    return F.when(at < 0, F.concat(F.left(text, F.lit(width)), dots(F.length(text) > width))).otherwise(around)
 
 
 def capped(text: Column, most: int = 65_536) -> Column:

@@ -1,8 +1,8 @@
-"""Evaluation and risk: literal gazetteers, similarity features, softmax, sequence alignment."""
+"""Literal gazetteers, similarity features and softmax."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 #: About so many literals are broadcast at once; more take several broadcasts.
 BROADCAST_LITERALS = 20_000
@@ -12,20 +12,30 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def zscore(value: str, group: str) -> Column:
-    w = Window.partitionBy(group)
-    sd = F.stddev_pop(value).over(w)
-    return F.when(sd == 0, 0.0).otherwise((F.col(value) - F.avg(value).over(w)) / sd)
+def with_zscore(df: DataFrame, value: str, group: str, name: str) -> DataFrame:
+    """df and name: how many standard deviations (of the population) value is from its group's mean; 0 where it does not vary.
+    Groups are summed up and joined back, so a group with a third of all rows is no task of its own."""
+    spread = df.groupBy(group).agg(F.avg(value).alias("_m"), F.stddev_pop(value).alias("_sd"))
+    return df.join(spread, group).withColumn(name, F.when(F.col("_sd") == 0, 0.0).otherwise((F.col(value) - F.col("_m")) / F.col("_sd"))).drop("_m", "_sd")
 
 
 def with_softmax(df: DataFrame, value: str, group: str, name: str) -> DataFrame:
     """df and name: exp(value) as a share of its group's sum, the group's greatest value taken off first."""
-    w = Window.partitionBy(group)
-    return df.withColumn("_e", F.exp(F.col(value) - F.max(value).over(w))).withColumn(name, F.col("_e") / F.sum("_e").over(w)).drop("_e")
+    most = df.groupBy(group).agg(F.max(value).alias("_most"))
+    rows = df.join(most, group).withColumn("_e", F.exp(F.col(value) - F.col("_most")))
+    sums = rows.groupBy(group).agg(F.sum("_e").alias("_sum"))
+    return rows.join(sums, group).withColumn(name, F.col("_e") / F.col("_sum")).drop("_e", "_most", "_sum")
+
+
+def stands(text: str, literal: str) -> Column:
+    """Whether a literal stands in a text by itself somewhere."""
+    quoted = F.concat(F.lit(r"\Q"), F.replace(F.col(literal), F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
+    return F.regexp_like(F.col(text), F.concat(F.lit(r"(?<![\p{L}\d.])"), quoted, F.lit(r"(?![\p{L}\d])")))
 
 
 def gazetteer_hits(docs: DataFrame, literals: DataFrame) -> DataFrame:
-    """doc_id, item_id for every literal (item_id, text) that a document holds.
+    """doc_id, item_id for every literal (item_id, text) that stands in a document by itself: no letter, digit or dot before it, no
+    letter or digit after it.
 
     An equi-join on each literal's longest inner word, which a document must hold as a whole word, then the exact test;
     literals of fewer than three words are all tested, by a broadcast for each block of about BROADCAST_LITERALS.
@@ -34,12 +44,12 @@ def gazetteer_hits(docs: DataFrame, literals: DataFrame) -> DataFrame:
     keyed = literals.where("length(text) > 0").withColumn("_w", inner).select("item_id", F.col("text").alias("literal"), F.expr("array_max(transform(_w, x -> struct(length(x) as n, x as w))).w").alias("word"))
     words = docs.where("text is not null").select("doc_id", F.explode(F.array_distinct(F.split("text", "[ \n]+"))).alias("word"))
     candidates = words.join(keyed.where("word is not null"), "word").select("doc_id", "item_id", "literal")
-    hits = candidates.join(docs.select("doc_id", "text"), "doc_id").where(F.contains("text", "literal")).select("doc_id", "item_id")
+    hits = candidates.join(docs.select("doc_id", "text"), "doc_id").where(F.contains("text", "literal") & stands("text", "literal")).select("doc_id", "item_id")
     short = keyed.where("word is null").select("item_id", "literal")
     distinct = short.select("literal").distinct()
     n = -(-distinct.count() // BROADCAST_LITERALS)
     for i in range(n):
         block = distinct.where(F.pmod(F.xxhash64("literal"), F.lit(n)) == i)
-        held = docs.select("doc_id", "text").join(F.broadcast(block), F.contains("text", "literal")).select("doc_id", "literal")
+        held = docs.select("doc_id", "text").join(F.broadcast(block), F.contains("text", "literal") & stands("text", "literal")).select("doc_id", "literal")
         hits = hits.unionByName(held.join(short, "literal").select("doc_id", "item_id"))
     return hits

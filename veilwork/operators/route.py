@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 # Headers and schemes that sign a payload
 SIGNATURE_MARKS = ("signature", "hmac")
@@ -93,3 +93,108 @@ def device_kind(user_agent: Column) -> Column:
 
 def risk_tier(probability: Column) -> Column:
     return F.when(probability >= 0.7, 3).when(probability >= 0.4, 2).otherwise(1)
+
+
+def host_matches(pattern: Column, host: Column) -> Column:
+    """``covers`` with the pattern in a column."""
+    p = F.regexp_replace(F.regexp_replace(F.lower(pattern), r"^\*\.", ""), r"\.+$", "")
+    h = F.regexp_replace(F.lower(host), r"\.+$", "")
+    return (h == p) | F.endswith(h, F.concat(F.lit("."), p))
+
+
+def suffixes(host: Column) -> Column:
+    """A host and the hosts above it: what a pattern may be to fit, so that rules meet requests by an equi-join."""
+    labels = F.split(F.regexp_replace(F.lower(host), r"\.+$", ""), r"\.")
+    return F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+
+
+def ruled(requests: DataFrame, rules: DataFrame, key: str) -> DataFrame:
+    """requests (key, host, path, ...) and _rule: of the rules (ordinal, host, prefix, ...) that fit the first by ordinal, or null.
+
+    A host has few hosts above it, so each request becomes a few rows that meet the rules by equality; the first is taken before
+    rows are sent on.
+    """
+    at = rules.select(F.regexp_replace(F.regexp_replace(F.lower("host"), r"^\*\.", ""), r"\.+$", "").alias("_at"), F.struct("ordinal", *[c for c in rules.columns if c != "ordinal"]).alias("_r"))
+    each = requests.select(key, "path", F.explode(suffixes(F.col("host"))).alias("_at")).join(at, "_at")
+    fits = each.where(F.startswith(F.lower("path"), F.lower("_r.prefix"))).groupBy(key).agg(F.min("_r").alias("_rule"))
+    return requests.join(fits, key, "left")
+
+
+def blocked(requests: DataFrame, rules: DataFrame, key: str) -> DataFrame:
+    """The requests that a block rule refuses: 403, and no trace of them is kept."""
+    return ruled(requests, rules, key).where("_rule is not null").drop("_rule")
+
+
+def traced(requests: DataFrame, blocks: DataFrame, key: str) -> DataFrame:
+    return ruled(requests, blocks, key).where("_rule is null").drop("_rule")
+
+
+def detoured(requests: DataFrame, rules: DataFrame, key: str) -> DataFrame:
+    """requests and target: where the first rule that fits sends the request; null without rule, and for the target's own url."""
+    rows = ruled(requests, rules, key)
+    own = F.lower(F.concat("host", "path")) == F.lower(F.regexp_replace("_rule.target", "^[a-z]+://", ""))
+    return rows.withColumn("target", F.when(~own, F.col("_rule.target"))).drop("_rule")
+
+
+def bypassed(requests: DataFrame, hosts: DataFrame) -> DataFrame:
+    """requests and bypass: whether the host, or one above it, is on the list."""
+    listed = hosts.select(F.regexp_replace(F.regexp_replace(F.lower("host"), r"^\*\.", ""), r"\.+$", "").alias("_at")).distinct()
+    found = requests.select("host").distinct().select("host", F.explode(suffixes(F.col("host"))).alias("_at")).join(listed, "_at", "left_semi").select("host").distinct()
+    return requests.join(found.withColumn("bypass", F.lit(True)), "host", "left").withColumn("bypass", F.coalesce("bypass", F.lit(False)))
+
+
+def destination(target: Column, authority: Column) -> Column:
+    """The url a request is for: absolute form as it is, origin form inside a tunnel by the tunnel's authority; else null."""
+    return F.when(F.startswith(target, F.lit("/")) & authority.isNotNull(), F.concat(F.lit("https://"), authority, target)).when(target.rlike(r"(?i)^https?://[^/?#]+"), target)
+
+
+def plain_ip(ip: Column) -> Column:
+    return F.coalesce(F.regexp_replace(ip, r"(?i)^::ffff:(?=[0-9.]+$)", ""), F.lit("unknown"))
+
+
+def identity(user_agent: Column, ip: Column) -> Column:
+    """What tells devices apart: the kind the agent claims, and the address."""
+    return F.concat(device_kind(user_agent), F.lit("|"), plain_ip(ip))
+
+
+def label(user_agent: Column, ip: Column) -> Column:
+    """A short name of a device: its kind, and the end of its address."""
+    address = plain_ip(ip)
+    end = F.when(address.contains("."), F.concat(F.lit("."), F.substring_index(address, ".", -1))).otherwise(F.substring_index(address, ":", -1))
+    return F.concat(device_kind(user_agent), F.lit(" · "), end)
+
+
+def size_text(n: Column) -> Column:
+    """Bytes as text: at most one digit after the point, none if that is a zero."""
+    short = lambda x: F.regexp_replace(F.format_string("%.1f", x), r"\.0$", "")
+    return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1 << 20, F.concat(short(n / 1024.0), F.lit(" KB"))).otherwise(F.concat(short(n / 1048576.0), F.lit(" MB")))
+
+
+def clean_reason(size: Column, content_type: Column, near_misses: Column) -> Column:
+    of = F.when(F.coalesce(F.length(content_type), F.lit(0)) > 0, F.concat(F.lit(" of "), F.trim(F.substring_index(content_type, ";", 1)))).otherwise(F.lit(""))
+    missed = F.when(near_misses == 0, "").when(near_misses == 1, " (1 near miss)").otherwise(F.concat(F.lit(" ("), near_misses.cast("string"), F.lit(" near misses)")))
+    return F.concat(F.lit("nothing found in "), size_text(size), of, missed)
+
+
+def identifiers_reason(n: Column) -> Column:
+    return F.when(n == 1, "1 identifier").otherwise(F.concat(n.cast("string"), F.lit(" identifiers")))
+
+
+def timing(total: Column, *steps: Column) -> Column:
+    """What of the total no step accounts for, never below 0; a step that was not reached is null, and counts 0."""
+    spent = F.lit(0.0)
+    for s in steps:
+        spent = spent + F.coalesce(s, F.lit(0.0))
+    return F.greatest(F.lit(0.0), total - spent)
+
+
+# What a short tag goes by, in order; a mark that ends with a bar is a prefix
+TAGS = (("css", "css"), ("javascript", "js"), ("font/", "font"), ("image/", "image"), ("json", "json"))
+
+
+def type_tag(content_type: Column) -> Column:
+    """A short tag of a content type: by mark, else its subtype; of none, asset."""
+    out = F.when(F.coalesce(content_type, F.lit("")) == "", "asset")
+    for mark, tag in TAGS:
+        out = out.when(F.startswith(content_type, F.lit(mark)) if mark.endswith("/") else F.contains(content_type, F.lit(mark)), tag)
+    return out.otherwise(F.coalesce(F.get(F.split(content_type, "/"), 1), F.lit("asset")))

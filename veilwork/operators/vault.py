@@ -7,11 +7,14 @@ vault table is only needed to restore. Use a secret key: an unkeyed hash of a ph
 from __future__ import annotations
 
 import hmac
+import re
 from hashlib import sha256
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from veilwork.operators import jsontext
+
 PAIRS, CLIENTS, TTL = 4096, 512, "48 hours"
 
 
@@ -70,29 +73,53 @@ def sessions(accesses: DataFrame, ttl: str = TTL) -> DataFrame:
     return accesses.groupBy("client", F.session_window("at", ttl).alias("w")).agg(F.count("*").alias("n_accesses"), F.min("at").alias("first_at"), F.max("at").alias("last_at")).drop("w")
 
 
-def restore(texts: DataFrame, pairs: DataFrame, text: str = "text") -> DataFrame:
-    """texts (client, host) with stand-ins put back, the longest at each place first, and n_restored.
+def known(tokens: DataFrame, pairs: DataFrame) -> DataFrame:
+    """tokens (client, host, kind, value, ...) and standin, if the vault (pairs) has one: a lookup in the map of its client and host."""
+    return tokens.join(pairs.select("client", "host", "kind", "value", "standin"), ["client", "host", "kind", "value"], "left")
+
+
+def restorable(pairs: DataFrame, most: int = PAIRS) -> DataFrame:
+    """pairs (client, host, kind, value, standin, first_seen) that a restore may use: within the cap, no stand-in for two values."""
+    return resolved(capped(pairs, most).where("restorable").drop("restorable"))
+
+
+def spelled(pairs: dict[str, str], as_json: bool) -> dict[str, str]:
+    """What to look for and what to write instead: in JSON both spellings of each stand-in, each with the value spelled alike."""
+    if not as_json:
+        return pairs
+    return {jsontext.escaped(s, a): jsontext.escaped(v, a) for a in (True, False) for s, v in pairs.items()}
 
-    Equi-join on client and host: the pairs of a vault are bounded (PAIRS), so a vault's map is one value.
+
+def restorer(pairs: dict[str, str]) -> re.Pattern:
+    """Finds stand-ins, the longest at each place first."""
+    return re.compile("|".join(re.escape(x) for x in sorted(pairs, key=lambda x: (-len(x), x))))
+
+
+def restore(texts: DataFrame, pairs: DataFrame, text: str = "text", syntax: str | None = None) -> DataFrame:
+    """texts (client, host) with stand-ins put back, the longest at each place first, and n_restored. Where the column syntax is
+    Json, stand-ins are looked for in both spellings of JSON writers, and values written in the one that was found.
+
+    Equi-join on client and host. pairs come from ``restorable``, so a vault has at most PAIRS of them and its map is one value; of
+    pairs that share a stand-in all the same, the least value is written. A text that cannot be restored is an error of its own
+    task alone; null texts stay.
     """
-    maps = pairs.groupBy("client", "host").agg(F.map_from_entries(F.collect_list(F.struct("standin", "value"))).alias("_map"))
-    joined = texts.join(maps, ["client", "host"], "left")
+    maps = pairs.groupBy("client", "host").agg(F.collect_set(F.struct("standin", "value")).alias("_pairs"))
+    joined = texts.join(maps, ["client", "host"], "left").withColumn("_json", F.lit(False) if syntax is None else F.coalesce(F.col(syntax) == "Json", F.lit(False)))
 
     @F.pandas_udf("struct<text:string,n:int>")
-    def put_back(t: pd.Series, m: pd.Series) -> pd.DataFrame:
-        import re
-
+    def put_back(t: pd.Series, m: pd.Series, j: pd.Series) -> pd.DataFrame:
         out, cache = [], {}
-        for s, pairs in zip(t, m):
-            pairs = dict(pairs) if pairs is not None else {}
-            if s is None or not pairs:
+        for s, found, as_json in zip(t, m, j):
+            if s is None or found is None or not len(found):
                 out.append((s, 0))
                 continue
-            name = tuple(sorted(pairs))
+            name = (as_json, *sorted((p["standin"], p["value"]) for p in found if p["standin"]))
             if name not in cache:
-                cache[name] = re.compile("|".join(re.escape(x) for x in sorted(pairs, key=lambda x: (-len(x), x))))
-            out.append(cache[name].subn(lambda x: pairs[x[0]], s))
+                written = spelled(dict(reversed(name[1:])), as_json)
+                cache[name] = written, restorer(written) if written else None
+            written, look = cache[name]
+            out.append(look.subn(lambda x: written[x[0]], s) if look else (s, 0))
         return pd.DataFrame(out, columns=["text", "n"])
 
-    done = joined.withColumn("_r", put_back(text, "_map"))
-    return done.withColumn(text, F.col("_r.text")).withColumn("n_restored", F.col("_r.n")).drop("_r", "_map")
+    done = joined.withColumn("_r", put_back(text, "_pairs", "_json"))
+    return done.withColumn(text, F.col("_r.text")).withColumn("n_restored", F.col("_r.n")).drop("_r", "_pairs", "_json")

@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilwork.plans import evaluation, privacy, relational
+from veilwork.plans import evaluation, privacy, relational, traffic
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = relational.QUERIES | privacy.QUERIES | evaluation.QUERIES
-ORACLE: dict[str, str] = relational.ORACLE | privacy.ORACLE | evaluation.ORACLE
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = relational.QUERIES | privacy.QUERIES | evaluation.QUERIES | traffic.QUERIES
+ORACLE: dict[str, str] = relational.ORACLE | privacy.ORACLE | evaluation.ORACLE | traffic.ORACLE
 flagship = privacy.flagship

@@ -10,6 +10,14 @@ from veilwork import facts
 from veilwork.functions import detect, text as T
 from veilwork.operators import evaluate, events, route, spans, vault
 from veilwork.session import load
+from veilwork.sources import fixtures
+
+# What a receiver of redacted bodies must not see, and the stand-ins it should
+LEAKS = {
+    "ahv": r"\b756\.[0-9]{4}\.[0-9]{4}\.[0-9]{2}\b", "iban": r"\bCH[0-9]{2} ?[0-9]{4} ?[0-9]{4} ?[0-9]{4} ?[0-9]{4} ?[0-9]\b", "phone": r"\+41 ?[0-9]{2} ?[0-9]{3} ?[0-9]{2} ?[0-9]{2}\b",
+    "email": r"(?i)[a-z0-9_.+-]+@[a-z0-9_-]+\.[a-z]{2,}\b", "birthdate": r"\b(?:0[1-9]|[12][0-9]|3[01])\.(?:0[1-9]|1[0-2])\.(?:19|20)[0-9]{2}\b",
+}
+STANDIN = r"\[(?:PERSON|AHV|IBAN|ADDRESS|PHONE|EMAIL|BIRTHDATE|HEALTH|INSURANCE)_[0-9]+\]"
 
 KINDS = ["EMAIL_ADDRESS", "PHONE_NUMBER", "IP_ADDRESS"]
 KEY = "test-key"
@@ -158,18 +166,19 @@ def iban_check(spark, sf_dir):
     return load(spark, sf_dir, "customer").select("c_custkey", T.iban_check("1217", F.lpad(F.col("c_custkey").cast("string"), 17, "0")).alias("check_digits"))
 
 
-def leak_scan(spark, sf_dir):
-    email, ip = detect.BY_KIND["EMAIL_ADDRESS"].pattern, detect.BY_KIND["IP_ADDRESS"].pattern
-    return load(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.regexp_count("text", F.lit(email)).cast("bigint").alias("emails"), F.regexp_count("text", F.lit(ip)).cast("bigint").alias("ips"), F.regexp_count("text", F.lit(r"\[(PERSON|AHV|IBAN|EMAIL)_[0-9]+\]")).cast("bigint").alias("tokens"))
+def scanned(spark, sf_dir):
+    """Documents and tickets as a receiver sees them: the tickets hold the kinds that documents lack."""
+    docs = load(spark, sf_dir, "documents").where("text is not null").select(F.concat(F.lit("d"), "doc_id").alias("id"), "text")
+    return docs.unionByName(fixtures.tickets(spark, sf_dir).select(F.concat(F.lit("t"), "doc_id").alias("id"), "text"))
 
 
-def leak_scan_totals(spark, sf_dir):
-    return leak_scan(spark, sf_dir).agg(F.count_if(F.col("emails") > 0).alias("docs_with_email"), F.count_if(F.col("ips") > 0).alias("docs_with_ip"), F.sum("emails").alias("emails"))
+def leak_scan(spark, sf_dir):
+    return scanned(spark, sf_dir).select("id", *[F.regexp_count("text", F.lit(p)).cast("bigint").alias(k) for k, p in {**LEAKS, "tokens": STANDIN}.items()])
 
 
-def labelled_join(spark, sf_dir):
-    k = F.get_json_object("props", "$.k")
-    return load(spark, sf_dir, "events").select("event_id", F.concat_ws("\n", F.concat(F.lit("[k] "), k), F.concat(F.lit("[event_type] "), "event_type")).alias("joined"))
+def leak_scan_totals(spark, sf_dir):
+    rows = leak_scan(spark, sf_dir)
+    return rows.agg(*[F.count_if(F.col(k) > 0).alias(f"with_{k}") for k in LEAKS], F.count_if(sum((F.col(k) for k in LEAKS), F.lit(0)) > 0).alias("saw_raw"), F.count_if(F.col("tokens") > 0).alias("saw_tokens"), F.sum("email").alias("emails"))
 
 
 def elapsed_ms(spark, sf_dir):
@@ -191,7 +200,7 @@ def topk_similarity(spark, sf_dir):
 
 def similarity_zscore(spark, sf_dir):
     e = load(spark, sf_dir, "embeddings").select("vec_id", "label", F.element_at("embedding", 1).cast("double").alias("s"))
-    return e.select("vec_id", F.round(evaluate.zscore("s", "label"), 4).alias("z"))
+    return evaluate.with_zscore(e, "s", "label", "z").select("vec_id", F.round("z", 4).alias("z"))
 
 
 def softmax_rank(spark, sf_dir):
@@ -226,12 +235,6 @@ def gazetteer_hits(spark, sf_dir):
     return evaluate.gazetteer_hits(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
 
 
-def encode_tokens(spark, sf_dir):
-    w = F.slice(F.filter(F.split(F.lower("text"), r"\s+"), lambda x: x != ""), 1, 10)
-    padded = F.slice(F.concat(F.array(F.lit("<bos>")), w, F.array(F.lit("<eos>")), F.array_repeat(F.lit("<pad>"), 12)), 1, 12)
-    return load(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(padded, " ").alias("tokens"))
-
-
 def synth_persons(spark, sf_dir):
     n, r = load(spark, sf_dir, "nation"), load(spark, sf_dir, "region")
     base = n.join(F.broadcast(r), n["n_regionkey"] == r["r_regionkey"]).select(F.col("n_nationkey").alias("id"), F.concat(F.initcap("n_name"), F.lit(" "), F.initcap("r_name")).alias("name"))
@@ -241,11 +244,13 @@ def synth_persons(spark, sf_dir):
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (regex_entities, near_misses, detection_summary, distinct_tokens, suppressed_counts, pii_facts_join, standin_map, standin_collisions, redact_text, restore_roundtrip, non_overlapping_spans, place_findings, covered_chars, host_rules, content_gate, single_line, fold_local_part, levenshtein_ratio, excerpt_around, format_bytes, ean13_check, iban_check, leak_scan, leak_scan_totals, labelled_join, elapsed_ms, embedding_dot, topk_similarity, similarity_zscore, softmax_rank, dp_latent_bound, asof_segment, vault_sessions, tumbling_traffic, sliding_traffic, gazetteer_hits, encode_tokens, synth_persons)
+    for f in (regex_entities, near_misses, detection_summary, distinct_tokens, suppressed_counts, pii_facts_join, standin_map, standin_collisions, redact_text, restore_roundtrip, non_overlapping_spans, place_findings, covered_chars, host_rules, content_gate, single_line, fold_local_part, levenshtein_ratio, excerpt_around, format_bytes, ean13_check, iban_check, leak_scan, leak_scan_totals, elapsed_ms, embedding_dot, topk_similarity, similarity_zscore, softmax_rank, dp_latent_bound, asof_segment, vault_sessions, tumbling_traffic, sliding_traffic, gazetteer_hits, synth_persons)
 } | {"redacted_documents": flagship}
 
 EMAIL, IP = detect.BY_KIND["EMAIL_ADDRESS"].pattern, detect.BY_KIND["IP_ADDRESS"].pattern
 EAN = "(10 - list_sum(list_transform(range(1, 13), lambda i: CAST(substr({x}, CAST(i AS integer), 1) AS integer) * CASE WHEN i % 2 = 1 THEN 1 ELSE 3 END)) % 10) % 10"
+SCANNED = f"s AS (SELECT 'd' || doc_id AS id, text FROM documents WHERE text IS NOT NULL UNION ALL SELECT 't' || doc_id, text FROM ({fixtures.TICKETS.format(customer='customer')}) t)"
+COUNTED = ", ".join(f"len(regexp_extract_all(text, '{p}')) AS {k}" for k, p in {**LEAKS, "tokens": STANDIN}.items())
 DOT = "round(list_dot_product(CAST(e.embedding AS double[]), CAST(q.embedding AS double[])), 4)"
 
 ORACLE: dict[str, str] = {
@@ -271,14 +276,13 @@ ORACLE: dict[str, str] = {
     "single_line": r"SELECT doc_id, md5(trim(regexp_replace(text, '\s*[\r\n]+\s*', ' ', 'g'))) AS digest FROM documents",
     "fold_local_part": r"SELECT c_custkey, regexp_replace(regexp_replace(replace(replace(replace(lower('Käthi O''' || c_name || ' ' || c_mktsegment), 'ä', 'ae'), 'ö', 'oe'), 'ü', 'ue'), '[''\s]+', '.', 'g'), '[^a-z.-]', '', 'g') AS local_part FROM customer",
     "levenshtein_ratio": "SELECT p_partkey, round(CAST(length(p_name) + length(p_type) - levenshtein(p_name, p_type) AS double) / (length(p_name) + length(p_type)), 9) AS ratio FROM part",
-    "excerpt_around": """WITH d AS (SELECT doc_id, text, greatest(1, instr(text, substr(text, 31, 5)) - 12) AS at_ FROM documents WHERE length(text) > 0)
-        SELECT doc_id, CASE WHEN at_ > 1 THEN '…' ELSE '' END || substr(text, at_, 24) || CASE WHEN at_ + 23 < length(text) THEN '…' ELSE '' END AS excerpt FROM d""",
+    "excerpt_around": """WITH d AS (SELECT doc_id, text, instr(text, substr(text, 31, 5)) - 1 AS i, length(substr(text, 31, 5)) AS n FROM documents WHERE length(text) > 0), e AS (SELECT *, CASE WHEN n > 0 THEN i ELSE -1 END AS at_, (24 - n) // 2 AS pad FROM d)
+        SELECT doc_id, CASE WHEN at_ < 0 THEN substr(text, 1, 24) || CASE WHEN length(text) > 24 THEN '…' ELSE '' END ELSE CASE WHEN at_ > pad THEN '…' ELSE '' END || substr(text, greatest(0, at_ - pad) + 1, at_ + n + pad - greatest(0, at_ - pad)) || CASE WHEN at_ + n + pad < length(text) THEN '…' ELSE '' END END AS excerpt FROM e""",
     "format_bytes": "WITH o AS (SELECT o_orderkey, CAST(trunc(o_totalprice * 10) AS bigint) AS n FROM orders) SELECT o_orderkey, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN printf('%.1f kB', floor(n / 1024.0 * 10 + 0.5) / 10) ELSE printf('%.1f MB', floor(n / 1048576.0 * 10 + 0.5) / 10) END AS size FROM o",
     "ean13_check": f"SELECT c_custkey, CAST({EAN.format(x="('756' || lpad(CAST(c_custkey AS varchar), 9, '0'))")} AS integer) AS check_digit FROM customer",
     "iban_check": "SELECT c_custkey, lpad(CAST(98 - CAST(lpad(CAST(c_custkey AS varchar), 17, '0') || '121700' AS hugeint) % 97 AS varchar), 2, '0') AS check_digits FROM customer",
-    "leak_scan": rf"SELECT doc_id, len(regexp_extract_all(text, '{EMAIL}')) AS emails, len(regexp_extract_all(text, '{IP}')) AS ips, len(regexp_extract_all(text, '\[(PERSON|AHV|IBAN|EMAIL)_[0-9]+\]')) AS tokens FROM documents WHERE text IS NOT NULL",
-    "leak_scan_totals": f"SELECT count(*) FILTER (len(regexp_extract_all(text, '{EMAIL}')) > 0) AS docs_with_email, count(*) FILTER (len(regexp_extract_all(text, '{IP}')) > 0) AS docs_with_ip, CAST(sum(len(regexp_extract_all(text, '{EMAIL}'))) AS bigint) AS emails FROM documents",
-    "labelled_join": "SELECT event_id, concat_ws(chr(10), '[k] ' || (props::json ->> '$.k'), '[event_type] ' || event_type) AS joined FROM events",
+    "leak_scan": f"WITH {SCANNED} SELECT id, {COUNTED} FROM s",
+    "leak_scan_totals": f"WITH {SCANNED}, c AS (SELECT {COUNTED} FROM s) SELECT {', '.join(f'count(*) FILTER ({k} > 0) AS with_{k}' for k in LEAKS)}, count(*) FILTER ({' + '.join(LEAKS)} > 0) AS saw_raw, count(*) FILTER (tokens > 0) AS saw_tokens, CAST(sum(email) AS bigint) AS emails FROM c",
     "elapsed_ms": "SELECT event_id, CAST(floor((epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id))) / 1000) AS bigint) AS elapsed FROM events",
     "embedding_dot": f"SELECT e.vec_id, {DOT} AS dot FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q",
     "topk_similarity": f"SELECT e.vec_id, {DOT} AS dot FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q ORDER BY dot DESC, e.vec_id LIMIT 10",
@@ -289,7 +293,6 @@ ORACLE: dict[str, str] = {
     "vault_sessions": "WITH l AS (SELECT user_id, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 8 HOURS THEN 0 ELSE 1 END AS starts, ts FROM events), s AS (SELECT user_id, sum(starts) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM l), c AS (SELECT user_id, k, count(*) AS n FROM s GROUP BY user_id, k) SELECT user_id AS client, count(*) AS n_sessions, max(n) AS most FROM c GROUP BY user_id",
     "tumbling_traffic": "SELECT epoch_ms(date_trunc('day', ts)) AS window_ms, event_type, count(*) AS n, round(sum(value), 3) AS total FROM events GROUP BY ALL",
     "sliding_traffic": "WITH s AS (SELECT *, time_bucket(INTERVAL 12 HOURS, ts, TIMESTAMP '1970-01-01') AS b FROM events), w AS (SELECT b AS w, event_type, value FROM s UNION ALL SELECT b - INTERVAL 12 HOURS, event_type, value FROM s) SELECT epoch_ms(w) AS window_ms, event_type, count(*) AS n, round(sum(value), 3) AS total FROM w GROUP BY ALL",
-    "gazetteer_hits": "SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON length(b.text) > 0 AND contains(d.text, b.text)",
-    "encode_tokens": r"SELECT conv_id, turn, array_to_string((['<bos>'] || list_filter(string_split_regex(lower(text), '\s+'), lambda x: x <> '')[1:10] || ['<eos>'] || list_transform(range(12), lambda i: '<pad>'))[1:12], ' ') AS tokens FROM conversations",
+    "gazetteer_hits": r"SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON length(b.text) > 0 AND contains(d.text, b.text) AND regexp_matches(d.text, '(^|[^\p{L}\d.])' || regexp_escape(b.text) || '($|[^\p{L}\d])')",
     "synth_persons": f"WITH p AS (SELECT n_nationkey AS id, upper(n_name[1]) || lower(n_name[2:]) || ' ' || array_to_string(list_transform(string_split(r_name, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') AS name, '756' || lpad(CAST(n_nationkey * 7919 AS varchar), 9, '0') AS d FROM nation JOIN region ON n_regionkey = r_regionkey) SELECT id, name, d || {EAN.format(x='d')} AS ahv FROM p",
 }

@@ -17,35 +17,24 @@ JUDGED = "j AS (SELECT d.doc_id, d.source, d.lang, d.n_chars, l.quality, l.toxic
 SQL = {
     # sources and predicates
     "doc_profile": "SELECT doc_id, lang, source, length(text) AS chars, length(text) - length(replace(text, chr(10), '')) + 1 AS n_lines FROM {documents}",
-    "event_validate": """SELECT CASE WHEN props IS NULL THEN 'not-text' WHEN substr(props, 1, 1) <> '{{' THEN 'not-an-object' WHEN event_type NOT IN ('view', 'click', 'signup', 'purchase', 'error') OR value IS NULL OR value < 0 THEN 'invalid' ELSE 'ok' END AS verdict, count(*) AS n FROM {events} GROUP BY 1""",
-    "treatment_ladder": "SELECT event_id, CASE WHEN event_type = 'error' THEN 'disabled' WHEN value = 0 THEN 'no body' WHEN user_id % 17 = 0 THEN 'bot check' WHEN user_id % 5 = 0 THEN 'out of scope' WHEN event_type = 'signup' THEN 'signed' WHEN value > 90 THEN 'too large' ELSE 'mutate' END AS reason FROM {events}",
-    "assessor_status": "SELECT doc_id, CASE WHEN n_chars = 0 THEN 'empty' WHEN text NOT LIKE '%@%' THEN 'no names' WHEN n_chars > 65536 THEN 'too large' ELSE 'assessed' END AS status FROM {documents}",
     # joins
-    "vault_lookup": "SELECT c.conv_id, c.role, count(d.doc_id) AS n_known, count(*) AS n_turns FROM {conversations} c LEFT JOIN {documents} d ON c.conv_id = d.doc_id AND c.role = 'user' GROUP BY c.conv_id, c.role",
     "names_intersect": "SELECT replace(lower(c_name), 'customer#', '') AS name FROM {customer} INTERSECT SELECT replace(lower(s_name), 'supplier#', '') FROM {supplier}",
     "interval_overlap": """WITH a AS (SELECT o_custkey AS k, o_orderkey AS id, o_orderdate AS s, o_orderdate + INTERVAL 30 DAYS AS e FROM {orders}), b AS (SELECT l.l_orderkey, o.o_custkey AS k, l.l_linenumber AS n, l.l_shipdate AS s, l.l_shipdate + INTERVAL 3 DAYS AS e FROM {lineitem} l JOIN {orders} o ON l.l_orderkey = o.o_orderkey)
         SELECT a.k, a.id, count(*) AS n_overlaps FROM a JOIN b ON a.k = b.k AND a.s < b.e AND b.s < a.e GROUP BY a.k, a.id""",
-    "request_rollup": f"""WITH {EV}, done AS (SELECT user_id, ts, event_id, value FROM ev WHERE treatment = 'treated'), seen AS (SELECT user_id, count(*) AS n_seen, min(event_id) AS first_id FROM ev WHERE treatment = 'passthrough' GROUP BY user_id)
-        SELECT d.event_id, d.user_id, coalesce(s.n_seen, 0) AS n_seen, s.first_id FROM done d LEFT JOIN seen s ON d.user_id = s.user_id""",
     # aggregations
-    "device_stats": f"WITH {EV} SELECT user_id, count(*) AS seen, CAST(sum(CASE WHEN treatment = 'treated' THEN 1 ELSE 0 END) AS bigint) AS treated, max(value) AS max_risk, max(event_id) AS last_id FROM ev GROUP BY user_id",
-    "vault_view": "SELECT user_id AS token, min(event_id) AS first_id, count(*) AS uses, min_by(event_type, event_id) AS first_kind FROM {events} GROUP BY user_id",
     "harness_totals": f"WITH {EV} SELECT treatment, event_type, count(*) AS n, round(sum(value), 4) AS total FROM ev GROUP BY GROUPING SETS ((treatment), (treatment, event_type), ())",
     "latency_percentiles": """WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type, user_id % 8 ORDER BY value, event_id) AS i, count(*) OVER (PARTITION BY event_type, user_id % 8) AS n, user_id % 8 AS lane FROM {events})
         SELECT event_type, lane, max(CASE WHEN i = least(n, CAST(floor(0.5 * n) AS bigint) + 1) THEN value END) AS p50, max(CASE WHEN i = least(n, CAST(floor(0.95 * n) AS bigint) + 1) THEN value END) AS p95, max(value) AS most FROM r GROUP BY event_type, lane""",
     "upper_median": """WITH r AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY value, event_id) AS i, count(*) OVER (PARTITION BY user_id) AS n FROM {events})
         SELECT user_id, value AS median_ms FROM r WHERE i = CAST(floor(n / 2) AS bigint) + 1""",
-    "vocab_counts": "SELECT lang, source, count(*) AS n, CAST(sum(n_chars) AS bigint) AS chars FROM {documents} GROUP BY lang, source HAVING count(*) >= 2",
     # windows
     "trailing_latency": "SELECT event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 59 PRECEDING AND CURRENT ROW), 9) AS trailing FROM {events}",
     "exchange_timeline": "SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS position, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM {events}",
-    "exchange_stage": "SELECT user_id, max_by(event_type, CAST(stage AS bigint) * 1000000000 + event_id) AS stage FROM (SELECT user_id, event_type, event_id, CASE event_type WHEN 'view' THEN 1 WHEN 'click' THEN 2 WHEN 'signup' THEN 3 WHEN 'purchase' THEN 4 ELSE 5 END AS stage FROM {events}) s GROUP BY user_id",
     "exchange_retention": f"WITH {EV}, r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY CASE WHEN treatment = 'treated' THEN 1 ELSE 0 END, ts DESC, event_id DESC) AS i FROM ev) SELECT user_id, event_id, treatment FROM r WHERE i <= 20",
     "coalesce_islands": """WITH m AS (SELECT user_id, event_id, ts, event_type, CASE WHEN event_type = lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) THEN 0 ELSE 1 END AS starts FROM {events}), g AS (SELECT *, sum(starts) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS island FROM m)
         SELECT user_id, CAST(island AS bigint) AS island, min(event_type) AS event_type, count(*) AS n, min(event_id) AS first_id FROM g GROUP BY user_id, island""",
     "segment_offsets": "SELECT conv_id, turn, CAST(coalesce(sum(length(text) + 1) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bigint) AS offset_, length(text) AS size FROM {conversations}",
     "bounded_queue": "WITH r AS (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM {events}) SELECT user_id, CAST(sum(CASE WHEN i <= 32 THEN 1 ELSE 0 END) AS bigint) AS queued, CAST(sum(CASE WHEN i > 32 THEN 1 ELSE 0 END) AS bigint) AS dropped FROM r GROUP BY user_id",
-    "vault_pair_cap": "WITH r AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source, doc_id % 16 ORDER BY doc_id) AS i FROM {documents}) SELECT source, doc_id, i <= 3 AS restorable FROM r",
     # top-k: each task sends its best rows only
     "traffic_retention": f"WITH {EV}, newest AS (SELECT event_id, treatment FROM ev ORDER BY ts DESC, event_id DESC LIMIT 140), kept AS (SELECT event_id, treatment FROM ev WHERE treatment = 'treated' ORDER BY ts DESC, event_id DESC LIMIT 1000) SELECT event_id, treatment FROM newest UNION SELECT event_id, treatment FROM kept",
     "lru_vault": "SELECT user_id AS client, max(event_id) AS last_used FROM {events} GROUP BY user_id ORDER BY max(event_id) DESC LIMIT 64",
