@@ -20,14 +20,17 @@ from pyspark.sql import Column, DataFrame, functions as F
 from veilwork.llm import common
 
 SYMBOLS = "#*$%&|<>"
+#: Lines with a word, distinct words, digits, capitals, and how many of the stop words the text has
+MORE = ("n_lines", "n_distinct", "n_digits", "n_capitals", "n_stop")
+STOP = ("the", "of", "and", "to", "der", "die", "und", "in", "de", "la", "le", "et", "les", "el", "que", "los")
 BINS = 64
 #: Labelled rows learned from, at most, chosen by a hash of the id: bounds the cost of learning, not what is judged.
 MOST_LABELLED = 500_000
 MOST_RULES, MOST_CONDITIONS, LEAST_COVERED, LEAST_PRECISION = 8, 4, 5, 0.8
 
 
-def with_base(df: DataFrame, text: str = "text") -> DataFrame:
-    """df and n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of its column text."""
+def with_base(df: DataFrame, text: str = "text", more: bool = False) -> DataFrame:
+    """df and n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of its column text; with more, also MORE."""
     df = df.withColumn("_t", common.text_of(text))
     df = df.withColumn("_w", common.words(F.col("_t")))
     df = df.withColumn("_l", F.filter(F.split("_t", "\n", -1), lambda x: F.regexp_like(x, F.lit(r"[^\x20\x09-\x0D]"))))
@@ -36,6 +39,10 @@ def with_base(df: DataFrame, text: str = "text") -> DataFrame:
     df = df.withColumn("_s", F.expr("if(size(array_distinct(_g)) = size(_g), array(), array_sort(transform(_g, (h, i) -> named_struct('h', h, 'i', i))))"))
     df = df.withColumn("_d", F.expr("array_sort(transform(filter(_s, (s, i) -> s.h <=> get(_s, i - 1).h or s.h <=> get(_s, i + 1).h), s -> s.i))"))
     covered = F.expr("aggregate(zip_with(_d, slice(_d, 2, size(_d)), (a, b) -> least(3, coalesce(b, a + 3) - a)), 0L, (n, k) -> n + k)")
+    also = {
+        "n_lines": F.size("_l"), "n_distinct": F.size(F.array_distinct("_w")), "n_digits": F.length("_t") - F.length(F.translate("_t", "0123456789", "")),
+        "n_capitals": F.length("_t") - F.length(F.translate("_t", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "")), "n_stop": F.size(F.array_intersect(F.transform(F.array_distinct("_w"), lambda w: F.lower(w)), F.array(*[F.lit(w) for w in STOP]))),
+    }
     return df.select(
         *[c for c in df.columns if c[0] != "_" or c not in ("_t", "_w", "_l", "_g", "_s", "_d")],
         F.size("_w").cast("long").alias("n_words"),
@@ -43,6 +50,7 @@ def with_base(df: DataFrame, text: str = "text") -> DataFrame:
         (F.length("_t") - F.length(F.regexp_replace("_t", r"[#*$%&|<>]", ""))).cast("long").alias("n_symbols"),
         (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
         covered.alias("n_repeat_words"),
+        *[also[c].cast("long").alias(c) for c in MORE if more],
     )
 
 
@@ -51,9 +59,12 @@ def base_failed() -> Column:
 
 
 def features() -> dict[str, Column]:
-    """What conditions may test: counts and shares of the base numbers; 0 where a text has no words."""
-    share = lambda a: F.coalesce(F.try_divide(F.col(a), F.col("n_words")), F.lit(0.0))
-    return {"words": F.col("n_words").cast("double"), "word_length": share("word_chars"), "symbol_share": share("n_symbols"), "dup_lines": F.col("n_dup_lines").cast("double"), "dup_line_share": share("n_dup_lines"), "repeat_share": share("n_repeat_words")}
+    """What conditions may test: counts and shares of the base numbers and of MORE; 0 where a text has no words."""
+    share = lambda a, of="n_words": F.coalesce(F.try_divide(F.col(a), F.col(of)), F.lit(0.0))
+    return {
+        "words": F.col("n_words").cast("double"), "word_length": share("word_chars"), "symbol_share": share("n_symbols"), "dup_lines": F.col("n_dup_lines").cast("double"), "dup_line_share": share("n_dup_lines", "n_lines"), "repeat_share": share("n_repeat_words"),
+        "line_words": share("n_words", "n_lines"), "distinct_share": share("n_distinct"), "digit_share": share("n_digits", "word_chars"), "capital_share": share("n_capitals", "word_chars"), "stop_words": F.col("n_stop").cast("double"),
+    }
 
 
 @dataclass(frozen=True)
@@ -87,15 +98,12 @@ class DecisionList:
         return "\n".join("reject if " + " and ".join(f"{c.feature} {'>' if c.above else '<='} {c.at:g}" for c in r) for r in self.rules)
 
 
-def learn(measured: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED) -> DecisionList:
-    """measured: doc_id and the base numbers; labels: doc_id, quality (1 good, 0 bad)."""
+def learn(measured: DataFrame, labels: DataFrame) -> DecisionList:
+    """measured: doc_id, the base numbers and MORE; labels: doc_id, quality (1 good, 0 bad), as from ``sampled``."""
     names = list(features())
     labels = labels.where("quality is not null").select(F.col("doc_id").alias("_id"), "quality")
     rows = measured.join(labels, F.col("doc_id") == F.col("_id"))
     order = F.xxhash64("doc_id")
-    count = labels.count()
-    if count > most_labelled:
-        rows = rows.where(F.pmod(order, F.lit(1_000_003)) < int(1_000_003 * most_labelled / count))
     rows = common.materialize(rows.select((F.col("quality") == 0).cast("int").alias("bad"), (F.pmod(order, F.lit(3)) == 2).alias("held"), *[c.alias(n) for n, c in features().items()]))
     points = rows.agg(*[F.percentile_approx(n, [i / BINS for i in range(1, BINS)], 10_000).alias(n) for n in names]).first()
     edges = {n: sorted({*(points[n] or ())}) for n in names}
@@ -142,19 +150,28 @@ def learn(measured: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABE
     return DecisionList(tuple(tuple(Condition(n, above, edges[n][b]) for n, above, b in r) for r in rules))
 
 
+def sampled(labels: DataFrame, most_labelled: int = MOST_LABELLED) -> DataFrame:
+    """The labels learned from: all, or about ``most_labelled`` of them, by a hash of the id."""
+    count = labels.count()
+    return labels if count <= most_labelled else labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < int(1_000_003 * most_labelled / count))
+
+
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, the base numbers, base_failed, rule (0: none), kept for every document."""
-    measured = common.materialize(with_base(docs.select("doc_id", "text")).drop("text"))
-    found = learn(measured, labels)
+    """doc_id, the base numbers and MORE, base_failed, rule (0: none), kept for every document; each is measured once."""
+    measured = common.materialize(with_base(docs.select("doc_id", "text"), more=True).drop("text"))
+    found = learn(measured, sampled(labels))
     out = measured.withColumn("base_failed", base_failed()).withColumn("rule", found.verdict())
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0))
 
 
 def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that neither the base test nor the learned list rejects; the columns of docs."""
-    measured = common.materialize(with_base(docs.select("doc_id", "text")).drop("text"))
-    found = learn(measured, labels)
-    rows = with_base(docs.select(F.struct("*").alias("doc"), "text"))
+    """The documents that neither the base test nor the learned list rejects; the columns of docs. Documents are measured once, and
+    those that the list is learned from once more."""
+    labels = common.materialize(sampled(labels.select("doc_id", "quality")))
+    # about MOST_LABELLED ids at most
+    labelled = docs.select("doc_id", "text").join(F.broadcast(labels.select("doc_id").distinct()), "doc_id", "left_semi")
+    found = learn(common.materialize(with_base(labelled, more=True).drop("text")), labels)
+    rows = with_base(docs.select(F.struct("*").alias("doc"), "text"), more=True)
     # not a filter: one would be pushed below the base numbers, and work them out again for each use
     stays = F.explode(F.when(~base_failed() & (found.verdict() == 0), F.array(F.lit(0))))
     return rows.select("doc", stays).select("doc.*")
