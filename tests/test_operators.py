@@ -231,3 +231,17 @@ def test_rules_of_awkward_requests(spark):
     r = spark.createDataFrame([(1, "notexample.com", "/x"), (2, "A.Example.com.", "/X/y"), (3, None, None), (4, "", ""), (5, "example.com", "/")], "k int, host string, path string")
     rules = spark.createDataFrame([(1, "*.example.com.", "/x")], "ordinal int, host string, prefix string")
     assert [x["k"] for x in route.blocked(r, rules, "k").collect()] == [2] and route.traced(r, rules, "k").count() == 4
+
+
+def test_check_digits_of_document_numbers(spark):
+    good = [("ES_NIE", "X1234567L"), ("FI_PERSONAL_IDENTITY_CODE", "131052-308T"), ("MEDICAL_LICENSE", "AB1234563"), ("IT_VAT_CODE", "IT12345678903"), ("AU_BUSINESS_NUMBER", "51 824 753 556"), ("AU_COMPANY_NUMBER", "004 085 616"), ("AU_MEDICAL_ACCOUNT_NUMBER", "2123 45670 1"), ("IN_AADHAAR", "2341 2341 2346"), ("KR_BRN", "124-81-00998"), ("TH_TNIN", "1-2345-67890-12-1"), ("UK_NHS", "943 476 5919"), ("ES_NIF", "12345678Z")]
+    def wrong(v):
+        i = max(i for i, c in enumerate(v[:-1]) if c.isdigit())
+        return v[:i] + str((int(v[i]) + 1) % 10) + v[i + 1 :]
+
+    docs = spark.createDataFrame([(2 * i + k, t) for i, (_, v) in enumerate(good) for k, t in ((0, v), (1, wrong(v)))], "doc_id long, text string")
+    from veilwork.functions import detect
+
+    found = {(r["doc_id"], r["kind"]): r["score"] for r in detect.findings(docs, [k for k, _ in good]).collect()}
+    assert all(found[2 * i, k] >= 0.6 for i, (k, _) in enumerate(good)), found
+    assert all(found[2 * i + 1, k] < 0.6 for i, (k, _) in enumerate(good)), found

@@ -7,6 +7,7 @@ misses.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -68,6 +69,57 @@ def nif(v: Column) -> Column:
     return F.substring(F.lit("TRWAGMYFPDXBNJZSQVHLCKE"), F.left(v, F.lit(8)).cast("int") % 23 + 1, F.lit(1)) == F.upper(F.right(v, F.lit(1)))
 
 
+def nie(v: Column) -> Column:
+    """A foreigner's number: the first letter counts 0, 1 or 2, then as ``nif``."""
+    return nif(F.concat(F.translate(F.left(v, F.lit(1)), "XYZ", "012"), F.substring(v, 2, 8)))
+
+
+def finnish(v: Column) -> Column:
+    n = F.concat(F.left(v, F.lit(6)), F.substring(v, 8, 3)).cast("bigint")
+    return F.substring(F.lit("0123456789ABCDEFHJKLMNPRSTUVWXY"), (n % 31 + 1).cast("int"), F.lit(1)) == F.right(v, F.lit(1))
+
+
+def dea(v: Column) -> Column:
+    return T.weighted_mod(digits(F.substring(v, 3, 7)), [1, 2, 1, 2, 1, 2], 10) == last_digit(v)
+
+
+def abn(v: Column) -> Column:
+    """Less one in the first digit, the weighted sum is a multiple of 89."""
+    return (T.weighted_mod(digits(v), [10, 1, 3, 5, 7, 9, 11, 13, 15, 17, 19], 89) - 10) % 89 == 0
+
+
+def acn(v: Column) -> Column:
+    return (10 - T.weighted_mod(digits(v), [8, 7, 6, 5, 4, 3, 2, 1], 10)) % 10 == last_digit(v)
+
+
+def medicare(v: Column) -> Column:
+    return T.weighted_mod(digits(v), [1, 3, 7, 9, 1, 3, 7, 9], 10) == F.substring(digits(v), 9, 1).cast("int")
+
+
+def korean_business(v: Column) -> Column:
+    d = digits(v)
+    tail = F.floor(F.substring(d, 9, 1).cast("int") * 5 / 10)
+    return (10 - (T.weighted_mod(d, [1, 3, 7, 1, 3, 7, 1, 3, 5], 1000) + tail) % 10) % 10 == last_digit(v)
+
+
+def thai(v: Column) -> Column:
+    return (11 - T.weighted_mod(digits(v), [13, 12, 11, 10, 9, 8, 7, 6, 5, 4, 3, 2], 11)) % 10 == last_digit(v)
+
+
+def verhoeff(v: Column) -> Column:
+    """Digits from the right, each moved by its place, multiply to 0 in the group of the pentagon's symmetries."""
+    power = ["0123456789", "1576283094"]
+    while len(power) < 8:
+        power.append("".join(power[1][int(c)] for c in power[-1]))
+    moves = F.array(*[F.lit(p) for p in power])
+    places = F.transform(F.reverse(F.split(digits(v), "")), lambda d, i: F.substring(F.element_at(moves, i % 8 + 1), d.cast("int") + 1, F.lit(1)).cast("int"))
+    turn = lambda a, b: F.when(a < 5, F.when(b < 5, (a + b) % 5).otherwise(5 + (a + b) % 5)).otherwise(F.when(b < 5, 5 + (a - b) % 5).otherwise((a - b + 5) % 5))
+    return F.aggregate(places, F.lit(0), turn) == 0
+
+
+# Endings of street names in German
+STREETS = ("allee", "damm", "gasse", "graben", "halde", "hof", "matte", "pfad", "platz", "promenade", "quai", "ring", "str.", "strasse", "straße", "ufer", "wall", "weg")
+
 # Public formats of each kind
 RECOGNISERS = (
     Recogniser("EMAIL_ADDRESS", r"[A-Za-z0-9._+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", 1.0),
@@ -76,7 +128,7 @@ RECOGNISERS = (
     Recogniser("CREDIT_CARD_NUMBER", r"[0-9]{13,16}", 1.0, luhn),
     Recogniser("INTERNATIONAL_BANKING_ACCOUNT_NUMBER", r"[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){3,7} ?[0-9A-Z]{1,3}", 1.0, T.iban_valid),
     Recogniser("DATE", r"(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.(?:19|20)[0-9]{2}", 0.6),
-    Recogniser("ADDRESS", r"[A-ZÄÖÜ][a-zäöüéèà]+(?:strasse|gasse|weg|platz|rain|allee|ring|matte|halde|feld|steig|hof|str\.) [0-9]+[a-z]?, ?[0-9]{4} [A-ZÄÖÜ][A-Za-zäöüéèà]+", 0.85),
+    Recogniser("ADDRESS", rf"\p{{Lu}}[\p{{L}}-]*(?:{'|'.join(re.escape(x) for x in STREETS)}) [0-9]+[a-z]?, ?[0-9]{{4,5}} \p{{Lu}}\p{{L}}+", 0.85),
     Recogniser("URL", r"https?://[^ \t\r\n\"<>]+", 0.6),
     Recogniser("MAC_ADDRESS", r"[0-9A-Fa-f]{2}(?::[0-9A-Fa-f]{2}){5}", 0.85),
     Recogniser("CRYPTO", r"bc1[0-9a-z]{25,59}", 0.85),
@@ -87,17 +139,38 @@ RECOGNISERS = (
     Recogniser("UK_NHS", r"[0-9]{3} [0-9]{3} [0-9]{4}", 0.85, mod11_nhs),
     Recogniser("UK_NINO", r"[A-CEGHJ-PR-TW-Z][A-CEGHJ-NPR-TW-Z] [0-9]{2} [0-9]{2} [0-9]{2} [A-D]", 0.7),
     Recogniser("ES_NIF", r"[0-9]{8}[TRWAGMYFPDXBNJZSQVHLCKE]", 0.85, nif),
-    Recogniser("ES_NIE", r"[XYZ][0-9]{7}[TRWAGMYFPDXBNJZSQVHLCKE]", 0.7),
+    Recogniser("ES_NIE", r"[XYZ][0-9]{7}[TRWAGMYFPDXBNJZSQVHLCKE]", 0.7, nie),
     Recogniser("PL_PESEL", r"[0-9]{11}", 0.85, pesel),
-    Recogniser("FI_PERSONAL_IDENTITY_CODE", r"[0-9]{6}[+A-][0-9]{3}[0-9A-FHJ-NPR-Y]", 0.7),
+    Recogniser("FI_PERSONAL_IDENTITY_CODE", r"[0-9]{6}[+A-][0-9]{3}[0-9A-FHJ-NPR-Y]", 0.7, finnish),
     Recogniser("IT_FISCAL_CODE", r"[A-Z]{6}[0-9]{2}[A-EHLMPRST][0-9]{2}[A-Z][0-9]{3}[A-Z]", 0.85),
     Recogniser("AU_TAX_FILE_NUMBER", r"[0-9]{3} [0-9]{3} [0-9]{3}", 0.65, tfn),
     Recogniser("SG_NRIC_FIN", r"[STFGM][0-9]{7}[A-Z]", 0.7),
     Recogniser("IN_PAN", r"[A-Z]{3}[ABCFGHLJPT][A-Z][0-9]{4}[A-Z]", 0.7),
-    Recogniser("IN_AADHAAR", r"[2-9][0-9]{3} [0-9]{4} [0-9]{4}", 0.4),
+    Recogniser("IN_AADHAAR", r"[2-9][0-9]{3} [0-9]{4} [0-9]{4}", 0.7, verhoeff),
     Recogniser("IN_GSTIN", r"[0-9]{2}[A-Z]{5}[0-9]{4}[A-Z][0-9A-Z]Z[0-9A-Z]", 0.85),
     Recogniser("KR_RRN", r"[0-9]{6}-[1-4][0-9]{6}", 0.7),
     Recogniser("US_PASSPORT_NUMBER", r"[A-Z][0-9]{8}", 0.3),
+    Recogniser("US_INDIVIDUAL_TAXPAYER_IDENTIFICATION", r"9[0-9]{2}-(?:5[0-9]|6[0-5]|7[0-9]|8[0-8]|9[0-24-9])-[0-9]{4}", 0.85),
+    Recogniser("US_BANK_ACCOUNT_NUMBER", r"(?i)account(?: number)?:? [0-9]{8,17}", 0.5),
+    Recogniser("US_DRIVERS_LICENSE_NUMBER", r"(?i)driver'?s licen[cs]e:? [A-Z][0-9]{7,8}", 0.5),
+    Recogniser("MEDICAL_LICENSE", r"[ABFGMPR][A-Z9][0-9]{7}", 0.7, dea),
+    Recogniser("IT_DRIVER_LICENSE", r"[A-Z]{2}[0-9]{7}[A-Z]|U1[0-9A-Z]{7}[A-Z]", 0.4),
+    Recogniser("IT_VAT_CODE", r"IT[0-9]{11}", 0.7, lambda v: luhn(F.substring(v, 3, 11))),
+    Recogniser("IT_PASSPORT", r"Y[AB][0-9]{7}", 0.4),
+    Recogniser("IT_IDENTITY_CARD", r"C[A-Z][0-9]{5}[A-Z]{2}", 0.4),
+    Recogniser("AU_BUSINESS_NUMBER", r"[0-9]{2} [0-9]{3} [0-9]{3} [0-9]{3}", 0.7, abn),
+    Recogniser("AU_COMPANY_NUMBER", r"[0-9]{3} [0-9]{3} [0-9]{3}", 0.65, acn),
+    Recogniser("AU_MEDICAL_ACCOUNT_NUMBER", r"[2-6][0-9]{3} [0-9]{5} [0-9]", 0.7, medicare),
+    Recogniser("SG_UEN", r"(?:19|20)[0-9]{7}[A-Z]|[TSR][0-9]{2}[A-Z]{2}[0-9]{4}[A-Z]", 0.5),
+    Recogniser("IN_VEHICLE_REGISTRATION", r"[A-Z]{2}[0-9]{2}[A-Z]{1,2}[0-9]{4}", 0.5),
+    Recogniser("IN_VOTER", r"[A-Z]{3}[0-9]{7}", 0.4),
+    Recogniser("IN_PASSPORT", r"[A-PR-WY][1-9][0-9] ?[0-9]{4}[1-9]", 0.3),
+    Recogniser("KR_DRIVER_LICENSE", r"[0-9]{2}-[0-9]{2}-[0-9]{6}-[0-9]{2}", 0.65),
+    Recogniser("KR_FRN", r"[0-9]{6}-[5-8][0-9]{6}", 0.7),
+    Recogniser("KR_PASSPORT", r"[MSRODG][0-9]{3}[A-Z][0-9]{4}", 0.4),
+    Recogniser("KR_BRN", r"[0-9]{3}-[0-9]{2}-[0-9]{5}", 0.65, korean_business),
+    Recogniser("TH_TNIN", r"[1-8]-[0-9]{4}-[0-9]{5}-[0-9]{2}-[0-9]", 0.7, thai),
+    Recogniser("AGE", r"(?i)[0-9]{1,3}(?: years? old|-year-old| Jahre alt)", 0.6),
 )
 BY_KIND = {r.kind: r for r in RECOGNISERS}
 
@@ -117,18 +190,16 @@ def matches(text: Column, pattern: str) -> Column:
     return F.when(F.size(values) > 0, F.aggregate(pairs, empty, step, lambda a: a["out"])).otherwise(empty["out"])
 
 
-def findings(docs: DataFrame, kinds: list[str] | None = None, id_col: str = "doc_id") -> DataFrame:
-    """One row for each match: id_col, kind, start, end, value, score."""
-    chosen = [r for r in RECOGNISERS if kinds is None or r.kind in kinds]
+def found_in(text: Column, kinds: list[str] | None = None) -> Column:
+    """array<struct<kind, start, end, value, score>> of all matches in a text: nothing is sent between tasks to score them."""
 
     def of_kind(r: Recogniser) -> Column:
-        return F.transform(matches(F.col("text"), r.pattern), lambda m: F.struct(F.lit(r.kind).alias("kind"), m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("value")))
-
-    found = F.concat(*[of_kind(r) for r in chosen])
-    rows = docs.where("text is not null").select(id_col, F.explode(found).alias("f")).select(id_col, "f.*")
-    score = None
-    for r in chosen:
-        s = F.lit(r.score) if r.valid is None else F.when(r.valid(F.when(F.col("kind") == r.kind, F.col("value"))), F.lit(r.score)).otherwise(F.lit(r.invalid_score))
-        test = F.col("kind") == r.kind
-        score = F.when(test, s) if score is None else score.when(test, s)
-    return rows.withColumn("score", score)
+        score = lambda v: F.lit(r.score) if r.valid is None else F.when(F.coalesce(r.valid(v), F.lit(False)), F.lit(r.score)).otherwise(F.lit(r.invalid_score))
+        return F.transform(matches(text, r.pattern), lambda m: F.struct(F.lit(r.kind).alias("kind"), m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("value"), score(m["value"]).alias("score")))
+
+    return F.concat(*[of_kind(r) for r in RECOGNISERS if kinds is None or r.kind in kinds])
+
+
+def findings(docs: DataFrame, kinds: list[str] | None = None, id_col: str = "doc_id") -> DataFrame:
+    """One row for each match: id_col, kind, start, end, value, score."""
+    return docs.where("text is not null").select(id_col, F.explode(found_in(F.col("text"), kinds)).alias("f")).select(id_col, "f.*")
