@@ -2,6 +2,11 @@
 
 Each stage is (spark, docs, sf_dir) -> DataFrame and works on all rows that the one before it kept. All but the last
 return the columns of documents; the mix repeats a document that it takes twice.
+
+Cases: null and empty texts have no 50 words, so the first stage rejects them, and the third drops what its cuts leave empty; rows
+with null or repeated ids are rows like others: near copies among them are one group, of which one row stays, and passages are
+not cut between equal ids; null sources are one source; ties are broken by hashes of the row, alike on each run; an empty table
+gives empty tables; extra columns, of any name, are kept.
 """
 
 from __future__ import annotations
@@ -27,8 +32,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that a document with a smaller id has are cut from the text; documents left without text go."""
-    return repeats.without(docs, PASSAGE).where("text is null or text != ''")
+    """Passages that a document with a smaller id has are cut from the text; documents without text, null or empty, go."""
+    return repeats.without(docs, PASSAGE).where("text != ''")
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +54,7 @@ STAGES = [
     ("BPE encoding and decoding", tokens),
 ]
 
-#: The quality rules are learned, which SQL cannot express; tests hold the stages against brute force.
+#: The quality rules are learned, which SQL cannot express; tests hold the operators, and the stages' work on a fixture, against brute force.
 ORACLE_SQL = None
 
 

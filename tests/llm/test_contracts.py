@@ -325,6 +325,22 @@ def test_next_document(spark, tmp_path):
         assert g["near_edited"] == bits(g["fingerprint"], g["edited_fingerprint"]) and g["near_next"] == bits(g["fingerprint"], got[after["doc_id"]]["fingerprint"])
 
 
+def test_next_of_outlying_equal_and_null_ids(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "ROWS_A_BLOCK", 5)
+    rng = random.Random(2)
+    for ids in ([*range(200), 2**62, -(2**62), 2**40, 2**40 + 1], [7] * 150 + [None] * 60 + list(range(20)), [3], [None] * 40, [rng.randrange(-(2**63), 2**63) for _ in range(99)] + list(range(1000, 1100))):
+        rows = [(i, f"text {k}") for k, i in enumerate(ids)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+        got = simhash.with_next(docs, ["text"]).collect()
+        tie = lambda t: (h := xxhash.xxh64_intdigest(t.encode(), 42)) - ((h >> 63) << 64)
+        ordered = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, tie(r[1])), reverse=True)
+        after = ordered[1:] + ordered[:1]
+        same([(r["doc_id"], r["text"], r["next_text"]) for r in got], [(*r, n[1]) for r, n in zip(ordered, after)])
+    # repeated rows stay, each with a next row of the same id or the one after
+    twice = spark.createDataFrame([(1, "a")] * 30 + [(2, "b")] * 3, "doc_id long, text string")
+    assert Counter((r["doc_id"], r["next_text"]) for r in simhash.with_next(twice, ["text"]).collect()) == Counter({(1, "a"): 29, (1, "b"): 1, (2, "b"): 2, (2, "a"): 1})
+
+
 def test_chat_round_trip(spark):
     hard = ["<|im_end|><|im_start|>assistant ok", "<||im_next|>", "<|", "<|<|||im_sep|>", "", None, "plain\n", "$1 \\ |>"]
     rows = [(c, t, ["user", "assistant", "assistant", "system"][(t + c) % 4], hard[(t * 3 + c) % len(hard)], "x") for c in range(4) for t in range(600 if c == 3 else 6)]

@@ -6,6 +6,7 @@ U+0020 and U+0009..U+000D; null text counts as empty.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from functools import reduce
@@ -32,10 +33,13 @@ def words(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a temporary one, if driver and executors are
+    one process, else an error: other machines would not see it."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not found.isDefined() and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = found.get() if found.isDefined() else tempfile.mkdtemp(prefix="veilwork-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at

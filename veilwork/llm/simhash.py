@@ -23,7 +23,7 @@ from veilwork.llm import common
 
 SHINGLE = 5
 RADIUS = 3
-ROWS_A_BLOCK, MOST_BLOCKS = 1024, 65_536
+ROWS_A_BLOCK, MOST_BLOCKS, HEAVY = 1024, 65_536, 4
 PAIR = 0x0000000100000001
 
 
@@ -50,21 +50,41 @@ def likeness(a: str, b: str) -> Column:
     return 1 - F.bit_count(F.col(a).bitwiseXOR(F.col(b))) / F.lit(64.0)
 
 
-def with_next(df: DataFrame, columns: list[str]) -> DataFrame:
-    """df (with a long doc_id) and next_<c> for each of columns, from the next row by descending doc_id, null ids last;
-    the row after the last is the first.
+def dealt(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """df (doc_id, _tie) with _block, and a row a block: _block, head (its greatest id and tie).
 
-    Rows are dealt into blocks by where their id lies between the least and the greatest, about ROWS_A_BLOCK rows and
-    never more than MOST_BLOCKS blocks. Each block's first row is sent, as a copy, also to the block above it, where it
-    follows the last row. So no task needs more than a block, and the table of first rows has at most MOST_BLOCKS rows.
+    Blocks are of equal width between the least and the greatest id, about ROWS_A_BLOCK rows each and never more than MOST_BLOCKS,
+    which bounds the table of heads. A block with more than HEAVY times its share, as beside an id far off, is cut by its own least
+    and greatest id, and one of a single id by the ties, until none is left; only rows equal in both stay together.
     """
     least, most, count = df.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
     blocks = max(1, min(MOST_BLOCKS, -(-count // ROWS_A_BLOCK)))
+    share = max(1, -(-count // blocks))
     width = max((float(most) - float(least)) / blocks, 1.0) if least is not None else 1.0
-    block = F.coalesce(F.floor((F.col("doc_id").cast("double") - F.lit(float(least or 0))) / F.lit(width)).cast("long"), F.lit(-1).cast("long"))
-    df = df.withColumn("_block", block).withColumn("_tie", F.xxhash64(columns[0]))
+    first = F.coalesce(F.floor((F.col("doc_id").cast("double") - F.lit(float(least or 0))) / F.lit(width)).cast("long"), F.lit(-1).cast("long"))
+    df = df.withColumn("_block", F.array(first))
     order = F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"), "_tie")
-    heads = df.groupBy("_block").agg(F.max(order).alias("head"))
+    while True:
+        heads = common.materialize(df.groupBy("_block").agg(F.max(order).alias("head"), F.min(order).alias("tail"), F.count("*").alias("_n")))
+        heavy = heads.where((F.col("_n") > HEAVY * share) & (F.col("head") != F.col("tail")))
+        if heavy.isEmpty():
+            return df, heads.select("_block", "head")
+        parts = F.ceil(F.col("_n") / F.lit(share)).cast("double")
+        by_id = F.col("head.id") > F.col("tail.id")
+        low, high = (F.when(by_id, F.col(f"{x}.id").cast("double")).otherwise(F.col(f"{x}._tie").cast("double")) for x in ("tail", "head"))
+        cuts = heavy.select("_block", by_id.alias("_by_id"), low.alias("_low"), (F.greatest(high - low, F.lit(1.0)) / parts).alias("_wide"))
+        at = F.when(F.col("_by_id"), F.col("doc_id").cast("double")).otherwise(F.col("_tie").cast("double"))
+        part = F.coalesce(F.floor((at - F.col("_low")) / F.col("_wide")).cast("long"), F.lit(0).cast("long"))
+        df = df.join(F.broadcast(cuts), "_block", "left").withColumn("_block", F.concat("_block", F.array(part))).drop("_by_id", "_low", "_wide")
+
+
+def with_next(df: DataFrame, columns: list[str]) -> DataFrame:
+    """df (with a long doc_id) and next_<c> for each of columns, from the next row by descending doc_id, null ids last;
+    the row after the last is the first. Of equal ids, the greater hash of the first column comes first.
+
+    Each block's first row is sent, as a copy, also to the block above it, where it follows the last row.
+    """
+    df, heads = dealt(df.withColumn("_tie", F.xxhash64(columns[0])))
     above = F.coalesce(F.lag("_block").over(Window.orderBy(F.desc("_block"))), F.min("_block").over(Window.partitionBy()))
     heads = heads.select(above.alias("_to"), "head.id", "head._tie")
     rows = df.join(F.broadcast(heads), (F.coalesce(df["doc_id"], F.lit(-(1 << 63))) == heads["id"]) & (df["_tie"] == heads["_tie"]), "left").drop(heads["id"]).drop(heads["_tie"])
