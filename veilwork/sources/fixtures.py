@@ -21,7 +21,7 @@ SELECT c_custkey AS doc_id, CASE c_custkey % 7
   WHEN 4 THEN concat('IBAN CH93 0076 2011 6238 5295 7, AHV 756.9217.0769.85, Host 10.0.', c_custkey % 200, '.7', chr(10), 'Anfrage K-', lpad(CAST(c_custkey % 100000 AS varchar(8)), 5, '0'), ' von ', mail, ' an rechnung@natron.io')
   WHEN 5 THEN concat('Erstkontakt ', name, ' (+41 79 566 86 75) oder ', other, ' (Netzwerk)', chr(10), 'Rückfragen: ', other_mail)
   ELSE concat('Nichts zu ', last, chr(10), 'Werk ', town, ' bleibt zu.') END AS text
-FROM (SELECT c_custkey, concat(first, ' ', last) AS name, concat(first_folded, '.', last_folded, '@natron.io') AS mail, last, town, other_first, concat(other_first, ' ', other_last) AS other, concat(other_first_folded, '.', other_last_folded, '@natron.io') AS other_mail
+FROM (SELECT c_custkey, concat(first, ' ', last) AS name, concat(first_folded, '.', last_folded, '@firma.example') AS mail, last, town, other_first, concat(other_first, ' ', other_last) AS other, concat(other_first_folded, '.', other_last_folded, '@firma.example') AS other_mail
   FROM (SELECT c_custkey, split_part('{FIRST}', ',', CAST(c_custkey % 10 + 1 AS int)) AS first, split_part('{FIRST_FOLDED}', ',', CAST(c_custkey % 10 + 1 AS int)) AS first_folded,
     split_part('{LAST}', ',', CAST(c_custkey % 11 + 1 AS int)) AS last, split_part('{LAST_FOLDED}', ',', CAST(c_custkey % 11 + 1 AS int)) AS last_folded, split_part('{TOWNS}', ',', CAST(c_custkey % 5 + 1 AS int)) AS town,
     split_part('{FIRST}', ',', CAST((c_custkey + 3) % 10 + 1 AS int)) AS other_first, split_part('{FIRST_FOLDED}', ',', CAST((c_custkey + 3) % 10 + 1 AS int)) AS other_first_folded,
