@@ -39,12 +39,13 @@ def with_base(df: DataFrame, text: str = "text", more: bool = False) -> DataFram
     df = df.withColumn("_s", F.expr("if(size(array_distinct(_g)) = size(_g), array(), array_sort(transform(_g, (h, i) -> named_struct('h', h, 'i', i))))"))
     df = df.withColumn("_d", F.expr("array_sort(transform(filter(_s, (s, i) -> s.h <=> get(_s, i - 1).h or s.h <=> get(_s, i + 1).h), s -> s.i))"))
     covered = F.expr("aggregate(zip_with(_d, slice(_d, 2, size(_d)), (a, b) -> least(3, coalesce(b, a + 3) - a)), 0L, (n, k) -> n + k)")
+    df = df.withColumn("_u", F.array_distinct("_w"))
     also = {
-        "n_lines": F.size("_l"), "n_distinct": F.size(F.array_distinct("_w")), "n_digits": F.length("_t") - F.length(F.translate("_t", "0123456789", "")),
-        "n_capitals": F.length("_t") - F.length(F.translate("_t", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "")), "n_stop": F.size(F.array_intersect(F.transform(F.array_distinct("_w"), lambda w: F.lower(w)), F.array(*[F.lit(w) for w in STOP]))),
+        "n_lines": F.size("_l"), "n_distinct": F.size("_u"), "n_digits": F.length("_t") - F.length(F.translate("_t", "0123456789", "")),
+        "n_capitals": F.length("_t") - F.length(F.translate("_t", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "")), "n_stop": F.size(F.array_intersect(F.transform(F.filter("_u", lambda w: F.length(w) <= 3), lambda w: F.lower(w)), F.array(*[F.lit(w) for w in STOP]))),
     }
     return df.select(
-        *[c for c in df.columns if c[0] != "_" or c not in ("_t", "_w", "_l", "_g", "_s", "_d")],
+        *[c for c in df.columns if c[0] != "_" or c not in ("_t", "_w", "_l", "_g", "_s", "_d", "_u")],
         F.size("_w").cast("long").alias("n_words"),
         F.length(F.regexp_replace("_t", r"[\x20\x09-\x0D]+", "")).cast("long").alias("word_chars"),
         (F.length("_t") - F.length(F.regexp_replace("_t", r"[#*$%&|<>]", ""))).cast("long").alias("n_symbols"),
