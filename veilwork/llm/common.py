@@ -82,7 +82,7 @@ def lookup_join(big: DataFrame, small: DataFrame, key: str, how: str = "inner")
     return dealt.join(salted, [key, "_salt"], how).drop("_salt")
 
 
-def written_join(big: DataFrame, small: DataFrame, key: str, how: str = "inner") -> DataFrame:
+def written_join(big: DataFrame, small: DataFrame, key: str | list[str], how: str = "inner") -> DataFrame:
     """Join a large table to a written one with unique keys: a broadcast up to BROADCAST_ROWS, else a shuffle. No aggregate shares
     the join's stage, so Spark splits the tasks of a key that holds a third of big's rows (adaptive skew join)."""
     return big.join(F.broadcast(small) if small.count() <= BROADCAST_ROWS else small, key, how)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from veilwork.llm import bpe, chat, common, jaccard, mixing, pages, repeats, rules, simhash, toxicity, urls
+from veilwork.llm import bpe, chat, common, jaccard, manifest, mixing, pages, repeats, rules, simhash, toxicity, urls
 
 
 def op1_page_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,5 +126,45 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_page_diff, op2_bpe, op3_ngram_jaccard, op4_url_filter, op5_source_mix, op6_suffix_dedup, op7_toxicity, op8_chat_format, op9_quality_rules, op10_simhash)}
-ORACLE: dict[str, str] = {"op4_url_filter": OP4_SQL, "op5_source_mix": OP5_SQL, "op8_chat_format": OP8_SQL}
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.verified(manifest.manifest(common.read(spark, sf_dir, "documents")))
+
+
+#: Trees by recursion over levels; a proof is folded by recursion over the levels of its own source, then of the sources.
+OP13_SQL = """
+WITH RECURSIVE
+field AS (SELECT doc_id, source, text, concat(
+    CASE WHEN doc_id IS NULL THEN '-' ELSE octet_length(encode(CAST(doc_id AS varchar))) || ':' || doc_id END,
+    CASE WHEN source IS NULL THEN '-' ELSE octet_length(encode(source)) || ':' || source END,
+    CASE WHEN lang IS NULL THEN '-' ELSE octet_length(encode(lang)) || ':' || lang END,
+    CASE WHEN n_chars IS NULL THEN '-' ELSE octet_length(encode(CAST(n_chars AS varchar))) || ':' || n_chars END) AS head FROM documents),
+crc_table AS (SELECT i, list_reduce(list_prepend(CAST(i AS bigint), range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) AS v FROM range(256) t(i)),
+crcs AS (SELECT list(v ORDER BY i) AS l FROM crc_table),
+hashed AS (SELECT doc_id, source, sha256(head || CASE WHEN text IS NULL THEN '-' ELSE octet_length(encode(text)) || ':' || text END) AS leaf,
+    sha256(head || CASE WHEN text IS NULL THEN '-' ELSE octet_length(encode(text)) || ':' || translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') END) AS other,
+    coalesce(xor(4294967295, list_reduce(list_prepend(4294967295, [CAST(ascii(c) AS bigint) FOR c IN regexp_extract_all(CAST(doc_id AS varchar), '.')]), lambda h, c: xor(h >> 8, l[CAST((xor(h, c) & 255) + 1 AS bigint)]))) % 5 = 0, false) AS tampered
+  FROM field, crcs),
+placed AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS nth, count(*) OVER (PARTITION BY source) AS size FROM hashed),
+up AS (SELECT 0 AS level, source, nth AS pos, leaf AS digest, size AS n FROM placed
+  UNION ALL SELECT any_value(level) + 1, source, pos // 16, sha256(string_agg(digest, '' ORDER BY pos)), any_value(n + 15) // 16 FROM up WHERE n > 1 GROUP BY source, pos // 16),
+subroots AS (SELECT source, digest AS subroot, row_number() OVER (ORDER BY source IS NOT NULL, encode(source)) - 1 AS nth, count(*) OVER () AS n FROM up WHERE n = 1),
+over_ AS (SELECT 0 AS level, nth AS pos, subroot AS digest, n FROM subroots
+  UNION ALL SELECT any_value(level) + 1, pos // 16, sha256(string_agg(digest, '' ORDER BY pos)), any_value(n + 15) // 16 FROM over_ WHERE n > 1 GROUP BY pos // 16),
+families AS (SELECT level, source, pos // 16 AS parent, list(digest ORDER BY pos) AS l FROM up WHERE n > 1 GROUP BY level, source, pos // 16),
+over_families AS (SELECT level, pos // 16 AS parent, list(digest ORDER BY pos) AS l FROM over_ WHERE n > 1 GROUP BY level, pos // 16),
+climb AS (SELECT doc_id, source, leaf, nth AS row, 0 AS level, nth AS pos, CASE WHEN tampered THEN other ELSE leaf END AS digest, '' AS proof FROM placed
+  UNION ALL SELECT c.doc_id, c.source, c.leaf, c.row, c.level + 1, c.pos // 16,
+    sha256(array_to_string(l[:c.pos % 16], '') || c.digest || array_to_string(l[c.pos % 16 + 2:], '')), c.proof || array_to_string(l[:c.pos % 16], '') || array_to_string(l[c.pos % 16 + 2:], '')
+  FROM climb c JOIN families f ON c.level = f.level AND c.source IS NOT DISTINCT FROM f.source AND c.pos // 16 = f.parent),
+tops AS (SELECT c.* FROM climb c JOIN (SELECT source, max(level) AS level FROM up GROUP BY source) h ON c.source IS NOT DISTINCT FROM h.source AND c.level = h.level),
+onward AS (SELECT t.doc_id, t.source, t.leaf, t.row, s.subroot, 0 AS level, s.nth AS pos, t.digest, t.proof FROM tops t JOIN subroots s ON t.source IS NOT DISTINCT FROM s.source
+  UNION ALL SELECT c.doc_id, c.source, c.leaf, c.row, c.subroot, c.level + 1, c.pos // 16,
+    sha256(array_to_string(l[:c.pos % 16], '') || c.digest || array_to_string(l[c.pos % 16 + 2:], '')), c.proof || array_to_string(l[:c.pos % 16], '') || array_to_string(l[c.pos % 16 + 2:], '')
+  FROM onward c JOIN over_families f ON c.level = f.level AND c.pos // 16 = f.parent)
+SELECT o.doc_id, o.leaf, o.subroot, r.digest AS root, sha256(o.proof) AS proof_sha256, o.digest AS folded_root, o.digest = r.digest AS verified
+FROM onward o, (SELECT digest FROM over_ WHERE n = 1) r WHERE o.level = (SELECT max(level) FROM over_)
+"""
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_page_diff, op2_bpe, op3_ngram_jaccard, op4_url_filter, op5_source_mix, op6_suffix_dedup, op7_toxicity, op8_chat_format, op9_quality_rules, op10_simhash, op13_merkle_manifest)}
+ORACLE: dict[str, str] = {"op4_url_filter": OP4_SQL, "op5_source_mix": OP5_SQL, "op8_chat_format": OP8_SQL, "op13_merkle_manifest": OP13_SQL}
