@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from veilwork.llm import bpe, chat, common, jaccard, manifest, mixing, pages, repeats, rules, simhash, toxicity, urls
+from veilwork.llm import bpe, chat, common, jaccard, manifest, mixing, negatives, pages, phrases, repeats, rules, simhash, toxicity, urls
 
 
 def op1_page_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,6 +126,42 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = phrases.contamination(common.read(spark, sf_dir, "documents"), common.read(spark, sf_dir, "benchmark"))
+    return rows.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+#: Windows as texts, joined to the documents' runs of as many words.
+OP11_SQL = """
+WITH w AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM benchmark),
+t AS (SELECT DISTINCT item_id, n, array_to_string(words[s:s + n - 1], ' ') AS run FROM (SELECT item_id, words, least(len(words), 10) AS n, unnest(range(1, greatest(len(words) - 8, 2))) AS s FROM b WHERE len(words) > 0)),
+r AS (SELECT row, n, s, array_to_string(words[s:s + n - 1], ' ') AS run FROM (SELECT row, words, n, unnest(range(1, CAST(len(words) - n + 2 AS bigint))) AS s FROM w, (SELECT DISTINCT n FROM t) WHERE len(words) >= n)),
+h AS (SELECT row, item_id, s, r.n FROM r JOIN t ON r.n = t.n AND r.run = t.run),
+c AS (SELECT row, count(DISTINCT p) AS n_hit FROM (SELECT row, unnest(range(s, s + n)) AS p FROM h) GROUP BY row),
+i AS (SELECT row, count(DISTINCT item_id) AS n_items, list_sort(list(DISTINCT CAST(item_id AS varchar))) AS items FROM h GROUP BY row)
+SELECT doc_id, CAST(len(words) AS bigint) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM w LEFT JOIN c USING (row) LEFT JOIN i USING (row)
+"""
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = negatives.taking_part(common.read(spark, sf_dir, "embeddings"))
+    rows = rows.withColumn("label", F.expr("if(vec_id % 7 = 0, (label + 1) % 10, label)"))
+    return negatives.mine(rows, F.col("vec_id") % 100 == 0)
+
+
+OP12_SQL = """
+WITH r AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS double))) AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, a.label AS own, r.vec_id, r.label, CAST(list_inner_product(a.v, r.v) AS bigint) AS score FROM r a JOIN r ON a.vec_id <> r.vec_id WHERE a.vec_id % 100 = 0),
+p AS (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS n FROM s WHERE label = own),
+n AS (SELECT p.anchor_id, p.vec_id AS positive_id, CAST(row_number() OVER (PARTITION BY p.anchor_id, p.n ORDER BY s.score DESC, s.vec_id) AS int) AS rank, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score
+  FROM p JOIN s ON p.anchor_id = s.anchor_id AND s.label <> p.own AND 80 * p.score <= 100 * s.score AND s.score <= p.score WHERE p.n <= 5)
+SELECT * FROM n WHERE rank <= 5
+"""
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.verified(manifest.manifest(common.read(spark, sf_dir, "documents")))
 
@@ -166,5 +202,5 @@ FROM onward o, (SELECT digest FROM over_ WHERE n = 1) r WHERE o.level = (SELECT
 """
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_page_diff, op2_bpe, op3_ngram_jaccard, op4_url_filter, op5_source_mix, op6_suffix_dedup, op7_toxicity, op8_chat_format, op9_quality_rules, op10_simhash, op13_merkle_manifest)}
-ORACLE: dict[str, str] = {"op4_url_filter": OP4_SQL, "op5_source_mix": OP5_SQL, "op8_chat_format": OP8_SQL, "op13_merkle_manifest": OP13_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_page_diff, op2_bpe, op3_ngram_jaccard, op4_url_filter, op5_source_mix, op6_suffix_dedup, op7_toxicity, op8_chat_format, op9_quality_rules, op10_simhash, op11_decontaminate, op12_hard_negatives, op13_merkle_manifest)}
+ORACLE: dict[str, str] = {"op4_url_filter": OP4_SQL, "op5_source_mix": OP5_SQL, "op8_chat_format": OP8_SQL, "op11_decontaminate": OP11_SQL, "op12_hard_negatives": OP12_SQL, "op13_merkle_manifest": OP13_SQL}
