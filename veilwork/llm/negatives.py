@@ -17,7 +17,7 @@ are sought; only these are scored exactly, from their integers, so the result is
 Cases: rows with a null label, a null vector, or any null or non-finite component take no part; a null vec_id sorts after all others
 and is no anchor; missing components count as zeros, so vectors of unlike lengths, or empty ones, have scores; ties go to the smaller
 vec_id; repeated rows count as often as they occur, but a row with the anchor's own vec_id is never its positive; an anchor that occurs
-twice is answered twice; a window below zero is empty; scores beyond the range of a long are compared exactly and returned as its
+twice is answered twice; a window below zero is empty; scores beyond the range of a long count as its
 limits; an empty table gives an empty result; extra columns, of any name, are ignored.
 """
 
@@ -185,12 +185,12 @@ def bounds(q: np.ndarray, books: np.ndarray, codes: np.ndarray, norm: np.ndarray
 
 
 def exact(q: np.ndarray, x: np.ndarray, a: np.ndarray, j: np.ndarray, sure: bool) -> np.ndarray:
-    """Inner products of anchors a and rows j, as whole numbers."""
+    """Inner products of anchors a and rows j, as whole numbers (objects where float64 might round)."""
     d = min(q.shape[1], x.shape[1])
     out = []
     for i in range(0, len(a), SCORED):
         p, r = q[a[i : i + SCORED], :d], x[j[i : i + SCORED], :d]
-        out.append(np.einsum("ij,ij->i", p, r.astype(float)).astype(np.int64) if sure else np.array([sum(int(u) * int(v) for u, v in zip(s, t, strict=True)) for s, t in zip(p, r, strict=True)], object))
+        out.append(np.einsum("ij,ij->i", p, r.astype(float)).astype(np.int64) if sure else np.array([max(1 - NO_ID, min(NO_ID - 1, sum(int(u) * int(v) for u, v in zip(s, t, strict=True)))) for s, t in zip(p, r, strict=True)], object))
     return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
@@ -204,10 +204,6 @@ def first(order: list[np.ndarray], group: np.ndarray, most: int) -> np.ndarray:
     return at[rank < most]
 
 
-def clipped(score: np.ndarray) -> np.ndarray:
-    return score if score.dtype != object else np.array([max(-NO_ID, min(NO_ID - 1, s)) for s in score], np.int64)
-
-
 def kth(low: np.ndarray, most: int) -> np.ndarray:
     """Of each row, the most-th greatest value; less than any where there are fewer."""
     return np.partition(low, low.shape[1] - most, axis=1)[:, low.shape[1] - most] if low.shape[1] >= most else np.full(len(low), -np.inf)
@@ -233,7 +229,7 @@ def best_positives(books: np.ndarray, most: int) -> Callable[[dict, dict], list[
                 a, j = np.nonzero(other & (high >= kth(low, most)[:, None]))
                 score = exact(q, x, a, j, sure)
                 keep = first([ids[j], -score], a, most)
-                out.append([asked["anchor"][some[a[keep]]], ids[j[keep]], clipped(score[keep])])
+                out.append([asked["anchor"][some[a[keep]]], ids[j[keep]], score[keep].astype(np.int64)])
         return [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 3
 
     return work
@@ -260,7 +256,7 @@ def best_negatives(books: np.ndarray, most: int, low_percent: int, high_percent:
                 inside = (goal[a, k] >= 0) & (low_percent * goal_k <= 100 * score) & (100 * score <= high_percent * goal_k)
                 at = np.flatnonzero(inside.astype(bool))
                 keep = at[first([ids[j[at]], -score[at]], a[at], most)]
-                out.append([asked["anchor"][some][a[keep]], np.full(len(keep), k), of[a[keep], k], goal[a[keep], k], ids[j[keep]], clipped(score[keep])])
+                out.append([asked["anchor"][some][a[keep]], np.full(len(keep), k), of[a[keep], k], goal[a[keep], k], ids[j[keep]], score[keep].astype(np.int64)])
         return [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 6
 
     return work
