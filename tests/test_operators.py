@@ -15,31 +15,47 @@ from veilwork.sources import bodies, corpus, fixtures
 from veilwork.streaming import reports, restore, vault as live
 
 
-@given(st.text(alphabet="ab \n,.", max_size=40), st.text(alphabet="ab \n,.", max_size=40))
-@settings(max_examples=300, deadline=None)
-def test_substitutions_rebuild_the_other_text_but_for_white_space(a, b):
-    found = compare.substituted(a, b)
-    out, at = [], 0
-    for s, e, t, u in found:
-        assert at <= s <= e
-        out += a[at:s], b[t:u]
-        at = e
-    assert "".join("".join([*out, a[at:]]).split()) == "".join(b.split())
-
-
-def test_alignment_is_longest_and_merges_words():
+def test_substitutions_rebuild_the_other_text_but_for_white_space(spark):
+    rng = random.Random(2)
+    rows = [(i, *("".join(rng.choice("ab  \n,.") for _ in range(rng.randint(0, 40))) for _ in "ab")) for i in range(400)]
+    found = {}
+    for r in compare.substitutions(spark.createDataFrame(rows, "doc_id int, a string, b string"), "a", "b").collect():
+        found.setdefault(r["doc_id"], []).append(r)
+    for i, a, b in rows:
+        out, at = [], 0
+        for r in sorted(found.get(i, []), key=lambda r: r["a_start"]):
+            assert at <= r["a_start"] <= r["a_end"] and a[r["a_start"] : r["a_end"]] == r["before"] and r["before"] == r["before"].strip() and r["after"] == r["after"].strip()
+            out += a[at : r["a_start"]], b[r["b_start"] : r["b_end"]]
+            at = r["a_end"]
+        assert "".join("".join([*out, a[at:]]).split()) == "".join(b.split())
+
+
+def test_alignment_is_longest():
     rng = random.Random(1)
-    for _ in range(200):
-        a, b = (["".join(rng.choice("xyz")) for _ in range(rng.randint(0, 12))] for _ in "ab")
+    for _ in range(400):
+        a, b = ([rng.randrange(4) for _ in range(rng.randint(0, 14))] for _ in "ab")
         best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
         for i, x in enumerate(a):
             for j, y in enumerate(b):
                 best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
-        pairs = compare.matched(a, b)
-        assert len(pairs) == best[-1][-1] and all(a[i] == b[j] for i, j in pairs) and pairs == sorted(pairs)
-    text = "Frage von Werner Müller, dringend\nzweite Zeile"
-    assert compare.substituted(text, "Frage von Beat Zbinden, dringend\nzweite Zeile") == [(10, 23, 10, 22)]
-    assert compare.substituted(text, text) == [] and compare.substituted("a\nb", "a") == [(2, 3, 1, 1)]
+        i, j = compare.common(np.array(a, int), np.array(b, int))
+        assert len(i) == len(j) == best[-1][-1] and all(a[x] == b[y] for x, y in zip(i, j)) and (np.diff(i) > 0).all() and (np.diff(j) > 0).all()
+
+
+def test_substitutions_of_words_lines_and_marks(spark):
+    rows = [
+        (1, "Frage von Werner Müller, dringend\nzweite Zeile", "Frage von Beat Zbinden, dringend\nzweite Zeile"), (2, "same", "same"), (3, "a\nb", "a"), (4, None, "a"), (5, "a", None),
+        (6, "Tel. 12 34.\nok", "Tel. <P>.\nok"), (7, "a  b", "a b"), (8, "x y", "x new y"), (9, "one two\nthree", "1 two\n3"),
+    ]
+    got = sorted(map(tuple, compare.substitutions(spark.createDataFrame(rows, "doc_id int, a string, b string"), "a", "b").collect()))
+    assert got == [(1, 10, 23, 10, 22, "Werner Müller", "Beat Zbinden"), (3, 2, 3, 1, 1, "b", ""), (6, 5, 10, 5, 8, "12 34", "<P>"), (8, 2, 2, 2, 5, "", "new"), (9, 0, 3, 0, 1, "one", "1"), (9, 8, 13, 6, 7, "three", "3")]
+
+
+def test_alignment_of_many_changed_words():
+    rng = random.Random(3)
+    a, b = (" ".join(f"w{rng.randrange(900)}" for _ in range(50_000)) for _ in "ab")
+    found = compare.changed(a, b)
+    assert len(found) > 1000 and all(x[1] <= y[0] and x[3] <= y[2] for x, y in zip(found, found[1:]))
 
 
 def test_verdicts_of_insertions_and_documents_without_entities(spark):
