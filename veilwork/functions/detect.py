@@ -1,8 +1,8 @@
 """Recognisers: text to typed, scored, located spans, without Python in the tasks.
 
-Offsets are 0-based code points, the end exclusive. ``spans_of`` finds them by splitting the text at the matches, so
-patterns have no look-around. A recogniser may have a validator; its score is data, and findings below THRESHOLD are near
-misses.
+Offsets are 0-based code points, the end exclusive. No kind goes over a line end or does without a digit, @ or colon, so the
+recognisers look at the lines that have one of these only. A recogniser may have a validator; its score is data, and findings
+below THRESHOLD are near misses.
 """
 
 from __future__ import annotations
@@ -31,8 +31,10 @@ def luhn(v: Column) -> Column:
     return F.luhn_check(v) if hasattr(F, "luhn_check") else F.call_function("luhn_check", v)
 
 
-def octets(v: Column) -> Column:
-    return ~F.exists(F.split(v, r"\."), lambda o: o.cast("int") > 255)
+def ip_valid(v: Column) -> Column:
+    """Four parts of at most 255, or eight of hexadecimal digits, less the ones that :: stands for."""
+    dotted = ~F.exists(F.split(v, r"\."), lambda o: o.try_cast("int") > 255)
+    return F.when(F.contains(v, F.lit(":")), F.regexp_count(v, F.lit("[0-9A-Fa-f]+")) <= F.when(F.contains(v, F.lit("::")), 7).otherwise(8)).otherwise(dotted)
 
 
 def ahv(v: Column) -> Column:
@@ -122,55 +124,55 @@ STREETS = ("allee", "damm", "gasse", "graben", "halde", "hof", "matte", "pfad",
 
 # Public formats of each kind
 RECOGNISERS = (
-    Recogniser("EMAIL_ADDRESS", r"[A-Za-z0-9._+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", 1.0),
-    Recogniser("PHONE_NUMBER", r"\+1 \([0-9]{3}\) [0-9]{3}-[0-9]{4}|\+41 ?[0-9]{2} ?[0-9]{3} ?[0-9]{2} ?[0-9]{2}", 0.75),
-    Recogniser("IP_ADDRESS", r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}", 0.95, octets),
-    Recogniser("CREDIT_CARD_NUMBER", r"[0-9]{13,16}", 1.0, luhn),
-    Recogniser("INTERNATIONAL_BANKING_ACCOUNT_NUMBER", r"[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){3,7} ?[0-9A-Z]{1,3}", 1.0, T.iban_valid),
-    Recogniser("DATE", r"(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.(?:19|20)[0-9]{2}", 0.6),
+    Recogniser("EMAIL_ADDRESS", r"\b[A-Za-z0-9][A-Za-z0-9._+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}\b", 1.0),
+    Recogniser("PHONE_NUMBER", r"\+1 \([0-9]{3}\) [0-9]{3}-[0-9]{4}\b|\+41 ?[0-9]{2} ?[0-9]{3} ?[0-9]{2} ?[0-9]{2}\b", 0.75),
+    Recogniser("IP_ADDRESS", r"\b[0-9]{1,3}(?:\.[0-9]{1,3}){3}\b|\b(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}\b|\b(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6}\b", 0.95, ip_valid),
+    Recogniser("CREDIT_CARD_NUMBER", r"\b(?:[0-9]{13,16}|[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})\b", 1.0, lambda v: luhn(digits(v))),
+    Recogniser("INTERNATIONAL_BANKING_ACCOUNT_NUMBER", r"\b[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){3,7} ?[0-9A-Z]{1,3}\b", 1.0, T.iban_valid),
+    Recogniser("DATE", r"\b(?:(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.(?:19|20)[0-9]{2})\b", 0.6),
     Recogniser("ADDRESS", rf"\p{{Lu}}[\p{{L}}-]*(?:{'|'.join(re.escape(x) for x in STREETS)}) [0-9]+[a-z]?, ?[0-9]{{4,5}} \p{{Lu}}\p{{L}}+", 0.85),
-    Recogniser("URL", r"https?://[^ \t\r\n\"<>]+", 0.6),
-    Recogniser("MAC_ADDRESS", r"[0-9A-Fa-f]{2}(?::[0-9A-Fa-f]{2}){5}", 0.85),
-    Recogniser("CRYPTO", r"bc1[0-9a-z]{25,59}", 0.85),
-    Recogniser("AHV", r"756\.[0-9]{4}\.[0-9]{4}\.[0-9]{2}", 1.0, ahv),
-    Recogniser("US_SOCIAL_SECURITY_NUMBER", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", 0.85),
-    Recogniser("US_MBI", r"[1-9][AC-HJKMNP-RT-Y][0-9AC-HJKMNP-RT-Y][0-9]-?[AC-HJKMNP-RT-Y][0-9AC-HJKMNP-RT-Y][0-9]-?[AC-HJKMNP-RT-Y]{2}[0-9]{2}", 0.7),
-    Recogniser("ABA_ROUTING_NUMBER", r"[0-9]{4}-[0-9]{4}-[0-9]", 0.65, aba),
-    Recogniser("UK_NHS", r"[0-9]{3} [0-9]{3} [0-9]{4}", 0.85, mod11_nhs),
-    Recogniser("UK_NINO", r"[A-CEGHJ-PR-TW-Z][A-CEGHJ-NPR-TW-Z] [0-9]{2} [0-9]{2} [0-9]{2} [A-D]", 0.7),
-    Recogniser("ES_NIF", r"[0-9]{8}[TRWAGMYFPDXBNJZSQVHLCKE]", 0.85, nif),
-    Recogniser("ES_NIE", r"[XYZ][0-9]{7}[TRWAGMYFPDXBNJZSQVHLCKE]", 0.7, nie),
-    Recogniser("PL_PESEL", r"[0-9]{11}", 0.85, pesel),
-    Recogniser("FI_PERSONAL_IDENTITY_CODE", r"[0-9]{6}[+A-][0-9]{3}[0-9A-FHJ-NPR-Y]", 0.7, finnish),
-    Recogniser("IT_FISCAL_CODE", r"[A-Z]{6}[0-9]{2}[A-EHLMPRST][0-9]{2}[A-Z][0-9]{3}[A-Z]", 0.85),
-    Recogniser("AU_TAX_FILE_NUMBER", r"[0-9]{3} [0-9]{3} [0-9]{3}", 0.65, tfn),
-    Recogniser("SG_NRIC_FIN", r"[STFGM][0-9]{7}[A-Z]", 0.7),
-    Recogniser("IN_PAN", r"[A-Z]{3}[ABCFGHLJPT][A-Z][0-9]{4}[A-Z]", 0.7),
-    Recogniser("IN_AADHAAR", r"[2-9][0-9]{3} [0-9]{4} [0-9]{4}", 0.7, verhoeff),
-    Recogniser("IN_GSTIN", r"[0-9]{2}[A-Z]{5}[0-9]{4}[A-Z][0-9A-Z]Z[0-9A-Z]", 0.85),
-    Recogniser("KR_RRN", r"[0-9]{6}-[1-4][0-9]{6}", 0.7),
-    Recogniser("US_PASSPORT_NUMBER", r"[A-Z][0-9]{8}", 0.3),
-    Recogniser("US_INDIVIDUAL_TAXPAYER_IDENTIFICATION", r"9[0-9]{2}-(?:5[0-9]|6[0-5]|7[0-9]|8[0-8]|9[0-24-9])-[0-9]{4}", 0.85),
-    Recogniser("US_BANK_ACCOUNT_NUMBER", r"(?i)account(?: number)?:? [0-9]{8,17}", 0.5),
-    Recogniser("US_DRIVERS_LICENSE_NUMBER", r"(?i)driver'?s licen[cs]e:? [A-Z][0-9]{7,8}", 0.5),
-    Recogniser("MEDICAL_LICENSE", r"[ABFGMPR][A-Z9][0-9]{7}", 0.7, dea),
-    Recogniser("IT_DRIVER_LICENSE", r"[A-Z]{2}[0-9]{7}[A-Z]|U1[0-9A-Z]{7}[A-Z]", 0.4),
-    Recogniser("IT_VAT_CODE", r"IT[0-9]{11}", 0.7, lambda v: luhn(F.substring(v, 3, 11))),
-    Recogniser("IT_PASSPORT", r"Y[AB][0-9]{7}", 0.4),
-    Recogniser("IT_IDENTITY_CARD", r"C[A-Z][0-9]{5}[A-Z]{2}", 0.4),
-    Recogniser("AU_BUSINESS_NUMBER", r"[0-9]{2} [0-9]{3} [0-9]{3} [0-9]{3}", 0.7, abn),
-    Recogniser("AU_COMPANY_NUMBER", r"[0-9]{3} [0-9]{3} [0-9]{3}", 0.65, acn),
-    Recogniser("AU_MEDICAL_ACCOUNT_NUMBER", r"[2-6][0-9]{3} [0-9]{5} [0-9]", 0.7, medicare),
-    Recogniser("SG_UEN", r"(?:19|20)[0-9]{7}[A-Z]|[TSR][0-9]{2}[A-Z]{2}[0-9]{4}[A-Z]", 0.5),
-    Recogniser("IN_VEHICLE_REGISTRATION", r"[A-Z]{2}[0-9]{2}[A-Z]{1,2}[0-9]{4}", 0.5),
-    Recogniser("IN_VOTER", r"[A-Z]{3}[0-9]{7}", 0.4),
-    Recogniser("IN_PASSPORT", r"[A-PR-WY][1-9][0-9] ?[0-9]{4}[1-9]", 0.3),
-    Recogniser("KR_DRIVER_LICENSE", r"[0-9]{2}-[0-9]{2}-[0-9]{6}-[0-9]{2}", 0.65),
-    Recogniser("KR_FRN", r"[0-9]{6}-[5-8][0-9]{6}", 0.7),
-    Recogniser("KR_PASSPORT", r"[MSRODG][0-9]{3}[A-Z][0-9]{4}", 0.4),
-    Recogniser("KR_BRN", r"[0-9]{3}-[0-9]{2}-[0-9]{5}", 0.65, korean_business),
-    Recogniser("TH_TNIN", r"[1-8]-[0-9]{4}-[0-9]{5}-[0-9]{2}-[0-9]", 0.7, thai),
-    Recogniser("AGE", r"(?i)[0-9]{1,3}(?: years? old|-year-old| Jahre alt)", 0.6),
+    Recogniser("URL", r"\bhttps?://[^ \t\r\n\"<>]+", 0.6),
+    Recogniser("MAC_ADDRESS", r"\b[0-9A-Fa-f]{2}(?::[0-9A-Fa-f]{2}){5}\b", 0.85),
+    Recogniser("CRYPTO", r"\bbc1[0-9a-z]{25,59}\b", 0.85),
+    Recogniser("AHV", r"\b756\.[0-9]{4}\.[0-9]{4}\.[0-9]{2}\b", 1.0, ahv),
+    Recogniser("US_SOCIAL_SECURITY_NUMBER", r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b", 0.85),
+    Recogniser("US_MBI", r"\b[1-9][AC-HJKMNP-RT-Y][0-9AC-HJKMNP-RT-Y][0-9]-?[AC-HJKMNP-RT-Y][0-9AC-HJKMNP-RT-Y][0-9]-?[AC-HJKMNP-RT-Y]{2}[0-9]{2}\b", 0.7),
+    Recogniser("ABA_ROUTING_NUMBER", r"\b[0-9]{4}-[0-9]{4}-[0-9]\b", 0.65, aba),
+    Recogniser("UK_NHS", r"\b[0-9]{3} [0-9]{3} [0-9]{4}\b", 0.85, mod11_nhs),
+    Recogniser("UK_NINO", r"\b[A-CEGHJ-PR-TW-Z][A-CEGHJ-NPR-TW-Z] [0-9]{2} [0-9]{2} [0-9]{2} [A-D]\b", 0.7),
+    Recogniser("ES_NIF", r"\b[0-9]{8}[TRWAGMYFPDXBNJZSQVHLCKE]\b", 0.85, nif),
+    Recogniser("ES_NIE", r"\b[XYZ][0-9]{7}[TRWAGMYFPDXBNJZSQVHLCKE]\b", 0.7, nie),
+    Recogniser("PL_PESEL", r"\b[0-9]{11}\b", 0.85, pesel),
+    Recogniser("FI_PERSONAL_IDENTITY_CODE", r"\b[0-9]{6}[+A-][0-9]{3}[0-9A-FHJ-NPR-Y]\b", 0.7, finnish),
+    Recogniser("IT_FISCAL_CODE", r"\b[A-Z]{6}[0-9]{2}[A-EHLMPRST][0-9]{2}[A-Z][0-9]{3}[A-Z]\b", 0.85),
+    Recogniser("AU_TAX_FILE_NUMBER", r"\b[0-9]{3} [0-9]{3} [0-9]{3}\b", 0.65, tfn),
+    Recogniser("SG_NRIC_FIN", r"\b[STFGM][0-9]{7}[A-Z]\b", 0.7),
+    Recogniser("IN_PAN", r"\b[A-Z]{3}[ABCFGHLJPT][A-Z][0-9]{4}[A-Z]\b", 0.7),
+    Recogniser("IN_AADHAAR", r"\b[2-9][0-9]{3} [0-9]{4} [0-9]{4}\b", 0.7, verhoeff),
+    Recogniser("IN_GSTIN", r"\b[0-9]{2}[A-Z]{5}[0-9]{4}[A-Z][0-9A-Z]Z[0-9A-Z]\b", 0.85),
+    Recogniser("KR_RRN", r"\b[0-9]{6}-[1-4][0-9]{6}\b", 0.7),
+    Recogniser("US_PASSPORT_NUMBER", r"\b[A-Z][0-9]{8}\b", 0.3),
+    Recogniser("US_INDIVIDUAL_TAXPAYER_IDENTIFICATION", r"\b9[0-9]{2}-(?:5[0-9]|6[0-5]|7[0-9]|8[0-8]|9[0-24-9])-[0-9]{4}\b", 0.85),
+    Recogniser("US_BANK_ACCOUNT_NUMBER", r"(?i)\baccount(?: number)?:? [0-9]{8,17}\b", 0.5),
+    Recogniser("US_DRIVERS_LICENSE_NUMBER", r"(?i)\bdriver'?s licen[cs]e:? [A-Z][0-9]{7,8}\b", 0.5),
+    Recogniser("MEDICAL_LICENSE", r"\b[ABFGMPR][A-Z9][0-9]{7}\b", 0.7, dea),
+    Recogniser("IT_DRIVER_LICENSE", r"\b(?:[A-Z]{2}[0-9]{7}[A-Z]|U1[0-9A-Z]{7}[A-Z])\b", 0.4),
+    Recogniser("IT_VAT_CODE", r"\bIT[0-9]{11}\b", 0.7, lambda v: luhn(F.substring(v, 3, 11))),
+    Recogniser("IT_PASSPORT", r"\bY[AB][0-9]{7}\b", 0.4),
+    Recogniser("IT_IDENTITY_CARD", r"\bC[A-Z][0-9]{5}[A-Z]{2}\b", 0.4),
+    Recogniser("AU_BUSINESS_NUMBER", r"\b[0-9]{2} [0-9]{3} [0-9]{3} [0-9]{3}\b", 0.7, abn),
+    Recogniser("AU_COMPANY_NUMBER", r"\b[0-9]{3} [0-9]{3} [0-9]{3}\b", 0.65, acn),
+    Recogniser("AU_MEDICAL_ACCOUNT_NUMBER", r"\b[2-6][0-9]{3} [0-9]{5} [0-9]\b", 0.7, medicare),
+    Recogniser("SG_UEN", r"\b(?:(?:19|20)[0-9]{7}[A-Z]|[TSR][0-9]{2}[A-Z]{2}[0-9]{4}[A-Z])\b", 0.5),
+    Recogniser("IN_VEHICLE_REGISTRATION", r"\b[A-Z]{2}[0-9]{2}[A-Z]{1,2}[0-9]{4}\b", 0.5),
+    Recogniser("IN_VOTER", r"\b[A-Z]{3}[0-9]{7}\b", 0.4),
+    Recogniser("IN_PASSPORT", r"\b[A-PR-WY][1-9][0-9] ?[0-9]{4}[1-9]\b", 0.3),
+    Recogniser("KR_DRIVER_LICENSE", r"\b[0-9]{2}-[0-9]{2}-[0-9]{6}-[0-9]{2}\b", 0.65),
+    Recogniser("KR_FRN", r"\b[0-9]{6}-[5-8][0-9]{6}\b", 0.7),
+    Recogniser("KR_PASSPORT", r"\b[MSRODG][0-9]{3}[A-Z][0-9]{4}\b", 0.4),
+    Recogniser("KR_BRN", r"\b[0-9]{3}-[0-9]{2}-[0-9]{5}\b", 0.65, korean_business),
+    Recogniser("TH_TNIN", r"\b[1-8]-[0-9]{4}-[0-9]{5}-[0-9]{2}-[0-9]\b", 0.7, thai),
+    Recogniser("AGE", r"(?i)\b[0-9]{1,3}(?: years? old|-year-old| Jahre alt)\b", 0.6),
 )
 BY_KIND = {r.kind: r for r in RECOGNISERS}
 
@@ -190,14 +192,20 @@ def matches(text: Column, pattern: str) -> Column:
     return F.when(F.size(values) > 0, F.aggregate(pairs, empty, step, lambda a: a["out"])).otherwise(empty["out"])
 
 
+#: A line with a character that any kind needs; the possessive run finds it, or the line's end, at once.
+TRIGGER = r"(?m)^[^\n0-9@:]*+[0-9@:][^\n]*"
+
+
 def found_in(text: Column, kinds: list[str] | None = None) -> Column:
     """array<struct<kind, start, end, value, score>> of all matches in a text: nothing is sent between tasks to score them."""
 
-    def of_kind(r: Recogniser) -> Column:
+    def of_kind(r: Recogniser, line: Column) -> Column:
         score = lambda v: F.lit(r.score) if r.valid is None else F.when(F.coalesce(r.valid(v), F.lit(False)), F.lit(r.score)).otherwise(F.lit(r.invalid_score))
-        return F.transform(matches(text, r.pattern), lambda m: F.struct(F.lit(r.kind).alias("kind"), m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("value"), score(m["value"]).alias("score")))
+        at = line["start"]
+        return F.transform(matches(line["value"], r.pattern), lambda m: F.struct(F.lit(r.kind).alias("kind"), (at + m["start"]).alias("start"), (at + m["end"]).alias("end"), m["value"].alias("value"), score(m["value"]).alias("score")))
 
-    return F.concat(*[of_kind(r) for r in RECOGNISERS if kinds is None or r.kind in kinds])
+    chosen = [r for r in RECOGNISERS if kinds is None or r.kind in kinds]
+    return F.flatten(F.transform(matches(text, TRIGGER), lambda line: F.concat(*[of_kind(r, line) for r in chosen])))
 
 
 def findings(docs: DataFrame, kinds: list[str] | None = None, id_col: str = "doc_id") -> DataFrame:

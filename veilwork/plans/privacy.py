@@ -19,21 +19,78 @@ LEAKS = {
 }
 STANDIN = r"\[(?:PERSON|AHV|IBAN|ADDRESS|PHONE|EMAIL|BIRTHDATE|HEALTH|INSURANCE)_[0-9]+\]"
 
-KINDS = ["EMAIL_ADDRESS", "PHONE_NUMBER", "IP_ADDRESS"]
 KEY = "test-key"
 
 
 def found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detect.findings(load(spark, sf_dir, "documents"), KINDS)
+    return detect.findings(load(spark, sf_dir, "documents"))
+
+
+# SQL of the validators, for the oracle: {v} is the value
+DIGITS = "regexp_replace({v}, '[^0-9]', '', 'g')"
+EAN = "(10 - list_sum(list_transform(range(1, 13), lambda j: CAST(substr({x}, CAST(j AS integer), 1) AS integer) * CASE WHEN j % 2 = 1 THEN 1 ELSE 3 END)) % 10) % 10"
+
+
+def weighed(weights: list[int], digits: str = DIGITS) -> str:
+    return f"list_sum(list_transform(range(1, {len(weights) + 1}), lambda j: CAST(substr({digits}, CAST(j AS integer), 1) AS bigint) * ({weights})[j]))"
+
+
+def luhn_sql(digits: str = DIGITS) -> str:
+    twice = "(2 * CAST(substr(reverse({d}), CAST(j AS integer), 1) AS integer))".replace("{d}", digits)
+    return f"list_sum(list_transform(range(1, length({digits}) + 1), lambda j: CASE WHEN j % 2 = 1 THEN {twice} // 2 ELSE {twice} % 10 + {twice} // 10 END)) % 10 = 0"
+
+
+LAST = f"CAST(right({DIGITS}, 1) AS integer)"
+NIF = "substr('TRWAGMYFPDXBNJZSQVHLCKE', CAST({n} % 23 + 1 AS integer), 1) = right({v}, 1)"
+PLAIN = "upper(replace({v}, ' ', ''))"
+VALID = {
+    "IP_ADDRESS": "CASE WHEN contains({v}, ':') THEN len(regexp_extract_all({v}, '[0-9A-Fa-f]+')) <= CASE WHEN contains({v}, '::') THEN 7 ELSE 8 END ELSE len(list_filter(string_split({v}, '.'), lambda o: TRY_CAST(o AS integer) > 255)) = 0 END",
+    "CREDIT_CARD_NUMBER": luhn_sql(),
+    "INTERNATIONAL_BANKING_ACCOUNT_NUMBER": f"regexp_full_match({PLAIN}, '[A-Z]{{2}}[0-9]{{2}}[A-Z0-9]{{11,30}}') AND list_reduce(list_prepend(0, list_transform(string_split(array_to_string(list_transform(string_split({PLAIN}[5:] || {PLAIN}[:4], ''), lambda c: CASE WHEN c BETWEEN '0' AND '9' THEN c ELSE CAST(ascii(c) - 55 AS varchar) END), ''), ''), lambda c: CAST(c AS integer))), lambda r, c: (r * 10 + c) % 97) = 1",
+    "AHV": f"{EAN.format(x=DIGITS)} = {LAST}",
+    "ABA_ROUTING_NUMBER": f"{weighed([3, 7, 1, 3, 7, 1, 3, 7, 1])} % 10 = 0",
+    "UK_NHS": f"(11 - {weighed([10, 9, 8, 7, 6, 5, 4, 3, 2])} % 11) % 11 = {LAST}",
+    "ES_NIF": NIF.replace("{n}", "CAST(left({v}, 8) AS integer)"),
+    "ES_NIE": NIF.replace("{n}", "CAST(translate(left({v}, 1), 'XYZ', '012') || substr({v}, 2, 7) AS integer)"),
+    "PL_PESEL": f"(10 - {weighed([1, 3, 7, 9, 1, 3, 7, 9, 1, 3])} % 10) % 10 = {LAST}",
+    "FI_PERSONAL_IDENTITY_CODE": "substr('0123456789ABCDEFHJKLMNPRSTUVWXY', CAST(CAST(left({v}, 6) || substr({v}, 8, 3) AS bigint) % 31 + 1 AS integer), 1) = right({v}, 1)",
+    "AU_TAX_FILE_NUMBER": f"{weighed([1, 4, 3, 7, 5, 8, 6, 9, 10])} % 11 = 0",
+    "IN_AADHAAR": f"""list_reduce(list_prepend(0, list_transform(range(1, 13), lambda j: CAST(substr((['0123456789', '1576283094', '5803796142', '8916043527', '9453126870', '4286573901', '2793806415', '7046913258'])[(j - 1) % 8 + 1], CAST(substr(reverse({DIGITS}), CAST(j AS integer), 1) AS integer) + 1, 1) AS bigint))),
+        lambda a, b: CASE WHEN a < 5 THEN CASE WHEN b < 5 THEN (a + b) % 5 ELSE 5 + (a + b) % 5 END ELSE CASE WHEN b < 5 THEN 5 + (a - b + 5) % 5 ELSE (a - b + 5) % 5 END END) = 0""",
+    "MEDICAL_LICENSE": f"{weighed([1, 2, 1, 2, 1, 2], DIGITS.replace('{v}', 'substr({v}, 3, 7)'))} % 10 = {LAST}",
+    "IT_VAT_CODE": luhn_sql(),
+    "AU_BUSINESS_NUMBER": f"({weighed([10, 1, 3, 5, 7, 9, 11, 13, 15, 17, 19])} - 10) % 89 = 0",
+    "AU_COMPANY_NUMBER": f"(10 - {weighed([8, 7, 6, 5, 4, 3, 2, 1])} % 10) % 10 = {LAST}",
+    "AU_MEDICAL_ACCOUNT_NUMBER": f"{weighed([1, 3, 7, 9, 1, 3, 7, 9])} % 10 = CAST(substr({DIGITS}, 9, 1) AS integer)",
+    "KR_BRN": f"(10 - ({weighed([1, 3, 7, 1, 3, 7, 1, 3, 5])} + CAST(substr({DIGITS}, 9, 1) AS integer) * 5 // 10) % 10) % 10 = {LAST}",
+    "TH_TNIN": f"(11 - {weighed([13, 12, 11, 10, 9, 8, 7, 6, 5, 4, 3, 2])} % 11) % 10 = {LAST}",
+}
+
+
+def quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def found_sql(table: str = "documents") -> str:
+    """The oracle's findings: the same patterns, positions from the gaps between matches over the whole text."""
 
+    def of(r: detect.Recogniser) -> str:
+        score = f"CASE WHEN {VALID[r.kind].replace('{v}', 'ms[i]')} THEN {r.score} ELSE {r.invalid_score} END" if r.valid else str(r.score)
+        return f"""SELECT doc_id, '{r.kind}' AS kind, CAST(list_sum(list_transform(gaps[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda m: length(m))), 0) AS integer) AS start_, ms[i] AS value, CAST({score} AS double) AS score
+      FROM (SELECT doc_id, ms, gaps, unnest(range(1, len(ms) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(text, {quoted(r.pattern)}) AS ms, string_split_regex(text, {quoted(r.pattern)}) AS gaps FROM {table} WHERE regexp_matches(text, '[0-9@:]')) x WHERE len(ms) > 0) y"""
 
-#: The oracle's findings: the same patterns, positions from the gaps between matches.
-FOUND = "f AS (" + " UNION ALL ".join(
-    f"""SELECT doc_id, '{k}' AS kind, CAST(list_sum(list_transform(gaps[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda m: length(m))), 0) AS integer) AS start_, ms[i] AS value,
-      CASE WHEN '{k}' = 'IP_ADDRESS' THEN CASE WHEN len(list_filter(string_split(ms[i], '.'), lambda o: CAST(o AS integer) > 255)) > 0 THEN 0.3 ELSE 0.95 END ELSE {detect.BY_KIND[k].score} END AS score
-      FROM (SELECT doc_id, ms, gaps, unnest(range(1, len(ms) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(text, '{detect.BY_KIND[k].pattern}') AS ms, string_split_regex(text, '{detect.BY_KIND[k].pattern}') AS gaps FROM documents WHERE text IS NOT NULL) x WHERE len(ms) > 0) y"""
-    for k in KINDS
-) + ")"
+    return "f AS (" + " UNION ALL ".join(map(of, detect.RECOGNISERS)) + ")"
+
+
+FOUND = found_sql()
+#: The chosen spans and their stand-ins, by recursion, and the redacted texts.
+CHOSEN = f"""RECURSIVE {FOUND}, sure AS (SELECT doc_id, kind, value, start_ AS s, start_ + length(value) AS e, row_number() OVER (PARTITION BY doc_id ORDER BY start_, -length(value), kind) AS i, md5('{KEY}|' || kind || '|' || value) AS d FROM f WHERE score >= {detect.THRESHOLD}),
+greedy AS (SELECT *, true AS taken, e AS last FROM sure WHERE i = 1 UNION ALL SELECT x.*, x.s >= g.last, CASE WHEN x.s >= g.last THEN x.e ELSE g.last END FROM greedy g JOIN sure x ON x.doc_id = g.doc_id AND x.i = g.i + 1),
+kept AS (SELECT doc_id, kind, value, s, e, CASE kind WHEN 'EMAIL_ADDRESS' THEN 'user.' || left(d, 8) || '@example.org' WHEN 'IP_ADDRESS' THEN '10.' || CAST('0x' || substr(d, 1, 2) AS integer) || '.' || CAST('0x' || substr(d, 3, 2) AS integer) || '.' || CAST('0x' || substr(d, 5, 2) AS integer)
+    WHEN 'PHONE_NUMBER' THEN '+1 (555) ' || lpad(CAST(CAST('0x' || substr(d, 1, 6) AS bigint) % 1000 AS varchar), 3, '0') || '-' || lpad(CAST(CAST('0x' || substr(d, 7, 6) AS bigint) % 10000 AS varchar), 4, '0')
+    WHEN 'CREDIT_CARD_NUMBER' THEN '4' || lpad(CAST(CAST('0x' || substr(d, 1, 6) AS bigint) % 10000000 AS varchar), 7, '0') || lpad(CAST(CAST('0x' || substr(d, 7, 6) AS bigint) % 10000000 AS varchar), 7, '0') ELSE '<' || kind || ':' || left(d, 8) || '>' END AS standin FROM greedy WHERE taken),
+pieces AS (SELECT k.doc_id, k.kind, s, substr(d.text, coalesce(lag(e) OVER w, 0) + 1, s - coalesce(lag(e) OVER w, 0)) || standin AS piece, e FROM kept k JOIN documents d ON k.doc_id = d.doc_id WINDOW w AS (PARTITION BY k.doc_id ORDER BY s)),
+redacted AS (SELECT p.doc_id, count(*) AS n, list_sort(list(DISTINCT kind)) AS kinds, string_agg(piece, '' ORDER BY s) || substr(any_value(d.text), max(e) + 1) AS text FROM pieces p JOIN documents d ON p.doc_id = d.doc_id GROUP BY p.doc_id)"""
 
 
 def chosen(spark: SparkSession, sf_dir: str, kinds: list[str] | None = None) -> DataFrame:
@@ -62,7 +119,7 @@ def regex_entities(spark, sf_dir):
 def near_misses(spark, sf_dir):
     """Addresses of hosts in log lines, some with a part beyond 255."""
     lines = load(spark, sf_dir, "events").select(F.col("event_id").alias("doc_id"), F.concat(F.lit("from 10.0."), F.col("event_id") % 400, F.lit(".1 at x@example.org")).alias("text"))
-    return detect.findings(lines, KINDS).where(F.col("score") < detect.THRESHOLD).select("doc_id", "kind", "value")
+    return detect.findings(lines).where(F.col("score") < detect.THRESHOLD).select("doc_id", "kind", "value")
 
 
 def detection_summary(spark, sf_dir):
@@ -93,11 +150,17 @@ def standin_collisions(spark, sf_dir):
 
 def redact_text(spark, sf_dir):
     rows = chosen(spark, sf_dir)
-    return rows.select("doc_id", F.size("kept").alias("n_spans"), (F.length("text") - F.aggregate("kept", F.lit(0), lambda s, x: s + F.length(x["value"])) + F.aggregate("kept", F.lit(0), lambda s, x: s + F.length(x["standin"]))).alias("expected_len"), F.length(spans.splice("text", "kept")).alias("redacted_len"))
+    return rows.select("doc_id", F.size("kept").alias("n_spans"), F.md5(spans.splice("text", "kept").cast("binary")).alias("digest"))
+
+
+def recogniser_findings(spark, sf_dir):
+    """Every kind over records that have its shape, with valid and invalid check digits."""
+    rows = detect.findings(fixtures.records(spark, sf_dir))
+    return rows.select("doc_id", "kind", F.col("start").alias("start_"), "value", F.col("score").cast("double").alias("score"))
 
 
 def restore_roundtrip(spark, sf_dir):
-    rows = chosen(spark, sf_dir, KINDS)  # the kinds of its SQL
+    rows = chosen(spark, sf_dir)
     pairs = rows.select(F.lit("c").alias("client"), F.col("doc_id").cast("string").alias("host"), F.explode("kept").alias("k")).select("client", "host", "k.standin", "k.value").distinct()
     texts = rows.select(F.lit("c").alias("client"), F.col("doc_id").cast("string").alias("host"), "doc_id", spans.splice("text", "kept").alias("text"))
     back = vault.restore(texts, pairs)
@@ -243,16 +306,17 @@ def synth_persons(spark, sf_dir):
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (regex_entities, near_misses, detection_summary, distinct_tokens, suppressed_counts, pii_facts_join, standin_map, standin_collisions, redact_text, restore_roundtrip, non_overlapping_spans, place_findings, covered_chars, host_rules, content_gate, single_line, fold_local_part, levenshtein_ratio, excerpt_around, format_bytes, ean13_check, iban_check, leak_scan, leak_scan_totals, elapsed_ms, embedding_dot, topk_similarity, similarity_zscore, softmax_rank, dp_latent_bound, asof_segment, vault_sessions, tumbling_traffic, sliding_traffic, gazetteer_hits, synth_persons)
+    for f in (regex_entities, near_misses, detection_summary, distinct_tokens, suppressed_counts, pii_facts_join, standin_map, standin_collisions, redact_text, recogniser_findings, restore_roundtrip, non_overlapping_spans, place_findings, covered_chars, host_rules, content_gate, single_line, fold_local_part, levenshtein_ratio, excerpt_around, format_bytes, ean13_check, iban_check, leak_scan, leak_scan_totals, elapsed_ms, embedding_dot, topk_similarity, similarity_zscore, softmax_rank, dp_latent_bound, asof_segment, vault_sessions, tumbling_traffic, sliding_traffic, gazetteer_hits, synth_persons)
 } | {"redacted_documents": flagship}
 
-EMAIL, IP = detect.BY_KIND["EMAIL_ADDRESS"].pattern, detect.BY_KIND["IP_ADDRESS"].pattern
-EAN = "(10 - list_sum(list_transform(range(1, 13), lambda i: CAST(substr({x}, CAST(i AS integer), 1) AS integer) * CASE WHEN i % 2 = 1 THEN 1 ELSE 3 END)) % 10) % 10"
 SCANNED = f"s AS (SELECT 'd' || doc_id AS id, text FROM documents WHERE text IS NOT NULL UNION ALL SELECT 't' || doc_id, text FROM ({fixtures.TICKETS.format(customer='customer')}) t)"
 COUNTED = ", ".join(f"len(regexp_extract_all(text, '{p}')) AS {k}" for k, p in {**LEAKS, "tokens": STANDIN}.items())
 DOT = "round(list_dot_product(CAST(e.embedding AS double[]), CAST(q.embedding AS double[])), 4)"
 
 ORACLE: dict[str, str] = {
+    "redacted_documents": f"WITH {CHOSEN}, k(kind, risk) AS (VALUES {', '.join(f'({quoted(x[0])}, {x[2]})' for x in facts.FACTS)}) SELECT doc_id, CAST(n AS integer) AS n_spans, kinds, CAST(length(text) AS integer) AS redacted_len, (SELECT max(risk) FROM k WHERE list_contains(kinds, kind)) AS risk_max FROM redacted",
+    "redact_text": f"WITH {CHOSEN} SELECT doc_id, CAST(n AS integer) AS n_spans, md5(text) AS digest FROM redacted",
+    "recogniser_findings": f"WITH records AS MATERIALIZED ({fixtures.records_sql('customer', 'varchar')}), {found_sql('records')} SELECT doc_id, kind, start_, value, score FROM f",
     "regex_entities": f"WITH {FOUND} SELECT doc_id, kind, start_, value, CAST(score AS double) AS score FROM f",
     "near_misses": "SELECT event_id AS doc_id, 'IP_ADDRESS' AS kind, '10.0.' || event_id % 400 || '.1' AS value FROM events WHERE event_id % 400 > 255",
     "detection_summary": f"WITH {FOUND} SELECT doc_id, count(*) AS n, round(avg(CAST(score AS double)), 6) AS mean, round(median(CAST(score AS double)), 6) AS median, count(DISTINCT kind) AS n_kinds FROM f WHERE score >= 0.6 GROUP BY doc_id",

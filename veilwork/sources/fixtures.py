@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from veilwork.session import load
@@ -29,6 +31,40 @@ FROM (SELECT c_custkey, concat(first, ' ', last) AS name, concat(first_folded, '
 """
 
 
+#: Shapes of the records' values: # is a digit, @ a letter, both drawn by a hash of the record and the line.
+SHAPES = (
+    "user##@example.org", "+1 (###) ###-####", "+41 ## ### ## ##", "10.###.##.#", "fe80:0:0:0:#:#:#:#", "fe80::##:#", "4###############", "4### #### #### ####", "3### ###### #####", "CH93 0076 2011 6238 5295 #", "19##-0#-1#", "1#.0#.20##",
+    "Freiburgstrasse ##, 32## Lyss", "https://a.example.org/##", "0A:#F:##:##:##:##", "bc1q##############################", "756.####.####.##", "###-##-####", "1EG#-TE#-MK##", "####-####-#", "### ### ####", "AB ## ## ## C", "########@", "X#######@", "###########",
+    "######A###@", "ABCDEF##A##B###@", "### ### ###", "S#######@", "ABCPE####@", "2### #### ####", "##ABCDE####A1Z#", "######-1######", "A########", "9##-7#-####", "account number: ##########", "drivers licence: A#######", "AB#######", "AB#######C", "IT###########", "YA#######",
+    "CA#####AB", "## ### ### ###", "2### ##### #", "20#######A", "KA##AB####", "ABC#######", "A1# ###1", "##-##-######-##", "######-5######", "M###A####", "###-##-#####", "1-####-#####-##-#", "## years old", "####-##-#####", "A###-##-####B", "#################", "NAT-20##-####",
+)
+
+
+def shaped(shape: str, line: int) -> str:
+    """SQL of a value of the shape, the same in Spark and other engines."""
+    drawn, out, used = f"translate(md5(CAST(concat(c_custkey, ':{line}') AS {{bytes}})), 'abcdef', '012345')", [], 0
+    for run in re.findall(r"#+|@|[^#@]+", shape.replace("user##@", "user##\0")):
+        if run[0] == "#":
+            out.append(f"substr({drawn}, {used + 1}, {len(run)})")
+            used += len(run)
+        elif run == "@":
+            out.append(f"substr('ABCDEFGHJK', CAST(substr({drawn}, {used + 1}, 1) AS int) + 1, 1)")
+            used += 1
+        else:
+            out.append("'" + run.replace("\0", "@") + "'")
+    return f"concat({', '.join(out)})"
+
+
+def records_sql(customer: str, as_bytes: str) -> str:
+    """A record a customer: a line of each shape."""
+    lines = ", chr(10), ".join(f"'{n}: ', {shaped(s, n)}" for n, s in enumerate(SHAPES)).replace("{bytes}", as_bytes)
+    return f"SELECT c_custkey AS doc_id, concat({lines}) AS text FROM {customer}"
+
+
+def records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(records_sql("{customer}", "binary"), customer=load(spark, sf_dir, "customer"))
+
+
 def tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(TICKETS, customer=load(spark, sf_dir, "customer"))
 
