@@ -8,115 +8,51 @@ below THRESHOLD are near misses.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from veilwork.functions import text as T
-
 THRESHOLD = 0.6
 
 
 @dataclass(frozen=True)
 class Recogniser:
+    """valid: SQL of whether the value {v} is valid; {d} stands for its digits."""
+
     kind: str
     pattern: str
     score: float
-    valid: Callable[[Column], Column] | None = None
+    valid: str | None = None
     invalid_score: float = 0.3
 
 
-def luhn(v: Column) -> Column:
-    return F.luhn_check(v) if hasattr(F, "luhn_check") else F.call_function("luhn_check", v)
-
-
-def ip_valid(v: Column) -> Column:
-    """Four parts of at most 255, or eight of hexadecimal digits, less the ones that :: stands for."""
-    dotted = ~F.exists(F.split(v, r"\."), lambda o: o.try_cast("int") > 255)
-    return F.when(F.contains(v, F.lit(":")), F.regexp_count(v, F.lit("[0-9A-Fa-f]+")) <= F.when(F.contains(v, F.lit("::")), 7).otherwise(8)).otherwise(dotted)
-
-
-def ahv(v: Column) -> Column:
-    digits = F.regexp_replace(v, r"\D", "")
-    return T.ean13_check(F.left(digits, F.lit(12))) == F.right(digits, F.lit(1)).cast("int")
-
-
-def digits(v: Column) -> Column:
-    return F.regexp_replace(v, r"\D", "")
-
-
-def last_digit(v: Column) -> Column:
-    return F.right(digits(v), F.lit(1)).cast("int")
-
-
-def mod11_nhs(v: Column) -> Column:
-    r = 11 - T.weighted_mod(digits(v), [10, 9, 8, 7, 6, 5, 4, 3, 2], 11)
-    return F.when(r == 11, F.lit(0)).otherwise(r) == last_digit(v)
-
-
-def pesel(v: Column) -> Column:
-    return (10 - T.weighted_mod(digits(v), [1, 3, 7, 9, 1, 3, 7, 9, 1, 3], 10)) % 10 == last_digit(v)
-
-
-def aba(v: Column) -> Column:
-    return T.weighted_mod(digits(v), [3, 7, 1, 3, 7, 1, 3, 7, 1], 10) == 0
-
+def summed(weights: list[int], digits: str = "{d}") -> str:
+    """SQL: the weighted sum of the leading digits."""
+    return f"aggregate(transform(slice(split({digits}, ''), 1, {len(weights)}), (c, i) -> cast(c as int) * element_at(array({', '.join(map(str, weights))}), i + 1)), 0, (s, c) -> s + c)"
 
-def tfn(v: Column) -> Column:
-    return T.weighted_mod(digits(v), [1, 4, 3, 7, 5, 8, 6, 9, 10], 11) == 0
 
+def luhn(digits: str = "{d}") -> str:
+    return f"luhn_check({digits})"
 
-def nif(v: Column) -> Column:
-    return F.substring(F.lit("TRWAGMYFPDXBNJZSQVHLCKE"), F.left(v, F.lit(8)).cast("int") % 23 + 1, F.lit(1)) == F.upper(F.right(v, F.lit(1)))
 
+LAST = "cast(right({d}, 1) as int)"
+NIF = "substring('TRWAGMYFPDXBNJZSQVHLCKE', cast({n} as int) % 23 + 1, 1) = right({v}, 1)"
+#: Four parts of at most 255, or eight of hexadecimal digits, less the ones that :: stands for.
+IP = "if(contains({v}, ':'), regexp_count({v}, '[0-9A-Fa-f]+') <= if(contains({v}, '::'), 7, 8), not exists(split({v}, '[.]'), o -> try_cast(o as int) > 255))"
+PLAIN = "upper(replace({v}, ' ', ''))"
+CODES = f"array_join(transform(split(concat(substring({PLAIN}, 5), left({PLAIN}, 4)), ''), c -> if(c between '0' and '9', c, cast(ascii(c) - 55 as string))), '')"
+IBAN = f"{PLAIN} rlike '^[A-Z]{{2}}[0-9]{{2}}[A-Z0-9]{{11,30}}$' and aggregate(split({CODES}, ''), 0, (r, c) -> (r * 10 + cast(c as int)) % 97) = 1"
 
-def nie(v: Column) -> Column:
-    """A foreigner's number: the first letter counts 0, 1 or 2, then as ``nif``."""
-    return nif(F.concat(F.translate(F.left(v, F.lit(1)), "XYZ", "012"), F.substring(v, 2, 8)))
 
-
-def finnish(v: Column) -> Column:
-    n = F.concat(F.left(v, F.lit(6)), F.substring(v, 8, 3)).cast("bigint")
-    return F.substring(F.lit("0123456789ABCDEFHJKLMNPRSTUVWXY"), (n % 31 + 1).cast("int"), F.lit(1)) == F.right(v, F.lit(1))
-
-
-def dea(v: Column) -> Column:
-    return T.weighted_mod(digits(F.substring(v, 3, 7)), [1, 2, 1, 2, 1, 2], 10) == last_digit(v)
-
-
-def abn(v: Column) -> Column:
-    """Less one in the first digit, the weighted sum is a multiple of 89."""
-    return (T.weighted_mod(digits(v), [10, 1, 3, 5, 7, 9, 11, 13, 15, 17, 19], 89) - 10) % 89 == 0
-
-
-def acn(v: Column) -> Column:
-    return (10 - T.weighted_mod(digits(v), [8, 7, 6, 5, 4, 3, 2, 1], 10)) % 10 == last_digit(v)
-
-
-def medicare(v: Column) -> Column:
-    return T.weighted_mod(digits(v), [1, 3, 7, 9, 1, 3, 7, 9], 10) == F.substring(digits(v), 9, 1).cast("int")
-
-
-def korean_business(v: Column) -> Column:
-    d = digits(v)
-    tail = F.floor(F.substring(d, 9, 1).cast("int") * 5 / 10)
-    return (10 - (T.weighted_mod(d, [1, 3, 7, 1, 3, 7, 1, 3, 5], 1000) + tail) % 10) % 10 == last_digit(v)
-
-
-def thai(v: Column) -> Column:
-    return (11 - T.weighted_mod(digits(v), [13, 12, 11, 10, 9, 8, 7, 6, 5, 4, 3, 2], 11)) % 10 == last_digit(v)
-
-
-def verhoeff(v: Column) -> Column:
+def verhoeff() -> str:
     """Digits from the right, each moved by its place, multiply to 0 in the group of the pentagon's symmetries."""
     power = ["0123456789", "1576283094"]
     while len(power) < 8:
         power.append("".join(power[1][int(c)] for c in power[-1]))
-    moves = F.array(*[F.lit(p) for p in power])
-    places = F.transform(F.reverse(F.split(digits(v), "")), lambda d, i: F.substring(F.element_at(moves, i % 8 + 1), d.cast("int") + 1, F.lit(1)).cast("int"))
-    turn = lambda a, b: F.when(a < 5, F.when(b < 5, (a + b) % 5).otherwise(5 + (a + b) % 5)).otherwise(F.when(b < 5, 5 + (a - b) % 5).otherwise((a - b + 5) % 5))
-    return F.aggregate(places, F.lit(0), turn) == 0
+    moves = ", ".join(f"'{p}'" for p in power)
+    places = f"transform(reverse(split({{d}}, '')), (c, i) -> cast(substring(element_at(array({moves}), i % 8 + 1), cast(c as int) + 1, 1) as int))"
+    turn = "if(a < 5, if(b < 5, (a + b) % 5, 5 + (a + b) % 5), if(b < 5, 5 + (a - b + 5) % 5, (a - b + 5) % 5))"
+    return f"aggregate({places}, 0, (a, b) -> {turn}) = 0"
 
 
 # Endings of street names in German
@@ -126,43 +62,43 @@ STREETS = ("allee", "damm", "gasse", "graben", "halde", "hof", "matte", "pfad",
 RECOGNISERS = (
     Recogniser("EMAIL_ADDRESS", r"\b[A-Za-z0-9][A-Za-z0-9._+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}\b", 1.0),
     Recogniser("PHONE_NUMBER", r"\+1 \([0-9]{3}\) [0-9]{3}-[0-9]{4}\b|\+41 ?[0-9]{2} ?[0-9]{3} ?[0-9]{2} ?[0-9]{2}\b", 0.75),
-    Recogniser("IP_ADDRESS", r"\b[0-9]{1,3}(?:\.[0-9]{1,3}){3}\b|\b(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}\b|\b(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6}\b", 0.95, ip_valid),
-    Recogniser("CREDIT_CARD_NUMBER", r"\b(?:[0-9]{13,16}|[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})\b", 1.0, lambda v: luhn(digits(v))),
-    Recogniser("INTERNATIONAL_BANKING_ACCOUNT_NUMBER", r"\b[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){3,7} ?[0-9A-Z]{1,3}\b", 1.0, T.iban_valid),
+    Recogniser("IP_ADDRESS", r"\b[0-9]{1,3}(?:\.[0-9]{1,3}){3}\b|\b(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}\b|\b(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6}\b", 0.95, IP),
+    Recogniser("CREDIT_CARD_NUMBER", r"\b(?:[0-9]{13,16}|[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})\b", 1.0, luhn()),
+    Recogniser("INTERNATIONAL_BANKING_ACCOUNT_NUMBER", r"\b[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){3,7} ?[0-9A-Z]{1,3}\b", 1.0, IBAN),
     Recogniser("DATE", r"\b(?:(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.(?:19|20)[0-9]{2})\b", 0.6),
     Recogniser("ADDRESS", rf"\p{{Lu}}[\p{{L}}-]*(?:{'|'.join(re.escape(x) for x in STREETS)}) [0-9]+[a-z]?, ?[0-9]{{4,5}} \p{{Lu}}\p{{L}}+", 0.85),
     Recogniser("URL", r"\bhttps?://[^ \t\r\n\"<>]+", 0.6),
     Recogniser("MAC_ADDRESS", r"\b[0-9A-Fa-f]{2}(?::[0-9A-Fa-f]{2}){5}\b", 0.85),
     Recogniser("CRYPTO", r"\bbc1[0-9a-z]{25,59}\b", 0.85),
-    Recogniser("AHV", r"\b756\.[0-9]{4}\.[0-9]{4}\.[0-9]{2}\b", 1.0, ahv),
+    Recogniser("AHV", r"\b756\.[0-9]{4}\.[0-9]{4}\.[0-9]{2}\b", 1.0, f"(10 - {summed([1, 3] * 6)} % 10) % 10 = {LAST}"),
     Recogniser("US_SOCIAL_SECURITY_NUMBER", r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b", 0.85),
     Recogniser("US_MBI", r"\b[1-9][AC-HJKMNP-RT-Y][0-9AC-HJKMNP-RT-Y][0-9]-?[AC-HJKMNP-RT-Y][0-9AC-HJKMNP-RT-Y][0-9]-?[AC-HJKMNP-RT-Y]{2}[0-9]{2}\b", 0.7),
-    Recogniser("ABA_ROUTING_NUMBER", r"\b[0-9]{4}-[0-9]{4}-[0-9]\b", 0.65, aba),
-    Recogniser("UK_NHS", r"\b[0-9]{3} [0-9]{3} [0-9]{4}\b", 0.85, mod11_nhs),
+    Recogniser("ABA_ROUTING_NUMBER", r"\b[0-9]{4}-[0-9]{4}-[0-9]\b", 0.65, f"{summed([3, 7, 1] * 3)} % 10 = 0"),
+    Recogniser("UK_NHS", r"\b[0-9]{3} [0-9]{3} [0-9]{4}\b", 0.85, f"(11 - {summed([*range(10, 1, -1)])} % 11) % 11 = {LAST}"),
     Recogniser("UK_NINO", r"\b[A-CEGHJ-PR-TW-Z][A-CEGHJ-NPR-TW-Z] [0-9]{2} [0-9]{2} [0-9]{2} [A-D]\b", 0.7),
-    Recogniser("ES_NIF", r"\b[0-9]{8}[TRWAGMYFPDXBNJZSQVHLCKE]\b", 0.85, nif),
-    Recogniser("ES_NIE", r"\b[XYZ][0-9]{7}[TRWAGMYFPDXBNJZSQVHLCKE]\b", 0.7, nie),
-    Recogniser("PL_PESEL", r"\b[0-9]{11}\b", 0.85, pesel),
-    Recogniser("FI_PERSONAL_IDENTITY_CODE", r"\b[0-9]{6}[+A-][0-9]{3}[0-9A-FHJ-NPR-Y]\b", 0.7, finnish),
+    Recogniser("ES_NIF", r"\b[0-9]{8}[TRWAGMYFPDXBNJZSQVHLCKE]\b", 0.85, NIF.replace("{n}", "left({v}, 8)")),
+    Recogniser("ES_NIE", r"\b[XYZ][0-9]{7}[TRWAGMYFPDXBNJZSQVHLCKE]\b", 0.7, NIF.replace("{n}", "concat(translate(left({v}, 1), 'XYZ', '012'), substring({v}, 2, 7))")),
+    Recogniser("PL_PESEL", r"\b[0-9]{11}\b", 0.85, f"(10 - {summed([1, 3, 7, 9, 1, 3, 7, 9, 1, 3])} % 10) % 10 = {LAST}"),
+    Recogniser("FI_PERSONAL_IDENTITY_CODE", r"\b[0-9]{6}[+A-][0-9]{3}[0-9A-FHJ-NPR-Y]\b", 0.7, "substring('0123456789ABCDEFHJKLMNPRSTUVWXY', cast(cast(concat(left({v}, 6), substring({v}, 8, 3)) as bigint) % 31 + 1 as int), 1) = right({v}, 1)"),
     Recogniser("IT_FISCAL_CODE", r"\b[A-Z]{6}[0-9]{2}[A-EHLMPRST][0-9]{2}[A-Z][0-9]{3}[A-Z]\b", 0.85),
-    Recogniser("AU_TAX_FILE_NUMBER", r"\b[0-9]{3} [0-9]{3} [0-9]{3}\b", 0.65, tfn),
+    Recogniser("AU_TAX_FILE_NUMBER", r"\b[0-9]{3} [0-9]{3} [0-9]{3}\b", 0.65, f"{summed([1, 4, 3, 7, 5, 8, 6, 9, 10])} % 11 = 0"),
     Recogniser("SG_NRIC_FIN", r"\b[STFGM][0-9]{7}[A-Z]\b", 0.7),
     Recogniser("IN_PAN", r"\b[A-Z]{3}[ABCFGHLJPT][A-Z][0-9]{4}[A-Z]\b", 0.7),
-    Recogniser("IN_AADHAAR", r"\b[2-9][0-9]{3} [0-9]{4} [0-9]{4}\b", 0.7, verhoeff),
+    Recogniser("IN_AADHAAR", r"\b[2-9][0-9]{3} [0-9]{4} [0-9]{4}\b", 0.7, verhoeff()),
     Recogniser("IN_GSTIN", r"\b[0-9]{2}[A-Z]{5}[0-9]{4}[A-Z][0-9A-Z]Z[0-9A-Z]\b", 0.85),
     Recogniser("KR_RRN", r"\b[0-9]{6}-[1-4][0-9]{6}\b", 0.7),
     Recogniser("US_PASSPORT_NUMBER", r"\b[A-Z][0-9]{8}\b", 0.3),
     Recogniser("US_INDIVIDUAL_TAXPAYER_IDENTIFICATION", r"\b9[0-9]{2}-(?:5[0-9]|6[0-5]|7[0-9]|8[0-8]|9[0-24-9])-[0-9]{4}\b", 0.85),
     Recogniser("US_BANK_ACCOUNT_NUMBER", r"(?i)\baccount(?: number)?:? [0-9]{8,17}\b", 0.5),
     Recogniser("US_DRIVERS_LICENSE_NUMBER", r"(?i)\bdriver'?s licen[cs]e:? [A-Z][0-9]{7,8}\b", 0.5),
-    Recogniser("MEDICAL_LICENSE", r"\b[ABFGMPR][A-Z9][0-9]{7}\b", 0.7, dea),
+    Recogniser("MEDICAL_LICENSE", r"\b[ABFGMPR][A-Z9][0-9]{7}\b", 0.7, f"{summed([1, 2] * 3, 'substring({v}, 3, 7)')} % 10 = {LAST}"),
     Recogniser("IT_DRIVER_LICENSE", r"\b(?:[A-Z]{2}[0-9]{7}[A-Z]|U1[0-9A-Z]{7}[A-Z])\b", 0.4),
-    Recogniser("IT_VAT_CODE", r"\bIT[0-9]{11}\b", 0.7, lambda v: luhn(F.substring(v, 3, 11))),
+    Recogniser("IT_VAT_CODE", r"\bIT[0-9]{11}\b", 0.7, luhn()),
     Recogniser("IT_PASSPORT", r"\bY[AB][0-9]{7}\b", 0.4),
     Recogniser("IT_IDENTITY_CARD", r"\bC[A-Z][0-9]{5}[A-Z]{2}\b", 0.4),
-    Recogniser("AU_BUSINESS_NUMBER", r"\b[0-9]{2} [0-9]{3} [0-9]{3} [0-9]{3}\b", 0.7, abn),
-    Recogniser("AU_COMPANY_NUMBER", r"\b[0-9]{3} [0-9]{3} [0-9]{3}\b", 0.65, acn),
-    Recogniser("AU_MEDICAL_ACCOUNT_NUMBER", r"\b[2-6][0-9]{3} [0-9]{5} [0-9]\b", 0.7, medicare),
+    Recogniser("AU_BUSINESS_NUMBER", r"\b[0-9]{2} [0-9]{3} [0-9]{3} [0-9]{3}\b", 0.7, f"({summed([10, *range(1, 20, 2)])} - 10) % 89 = 0"),
+    Recogniser("AU_COMPANY_NUMBER", r"\b[0-9]{3} [0-9]{3} [0-9]{3}\b", 0.65, f"(10 - {summed([*range(8, 0, -1)])} % 10) % 10 = {LAST}"),
+    Recogniser("AU_MEDICAL_ACCOUNT_NUMBER", r"\b[2-6][0-9]{3} [0-9]{5} [0-9]\b", 0.7, f"{summed([1, 3, 7, 9] * 2)} % 10 = cast(substring({{d}}, 9, 1) as int)"),
     Recogniser("SG_UEN", r"\b(?:(?:19|20)[0-9]{7}[A-Z]|[TSR][0-9]{2}[A-Z]{2}[0-9]{4}[A-Z])\b", 0.5),
     Recogniser("IN_VEHICLE_REGISTRATION", r"\b[A-Z]{2}[0-9]{2}[A-Z]{1,2}[0-9]{4}\b", 0.5),
     Recogniser("IN_VOTER", r"\b[A-Z]{3}[0-9]{7}\b", 0.4),
@@ -170,44 +106,51 @@ RECOGNISERS = (
     Recogniser("KR_DRIVER_LICENSE", r"\b[0-9]{2}-[0-9]{2}-[0-9]{6}-[0-9]{2}\b", 0.65),
     Recogniser("KR_FRN", r"\b[0-9]{6}-[5-8][0-9]{6}\b", 0.7),
     Recogniser("KR_PASSPORT", r"\b[MSRODG][0-9]{3}[A-Z][0-9]{4}\b", 0.4),
-    Recogniser("KR_BRN", r"\b[0-9]{3}-[0-9]{2}-[0-9]{5}\b", 0.65, korean_business),
-    Recogniser("TH_TNIN", r"\b[1-8]-[0-9]{4}-[0-9]{5}-[0-9]{2}-[0-9]\b", 0.7, thai),
+    Recogniser("KR_BRN", r"\b[0-9]{3}-[0-9]{2}-[0-9]{5}\b", 0.65, f"(10 - ({summed([1, 3, 7, 1, 3, 7, 1, 3, 5])} + cast(substring({{d}}, 9, 1) as int) * 5 div 10) % 10) % 10 = {LAST}"),
+    Recogniser("TH_TNIN", r"\b[1-8]-[0-9]{4}-[0-9]{5}-[0-9]{2}-[0-9]\b", 0.7, f"(11 - {summed([*range(13, 1, -1)])} % 11) % 10 = {LAST}"),
     Recogniser("AGE", r"(?i)\b[0-9]{1,3}(?: years? old|-year-old| Jahre alt)\b", 0.6),
 )
 BY_KIND = {r.kind: r for r in RECOGNISERS}
 
 
-def matches(text: Column, pattern: str) -> Column:
-    """array<struct<start, end, value>> of a pattern's matches."""
-    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("out"))
+def literal(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def matches_sql(text: str, pattern: str, fields: str = "") -> str:
+    """SQL of array<struct<start, end, value, ...>>: a pattern's matches, found by the gaps that they leave; ``fields`` may add more."""
+    step = f"named_struct('at', acc.at + length(x.g) + length(x.v), 'out', array_append(acc.out, named_struct('start', acc.at + length(x.g), 'end', acc.at + length(x.g) + length(x.v), 'value', x.v)))"
+    empty = "cast(array() as array<struct<start: int, end: int, value: string>>)"
+    pairs = f"zip_with(slice(split({text}, {literal(pattern)}, -1), 1, size(vs)), vs, (g, v) -> named_struct('g', g, 'v', v))"
+    found = f"if(size(vs) > 0, aggregate({pairs}, named_struct('at', 0, 'out', {empty}), (acc, x) -> {step}, acc -> acc.out), {empty})"
+    found = f"element_at(transform(array(regexp_extract_all({text}, {literal(pattern)}, 0)), vs -> {found}), 1)"
+    return f"transform({found}, m -> named_struct({fields}))" if fields else found
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.length(x["value"])
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["value"].alias("value")))).alias("out"))
 
-    pairs = F.zip_with(F.slice(gaps, 1, F.size(values)), values, lambda g, v: F.struct(g.alias("gap"), v.alias("value")))
-    return F.when(F.size(values) > 0, F.aggregate(pairs, empty, step, lambda a: a["out"])).otherwise(empty["out"])
+def matches(text: str, pattern: str) -> Column:
+    """The matches of a pattern in the text (a column's name)."""
+    return F.expr(matches_sql(text, pattern))
 
 
 #: A line with a character that any kind needs; the possessive run finds it, or the line's end, at once.
 TRIGGER = r"(?m)^[^\n0-9@:]*+[0-9@:][^\n]*"
 
 
-def found_in(text: Column, kinds: list[str] | None = None) -> Column:
-    """array<struct<kind, start, end, value, score>> of all matches in a text: nothing is sent between tasks to score them."""
+def found_in(text: str, kinds: list[str] | None = None) -> Column:
+    """array<struct<kind, start, end, value, score>> of all matches in the text (a column's name): nothing is sent between tasks to
+    score them. One SQL expression, as hundreds of lambdas take their time to build from Python."""
 
-    def of_kind(r: Recogniser, line: Column) -> Column:
-        score = lambda v: F.lit(r.score) if r.valid is None else F.when(F.coalesce(r.valid(v), F.lit(False)), F.lit(r.score)).otherwise(F.lit(r.invalid_score))
-        at = line["start"]
-        return F.transform(matches(line["value"], r.pattern), lambda m: F.struct(F.lit(r.kind).alias("kind"), (at + m["start"]).alias("start"), (at + m["end"]).alias("end"), m["value"].alias("value"), score(m["value"]).alias("score")))
+    def of(r: Recogniser) -> str:
+        score = str(r.score) + "D"
+        if r.valid:
+            test = r.valid.replace("{d}", "regexp_replace({v}, '[^0-9]', '')").replace("{v}", "m.value")
+            score = f"if(coalesce({test}, false), {r.score}D, {r.invalid_score}D)"
+        return matches_sql("line.value", r.pattern, f"'kind', '{r.kind}', 'start', line.start + m.start, 'end', line.start + m.end, 'value', m.value, 'score', {score}")
 
-    chosen = [r for r in RECOGNISERS if kinds is None or r.kind in kinds]
-    return F.flatten(F.transform(matches(text, TRIGGER), lambda line: F.concat(*[of_kind(r, line) for r in chosen])))
+    chosen = [of(r) for r in RECOGNISERS if kinds is None or r.kind in kinds]
+    return F.expr(f"flatten(transform({matches_sql(text, TRIGGER)}, line -> concat({', '.join(chosen)})))")
 
 
 def findings(docs: DataFrame, kinds: list[str] | None = None, id_col: str = "doc_id") -> DataFrame:
     """One row for each match: id_col, kind, start, end, value, score."""
-    return docs.where("text is not null").select(id_col, F.explode(found_in(F.col("text"), kinds)).alias("f")).select(id_col, "f.*")
+    return docs.where("text is not null").select(id_col, F.explode(found_in("text", kinds)).alias("f")).select(id_col, "f.*")

@@ -84,9 +84,3 @@ def iban_valid(iban: Column) -> Column:
     moved = F.concat(F.substring(plain, F.lit(5), F.length(plain)), F.left(plain, F.lit(4)))
     codes = F.array_join(F.transform(F.split(moved, ""), lambda c: F.when(c.rlike("[0-9]"), c).otherwise((F.ascii(c) - 55).cast("string"))), "")
     return F.coalesce(plain.rlike("^[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}$") & (mod97(F.when(codes.rlike("^[0-9]+$"), codes)) == 1), F.lit(False))
-
-
-def weighted_mod(digits: Column, weights: list[int], mod: int) -> Column:
-    """The weighted sum of the leading digits, modulo mod."""
-    ds = F.split(digits, "")
-    return F.aggregate(F.transform(F.slice(ds, 1, len(weights)), lambda d, i: d.cast("int") * F.element_at(F.array(*[F.lit(w) for w in weights]), i + 1)), F.lit(0), lambda s, d: s + d) % mod

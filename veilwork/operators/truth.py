@@ -37,7 +37,7 @@ def shaped(docs: DataFrame) -> DataFrame:
     def of(kind: str, ordinal: int):
         return lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("value"), F.lit(kind).alias("kind"), F.lit(ordinal).alias("ordinal"))
 
-    each = [F.transform(detect.matches(F.col("text"), p), of(k, n)) for n, (k, p) in enumerate(SHAPES)]
+    each = [F.transform(detect.matches("text", p), of(k, n)) for n, (k, p) in enumerate(SHAPES)]
     rows = docs.where("text is not null").select("doc_id", "text", F.explode(F.concat(*each)).alias("x")).select("doc_id", "text", "x.*")
     before = F.substring(F.col("text"), F.greatest(F.lit(1), F.col("start") - CUE_LENGTH + 1), F.least(F.lit(CUE_LENGTH), F.col("start")))
     born = (F.col("kind") == "DATE") & before.rlike(BIRTH_CUE)

@@ -96,7 +96,7 @@ redacted AS (SELECT p.doc_id, count(*) AS n, list_sort(list(DISTINCT kind)) AS k
 def chosen(spark: SparkSession, sf_dir: str, kinds: list[str] | None = None) -> DataFrame:
     """One row a document with findings: doc_id, text, kept (its disjoint findings above the threshold, with stand-ins). All of it is
     worked out within the row."""
-    rows = load(spark, sf_dir, "documents").where("text is not null").select("doc_id", "text", detect.found_in(F.col("text"), kinds).alias("all"))
+    rows = load(spark, sf_dir, "documents").where("text is not null").select("doc_id", "text", detect.found_in("text", kinds).alias("all"))
     sure = F.transform(F.filter("all", lambda x: x["score"] >= detect.THRESHOLD), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"), x["value"].alias("value")))
     rows = rows.withColumn("all", sure).withColumn("kept", spans.non_overlapping("all", "start, -(end - start), kind"))
     standin = lambda x: vault.standin(x["kind"], vault.digest(KEY, x["kind"], x["value"]))
