@@ -136,9 +136,9 @@ def matches(text: str, pattern: str) -> Column:
 TRIGGER = r"(?m)^[^\n0-9@:]*+[0-9@:][^\n]*"
 
 
-def found_in(text: str, kinds: list[str] | None = None) -> Column:
-    """array<struct<kind, start, end, value, score>> of all matches in the text (a column's name): nothing is sent between tasks to
-    score them. One SQL expression, as hundreds of lambdas take their time to build from Python."""
+def found_sql(text: str, kinds: list[str] | None = None) -> str:
+    """SQL of array<struct<kind, start, end, value, score>>: all matches in a text. One string, as hundreds of lambdas take their time to
+    build from Python."""
 
     def of(r: Recogniser) -> str:
         score = str(r.score) + "D"
@@ -148,9 +148,25 @@ def found_in(text: str, kinds: list[str] | None = None) -> Column:
         return matches_sql("line.value", r.pattern, f"'kind', '{r.kind}', 'start', line.start + m.start, 'end', line.start + m.end, 'value', m.value, 'score', {score}")
 
     chosen = [of(r) for r in RECOGNISERS if kinds is None or r.kind in kinds]
-    return F.expr(f"flatten(transform({matches_sql(text, TRIGGER)}, line -> concat({', '.join(chosen)})))")
+    return f"flatten(transform({matches_sql(text, TRIGGER)}, line -> concat({', '.join(chosen)})))"
+
+
+def found_in(text: str, kinds: list[str] | None = None) -> Column:
+    """``found_sql`` of a column: nothing is sent between tasks to find and score."""
+    return F.expr(found_sql(text, kinds))
 
 
 def findings(docs: DataFrame, kinds: list[str] | None = None, id_col: str = "doc_id") -> DataFrame:
     """One row for each match: id_col, kind, start, end, value, score."""
     return docs.where("text is not null").select(id_col, F.explode(found_in("text", kinds)).alias("f")).select(id_col, "f.*")
+
+
+def answer(found: str) -> Column:
+    """JSON of what a detector answers for the findings (a column's name): {} if there are none, only ignored_results if all are below
+    the threshold, else the mean score, how often each kind occurs, the results, and the ignored ones if any."""
+    items = f"transform(array_sort(transform({found}, f -> named_struct('start', f.start, 'kind', f.kind, 'f', f))), x -> named_struct('kind', x.f.kind, 'start', x.f.start, 'end', x.f.end, 'text', x.f.value, 'score', x.f.score))"
+    sure, low = (f"(transform(array(filter({items}, x -> x.score {test} {THRESHOLD})), a -> if(size(a) > 0, a, null))[0])" for test in (">=", "<"))
+    mean = "round(aggregate(transform(r.sure, x -> x.score), 0D, (s, x) -> s + x) / size(r.sure), 6)"
+    kinds = "map_from_entries(transform(array_sort(array_distinct(transform(r.sure, x -> x.kind))), k -> named_struct('k', k, 'n', size(filter(r.sure, x -> x.kind = k)))))"
+    whole = f"to_json(if(r.sure is null, named_struct('mean', cast(null as double), 'frequencies', cast(null as map<string, int>), 'results', r.sure, 'ignored_results', r.low), named_struct('mean', {mean}, 'frequencies', {kinds}, 'results', r.sure, 'ignored_results', r.low)))"
+    return F.expr(f"transform(array(named_struct('sure', {sure}, 'low', {low})), r -> {whole})[0]")

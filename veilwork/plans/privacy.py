@@ -83,14 +83,19 @@ def found_sql(table: str = "documents") -> str:
 
 
 FOUND = found_sql()
-#: The chosen spans and their stand-ins, by recursion, and the redacted texts.
-CHOSEN = f"""RECURSIVE {FOUND}, sure AS (SELECT doc_id, kind, value, start_ AS s, start_ + length(value) AS e, row_number() OVER (PARTITION BY doc_id ORDER BY start_, -length(value), kind) AS i, md5('{KEY}|' || kind || '|' || value) AS d FROM f WHERE score >= {detect.THRESHOLD}),
+
+def chosen_sql(table: str = "documents", who: str = "") -> str:
+    """The chosen spans and their stand-ins, by recursion, and the redacted texts. who: SQL of what the stand-ins' key adds to KEY."""
+    return f"""RECURSIVE {found_sql(table)}, sure AS (SELECT doc_id, kind, value, start_ AS s, start_ + length(value) AS e, row_number() OVER (PARTITION BY doc_id ORDER BY start_, -length(value), kind) AS i, md5('{KEY}|' || {who}kind || '|' || value) AS d FROM f WHERE score >= {detect.THRESHOLD}),
 greedy AS (SELECT *, true AS taken, e AS last FROM sure WHERE i = 1 UNION ALL SELECT x.*, x.s >= g.last, CASE WHEN x.s >= g.last THEN x.e ELSE g.last END FROM greedy g JOIN sure x ON x.doc_id = g.doc_id AND x.i = g.i + 1),
 kept AS (SELECT doc_id, kind, value, s, e, CASE kind WHEN 'EMAIL_ADDRESS' THEN 'user.' || left(d, 8) || '@example.org' WHEN 'IP_ADDRESS' THEN '10.' || CAST('0x' || substr(d, 1, 2) AS integer) || '.' || CAST('0x' || substr(d, 3, 2) AS integer) || '.' || CAST('0x' || substr(d, 5, 2) AS integer)
     WHEN 'PHONE_NUMBER' THEN '+1 (555) ' || lpad(CAST(CAST('0x' || substr(d, 1, 6) AS bigint) % 1000 AS varchar), 3, '0') || '-' || lpad(CAST(CAST('0x' || substr(d, 7, 6) AS bigint) % 10000 AS varchar), 4, '0')
     WHEN 'CREDIT_CARD_NUMBER' THEN '4' || lpad(CAST(CAST('0x' || substr(d, 1, 6) AS bigint) % 10000000 AS varchar), 7, '0') || lpad(CAST(CAST('0x' || substr(d, 7, 6) AS bigint) % 10000000 AS varchar), 7, '0') ELSE '<' || kind || ':' || left(d, 8) || '>' END AS standin FROM greedy WHERE taken),
-pieces AS (SELECT k.doc_id, k.kind, s, substr(d.text, coalesce(lag(e) OVER w, 0) + 1, s - coalesce(lag(e) OVER w, 0)) || standin AS piece, e FROM kept k JOIN documents d ON k.doc_id = d.doc_id WINDOW w AS (PARTITION BY k.doc_id ORDER BY s)),
-redacted AS (SELECT p.doc_id, count(*) AS n, list_sort(list(DISTINCT kind)) AS kinds, string_agg(piece, '' ORDER BY s) || substr(any_value(d.text), max(e) + 1) AS text FROM pieces p JOIN documents d ON p.doc_id = d.doc_id GROUP BY p.doc_id)"""
+pieces AS (SELECT k.doc_id, k.kind, s, substr(d.text, coalesce(lag(e) OVER w, 0) + 1, s - coalesce(lag(e) OVER w, 0)) || standin AS piece, e FROM kept k JOIN {table} d ON k.doc_id = d.doc_id WINDOW w AS (PARTITION BY k.doc_id ORDER BY s)),
+redacted AS (SELECT p.doc_id, count(*) AS n, list_sort(list(DISTINCT kind)) AS kinds, string_agg(piece, '' ORDER BY s) || substr(any_value(d.text), max(e) + 1) AS text FROM pieces p JOIN {table} d ON p.doc_id = d.doc_id GROUP BY p.doc_id)"""
+
+
+CHOSEN = chosen_sql()
 
 
 def chosen(spark: SparkSession, sf_dir: str, kinds: list[str] | None = None) -> DataFrame:

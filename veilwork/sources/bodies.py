@@ -17,26 +17,28 @@ def within(body: Column, limit: int) -> Column:
     return F.lit(limit <= 0) | (F.octet_length(body) <= limit)
 
 
+def undone(body: bytes | None, encoding: str | None, limit: int) -> bytes | None:
+    """The body without its content encoding; null for other encodings, damaged bodies, and bodies beyond the limit (0: none)."""
+    name, most = (encoding or "").strip().lower(), limit if limit > 0 else (1 << 31) - 2
+    if body is None or name in ("", "identity"):
+        return body if body is None or len(body) <= most else None
+    if name not in WINDOWS:
+        return None
+    try:
+        pump = zlib.decompressobj(WINDOWS[name])
+        out = pump.decompress(bytes(body), most + 1)
+    except zlib.error:
+        return None
+    return out if len(out) <= most and pump.eof else None
+
+
 def inflated(limit: int):
     """UDF (body, encoding) -> body: identity, gzip and deflate are undone; null for other encodings, damaged bodies, and bodies
     that grow beyond the limit, which are left alone. No more than limit + 1 bytes are ever made of one."""
 
-    def one(body: bytes | None, encoding: str | None) -> bytes | None:
-        name = (encoding or "").strip().lower()
-        if body is None or name in ("", "identity"):
-            return body
-        if name not in WINDOWS:
-            return None
-        try:
-            pump = zlib.decompressobj(WINDOWS[name])
-            out = pump.decompress(bytes(body), limit + 1)
-        except zlib.error:
-            return None
-        return out if len(out) <= limit and pump.eof else None
-
     @F.pandas_udf("binary")
     def run(body: pd.Series, encoding: pd.Series) -> pd.Series:
-        return pd.Series([one(b, e) for b, e in zip(body, encoding)], dtype=object)
+        return pd.Series([undone(b, e, limit) for b, e in zip(body, encoding)], dtype=object)
 
     return run
 
