@@ -3,16 +3,19 @@
 import gzip
 import json
 import random
+import time
 import zlib
+from datetime import datetime, timedelta
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from veilwork.operators import compare, gazetteer, jsontext, risk, route, truth, vault
+from veilwork.operators import compare, exchange, gazetteer, jsontext, risk, route, truth, vault
 from veilwork.sources import bodies, corpus, fixtures
-from veilwork.streaming import reports, restore, vault as live
+from veilwork.streaming import exchange as exchanges, reports, restore, vault as live
 
 
 def test_substitutions_rebuild_the_other_text_but_for_white_space(spark):
@@ -155,18 +158,77 @@ def test_streamed_restore(spark, tmp_path):
     schema = "stream_id string, client string, host string, syntax string, seq long, body binary, last boolean"
     parts = [[("s", "c", "h", "Text", i, raw[i * 5 : i * 5 + 5], i * 5 + 5 >= len(raw))] for i in range(-(-len(raw) // 5))]
     pairs = spark.createDataFrame([("c", "h", "René Bauer", "Zoë")], "client string, host string, standin string, value string")
-    rows = run_stream(restore.restored(batches(spark, tmp_path, schema, *parts), pairs), tmp_path)
+    frame = restore.restored(batches(spark, tmp_path, schema, *parts), pairs)
+    query = frame.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").outputMode("append").start()
+    for _ in range(120):  # time-outs wait for the clock, so the query never ends by itself
+        time.sleep(0.5)
+        if sum(p.numInputRows for p in query.recentProgress) >= len(parts):
+            break
+    query.stop()
+    rows = spark.read.parquet(f"{tmp_path}/out").collect()
     assert "".join(r["text"] for r in sorted(rows, key=lambda r: r["seq"])) == "Hallo Zoë und Ren" and all(r["text"] for r in rows)
 
 
-def test_lives_of_a_vault(spark, tmp_path):
-    rows = [("a", 0), ("a", 10), ("b", 5)], [("a", 20), ("a", 31), ("b", 16)], [("a", 41)]
-    got = run_stream(live.lives(batches(spark, tmp_path, "client string, at long", *rows), 10), tmp_path)
-    assert {(r["client"], r["at"]): r["life"] for r in got} == {("a", 0): 1, ("a", 10): 1, ("a", 20): 1, ("a", 31): 2, ("a", 41): 2, ("b", 5): 1, ("b", 16): 2}
+def test_idle_streams_are_ended():
+    class State:
+        exists = hasTimedOut = removed = False
+
+        def update(self, value):
+            self.get, self.exists = value, True
+
+        def setTimeoutDuration(self, ms):
+            self.ms = ms
+
+        def remove(self):
+            self.removed = True
+
+    step, state = restore.stepper(300_000), State()
+    table = pd.DataFrame({"seq": [4], "body": [b"so Anna is An"], "last": [False], "syntax": ["Text"], "pairs": [[{"standin": "Anna", "value": "Eve"}, {"standin": "An", "value": "Al"}]]})
+    out = pd.concat(step(("s",), iter([table]), state))
+    assert out["text"].tolist() == ["so Eve is "] and state.ms == 300_000
+    state.hasTimedOut = True
+    out = pd.concat(step(("s",), iter([]), state))
+    assert out.values.tolist() == [["s", 5, "Al"]] and state.removed
+
+
+@pytest.fixture
+def rocks(spark):
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, exchanges.PROVIDER)
+    yield spark
+    spark.conf.set(key, before)
+
+
+def test_lives_of_a_vault(rocks, tmp_path):
+    t = lambda m: datetime(2024, 1, 1) + timedelta(minutes=m)
+    rows = [("a", t(0)), ("a", t(10)), ("b", t(5))], [("a", t(20)), ("a", t(31)), ("b", t(16))], [("a", t(41))], [("end", t(1000))]
+    frame = live.lives(batches(rocks, tmp_path, "client string, at timestamp", *rows), "10 minutes", "1 minute")
+    query = frame.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    got = {(r["client"], r["at"]): r["begun"] for r in rocks.read.parquet(f"{tmp_path}/out").collect()}
+    assert got == {("a", t(0)): t(0), ("a", t(10)): t(0), ("a", t(20)): t(0), ("a", t(31)): t(31), ("a", t(41)): t(31), ("b", t(5)): t(5), ("b", t(16)): t(16), ("end", t(1000)): t(1000)}
+    held = [p.stateOperators[0].numRowsTotal for p in query.recentProgress if p.stateOperators]
+    assert max(held) >= 2 and held[-1] == 1  # all but the last access's client are let go
     step = live.sweeper(f"{tmp_path}/clients", 10, most=2)
-    for i, part in enumerate(rows):
-        step(spark.createDataFrame(part, "client string, at long"), i)
-    assert [(r["client"], r["last_used"]) for r in spark.read.parquet(f"{tmp_path}/clients/2").collect()] == [("a", 41)]
+    for i, part in enumerate(([("a", 0), ("b", 5)], [("a", 31), ("b", 16)], [("a", 41)])):
+        step(rocks.createDataFrame(part, "client string, at long"), i)
+    assert [(r["client"], r["last_used"]) for r in rocks.read.parquet(f"{tmp_path}/clients/2").collect()] == [("a", 41)]
+
+
+def test_exchanges_on_a_stream_are_those_of_the_batch(rocks, tmp_path):
+    rng, start = random.Random(4), datetime(2024, 1, 1)
+    types = ["observed", "detection", "assess", "assessed", "redaction", "delivered", "completed", "responded", "unheard of"]
+    rows = [(x, x * 20 + k, start + timedelta(seconds=x * 10 + rng.randint(0, 60)), rng.choice(types), float(rng.randint(0, 9))) for x in range(50) for k in range(rng.randint(1, 14))]
+    sent = rows + rng.sample(rows, 80)
+    sent.sort(key=lambda r: r[2] + timedelta(seconds=rng.randint(0, 50)))
+    schema = "exchange_id long, event_id long, at timestamp, type string, value double"
+    parts = [sent[i * len(sent) // 4 : (i + 1) * len(sent) // 4] for i in range(4)] + [[(-1, -1, datetime(2024, 1, 2), "detection", 0.0)]]
+    query = exchanges.folded(batches(rocks, tmp_path, schema, *parts), "5 minutes", "2 minutes").writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination(180)
+    got = [tuple(r) for r in rocks.read.parquet(f"{tmp_path}/out").collect()]
+    assert len(got) == len(set(got)) and set(got) == {tuple(r) for r in exchange.folded(rocks.createDataFrame(rows, schema)).collect()}
+    assert [p.stateOperators[0].numRowsTotal for p in query.recentProgress if p.stateOperators][-1] == 1
 
 
 def test_repeated_and_late_reports(spark, tmp_path):

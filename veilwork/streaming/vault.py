@@ -6,29 +6,48 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 from veilwork.operators import vault
 
 SWEEP = "5 minutes"
 
 
-def lives(accesses: DataFrame, ttl_ms: int) -> DataFrame:
-    """client, at, life for each access (client, at in ms): the map lives on while accesses are no further apart than the time to
-    live, and starts anew after that. Accesses of one batch are taken in order of time."""
+class Lives(StatefulProcessor):
+    """Keeps when a client's map began and was last used, and lets go of it when it has not been used for the time to live."""
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, life = state.get if state.exists else (None, 1)
+    def __init__(self, ttl_ms: int) -> None:
+        self.ttl_ms = ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.map = handle.getValueState("map", "begun long, last long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        begun, last = self.map.get() or (None, None)
         out = []
-        for at in sorted(int(x) for f in frames for x in f["at"]):
-            if last is not None and at - last > ttl_ms:
-                life += 1
-            last = at if last is None else max(last, at)
-            out.append((key[0], at, life))
-        state.update((last, life))
-        yield pd.DataFrame(out, columns=["client", "at", "life"])
-
-    return accesses.groupBy("client").applyInPandasWithState(step, "client string, at long, life long", "last long, life long", "append", GroupStateTimeout.NoTimeout)
+        for at in sorted(int(x.timestamp() * 1000) for table in rows for x in table["at"]):
+            if last is None or at - last > self.ttl_ms:
+                begun = at
+            last = max(at, last or at)
+            out.append((key[0], pd.Timestamp(at, unit="ms"), pd.Timestamp(begun, unit="ms")))
+        self.map.update((begun, last))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(last + self.ttl_ms + 1)
+        yield pd.DataFrame(out, columns=["client", "at", "begun"])
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.map.clear()
+        yield pd.DataFrame([], columns=["client", "at", "begun"])
+
+
+def lives(accesses: DataFrame, ttl: str, delay: str) -> DataFrame:
+    """client, at, begun for each access (client, at: timestamps): the map lives on while accesses are no further apart than the time to
+    live, and begins anew after that. Accesses may be ``delay`` late; those of one batch are taken in order of time. An event-time timer
+    ends the state of a client that is not used any more. The session needs ``exchange.PROVIDER``."""
+    rows = accesses.select("client", "at").withWatermark("at", delay)
+    return rows.groupBy("client").transformWithStateInPandas(Lives(int(pd.Timedelta(ttl).total_seconds() * 1000)), "client string, at timestamp, begun timestamp", "append", "EventTime")
 
 
 def swept(clients: DataFrame, now_ms: int, ttl_ms: int, most: int = vault.CLIENTS) -> DataFrame:
