@@ -14,13 +14,13 @@ main lines stay; doubt lines stay unless shared; and open lines go where main ho
 Where the deletion would leave nothing of a page, as in a group of copies, its lines stay.
 
 Neighbours come from a range-partitioned sort by host and path, so a host with a third of all pages is spread over many
-tasks; the first and the last page of a range are also sent to the ranges beside it. Bounds come from a sample of keys, of
-SAMPLE a range, the same on each run, and do not change which pages are beside each other.
+tasks; the pages that a range needs of others are also sent to it. Bounds come from a sample of keys, of SAMPLE a range, the same
+on each run. Copies beside each other, however many ranges they fill, all have the page before and the page after the copies, so
+bounds do not change which pages are beside each other.
 
 Cases: null html counts as empty; pages without text give an empty text; null urls, and urls without ://, are on the host
 '' and beside each other; equal urls are beside each other, sorted by page_id; repeated rows stay; pages with equal lines
-are not held against each other, and one with a copy before it is held against the last page before the copies (copies that start a host have none, but the last); cut-off or
-deeply nested markup is read as far as it goes, in linear time; an empty table gives an empty result; extra columns are
+are not held against each other, but against the pages before and after all of them; cut-off or deeply nested markup is read as far as it goes, in linear time; an empty table gives an empty result; extra columns are
 ignored.
 """
 
@@ -38,8 +38,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from veilwork.llm import urls
-from veilwork.llm.common import small_batches
+from veilwork.llm import common as shared, urls
 
 MAIN, OPEN, FRAME, DOUBT = 0, 1, 2, 3
 
@@ -213,9 +212,28 @@ def main_text(page: list[tuple[str, int]], near: list[list[tuple[str, int]]] = (
 ROW = "place string, host string, path string, page_id string, url string, held long, lines array<struct<t:string,z:int>>"
 
 
+def beside(keys: DataFrame) -> DataFrame:
+    """place, held, also: the pages that further ranges need, of keys (place, host, held, range). A range needs the last page before it that
+    is no copy of its first page, and the first page after it that is no copy of its last, however many ranges the copies fill.
+    At most two pages a range; the windows run over the table of ranges."""
+    page = F.struct("place", "held", "host")
+    differ = lambda a, b: (F.col(f"{a}.held") != F.col(f"{b}.held")) | (F.col(f"{a}.host") != F.col(f"{b}.host"))
+    ends = shared.materialize(keys.groupBy("range").agg(F.min(page).alias("first"), F.max(page).alias("last")))
+    other = shared.written_join(keys.withColumn("page", page), ends, "range").groupBy("range").agg(F.max(F.when(differ("page", "last"), F.col("page"))).alias("below"), F.min(F.when(differ("page", "first"), F.col("page"))).alias("above"))
+    order = Window.orderBy("range")
+    t = ends.join(other, "range").withColumns({"left": F.lag("last").over(order), "right": F.lead("first").over(order)})
+    # up to and from each range, the nearest page that is no copy of its last and of its first page; a range of copies alone passes on
+    t = t.withColumn("below", F.coalesce("below", F.when(differ("left", "first"), F.col("left")))).withColumn("above", F.coalesce("above", F.when(differ("right", "last"), F.col("right"))))
+    t = t.withColumns({"below": F.last("below", True).over(order.rowsBetween(Window.unboundedPreceding, 0)), "above": F.first("above", True).over(order.rowsBetween(0, Window.unboundedFollowing))})
+    before = F.when(differ("left", "first"), F.col("left")).otherwise(F.lag("below").over(order))
+    after = F.when(differ("right", "last"), F.col("right")).otherwise(F.lead("above").over(order))
+    needs = t.select("range", F.explode(F.array(before, after)).alias("page")).where("page is not null")
+    return needs.groupBy(F.col("page.place").alias("place"), F.col("page.held").alias("held")).agg(F.collect_set("range").alias("also"))
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text of every page."""
-    small_batches(pages.sparkSession)
+    shared.small_batches(pages.sparkSession)
     kind = dict(pages.dtypes)["page_id"]
     keyed = pages.select(F.col("page_id").cast("string").alias("page_id"), "url", "html", urls.host("url").alias("host"), urls.path("url").alias("path"))
     keyed = keyed.withColumn("place", F.concat_ws("\x00", "host", "path", F.lpad(F.coalesce("page_id", F.lit("")), 20, "0"), F.hex(F.xxhash64("url"))))
@@ -225,14 +243,6 @@ def extract(pages: DataFrame) -> DataFrame:
     def range_of(place: pd.Series) -> pd.Series:
         return place.map(lambda p: bisect_right(bounds, p)).astype("int32")
 
-    # the pages at the ends of ranges: two rows a range
-    keys = keyed.select("place", range_of("place").alias("range"))
-    ends = keys.groupBy("range").agg(F.min("place").alias("first"), F.max("place").alias("last"))
-    beside = Window.orderBy("range")
-    ends = ends.select("first", "last", F.lag("range").over(beside).alias("under"), F.lead("range").over(beside).alias("over"))
-    sent = ends.select(F.explode(F.array(F.struct(F.col("first").alias("place"), F.col("under").alias("also")), F.struct(F.col("last").alias("place"), F.col("over").alias("also")))).alias("e")).select("e.*").where("also is not null")
-    sent = sent.groupBy("place").agg(F.collect_set("also").alias("also"))
-
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             found = [lines(h) if h else [] for h in b.pop("html")]
@@ -241,34 +251,41 @@ def extract(pages: DataFrame) -> DataFrame:
             yield b
 
     parsed = keyed.select("place", "host", "path", "page_id", "url", F.coalesce("html", F.lit("")).alias("html")).mapInPandas(parse, ROW)
-    rows = parsed.join(F.broadcast(sent), "place", "left").withColumn("range", range_of("place"))
+    sent = beside(shared.materialize(parsed.select("place", "host", "held", range_of("place").alias("range"))))
+    rows = shared.written_join(parsed, shared.materialize(sent), ["place", "held"], "left").withColumn("range", range_of("place"))
     to = F.concat(F.array(F.struct(F.col("range").alias("range"), F.lit(False).alias("copy"))), F.coalesce(F.transform("also", lambda r: F.struct(r.alias("range"), F.lit(True).alias("copy"))), F.array().cast("array<struct<range:int,copy:boolean>>")))
     rows = rows.withColumn("to", F.explode(to)).select("to.range", "to.copy", *[c.split(" ")[0] for c in ROW.split(", ")])
 
     def sweep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        # a page is done when the next has come; of those before it, the last and the last with other lines than that
-        zoned = lambda x: [(line["t"], line["z"]) for line in x.lines]
-        before, earlier, now, out = None, None, None, []
+        # a group of pages with equal lines waits for the page after it; of the pages before it, the last is known
+        group, before, members, zoned, out = None, None, [], {}, []
 
         def done(after) -> None:
-            near = [x for x in ((earlier if before is not None and before.held == now.held else before), after) if x is not None and x.range == now.range and x.host == now.host and x.held != now.held]
-            near.sort(key=lambda x: -len(commonprefix([now.path, x.path])))  # of equals, the one before
-            out.append((now.page_id, now.url, main_text(zoned(now), [zoned(x) for x in near])))
-
+            near = [x for x in (before, after) if x is not None and x.range == group.range and x.host == group.host]
+            texts = {}
+            for page_id, url, path, zones in members:
+                mine = sorted(near, key=lambda x: -len(commonprefix([path, x.path])))  # of equals, the one before
+                key = zones, tuple(x is before for x in mine)
+                if key not in texts:
+                    texts[key] = main_text(zoned[zones], [lines_of(x) for x in mine])
+                out.append((page_id, url, texts[key]))
+
+        lines_of = lambda x: [(line["t"], line["z"]) for line in x.lines]
         for b in batches:
             for r in b.itertuples(index=False):
-                if now is not None:
-                    if not now.copy:
-                        done(r)
-                    if before is not None and before.held != now.held:
-                        earlier = before
-                    before = now
-                now = r
+                if group is not None and (r.range, r.host, r.held) != (group.range, group.host, group.held):
+                    done(r)
+                    before, members, zoned = (last if last.range == r.range else None), [], {}
+                group = last = r
+                if not r.copy:
+                    zones = bytes(line["z"] for line in r.lines)
+                    zoned.setdefault(zones, lines_of(r))
+                    members.append((r.page_id, r.url, r.path, zones))
             yield pd.DataFrame(out, columns=["page_id", "url", "text"])
-            out = []
-        if now is not None and not now.copy:
+            out.clear()
+        if group is not None:
             done(None)
             yield pd.DataFrame(out, columns=["page_id", "url", "text"])
 
-    swept = rows.repartition("range").sortWithinPartitions("range", "place").mapInPandas(sweep, "page_id string, url string, text string")
+    swept = rows.repartition("range").sortWithinPartitions("range", "place", "held").mapInPandas(sweep, "page_id string, url string, text string")
     return swept.withColumn("page_id", F.col("page_id").cast(kind))

@@ -384,20 +384,53 @@ def ranked_windows(texts: DataFrame, length: int) -> DataFrame:
     return done.mapInArrow(name, MARK)
 
 
-def marks(texts: DataFrame, length: int) -> DataFrame:
+def handed(rows: DataFrame, found: DataFrame, twice: DataFrame | None, length: int) -> DataFrame:
+    """many, key, marks: what found (id, names, masks) has for the rows (many, key, id, text). A row whose id is its own gets the marks of
+    its id. One that shares its id gets those that are of its own runs, joined by id and run: else each row of an id would get the
+    marks of all of them."""
+    alone = found if twice is None else found.join(twice, "id", "left_anti")
+    lists = alone.groupBy("id").agg(F.collect_list(F.struct("names", "masks")).alias("marks")).select(F.lit(False).alias("many"), F.col("id").alias("key"), "marks")
+    if twice is None:
+        return lists
+
+    def runs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys = b.column("key").to_numpy()
+            for data, begin, size, ids, _, row in chunks([b]):
+                _, _, _, run, text, _ = runs(data, begin, size, length)
+                order = np.lexsort((run, text))
+                order = order[starts(text[order], run[order])]
+                yield table("key long, id long, names binary", keys[row + text[order]], ids[text[order]], names_as(run[order]))
+
+    own = rows.where("many").select("key", "id", "text").mapInArrow(runs_of, "key long, id long, names binary").distinct()
+    each = found.join(twice, "id", "left_semi").select("id", F.explode(F.expr("transform(sequence(0, length(names) div 8 - 1), i -> substring(names, i * 8 + 1, 8))")).alias("names"), "masks").distinct()
+    many = own.join(each, ["id", "names"]).groupBy("key").agg(F.collect_set(F.struct("names", "masks")).alias("marks"))
+    return lists.unionByName(many.select(F.lit(True).alias("many"), "key", "marks"))
+
+
+def marks(texts: DataFrame, twice: DataFrame | None, length: int) -> DataFrame:
     """id, names, masks: which runs of a document are repeated, by name: all windows, or those of the mask."""
     found = common.materialize(ranked_runs(texts, length))
-    still = found.where("open").groupBy("id").agg(F.collect_list("names").alias("names"))
-    edges = ranked_windows(texts.join(still, "id"), length)
+    still = handed(texts, found.where("open").select("id", "names", "masks"), twice, length).select("many", "key", F.transform("marks", lambda m: m["names"]).alias("names"))
+    edges = ranked_windows(texts.join(still, ["many", "key"]), length)
     return found.where("not open").unionByName(edges).select("id", "names", "masks")
 
 
 def marked(docs: DataFrame, length: int, schema, finish) -> DataFrame:
     """finish(rows of docs as a batch, their packed spans) for every batch of docs."""
     common.small_batches(docs.sparkSession)
-    id_ = F.coalesce(F.col("doc_id").cast("long"), F.lit(int(LAST))).alias("id")
-    found = marks(docs.select(id_, common.text_of().alias("text")), length).groupBy("id").agg(F.collect_list(F.struct("names", "masks")).alias("marks"))
-    rows = docs.select(F.struct("*").alias("doc"), id_).join(found, "id", "left")
+    id_, text = F.coalesce(F.col("doc_id").cast("long"), F.lit(int(LAST))), common.text_of()
+    twice = common.materialize(docs.select(id_.alias("id")).groupBy("id").count().where("count > 1").select("id"))
+    twice = None if twice.isEmpty() else twice
+    rows = docs.select(F.struct("*").alias("doc"), id_.alias("id"), text.alias("text"))
+    many = F.lit(False)
+    if twice is not None:
+        rows = common.written_join(rows, common.materialize(twice.withColumn("many", F.lit(True))), "id", "left")
+        many = F.coalesce("many", F.lit(False))
+    rows = rows.withColumn("many", many).withColumn("key", F.when(F.col("many"), F.xxhash64("id", "text")).otherwise(F.col("id")))
+    texts = rows.select("many", "key", "id", "text")
+    found = handed(texts, marks(texts, twice, length), twice, length)
+    rows = rows.select("doc", "id", "many", "key").join(found, ["many", "key"], "left")
     width = -(-(length - GRAM + 1) // 8)
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
