@@ -227,7 +227,8 @@ def beside(keys: DataFrame) -> DataFrame:
     t = t.withColumns({"below": F.last("below", True).over(order.rowsBetween(Window.unboundedPreceding, 0)), "above": F.first("above", True).over(order.rowsBetween(0, Window.unboundedFollowing))})
     before = F.when(differ("left", "first"), F.col("left")).otherwise(F.lag("below").over(order))
     after = F.when(differ("right", "last"), F.col("right")).otherwise(F.lead("above").over(order))
-    needs = t.select("range", F.explode(F.array(before, after)).alias("page")).where("page is not null")
+    t = t.select("range", before.alias("before"), after.alias("after"))
+    needs = t.select("range", F.explode(F.array("before", "after")).alias("page")).where("page is not null")
     return needs.groupBy(F.col("page.place").alias("place"), F.col("page.held").alias("held")).agg(F.collect_set("range").alias("also"))
 
 
