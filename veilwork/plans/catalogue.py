@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilwork.plans import bodies, evaluation, privacy, relational, traffic
+from veilwork.plans import bodies, evaluation, exact, privacy, relational, traffic
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = relational.QUERIES | privacy.QUERIES | evaluation.QUERIES | traffic.QUERIES | bodies.QUERIES
-ORACLE: dict[str, str] = relational.ORACLE | privacy.ORACLE | evaluation.ORACLE | traffic.ORACLE | bodies.ORACLE
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = relational.QUERIES | privacy.QUERIES | evaluation.QUERIES | traffic.QUERIES | bodies.QUERIES | exact.QUERIES
+ORACLE: dict[str, str] = relational.ORACLE | privacy.ORACLE | evaluation.ORACLE | traffic.ORACLE | bodies.ORACLE | exact.ORACLE
 flagship = privacy.flagship

@@ -19,14 +19,8 @@ SQL = {
     "doc_profile": "SELECT doc_id, lang, source, length(text) AS chars, length(text) - length(replace(text, chr(10), '')) + 1 AS n_lines FROM {documents}",
     # joins
     "names_intersect": "SELECT replace(lower(c_name), 'customer#', '') AS name FROM {customer} INTERSECT SELECT replace(lower(s_name), 'supplier#', '') FROM {supplier}",
-    "interval_overlap": """WITH a AS (SELECT o_custkey AS k, o_orderkey AS id, o_orderdate AS s, o_orderdate + INTERVAL 30 DAYS AS e FROM {orders}), b AS (SELECT l.l_orderkey, o.o_custkey AS k, l.l_linenumber AS n, l.l_shipdate AS s, l.l_shipdate + INTERVAL 3 DAYS AS e FROM {lineitem} l JOIN {orders} o ON l.l_orderkey = o.o_orderkey)
-        SELECT a.k, a.id, count(*) AS n_overlaps FROM a JOIN b ON a.k = b.k AND a.s < b.e AND b.s < a.e GROUP BY a.k, a.id""",
     # aggregations
     "harness_totals": f"WITH {EV} SELECT treatment, event_type, count(*) AS n, round(sum(value), 4) AS total FROM ev GROUP BY GROUPING SETS ((treatment), (treatment, event_type), ())",
-    "latency_percentiles": """WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type, user_id % 8 ORDER BY value, event_id) AS i, count(*) OVER (PARTITION BY event_type, user_id % 8) AS n, user_id % 8 AS lane FROM {events})
-        SELECT event_type, lane, max(CASE WHEN i = least(n, CAST(floor(0.5 * n) AS bigint) + 1) THEN value END) AS p50, max(CASE WHEN i = least(n, CAST(floor(0.95 * n) AS bigint) + 1) THEN value END) AS p95, max(value) AS most FROM r GROUP BY event_type, lane""",
-    "upper_median": """WITH r AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY value, event_id) AS i, count(*) OVER (PARTITION BY user_id) AS n FROM {events})
-        SELECT user_id, value AS median_ms FROM r WHERE i = CAST(floor(n / 2) AS bigint) + 1""",
     # windows
     "trailing_latency": "SELECT event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 59 PRECEDING AND CURRENT ROW), 9) AS trailing FROM {events}",
     "exchange_timeline": "SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS position, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM {events}",

@@ -8,9 +8,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from veilwork.functions import text as T
-from veilwork.operators import jsontext, risk, route, telemetry, vault
+from veilwork.operators import jsontext, ranks, risk, route, telemetry, vault
 from veilwork.plans import privacy
-from veilwork.session import load
+from veilwork.session import load, settled
 from veilwork.sources import bodies, corpus
 
 AGENTS = ("Mozilla (iPad)", "Tablet UA", "Mozilla (iPhone)", "Android 14", "Macintosh", "X11; Linux", "curl/8", "")
@@ -117,7 +117,7 @@ def labelled_join(spark, sf_dir):
 
 def json_escapes(spark, sf_dir):
     d = load(spark, sf_dir, "documents").where("text is not null")
-    return d.select("doc_id", F.md5(jsontext.escape(F.col("text")).cast("binary")).alias("relaxed"), F.length(jsontext.escape(F.substring("text", 1, 200), True)).alias("ascii_length"))
+    return d.select("doc_id", F.md5(jsontext.escape(F.col("text")).cast("binary")).alias("relaxed"), F.length(jsontext.escape(F.col("text"), True)).alias("ascii_length"))
 
 
 def tokens(spark, sf_dir):
@@ -218,7 +218,7 @@ def similarity_summary(spark, sf_dir):
 
 
 def risk_pairs(spark, sf_dir):
-    p = load(spark, sf_dir, "part").where("p_partkey < 3000")
+    p = load(spark, sf_dir, "part")
     return p.select(F.floor(F.col("p_partkey") / 5).cast("bigint").alias("exchange_id"), (F.col("p_partkey") % 5).cast("int").alias("ordinal"), F.concat("p_name", F.lit(" "), "p_type").alias("text"), F.substring_index("p_name", " ", 1).alias("name"), (F.col("p_retailprice") / 1000).alias("similarity"))
 
 
@@ -238,14 +238,14 @@ def vocab_counts(spark, sf_dir):
 
 def encode_tokens(spark, sf_dir):
     """Turns by the vocabulary of all turns: numbers from 4 by frequency, 0 pad, 1 begin, 2 end, 3 unknown; twelve each."""
-    words = F.slice(F.filter(F.split(F.lower("text"), r"[ \t\n\r]+"), lambda x: x != ""), 1, 10)
-    turns = load(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce(words, F.array().cast("array<string>")).alias("words"))
-    counts = load(spark, sf_dir, "conversations").select(F.explode(F.filter(F.split(F.lower("text"), r"[ \t\n\r]+"), lambda x: x != "")).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    # a vocabulary is a top-k: its size is the model's, not the corpus'
-    kept = counts.where("n >= 2").orderBy(F.desc("n"), "word").limit(500).agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), "word"))).alias("v")).select(F.transform("v", lambda x: x["word"]).alias("v"))
-    ids = F.transform("words", lambda w: F.coalesce(F.nullif(F.array_position("v", w), F.lit(0)) + 3, F.lit(3)))
-    padded = F.slice(F.concat(F.array(F.lit(1)).cast("array<bigint>"), ids, F.array(F.lit(2)).cast("array<bigint>"), F.array_repeat(F.lit(0).cast("bigint"), 12)), 1, 12)
-    return turns.crossJoin(F.broadcast(kept)).select("conv_id", "turn", F.array_join(padded.cast("array<string>"), " ").alias("tokens"))
+    words = F.filter(F.split(F.lower("text"), r"[ \t\n\r]+"), lambda x: x != "")
+    talk = load(spark, sf_dir, "conversations")
+    counts = talk.select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("n")).where("n >= 2")
+    vocabulary = settled(ranks.numbered(counts, F.desc("n"), F.asc("word"), name="id").select("word", (F.col("id") + 4).alias("id")))
+    said = talk.select("conv_id", "turn", F.posexplode_outer(F.slice(words, 1, 10)).alias("place", "word"))
+    ids = ranks.with_small(said, vocabulary, "word", "left").groupBy("conv_id", "turn").agg(F.array_sort(F.collect_list(F.when(F.col("place").isNotNull(), F.struct("place", F.coalesce("id", F.lit(3)).alias("id"))))).alias("ids"))
+    padded = F.slice(F.concat(F.array(F.lit(1).cast("bigint")), F.transform("ids", lambda x: x["id"].cast("bigint")), F.array(F.lit(2).cast("bigint")), F.array_repeat(F.lit(0).cast("bigint"), 12)), 1, 12)
+    return ids.select("conv_id", "turn", F.array_join(padded.cast("array<string>"), " ").alias("tokens"))
 
 
 def assessor_status(spark, sf_dir):
@@ -310,7 +310,7 @@ ORACLE = {
         SELECT id, 0 AS ordinal, s0 AS start, n0 AS length, v0 AS value, 'type' AS path FROM l UNION ALL SELECT id, 1, s1, n1, v1, 'by.name' FROM l
         UNION ALL SELECT id, 2, s1 + n1 + 1 + 11 + length(props) + 13, 1, 'a', 'list' FROM l UNION ALL SELECT id, 3, s1 + n1 + 1 + 11 + length(props) + 13 + 14, length('é' || id), 'é' || id, 'list.deep' FROM l""",
     "labelled_join": "SELECT event_id AS id, '[type] ' || event_type || chr(10) || '[by.name] René \"' || user_id || '\"' || chr(10) || '[list] a' || chr(10) || '[list.deep] é' || event_id AS joined FROM events WHERE event_id % 31 <> 0",
-    "json_escapes": "WITH d AS (SELECT doc_id, text, CAST(to_json(text) AS varchar) AS j, string_split(substr(text, 1, 200), '') AS cs FROM documents WHERE text IS NOT NULL) SELECT doc_id, md5(substr(j, 2, length(j) - 2)) AS relaxed, CAST(coalesce(list_sum(list_transform(cs, lambda c: CASE WHEN c = '' THEN 0 WHEN c IN ('\"', '\\', chr(8), chr(9), chr(10), chr(12), chr(13)) THEN 2 WHEN unicode(c) < 32 THEN 6 WHEN unicode(c) < 128 THEN 1 WHEN unicode(c) < 65536 THEN 6 ELSE 12 END)), 0) AS integer) AS ascii_length FROM d",
+    "json_escapes": "WITH d AS (SELECT doc_id, text, CAST(to_json(text) AS varchar) AS j, string_split(text, '') AS cs FROM documents WHERE text IS NOT NULL) SELECT doc_id, md5(substr(j, 2, length(j) - 2)) AS relaxed, CAST(coalesce(list_sum(list_transform(cs, lambda c: CASE WHEN c = '' THEN 0 WHEN c IN ('\"', '\\', chr(8), chr(9), chr(10), chr(12), chr(13)) THEN 2 WHEN unicode(c) < 32 THEN 6 WHEN unicode(c) < 128 THEN 1 WHEN unicode(c) < 65536 THEN 6 ELSE 12 END)), 0) AS integer) AS ascii_length FROM d",
     "vault_lookup": f"WITH {TOKENS} SELECT client, host, count(*) AS n_tokens, count(*) FILTER (first_seen % 2 = 0) AS n_known FROM t GROUP BY client, host",
     "vault_pair_cap": f"WITH {TOKENS} SELECT client, host, kind, value, row_number() OVER (PARTITION BY client, host ORDER BY first_seen, kind, value) <= 2 AS restorable FROM t",
     "restorable_pairs": f"WITH {TOKENS}, c AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY client, host ORDER BY first_seen, kind, value) AS i, left(md5('k|' || client || '|' || host || '|' || kind || '|' || value), 1) AS s FROM t) x WHERE i <= 12), n AS (SELECT *, row_number() OVER (PARTITION BY client, host, s ORDER BY kind, value) AS k FROM c) SELECT client, host, kind, value, s || CASE WHEN k > 1 THEN '~' || k ELSE '' END AS standin FROM n",
@@ -327,9 +327,9 @@ ORACLE = {
     "correlation_ids": f"WITH {X} SELECT event_id, 'r-' || lpad(CAST(row_number() OVER (PARTITION BY client_label ORDER BY \"at\", event_id) AS varchar), 5, '0') AS id FROM x",
     "dropped_reports": f"WITH {R} SELECT CAST(floor(\"at\" / 86400000) AS bigint) AS report, count(*) AS n FROM r WHERE event_id % 5 = 0 GROUP BY 1",
     "similarity_summary": f"WITH d AS (SELECT e.vec_id, {privacy.DOT} AS dot FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q) SELECT round(avg(dot), 3) AS mean, min(dot) AS least, max(dot) AS most, (SELECT round(sum(dot), 3) FROM (SELECT dot FROM d ORDER BY dot DESC, vec_id LIMIT 10) t) AS top10 FROM d",
-    "risk_features": "WITH p AS (SELECT p_partkey // 5 AS exchange_id, CAST(p_partkey % 5 AS integer) AS ordinal, p_name || ' ' || p_type AS text, split_part(p_name, ' ', 1) AS name, p_retailprice / 1000 AS s FROM part WHERE p_partkey < 3000), g AS (SELECT exchange_id AS g, avg(s) AS m, stddev_pop(s) AS sd FROM p GROUP BY exchange_id) SELECT exchange_id, ordinal, CAST(contains(lower(text), lower(name)) AS double) AS contained, round(CAST(length(text) + length(name) - levenshtein(text, name) AS double) / (length(text) + length(name)), 6) AS ratio, round(CASE WHEN sd > 0 THEN (s - m) / sd ELSE 0 END, 4) + 0.0 AS standing FROM p JOIN g ON exchange_id = g",
+    "risk_features": "WITH p AS (SELECT p_partkey // 5 AS exchange_id, CAST(p_partkey % 5 AS integer) AS ordinal, p_name || ' ' || p_type AS text, split_part(p_name, ' ', 1) AS name, p_retailprice / 1000 AS s FROM part), g AS (SELECT exchange_id AS g, avg(s) AS m, stddev_pop(s) AS sd FROM p GROUP BY exchange_id) SELECT exchange_id, ordinal, CAST(contains(lower(text), lower(name)) AS double) AS contained, round(CAST(length(text) + length(name) - levenshtein(text, name) AS double) / (length(text) + length(name)), 6) AS ratio, round(CASE WHEN sd > 0 THEN (s - m) / sd ELSE 0 END, 4) + 0.0 AS standing FROM p JOIN g ON exchange_id = g",
     "vocab_counts": f"SELECT word, count(*) AS n FROM (SELECT unnest({WORDS}) AS word FROM documents) w GROUP BY word HAVING count(*) >= 5",
-    "encode_tokens": f"""WITH w AS (SELECT word, count(*) AS n FROM (SELECT unnest({WORDS}) AS word FROM conversations) x GROUP BY word HAVING count(*) >= 2), v AS (SELECT word, row_number() OVER (ORDER BY n DESC, encode(word)) + 3 AS id FROM w QUALIFY row_number() OVER (ORDER BY n DESC, encode(word)) <= 500), m AS (SELECT map(list(word), list(id)) AS m FROM v)
+    "encode_tokens": f"""WITH w AS (SELECT word, count(*) AS n FROM (SELECT unnest({WORDS}) AS word FROM conversations) x GROUP BY word HAVING count(*) >= 2), v AS (SELECT word, row_number() OVER (ORDER BY n DESC, encode(word)) + 3 AS id FROM w), m AS (SELECT map(list(word), list(id)) AS m FROM v)
         SELECT conv_id, turn, array_to_string(([1] || list_transform(coalesce({WORDS}, [])[1:10], lambda x: coalesce(m[x], 3)) || [2] || list_transform(range(12), lambda i: 0))[1:12], ' ') AS tokens FROM conversations, m""",
     "assessor_status": "SELECT doc_id, CASE WHEN doc_id % 50 = 0 THEN 'disabled' WHEN coalesce(length(text), 0) = 0 THEN 'empty' WHEN NOT regexp_matches(text, '[A-Z][a-z]+ [A-Z][a-z]+') THEN 'no names' ELSE 'assessed' END AS status FROM documents",
     "corpus_load": """WITH f AS (SELECT coalesce(source, 'none') AS category, CASE WHEN doc_id % 3 = 0 THEN 'doc-' || doc_id % 40 ELSE 'free name+' || doc_id % 30 END AS name, coalesce(source, 'none') || '/' || doc_id || '/' || CASE WHEN doc_id % 3 = 0 THEN 'doc-' || doc_id % 40 ELSE 'free name+' || doc_id % 30 END || '.md' AS path, CASE WHEN doc_id % 2 = 0 THEN 'intro' || chr(10) || '# Title ' || doc_id || chr(10) ELSE '' END || coalesce(text, '') AS text FROM documents),

@@ -74,6 +74,26 @@ def drawn(seed: int, *parts: Column) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), *parts), F.lit(1 << 40)) / F.lit(float(1 << 40))
 
 
+def times(a: Column, b: Column) -> Column:
+    """a * b modulo 2^32, of numbers below 2^32, by halves, so that no product passes 2^63."""
+    low, high = b.bitwiseAND(F.lit(0xFFFF)), F.shiftright(b, 16)
+    return (a * low + F.shiftleft((a * high).bitwiseAND(F.lit(0xFFFF)), 16)).bitwiseAND(F.lit(0xFFFFFFFF))
+
+
+# The step and the multipliers of the 32-bit generator
+STEP, ODD, MORE = 0x6D2B79F5, 1, 61
+
+
+def seeded(seed: int, n: Column) -> Column:
+    """Draw n (from 1) of the sequence of a seed, in [0, 1). The generator's state grows by STEP a draw, so that of draw n is known
+    without the draws before it: a column needs no order, and any row can be drawn by itself."""
+    mask = F.lit(0xFFFFFFFF)
+    state = (F.lit(seed & 0xFFFFFFFF) + times(n.cast("long").bitwiseAND(mask), F.lit(STEP).cast("long"))).bitwiseAND(mask)
+    first = times(state.bitwiseXOR(F.shiftright(state, 15)), state.bitwiseOR(F.lit(ODD)))
+    second = first.bitwiseXOR((first + times(first.bitwiseXOR(F.shiftright(first, 7)), first.bitwiseOR(F.lit(MORE)))).bitwiseAND(mask))
+    return second.bitwiseXOR(F.shiftright(second, 14)) / F.lit(float(1 << 32))
+
+
 # Scenarios of the traffic, their share of its part, and whether they hold personal data
 SCENARIOS = (("ping", 20, False), ("echo", 15, False), ("download", 10, False), ("upload", 10, False), ("form", 10, False), ("slow", 5, False), ("error", 5, False), ("contact", 50, True), ("ticket", 30, True), ("medical", 20, True))
 
