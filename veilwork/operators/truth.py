@@ -12,8 +12,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from veilwork.functions import detect, text as T
 from veilwork.operators import gazetteer, spans
+from veilwork.sources import policy
 
-# Shapes in order of precedence, the words before a birth date, and the default policy
+# Shapes in order of precedence, and the words before a birth date
 SHAPES = (
     ("ADDRESS", r"\b[A-ZÄÖÜ][a-zäöüéèà]+(?:strasse|gasse|weg|platz|rain|allee|ring|matte|halde|feld|steig|hof|str\.)\s+[0-9]+[a-z]?,\s*[0-9]{4}\s+[A-ZÄÖÜ][0-9A-Za-z_äöüéèà]+(?:/[A-ZÄÖÜ][0-9A-Za-z_äöüéèà]+)?(?:\s+bei\s+[A-ZÄÖÜ][0-9A-Za-z_äöüéèà]+)?"),
     ("IBAN", r"\bCH[0-9]{2}(?:\s?[0-9]{4}){4}\s?[0-9]\b"),
@@ -27,8 +28,7 @@ SHAPES = (
     ("IP", r"\b[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?:/[0-9]{1,2})?\b"),
 )
 BIRTH_CUE, CUE_LENGTH = r"(?i)(?:geboren am|Geburtsdatum|geb\.)\s*$", 24
-REDACT = ("PERSON", "EMAIL", "PHONE", "IBAN", "AHV", "ADDRESS", "BIRTHDATE")
-KEEP = ("rechnung@natron.io", "no-reply@ticketsystem.example", "+41 31 528 00 00", "Güterstrasse 24, 3008 Bern")
+REDACT = tuple(policy.POLICY["redact"])
 
 
 def shaped(docs: DataFrame) -> DataFrame:
@@ -49,11 +49,11 @@ def candidates(docs: DataFrame, literals: DataFrame) -> DataFrame:
     return shaped(docs).unionByName(found)
 
 
-def policy_of(value: Column, kind: Column, redact: Iterable[str] = REDACT, keep: Iterable[str] = KEEP) -> Column:
-    return F.when(value.isin(*keep), "keep").when(kind.isin(*redact), "redact").otherwise("informational")
+def policy_of(value: Column, kind: Column, redact: Iterable[str] = REDACT, keep: Iterable[str] = ()) -> Column:
+    return F.when(value.isin(*keep) if keep else F.lit(False), "keep").when(kind.isin(*redact), "redact").otherwise("informational")
 
 
-def resolved(docs: DataFrame, found: DataFrame, redact: Iterable[str] = REDACT, keep: Iterable[str] = KEEP) -> DataFrame:
+def resolved(docs: DataFrame, found: DataFrame, redact: Iterable[str] = REDACT, keep: Iterable[str] = ()) -> DataFrame:
     """Entities: of overlapping candidates, by start, the longer first, then the earlier source; with policy, index and line."""
     each = found.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end", "ordinal", "kind", "value", "tier")).alias("all"))
     each = each.withColumn("kept", spans.non_overlapping("all", "start, -(end - start), ordinal"))
@@ -63,7 +63,7 @@ def resolved(docs: DataFrame, found: DataFrame, redact: Iterable[str] = REDACT,
     )
 
 
-def entities(docs: DataFrame, redact: Iterable[str] = REDACT, keep: Iterable[str] = KEEP) -> DataFrame:
+def entities(docs: DataFrame, redact: Iterable[str] = REDACT, keep: Iterable[str] = ()) -> DataFrame:
     return resolved(docs, candidates(docs, gazetteer.build(docs).literals()), redact, keep)
 
 

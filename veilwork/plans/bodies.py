@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from veilwork.functions import detect
-from veilwork.operators import jsontext, mutation
+from veilwork.operators import jsontext, mutation, names, truth
 from veilwork.plans import privacy
 from veilwork.session import load, settled
-from veilwork.sources import fixtures
+from veilwork.sources import fixtures, policy
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,7 +52,25 @@ def split_pieces(spark, sf_dir):
     return d.select("p_partkey", F.explode(pieces).alias("p")).groupBy("p_partkey").agg(F.count("*").alias("n"), F.sum(F.length("p.text")).alias("chars"), F.count_if(F.col("p.span") == 1).alias("n_an"), F.count_if(F.col("p.span").isNull()).alias("n_between"), F.count_if(F.col("p.span") == 3).alias("n_in_blank"))
 
 
-QUERIES = {f.__name__: f for f in (redacted_bodies, restored_bodies, analysis_shapes, split_pieces)}
+def policy_merge(spark, sf_dir):
+    """A policy file a customer: missing, no JSON, a list, given in part, of a wrong type, or with further keys."""
+    given = ("", "{not json", "[1]", '{"keep": ["Kim"]}', '{"redact": "DATE", "keep": [1, 2]}', '{"redact": ["DATE"], "keep": [], "more": {"a": 1}}')
+    text = F.element_at(F.array(F.lit(None), *[F.lit(g) for g in given]), (F.col("c_custkey") % 7 + 1).cast("int"))
+    rows = load(spark, sf_dir, "customer").select("c_custkey", policy.merged(text, policy.POLICY).alias("p"), policy.merged(F.concat(F.lit('{"ttl_hours": '), F.col("c_custkey").cast("string"), F.lit(', "threshold": 1, "inspect": "no"}')), policy.SETTINGS).alias("s"))
+    of = lambda v, k: policy.policy_of(F.lit(v), F.lit(k), F.col("p"))
+    return rows.select("c_custkey", of("Kim", "PERSON").alias("kim"), of("1980-01-02", "DATE").alias("date"), F.size("p.redact").alias("n_redact"), F.col("s.ttl_hours").alias("ttl_hours"), F.col("s.threshold").alias("threshold"), F.col("s.inspect").alias("inspect"), F.col("s.clients").alias("clients"))
+
+
+def name_labels(spark, sf_dir):
+    """PERSON, ORG and LOCATION by a sequence labeller that has learned from three quarters of the tickets, in the rest."""
+    docs = settled(fixtures.tickets(spark, sf_dir))
+    known = settled(truth.entities(docs))
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    weights = names.learned(docs.where(~held), known.where(~held), ["PERSON", "ORG", "LOCATION"])
+    return names.findings(docs.where(held), weights)
+
+
+QUERIES = {f.__name__: f for f in (redacted_bodies, restored_bodies, analysis_shapes, split_pieces, policy_merge, name_labels)}
 
 SPELLED = """array_to_string(list_transform(string_split({t}, ''), lambda c: CASE WHEN c = '"' THEN '\\"' WHEN c = '\\' THEN '\\\\' WHEN c = chr(10) THEN '\\n' {more} ELSE c END), '')"""
 ASCII = "WHEN unicode(c) > 65535 THEN '\\u' || printf('%04x', 55296 + (unicode(c) - 65536) // 1024) || '\\u' || printf('%04x', 56320 + (unicode(c) - 65536) % 1024) WHEN unicode(c) > 127 THEN '\\u' || printf('%04x', unicode(c))"
@@ -74,6 +92,7 @@ BODIES = privacy.chosen_sql("texts", WHO).replace("RECURSIVE ", f"RECURSIVE reco
 SHAPES = "CASE WHEN n = 0 AND ignored IS NULL THEN '{}' WHEN n = 0 THEN '{\"ignored_results\":[' || ignored || ']}' ELSE '{\"mean\":' || mean || ',\"frequencies\":{' || kinds || '},\"results\":[' || results || ']' || CASE WHEN ignored IS NULL THEN '' ELSE ',\"ignored_results\":[' || ignored || ']' END || '}' END"
 
 ORACLE = {
+    "policy_merge": "SELECT c_custkey, CASE c_custkey % 7 WHEN 4 THEN 'keep' WHEN 6 THEN 'informational' ELSE 'redact' END AS kim, CASE WHEN c_custkey % 7 = 6 THEN 'redact' ELSE 'informational' END AS date, CASE WHEN c_custkey % 7 = 6 THEN 1 ELSE 7 END AS n_redact, c_custkey AS ttl_hours, 1.0 AS threshold, true AS inspect, 512 AS clients FROM customer",
     "redacted_bodies": f"""WITH {BODIES}, m AS (SELECT r.doc_id, CASE WHEN r.doc_id % 8 = 5 THEN d.text WHEN r.doc_id % 9 <> 0 THEN {body_sql('d.text', MAIL).replace('doc_id', 'r.doc_id')} END AS body FROM records r JOIN redacted d ON r.doc_id = d.doc_id),
         n AS (SELECT doc_id, count(DISTINCT kind || '|' || value) AS n FROM (SELECT doc_id, kind, value FROM kept UNION ALL SELECT doc_id, 'EMAIL_ADDRESS', 'a@example.org' FROM records WHERE doc_id % 8 NOT IN (3, 5)) x GROUP BY doc_id)
         SELECT m.doc_id, CASE WHEN m.doc_id % 9 = 0 THEN 'refused' ELSE 'treated' END AS status, CASE WHEN m.doc_id % 9 <> 0 THEN md5(body) END AS digest, CASE WHEN m.doc_id % 9 <> 0 THEN CAST(length(body) AS integer) END AS size, CAST(CASE WHEN m.doc_id % 9 = 0 THEN 0 ELSE n END AS integer) AS n_tokens FROM m JOIN n ON m.doc_id = n.doc_id""",

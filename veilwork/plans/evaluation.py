@@ -8,11 +8,18 @@ from veilwork.operators import compare, gazetteer, spans, truth
 from veilwork.session import settled
 from veilwork.sources import fixtures
 
+# What the tickets' policy keeps
+KEEP = ("rechnung@natron.io", "no-reply@ticketsystem.example", "+41 31 528 00 00", "Güterstrasse 24, 3008 Bern")
+
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return settled(fixtures.tickets(spark, sf_dir))
 
 
+def entities(docs: DataFrame) -> DataFrame:
+    return truth.entities(docs, keep=KEEP)
+
+
 def template_tickets(spark, sf_dir):
     return corpus(spark, sf_dir)
 
@@ -48,11 +55,11 @@ def candidate_union(spark, sf_dir):
 
 
 def resolve_overlaps(spark, sf_dir):
-    return truth.entities(corpus(spark, sf_dir)).select("doc_id", "index", "kind", "value", F.col("start").alias("start_"), F.col("end").alias("end_"), "tier", "policy", "line")
+    return entities(corpus(spark, sf_dir)).select("doc_id", "index", "kind", "value", F.col("start").alias("start_"), F.col("end").alias("end_"), "tier", "policy", "line")
 
 
 def truth_totals(spark, sf_dir):
-    return truth.totals(truth.entities(corpus(spark, sf_dir)))
+    return truth.totals(entities(corpus(spark, sf_dir)))
 
 
 def override_problems(spark, sf_dir):
@@ -60,14 +67,14 @@ def override_problems(spark, sf_dir):
     docs = corpus(spark, sf_dir)
     given = docs.where("doc_id % 10 = 0").select((F.col("doc_id") * F.when(F.col("doc_id") % 30 == 0, -1).otherwise(1)).alias("doc_id"), F.lit("PERSON").alias("kind"), F.substring("text", 1, 10).alias("value"), F.expr("cast(doc_id % 20 as int)").alias("start"), F.expr("cast(doc_id % 20 + 10 as int)").alias("end"), F.lit("strong").alias("tier"), F.lit("redact").alias("policy"))
     checked = truth.checked_overrides(docs, given)
-    kept = truth.overridden(truth.entities(docs), checked).groupBy("doc_id").agg(F.count("*").alias("n_entities"))
+    kept = truth.overridden(entities(docs), checked).groupBy("doc_id").agg(F.count("*").alias("n_entities"))
     return checked.select("doc_id", F.coalesce(F.regexp_extract("problem", "(no document|is not at)", 1), F.lit("")).alias("problem")).join(kept, "doc_id", "left").select("doc_id", "problem", F.coalesce("n_entities", F.lit(0)).cast("bigint").alias("n_entities"))
 
 
 def treated(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """docs (doc_id, sent, received, returned) and truth: a redaction that leaks, half hides, damages and loses some."""
     docs = corpus(spark, sf_dir)
-    found = settled(truth.entities(docs))
+    found = settled(entities(docs))
     turn = (F.col("doc_id") + F.col("start")) % 4
     hide = F.when(F.col("policy") == "redact", turn != 0).when(F.col("policy") == "keep", turn == 2).otherwise(turn == 3)
     token = F.concat(F.lit("x"), F.left(F.md5(F.col("value").cast("binary")), F.lit(6)))
@@ -135,7 +142,7 @@ def ci_gate(spark, sf_dir):
 def applied_confidence(spark, sf_dir):
     """Mean score and number of the applied spans of a kind; a shape is sure, a name from the gazetteer less so."""
     score = F.when(F.col("tier") == "weak", 0.65).when(F.col("kind").isin("PERSON", "ORG", "LOCATION"), 0.85).otherwise(1.0)
-    return truth.entities(corpus(spark, sf_dir)).withColumn("score", score).groupBy("kind").agg(F.round(F.avg("score"), 9).alias("confidence"), F.count("*").alias("n"))
+    return entities(corpus(spark, sf_dir)).withColumn("score", score).groupBy("kind").agg(F.round(F.avg("score"), 9).alias("confidence"), F.count("*").alias("n"))
 
 
 QUERIES = {f.__name__: f for f in (
@@ -180,7 +187,7 @@ every AS (SELECT doc_id, text, s, s + length(value) AS e, value, CASE WHEN kind
 ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY s, e DESC, ordinal, kind, value, tier) AS i FROM every),
 chosen AS (SELECT *, true AS kept, e AS last FROM ranked WHERE i = 1 UNION ALL SELECT r.*, r.s >= c.last, CASE WHEN r.s >= c.last THEN r.e ELSE c.last END FROM chosen c JOIN ranked r ON r.doc_id = c.doc_id AND r.i = c.i + 1),
 entities AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY s) - 1 AS integer) AS index, kind, value, s, e, tier, text,
-  CASE WHEN value IN ({', '.join(quoted(k) for k in truth.KEEP)}) THEN 'keep' WHEN kind IN ({', '.join(quoted(k) for k in truth.REDACT)}) THEN 'redact' ELSE 'informational' END AS policy FROM chosen WHERE kept)"""
+  CASE WHEN value IN ({', '.join(quoted(k) for k in KEEP)}) THEN 'keep' WHEN kind IN ({', '.join(quoted(k) for k in truth.REDACT)}) THEN 'redact' ELSE 'informational' END AS policy FROM chosen WHERE kept)"""
 
 #: What the made redaction does to each entity, without any alignment of texts.
 JUDGED = TRUTH + """,

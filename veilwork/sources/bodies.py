@@ -5,7 +5,7 @@ from __future__ import annotations
 import zlib
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 # Window sizes of the content encodings that can be undone; charsets that are known
 WINDOWS = {"gzip": 31, "x-gzip": 31, "deflate": 15}
@@ -17,6 +17,16 @@ def within(body: Column, limit: int) -> Column:
     return F.lit(limit <= 0) | (F.octet_length(body) <= limit)
 
 
+def files(spark: SparkSession, path: str, limit: int) -> DataFrame:
+    """path, length, body of the files below a path; body is null for those of more than limit bytes (0: none are). The limit is a
+    filter of the file source, which knows a file's length before it opens it: an oversize file is listed, and never read."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    if limit <= 0:
+        return listed.select("path", "length", F.col("content").alias("body"))
+    read = listed.where(F.col("length") <= limit).select("path", "length", F.col("content").alias("body"))
+    return read.unionByName(listed.where(F.col("length") > limit).select("path", "length", F.lit(None).cast("binary").alias("body")))
+
+
 def undone(body: bytes | None, encoding: str | None, limit: int) -> bytes | None:
     """The body without its content encoding; null for other encodings, damaged bodies, and bodies beyond the limit (0: none)."""
     name, most = (encoding or "").strip().lower(), limit if limit > 0 else (1 << 31) - 2
