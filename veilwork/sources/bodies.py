@@ -19,7 +19,7 @@ def within(body: Column, limit: int) -> Column:
 
 def files(spark: SparkSession, path: str, limit: int) -> DataFrame:
     """path, length, body of the files below a path; body is null for those of more than limit bytes (0: none are). The limit is a
-    filter of the file source, which knows a file's length before it opens it: an oversize file is listed, and never read."""
+    filter of the file source, which knows a file's length before it opens it: an oversize file is listed, and never read. Empty files are not listed, as Spark skips them."""
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     if limit <= 0:
         return listed.select("path", "length", F.col("content").alias("body"))
