@@ -8,7 +8,7 @@ import pytest
 
 from veilwork import facts
 from veilwork.functions import detect, text as T
-from veilwork.operators import evaluate, spans, vault
+from veilwork.operators import evaluate, literals, spans, vault
 from veilwork.plans import catalogue, privacy
 from pyspark.sql import functions as F
 
@@ -83,7 +83,7 @@ def test_iban_and_restore(spark):
 
 
 def test_gazetteer_tests_every_short_literal(spark, monkeypatch):
-    monkeypatch.setattr(evaluate, "BROADCAST_LITERALS", 10)
+    monkeypatch.setattr(literals, "BLOCK", 100)
     texts = [(i, " ".join(f"w{(i * 7 + k) % 50}x" for k in range(9))) for i in range(20)] + [(20, None), (3, "w1x w2x")]
     items = [(i, f"w{i}x") for i in range(50)] + [(50 + i, f"w{i}x w{i + 1}x") for i in range(10)] + [(70, "w1x"), (71, "w7x w8x w9x"), (72, "")]
     got = evaluate.gazetteer_hits(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()

@@ -74,6 +74,20 @@ def test_literals_stand_by_themselves(spark):
     assert sorted((r["doc_id"], r["start"]) for r in gazetteer.occurrences(docs, literals).collect()) == [(1, 0), (1, 11), (1, 30), (4, 0)]
 
 
+def test_many_literals_in_one_pass(spark):
+    rng = random.Random(4)
+    words = [f"{a}{b} {c}" for a in ("Ann", "Bo", "Cy") for b in range(200) for c in range(170)]
+    assert len(words) > 100_000
+    texts_ = [" ".join(rng.choice(words) for _ in range(40)) for _ in range(50)]
+    docs = spark.createDataFrame(list(enumerate(texts_)) + [(None, "Ann1 1, .Bo1 1 xCy1 1 Cy1 1")], "doc_id long, text string")
+    known = spark.createDataFrame([(w,) for w in words] + [("",), (None,)], "literal string")
+    began = time.monotonic()
+    got = gazetteer.occurrences(docs, known).collect()
+    assert time.monotonic() - began < 60 and sum(r["doc_id"] is not None for r in got) >= 2000
+    assert {(r["start"], r["literal"]) for r in got if r["doc_id"] is None} == {(0, "Ann1 1"), (22, "Cy1 1")}
+    assert all(texts_[r["doc_id"]][r["start"] : r["end"]] == r["literal"] for r in got if r["doc_id"] is not None)
+
+
 def test_truth_of_awkward_documents(spark):
     docs = spark.createDataFrame([(1, "geb. 1980-01-02, am 1999-12-31"), (2, None), (3, ""), (4, "NAT-2025-\n4688 CHF 1'000.50 10.0.0.0/8"), (5, "Güterstrasse 24, 3008 Bern bei Bern")], "doc_id long, text string")
     got = {(r["doc_id"], r["kind"], r["value"], r["policy"]) for r in truth.entities(docs).collect()}

@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-#: About so many literals are broadcast at once; more take several broadcasts.
-BROADCAST_LITERALS = 20_000
+from veilwork.operators import literals
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -27,29 +26,7 @@ def with_softmax(df: DataFrame, value: str, group: str, name: str) -> DataFrame:
     return rows.join(sums, group).withColumn(name, F.col("_e") / F.col("_sum")).drop("_e", "_most", "_sum")
 
 
-def stands(text: str, literal: str) -> Column:
-    """Whether a literal stands in a text by itself somewhere."""
-    quoted = F.concat(F.lit(r"\Q"), F.replace(F.col(literal), F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
-    return F.regexp_like(F.col(text), F.concat(F.lit(r"(?<![\p{L}\d.])"), quoted, F.lit(r"(?![\p{L}\d])")))
-
-
-def gazetteer_hits(docs: DataFrame, literals: DataFrame) -> DataFrame:
-    """doc_id, item_id for every literal (item_id, text) that stands in a document by itself: no letter, digit or dot before it, no
-    letter or digit after it.
-
-    An equi-join on each literal's longest inner word, which a document must hold as a whole word, then the exact test;
-    literals of fewer than three words are all tested, by a broadcast for each block of about BROADCAST_LITERALS.
-    """
-    inner = F.expr("slice(split(text, '[ \n]+'), 2, greatest(size(split(text, '[ \n]+')) - 2, 0))")
-    keyed = literals.where("length(text) > 0").withColumn("_w", inner).select("item_id", F.col("text").alias("literal"), F.expr("array_max(transform(_w, x -> struct(length(x) as n, x as w))).w").alias("word"))
-    words = docs.where("text is not null").select("doc_id", F.explode(F.array_distinct(F.split("text", "[ \n]+"))).alias("word"))
-    candidates = words.join(keyed.where("word is not null"), "word").select("doc_id", "item_id", "literal")
-    hits = candidates.join(docs.select("doc_id", "text"), "doc_id").where(F.contains("text", "literal") & stands("text", "literal")).select("doc_id", "item_id")
-    short = keyed.where("word is null").select("item_id", "literal")
-    distinct = short.select("literal").distinct()
-    n = -(-distinct.count() // BROADCAST_LITERALS)
-    for i in range(n):
-        block = distinct.where(F.pmod(F.xxhash64("literal"), F.lit(n)) == i)
-        held = docs.select("doc_id", "text").join(F.broadcast(block), F.contains("text", "literal") & stands("text", "literal")).select("doc_id", "literal")
-        hits = hits.unionByName(held.join(short, "literal").select("doc_id", "item_id"))
-    return hits
+def gazetteer_hits(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """doc_id, item_id for every item (item_id, text) whose text stands in a document by itself."""
+    known = items.select("item_id", F.col("text").alias("literal"))
+    return literals.found(docs, known, first_only=True).join(known, "literal").select("doc_id", "item_id")

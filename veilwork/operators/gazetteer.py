@@ -7,13 +7,12 @@ empty tables.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from veilwork.functions import text as T
+from veilwork.operators import literals
 from veilwork.session import settled
 
 # The shape of a name, the contexts that only names stand in (group 1 is the name), towns, organisations, addresses
@@ -98,38 +97,6 @@ def build(docs: DataFrame) -> Gazetteer:
     return Gazetteer(found, orgs, towns(docs), weak_names(found, orgs))
 
 
-def occurrences(docs: DataFrame, literals: DataFrame, most_words: int | None = None) -> DataFrame:
-    """doc_id, start, end and the literal's columns, for each place where a literal stands by itself: no letter, digit or dot
-    before it, no letter or digit after it.
-
-    Texts become runs of up to as many words as the longest literal has, which meet the literals by an equi-join; Spark
-    broadcasts the literals if they are small. A literal begins and ends with a letter or digit.
-    """
-    if most_words is None:
-        most_words = literals.agg(F.max(F.regexp_count("literal", F.lit(r"[\p{L}\d]+")))).first()[0] or 1
-    return docs.where("text is not null").select("doc_id", "text").mapInArrow(word_runs(most_words), f"doc_id {dict(docs.dtypes)['doc_id']}, start int, end int, literal string").join(literals, "literal")
-
-
-def word_runs(most: int):
-    """For mapInArrow: the places of runs of up to ``most`` words of each text."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import re
-
-        word = re.compile(r"[^\W_]+")
-        for b in batches:
-            ids, texts = b.column("doc_id"), b.column("text")
-            for i, text in enumerate(texts.to_pylist()):
-                at = [m.span() for m in word.finditer(text)]
-                start = [s for k, (s, _) in enumerate(at) if not (s and text[s - 1] == ".") for _ in at[k : k + most]]
-                end = [e for k, (s, _) in enumerate(at) if not (s and text[s - 1] == ".") for _, e in at[k : k + most]]
-                n = len(start)
-                yield pa.RecordBatch.from_arrays([pa.array([ids[i].as_py()] * n, ids.type), pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array([text[s:e] for s, e in zip(start, end)], pa.string())], names=["doc_id", "start", "end", "literal"])
-
-    return run
-
-
-def stands_alone(text: Column, start: Column, end: Column) -> Column:
-    """Whether text[start, end) has no letter, digit or dot before it and no letter or digit after it."""
-    before, after = F.substring(text, start, F.lit(1)), F.substring(text, end + 1, F.lit(1))
-    return ~(F.when(start == 0, F.lit("")).otherwise(before).rlike(r"[\p{L}\d.]")) & ~after.rlike(r"[\p{L}\d]")
+def occurrences(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """doc_id, start, end and the columns of known (literal, ...), for each place where a literal stands by itself."""
+    return literals.found(docs, known).join(known, "literal")
