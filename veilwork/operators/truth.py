@@ -35,13 +35,17 @@ def shaped(docs: DataFrame) -> DataFrame:
     """Candidates by shape: doc_id, start, end, value, kind, tier, ordinal."""
 
     def of(kind: str, ordinal: int):
-        return lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("value"), F.lit(kind).alias("kind"), F.lit(ordinal).alias("ordinal"))
+        def one(m: Column) -> Column:
+            start = m["start"]
+            before = F.substring(F.col("text"), F.greatest(F.lit(1), start - CUE_LENGTH + 1), F.least(F.lit(CUE_LENGTH), start))
+            named = F.when(before.rlike(BIRTH_CUE), "BIRTHDATE").otherwise(kind) if kind == "DATE" else F.lit(kind)
+            return F.struct(start.alias("start"), m["end"].alias("end"), m["value"].alias("value"), named.alias("kind"), F.lit("strong").alias("tier"), F.lit(ordinal).alias("ordinal"))
 
+        return one
+
+    # all that needs the text is worked out beside it: only the findings are dealt out
     each = [F.transform(detect.matches("text", p), of(k, n)) for n, (k, p) in enumerate(SHAPES)]
-    rows = docs.where("text is not null").select("doc_id", "text", F.explode(F.concat(*each)).alias("x")).select("doc_id", "text", "x.*")
-    before = F.substring(F.col("text"), F.greatest(F.lit(1), F.col("start") - CUE_LENGTH + 1), F.least(F.lit(CUE_LENGTH), F.col("start")))
-    born = (F.col("kind") == "DATE") & before.rlike(BIRTH_CUE)
-    return rows.select("doc_id", "start", "end", "value", F.when(born, "BIRTHDATE").otherwise(F.col("kind")).alias("kind"), F.lit("strong").alias("tier"), "ordinal")
+    return docs.where("text is not null").select("doc_id", F.explode(F.concat(*each)).alias("x")).select("doc_id", "x.*")
 
 
 def candidates(docs: DataFrame, literals: DataFrame) -> DataFrame:
@@ -57,10 +61,9 @@ def resolved(docs: DataFrame, found: DataFrame, redact: Iterable[str] = REDACT,
     """Entities: of overlapping candidates, by start, the longer first, then the earlier source; with policy, index and line."""
     each = found.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end", "ordinal", "kind", "value", "tier")).alias("all"))
     each = each.withColumn("kept", spans.non_overlapping("all", "start, -(end - start), ordinal"))
-    rows = docs.select("doc_id", "text").join(each, "doc_id").select("doc_id", "text", F.posexplode("kept").alias("index", "x"))
-    return rows.select(
-        "doc_id", "index", "x.kind", "x.value", "x.start", "x.end", "x.tier", policy_of(F.col("x.value"), F.col("x.kind"), redact, keep).alias("policy"), T.line_number(F.col("text"), F.col("x.start")).alias("line"),
-    )
+    kept = F.transform("kept", lambda x: x.withField("line", T.line_number(F.col("text"), x["start"])))
+    rows = docs.select("doc_id", "text").join(each, "doc_id").select("doc_id", F.posexplode(kept).alias("index", "x"))
+    return rows.select("doc_id", "index", "x.kind", "x.value", "x.start", "x.end", "x.tier", policy_of(F.col("x.value"), F.col("x.kind"), redact, keep).alias("policy"), "x.line")
 
 
 def entities(docs: DataFrame, redact: Iterable[str] = REDACT, keep: Iterable[str] = ()) -> DataFrame:
