@@ -46,9 +46,12 @@ def vouched(docs: DataFrame) -> DataFrame:
 
 def corroborated(docs: DataFrame) -> DataFrame:
     """Capitalised pairs whose folded form is the local part of a mail address somewhere in the corpus."""
-    parts = extracted(docs, LOCAL_PART, "part").select(F.lower("part").alias("part")).distinct()
-    pairs = extracted(docs, FULL_NAME).withColumn("part", T.fold_local_part(F.col("name")))
-    return pairs.join(parts, "part", "left_semi").select("name")
+    return with_mail(extracted(docs, FULL_NAME), extracted(docs, LOCAL_PART))
+
+
+def with_mail(pairs: DataFrame, parts: DataFrame) -> DataFrame:
+    parts = parts.select(F.lower("name").alias("part")).distinct()
+    return pairs.withColumn("part", T.fold_local_part(F.col("name"))).join(parts, "part", "left_semi").select("name")
 
 
 def people(docs: DataFrame) -> DataFrame:
@@ -57,7 +60,10 @@ def people(docs: DataFrame) -> DataFrame:
 
 def organisations(docs: DataFrame) -> DataFrame:
     """Names with a suffix of companies, less those that end with a shorter one: an anti-join on each name's tails."""
-    found = extracted(docs, ORGANISATION)
+    return shortest(extracted(docs, ORGANISATION))
+
+
+def shortest(found: DataFrame) -> DataFrame:
     words = F.split("name", " ")
     tail = F.explode(F.transform(F.sequence(F.lit(2), F.size(words)), lambda i: F.array_join(F.slice(words, i, F.size(words)), " "))).alias("tail")
     longer = found.select("name", tail).join(found.select(F.col("name").alias("tail")), "tail", "left_semi").select("name").distinct()
@@ -74,7 +80,10 @@ def weak_names(people: DataFrame, organisations: DataFrame) -> DataFrame:
 
 def towns(docs: DataFrame) -> DataFrame:
     """Towns after a postcode; of one that lies by another, the other too."""
-    found = extracted(docs, TOWN)
+    return with_neighbours(extracted(docs, TOWN))
+
+
+def with_neighbours(found: DataFrame) -> DataFrame:
     return found.union(found.select(F.regexp_extract("name", r"\sbei\s(.+)$", 1))).where("name != ''").distinct()
 
 
@@ -92,9 +101,21 @@ class Gazetteer:
         return settled(of(self.people, "PERSON", "strong", 100).unionByName(of(self.organisations, "ORG", "strong", 101)).unionByName(of(self.towns, "LOCATION", "strong", 102)).unionByName(of(self.weak.select("name").distinct(), "PERSON", "weak", 103)))
 
 
+SOURCES = {"voucher": VOUCHERS, "pair": (FULL_NAME,), "part": (LOCAL_PART,), "organisation": (ORGANISATION,), "town": (TOWN,)}
+
+
+def mentions(docs: DataFrame) -> DataFrame:
+    """source, name: what all the patterns extract, in one pass over the texts."""
+    from_ = lambda source: lambda m: F.struct(F.lit(source).alias("source"), F.trim(m).alias("name"))
+    each = [F.transform(F.regexp_extract_all("text", F.lit(p), F.lit(1)), from_(source)) for source, patterns in SOURCES.items() for p in patterns]
+    return docs.where("text is not null").select(F.explode(F.concat(*each)).alias("m")).select("m.source", "m.name").distinct()
+
+
 def build(docs: DataFrame) -> Gazetteer:
-    found, orgs = settled(people(docs)), settled(organisations(docs))
-    return Gazetteer(found, orgs, towns(docs), weak_names(found, orgs))
+    found = settled(mentions(docs))
+    of = lambda source: found.where(F.col("source") == source).select("name")
+    people_, orgs = settled(of("voucher").union(with_mail(of("pair"), of("part"))).distinct()), settled(shortest(of("organisation")))
+    return Gazetteer(people_, orgs, with_neighbours(of("town")), weak_names(people_, orgs))
 
 
 def occurrences(docs: DataFrame, known: DataFrame) -> DataFrame:
