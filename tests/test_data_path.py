@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from veilwork.functions import detect
-from veilwork.operators import intervals, mutation, names, ranks
+from veilwork.operators import intervals, mutation, names, permuted, ranks
 from veilwork.sources import bodies, fixtures, policy
 
 BODY = "doc_id long, client string, host string, body binary, content_type string, content_encoding string"
@@ -168,3 +168,18 @@ def test_names_on_held_out_tickets(spark):
     assert set(found) >= {(1, "Urs Winkelried")} and all(i == 1 for i, _ in found)
     none = names.learned(docs.limit(0), known.limit(0), ["PERSON"])
     assert names.findings(docs, none).count() == 0
+
+
+def test_keyed_standins_are_valid_and_never_shared(spark):
+    every = spark.range(10_000).select(F.lit("US_SOCIAL_SECURITY_NUMBER").alias("kind"), F.format_string("%04d", "id").alias("value"))
+    small = every.select(permuted.standin("kind", "value", "k").alias("s"))
+    assert small.where("length(s) != 4").isEmpty() and small.distinct().count() == 10_000
+    records = detect.findings(fixtures.records(spark, "/root/testdata/sf0.001"), list(permuted.RULES)).where(f"score >= {detect.THRESHOLD}").select("kind", "value").distinct()
+    found = records.withColumn("standin", permuted.standin("kind", "value", "secret")).persist()
+    assert found.where("standin is null or standin = value").count() < 3 and found.select("kind", "standin").distinct().count() == found.count() > 300
+    again = detect.findings(found.select(F.monotonically_increasing_id().alias("doc_id"), F.col("standin").alias("text"), "kind").select("doc_id", "text")).where(f"score >= {detect.THRESHOLD}")
+    assert again.where(F.col("kind").isin(*permuted.RULES)).select("value").distinct().count() == found.select("standin").distinct().count()
+    other = found.select((F.col("standin") != permuted.standin("kind", "value", "else")).alias("x"))
+    assert other.where("x").count() > 0.9 * found.count()
+    odd = spark.createDataFrame([("EMAIL_ADDRESS", "a@b.org"), ("PHONE_NUMBER", None), ("PHONE_NUMBER", "+41 1")], "kind string, value string")
+    assert [r[0] for r in odd.select(permuted.standin("kind", "value", "k")).collect()] == [None] * 3

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from veilwork.functions import detect
-from veilwork.operators import exchange, intervals, ranks
+from veilwork.operators import exchange, intervals, permuted, ranks
 from veilwork.plans import privacy
 from veilwork.session import load
 from veilwork.sources import fixtures
@@ -62,7 +62,13 @@ def exchange_machine(spark, sf_dir):
     return rows.withColumns({"opened_at": F.unix_micros("opened_at"), "done_at": F.unix_micros("done_at")})
 
 
-QUERIES = {f.__name__: f for f in (interval_overlap, latency_percentiles, upper_median, latency_ranks, seeded_scenarios, exchange_machine)}
+def keyed_standins(spark, sf_dir):
+    """Another valid number for each sure number of the records."""
+    found = detect.findings(fixtures.records(spark, sf_dir), list(permuted.RULES)).where(F.col("score") >= detect.THRESHOLD)
+    return found.select("kind", "value").distinct().withColumn("standin", permuted.standin("kind", "value", privacy.KEY))
+
+
+QUERIES = {f.__name__: f for f in (interval_overlap, latency_percentiles, upper_median, latency_ranks, seeded_scenarios, exchange_machine, keyed_standins)}
 
 #: The generator in 128-bit numbers.
 DRAW = """(SELECT xor(c, c >> 14) / 4294967296.0 FROM (SELECT CAST(xor(b, CAST((b + (CAST(xor(b, b >> 7) AS hugeint) * CAST(b | 61 AS hugeint)) % 4294967296) % 4294967296 AS bigint)) AS bigint) AS c
@@ -81,7 +87,22 @@ NUMBERED = rf"""n AS (SELECT doc_id, CAST(list_sum(list_transform(gaps[1:i], lam
   FROM (SELECT doc_id, ms, gaps, unnest(range(1, len(ms) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(text, '{NUMBERS}') AS ms, string_split_regex(text, '{NUMBERS}') AS gaps FROM documents WHERE text IS NOT NULL) x WHERE len(ms) > 0) y)"""
 STAGE = "CASE type WHEN 'observed' THEN 1 WHEN 'detection' THEN 2 WHEN 'redaction' THEN 3 WHEN 'responded' THEN 4 WHEN 'delivered' THEN 5 WHEN 'completed' THEN 6 END"
 
+HEADS = "CASE kind " + " ".join(f"WHEN '{k}' THEN {r.head}" for k, r in permuted.RULES.items()) + " END"
+TAILS = "CASE kind " + " ".join(f"WHEN '{k}' THEN {r.tail}" for k, r in permuted.RULES.items()) + " END"
+BEFORE = privacy.DIGITS.replace("{v}", "d")
+CHECKS = f"""CASE kind WHEN 'CREDIT_CARD_NUMBER' THEN CAST((10 - list_sum(list_transform(range(1, length(d) + 1), lambda j: CASE WHEN j % 2 = 1 THEN 2 * CAST(substr(reverse(d), CAST(j AS integer), 1) AS integer) % 10 + 2 * CAST(substr(reverse(d), CAST(j AS integer), 1) AS integer) // 10 ELSE CAST(substr(reverse(d), CAST(j AS integer), 1) AS integer) END)) % 10) % 10 AS varchar)
+  WHEN 'AHV' THEN CAST({privacy.EAN.format(x='d')} AS varchar) WHEN 'PL_PESEL' THEN CAST((10 - {privacy.weighed([1, 3, 7, 9, 1, 3, 7, 9, 1, 3], 'd')} % 10) % 10 AS varchar) WHEN 'AU_COMPANY_NUMBER' THEN CAST((10 - {privacy.weighed([*range(8, 0, -1)], 'd')} % 10) % 10 AS varchar) ELSE '' END"""
+#: The permutation round by round, a recursion; then digits are put back one by one.
+PERMUTED = f"""RECURSIVE records AS MATERIALIZED ({fixtures.records_sql('customer', 'varchar')}), {privacy.found_sql('records')},
+w AS (SELECT DISTINCT kind, value FROM f WHERE score >= 0.6 AND kind IN ({', '.join(privacy.quoted(k) for k in permuted.RULES)})),
+p AS (SELECT kind, value, digits, digits[{HEADS} + 1:length(digits) - {TAILS}] AS free FROM (SELECT kind, value, regexp_replace(value, '[^0-9]', '', 'g') AS digits FROM w) x),
+r AS (SELECT kind, value, digits, length(free) // 2 AS n, length(free) - length(free) // 2 AS m, 0 AS i, CAST(left(free, length(free) // 2) AS bigint) AS l, CAST(right(free, length(free) - length(free) // 2) AS bigint) AS r FROM p
+  UNION ALL SELECT kind, value, digits, n, m, i + 1, l2, (r + CAST('0x' || left(md5('{privacy.KEY}|' || kind || '|' || m || 'r' || (i + 1) || '|' || l2), 12) AS bigint)) % CAST(pow(10, m) AS bigint)
+  FROM (SELECT *, (l + CAST('0x' || left(md5('{privacy.KEY}|' || kind || '|' || n || 'l' || (i + 1) || '|' || r), 12) AS bigint)) % CAST(pow(10, n) AS bigint) AS l2 FROM r WHERE i < {permuted.ROUNDS}) y),
+d AS (SELECT kind, value, left(digits, {HEADS}) || lpad(CAST(l AS varchar), CAST(n AS integer), '0') || lpad(CAST(r AS varchar), CAST(m AS integer), '0') AS d FROM r WHERE i = {permuted.ROUNDS})"""
+
 ORACLE = {
+    "keyed_standins": f"WITH {PERMUTED}, e AS (SELECT kind, value, d || {CHECKS} AS e FROM d) SELECT kind, value, array_to_string(list_transform(range(1, length(value) + 1), lambda k: CASE WHEN value[k] BETWEEN '0' AND '9' THEN e[length(regexp_replace(value[1:k], '[^0-9]', '', 'g'))] ELSE value[k] END), '') AS standin FROM e",
     "interval_overlap": f"WITH {privacy.FOUND}, {NUMBERED} SELECT f.doc_id, kind, start_, value, count(*) AS n, min(s) AS first_number FROM f JOIN n ON f.doc_id = n.doc_id AND start_ < s + size AND s < start_ + length(value) GROUP BY ALL",
     "latency_percentiles": "SELECT event_type, user_id % 8 AS lane, list_sort(list(value))[least(count(*) - 1, CAST(floor(0.5 * count(*)) AS bigint)) + 1] AS p50, list_sort(list(value))[least(count(*) - 1, CAST(floor(0.95 * count(*)) AS bigint)) + 1] AS p95, max(value) AS most FROM events GROUP BY 1, 2",
     "upper_median": "SELECT user_id, list_sort(list(value))[count(*) // 2 + 1] AS median_ms FROM events GROUP BY user_id",
