@@ -383,7 +383,8 @@ def test_url_rules_and_brute_force(spark):
         fits = sorted((-len(h + p), v, h.lower(), p) for v, h, p in given if (host == h.lower() or host.endswith("." + h.lower())) and path.startswith(p))
         return (i, host, path, fits[0][2] + fits[0][3], fits[0][1]) if fits else (i, host, path, None, "allow")
 
-    out = urls.judge(spark.createDataFrame(rows, "page_id long, url string, path string"), spark.createDataFrame(given, "verdict string, host string, path string"))
+    nulls = [("block", None, "/"), ("block", "net", None)]  # fit nothing
+    out = urls.judge(spark.createDataFrame(rows, "page_id long, url string, path string"), spark.createDataFrame([*given, *nulls], "verdict string, host string, path string"))
     same(out.collect(), [one(i, u) for i, u, _ in rows])
 
 

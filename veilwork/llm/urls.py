@@ -10,7 +10,7 @@ to each range that its interval touches, which for nested rules is its own range
 with the path and a hash of the id, so a host, or a single url, with a third of all rows is spread over many ranges.
 
 Cases: null urls, and urls without ://, have an empty host and path, which no rule fits; urls that no rule fits get the
-default verdict; repeated rows and ids stay; of equal rules the first by verdict counts; an empty table of either side
+default verdict; a rule with a null host or path fits nothing; repeated rows and ids stay; of equal rules the first by verdict counts; an empty table of either side
 works; extra columns are ignored.
 """
 
@@ -64,7 +64,7 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
         return place.map(lambda p: bisect_right(bounds, p)).astype("int32")
 
     rule_key = key(F.translate("host", UPPER, LOWER))
-    ruled = rules.select(F.translate("host", UPPER, LOWER).alias("host"), "path", "verdict", rule_key.alias("key"))
+    ruled = rules.where("host is not null and path is not null").select(F.translate("host", UPPER, LOWER).alias("host"), "path", "verdict", rule_key.alias("key"))
     first, last = range_of("key"), range_of(F.concat("key", F.lit("\U0010ffff")))
     ruled = ruled.select("*", F.explode(F.sequence(first, last)).alias("range"))
     none = F.lit(None).cast("string")
