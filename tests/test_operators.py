@@ -337,3 +337,18 @@ def test_check_digits_of_document_numbers(spark):
     found = {(r["doc_id"], r["kind"]): r["score"] for r in detect.findings(docs, [k for k, _ in good]).collect()}
     assert all(found[2 * i, k] >= 0.6 for i, (k, _) in enumerate(good)), found
     assert all(found[2 * i + 1, k] < 0.6 for i, (k, _) in enumerate(good)), found
+
+
+def test_risks_of_groups_across_batches(spark):
+    """Groups of one to four names, cut by batches of three rows: each name's risk is that of its group alone."""
+    rng = np.random.default_rng(2)
+    rows = [(g, k, f"n{k}", *map(float, rng.normal(size=4))) for g in range(40) for k in range(1 + g % 4)]
+    df = spark.createDataFrame(rows, "g long, ordinal int, name string, similarity double, contained double, ratio double, standing double")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    got = {(r["g"], r["name"]): r["risk_probability"] for r in risk.assessed(df, "g").collect()}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    for g in range(40):
+        expected = risk.posterior(np.array([r[3:] for r in rows if r[0] == g]))
+        assert np.allclose([got[g, f"n{k}"] for k in range(1 + g % 4)], expected)
+    assert len(got) == len(rows) and risk.assessed(df.limit(0), "g").collect() == []

@@ -8,8 +8,12 @@ draws, so it is the same on any run and needs no chains.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import cache
+from itertools import chain
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from veilwork.functions import text as T
@@ -29,10 +33,15 @@ def features(pairs: DataFrame, group: str) -> DataFrame:
     return rows.select(*pairs.columns, T.contains_folded(F.col("text"), F.col("name")).cast("double").alias("contained"), T.levenshtein_ratio(F.col("text"), F.col("name")).alias("ratio"), standing.alias("standing"))
 
 
+@cache
+def draws(n: int) -> np.ndarray:
+    """The weights drawn for n features: the same in each worker, drawn once."""
+    return np.random.default_rng(SEED).normal(PRIOR_MEAN, PRIOR_SD, (DRAWS, n))
+
+
 def posterior(x: np.ndarray) -> np.ndarray:
     """The mean probability of each row of x (names by features), given that the first is the one."""
-    beta = np.random.default_rng(SEED).normal(PRIOR_MEAN, PRIOR_SD, (DRAWS, x.shape[1]))
-    logits = beta @ x.T
+    logits = draws(x.shape[1]) @ x.T
     p = np.exp(logits - logits.max(1, keepdims=True))
     p /= p.sum(1, keepdims=True)
     weight = p[:, 0]
@@ -40,13 +49,29 @@ def posterior(x: np.ndarray) -> np.ndarray:
 
 
 def assessed(featured: DataFrame, group: str) -> DataFrame:
-    """group, name, risk_probability: a text's names are few, so a group is one value."""
-
-    def run(table: pd.DataFrame) -> pd.DataFrame:
-        table = table.sort_values("ordinal")
-        return pd.DataFrame({group: table[group], "name": table["name"], "risk_probability": posterior(table[FEATURES].to_numpy(float))})
-
-    return featured.groupBy(group).applyInPandas(run, f"{group} {dict(featured.dtypes)[group]}, name string, risk_probability double")
+    """group, name, risk_probability. Rows come sorted by group, many groups a batch; a text's names are few, and only those of one text
+    are held at once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for b in chain(batches, [None]):
+            table = pa.Table.from_batches([x for x in (held, b) if x is not None]).combine_chunks() if held is not None or b is not None else None
+            if table is None or not len(table):
+                continue
+            rows = table.to_batches()[0]
+            keys = rows.column(0)
+            x = np.stack([rows.column(c).to_numpy(zero_copy_only=False).astype(float) for c in FEATURES], 1)
+            # groups begin where the key is not that of the row before; the last one may go on in the next batch
+            begins = [0, *(i for i in range(1, len(rows)) if keys[i] != keys[i - 1])]
+            whole = len(rows) if b is None else begins[-1]
+            held = None if b is None else rows.slice(whole)
+            ends = [*begins[1:], len(rows)]
+            risks = [posterior(x[i:j]) for i, j in zip(begins, ends) if j <= whole]
+            if risks:
+                yield pa.RecordBatch.from_arrays([keys.slice(0, whole), rows.column("name").slice(0, whole), pa.array(np.concatenate(risks))], names=[group, "name", "risk_probability"])
+
+    rows = featured.select(group, "name", "ordinal", *FEATURES).repartition(group).sortWithinPartitions(group, "ordinal")
+    return rows.mapInArrow(run, f"{group} {dict(featured.dtypes)[group]}, name string, risk_probability double")
 
 
 def greatest(risks: DataFrame, texts: DataFrame, group: str) -> DataFrame:
