@@ -183,3 +183,20 @@ def test_keyed_standins_are_valid_and_never_shared(spark):
     assert other.where("x").count() > 0.9 * found.count()
     odd = spark.createDataFrame([("EMAIL_ADDRESS", "a@b.org"), ("PHONE_NUMBER", None), ("PHONE_NUMBER", "+41 1")], "kind string, value string")
     assert [r[0] for r in odd.select(permuted.standin("kind", "value", "k")).collect()] == [None] * 3
+
+
+@pytest.mark.parametrize("share", [1 << 16, 3])
+def test_restore_of_a_large_vault(spark, monkeypatch, share):
+    """A vault with many texts is several shares; each text comes back once, with its own columns."""
+    from veilwork.operators import vault
+
+    monkeypatch.setattr(vault, "SHARE", share)
+    rows = [(i, "hot" if i % 3 else f"c{i % 5}", "h", f"say S{i % 4} and S{i % 7}!", "odd") for i in range(120)] + [(200, None, "h", "S1", "x"), (201, "hot", None, "S1", "x"), (202, "hot", "h", None, "x"), (203, "new", "h", "S1", "x"), (5, "hot", "h", "S1", "x")]
+    texts = spark.createDataFrame(rows, "n long, client string, host string, text string, row string")
+    pairs = spark.createDataFrame([(c, "h", f"S{k}", f"{c}-{k}") for c in ("hot", "c0", "c1", "c2") for k in range(7)] + [(None, "h", "S1", "no"), ("hot", "h", "", "no")], "client string, host string, standin string, value string")
+    out = vault.restore(texts, pairs)
+    assert out.columns == ["n", "client", "host", "text", "row", "n_restored"]
+    known = {"hot", "c0", "c1", "c2"}
+    put = lambda c, h, t: t if t is None or c not in known or h != "h" else "".join(f"{c}-{p[0]}{p[1:]}" if k else p for k, p in enumerate(t.split("S")))
+    expected = [(n, c, h, put(c, h, t), r, t.count("S") if t and put(c, h, t) != t else 0) for n, c, h, t, r in rows]
+    assert sorted(map(str, map(tuple, out.collect()))) == sorted(map(str, expected))

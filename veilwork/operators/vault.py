@@ -8,14 +8,19 @@ from __future__ import annotations
 
 import hmac
 import re
+from collections.abc import Iterator
 from hashlib import sha256
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
-from veilwork.operators import jsontext
+from veilwork.operators import jsontext, ranks
+from veilwork.session import settled
 
 PAIRS, CLIENTS, TTL = 4096, 512, "48 hours"
+SHARE = 1 << 16  # texts of a vault that one map serves
 
 
 def digest(key: str, *parts: Column) -> Column:
@@ -99,27 +104,40 @@ def restore(texts: DataFrame, pairs: DataFrame, text: str = "text", syntax: str
     """texts (client, host) with stand-ins put back, the longest at each place first, and n_restored. Where the column syntax is
     Json, stand-ins are looked for in both spellings of JSON writers, and values written in the one that was found.
 
-    Equi-join on client and host. pairs come from ``restorable``, so a vault has at most PAIRS of them and its map is one value; of
-    pairs that share a stand-in all the same, the least value is written. A text that cannot be restored is an error of its own
-    task alone; null texts stay.
+    Texts and maps of a client and host come to one task, sorted, the map first: it is sent once, not with each text, and one map is
+    held at a time. A vault with more than SHARE texts is several shares, each with its map, so none is one task.
+    pairs come from ``restorable``, so a vault has at most PAIRS of them; of pairs that share a stand-in all the same, the least value
+    is written. Texts without a map, of a null client or host, and null texts stay.
     """
-    maps = pairs.groupBy("client", "host").agg(F.collect_set(F.struct("standin", "value")).alias("_pairs"))
-    joined = texts.join(maps, ["client", "host"], "left").withColumn("_json", F.lit(False) if syntax is None else F.coalesce(F.col(syntax) == "Json", F.lit(False)))
-
-    @F.pandas_udf("struct<text:string,n:int>")
-    def put_back(t: pd.Series, m: pd.Series, j: pd.Series) -> pd.DataFrame:
-        out, cache = [], {}
-        for s, found, as_json in zip(t, m, j):
-            if s is None or found is None or not len(found):
-                out.append((s, 0))
-                continue
-            name = (as_json, *sorted((p["standin"], p["value"]) for p in found if p["standin"]))
-            if name not in cache:
-                written = spelled(dict(reversed(name[1:])), as_json)
-                cache[name] = written, restorer(written) if written else None
-            written, look = cache[name]
-            out.append(look.subn(lambda x: written[x[0]], s) if look else (s, 0))
-        return pd.DataFrame(out, columns=["text", "n"])
-
-    done = joined.withColumn("_r", put_back(text, "_pairs", "_json"))
-    return done.withColumn(text, F.col("_r.text")).withColumn("n_restored", F.col("_r.n")).drop("_r", "_pairs", "_json")
+    known = pairs.where("client is not null and host is not null and standin != ''")
+    maps = known.groupBy("client", "host").agg(F.collect_set(F.struct("standin", "value")).alias("_pairs"))
+    shares = settled(texts.groupBy("client", "host").count().where(F.col("count") > SHARE).select("client", "host", F.ceil(F.col("count") / SHARE).cast("int").alias("_shares")))
+    is_json = F.lit(False) if syntax is None else F.coalesce(F.col(syntax) == "Json", F.lit(False))
+    rows = ranks.with_small(texts.select(F.struct(*texts.columns).alias("row"), "client", "host", F.col(text).alias("_text"), is_json.alias("_json")), shares, ["client", "host"], "left").withColumn("_share", F.pmod(F.xxhash64("_text"), F.coalesce("_shares", F.lit(1))).cast("int")).drop("_shares")
+    dealt = ranks.with_small(maps, shares, ["client", "host"], "left").withColumn("_share", F.explode(F.sequence(F.lit(0), F.coalesce("_shares", F.lit(1)) - 1))).drop("_shares")
+    both = rows.unionByName(dealt, allowMissingColumns=True).repartition("client", "host", "_share").sortWithinPartitions("client", "host", "_share", F.col("_pairs").isNull())
+    schema = StructType([StructField("row", StructType(texts.schema.fields)), StructField("text", StringType()), StructField("n", IntegerType())])
+
+    def put_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vault_, found, built = None, [], {}
+        for b in batches:
+            client, host, held, as_json = (b.column(c).to_pylist() for c in ("client", "host", "_text", "_json"))
+            maps_, kept, out = b.column("_pairs"), [], []
+            for i, s in enumerate(held):
+                if maps_[i].is_valid:
+                    vault_, found, built = (client[i], host[i]), sorted((p["standin"], p["value"]) for p in maps_[i].as_py()), {}
+                    continue
+                kept.append(i)
+                if s is None or vault_ != (client[i], host[i]):
+                    out.append((s, 0))
+                    continue
+                if as_json[i] not in built:
+                    written = spelled(dict(reversed(found)), as_json[i])
+                    built[as_json[i]] = written, restorer(written)
+                written, look = built[as_json[i]]
+                out.append(look.subn(lambda x, w=written: w[x[0]], s))
+            names, counts = zip(*out) if out else ((), ())
+            yield pa.RecordBatch.from_arrays([b.column("row").take(pa.array(kept, pa.int64())), pa.array(names, pa.string()), pa.array(counts, pa.int32())], names=["row", "text", "n"])
+
+    done = both.mapInArrow(put_back, schema)
+    return done.select(*[F.col("text").alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in texts.columns], F.col("n").alias("n_restored"))
