@@ -192,6 +192,15 @@ def timing(total: Column, *steps: Column) -> Column:
 TAGS = (("css", "css"), ("javascript", "js"), ("font/", "font"), ("image/", "image"), ("json", "json"))
 
 
+# The routes whose body a receiver reads
+READ = ("/api/v1/forms/intake", "/api/v1/chat/completions", "/upload")
+
+
+def reads_body(path: Column) -> Column:
+    """Whether the body of a request to the path is read; no path's is not."""
+    return F.coalesce(path.isin(*READ), F.lit(False))
+
+
 def type_tag(content_type: Column) -> Column:
     """A short tag of a content type: by mark, else its subtype; of none, asset."""
     out = F.when(F.coalesce(content_type, F.lit("")) == "", "asset")

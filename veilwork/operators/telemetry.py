@@ -57,6 +57,20 @@ def newest(rows: DataFrame, most: int, at: str = "at", tie: str = "event_id") ->
     return rows.orderBy(F.desc(at), F.desc(tie)).limit(most)
 
 
+# Rows of the traffic views
+TRAFFIC, TREATED_TRAFFIC = 140, 1000
+
+
+def traffic(rows: DataFrame, treated_only: bool = False) -> DataFrame:
+    """The newest rows of the traffic, or the newest treated ones, of which more are kept."""
+    return newest(rows.where("treatment = 'treated'"), TREATED_TRAFFIC) if treated_only else newest(rows, TRAFFIC)
+
+
+def unseen(exchanges: DataFrame, shown: DataFrame, retired: DataFrame, key: str = "exchange_id") -> DataFrame:
+    """exchanges that are neither shown nor retired (tables with the key), in no order; those without a key are unseen."""
+    return exchanges.join(shown.select(key).union(retired.select(key)).distinct(), key, "left_anti")
+
+
 def since(rows: DataFrame, seq: int, column: str = "event_id") -> DataFrame:
     """Rows after seq, oldest first."""
     return rows.where(F.col(column) > seq).orderBy(column)

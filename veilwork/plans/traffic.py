@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from veilwork.functions import text as T
-from veilwork.operators import jsontext, ranks, risk, route, telemetry, vault
+from veilwork.operators import compare, jsontext, ranks, risk, route, telemetry, vault
 from veilwork.plans import privacy
 from veilwork.session import load, settled
 from veilwork.sources import bodies, corpus
@@ -279,10 +279,38 @@ def declared_leaks(spark, sf_dir):
     return c.select("c_custkey", F.size(names).alias("declared"), F.size(F.filter(names, lambda n: F.contains(F.col("body"), n))).alias("held"))
 
 
+def treated_traffic(spark, sf_dir):
+    x = exchanges(spark, sf_dir)
+    rows = telemetry.traffic(x, True).select("event_id", F.lit("treated").alias("view"))
+    return rows.unionByName(telemetry.traffic(x).select("event_id", F.lit("all").alias("view")))
+
+
+def unseen_exchanges(spark, sf_dir):
+    x = exchanges(spark, sf_dir).groupBy("exchange_id").agg(F.max("at").alias("at"))
+    return telemetry.unseen(x, x.where("exchange_id % 3 = 0"), x.where("exchange_id % 5 = 0").select(F.col("exchange_id") + 1, F.col("exchange_id")).toDF("exchange_id", "was").drop("was")).select("exchange_id")
+
+
+def read_routes(spark, sf_dir):
+    path = F.element_at(F.array(F.lit("/upload"), F.lit("/upload/"), F.lit("/api/v1/forms/intake"), F.lit("/Upload"), F.lit(None), F.lit("/api/v1/chat/completions"), F.lit("/x")), (F.col("event_id") % 7 + 1).cast("int"))
+    return requests(spark, sf_dir).select("event_id", route.reads_body(path).alias("reads"))
+
+
+def category_order(spark, sf_dir):
+    """Categories in the order of a reader: b after A, and e with an accent beside e."""
+    c = load(spark, sf_dir, "customer").select(F.element_at(F.array(*[F.lit(x) for x in CATEGORIES]), (F.col("c_custkey") % len(CATEGORIES) + 1).cast("int")).alias("category"))
+    rows = compare.in_locale_order(c.groupBy("category").agg(F.count("*").alias("n")), "category")
+    # the report's rows are as many as there are categories
+    return rows.coalesce(1).agg(F.collect_list("category").alias("c"), F.sum("n").alias("n")).select(F.array_join("c", ",").alias("categories"), "n")
+
+
+#: Given in the order that they should come out in.
+CATEGORIES = ("chat", "Email", "émail fort", "meeting", "Notification", "ticket", "Wiki", "zebra")
+
+
 QUERIES = {f.__name__: f for f in (
     treatment_ladder, response_gate, blocklist, detours, interception_bypass, client_labels, destinations, timing_breakdown, type_tags, text_flags, json_string_values, labelled_join, json_escapes, vault_lookup, vault_pair_cap, restorable_pairs, vault_view,
     event_validate, event_encode, request_rollup, device_stats, dashboard_counters, exchange_stage, late_verdicts, newest_rows, trailing_samples, correlation_ids, dropped_reports, similarity_summary, risk_features, risk_check, vocab_counts, encode_tokens,
-    assessor_status, corpus_load, capture_store, run_list, declared_leaks,
+    assessor_status, treated_traffic, unseen_exchanges, read_routes, category_order, corpus_load, capture_store, run_list, declared_leaks,
 )}
 
 FITS = "(p.host = rtrim(lower(regexp_replace(r.host, '^\\*\\.', '')), '.') OR ends_with(p.host, '.' || rtrim(lower(regexp_replace(r.host, '^\\*\\.', '')), '.'))) AND starts_with(lower(p.path), lower(r.prefix))"
@@ -293,6 +321,10 @@ WORDS = r"list_filter(string_split_regex(lower(text), '[ \t\n\r]+'), lambda x: x
 TAIL = "CASE WHEN event_id % 3 = 0 THEN '/* c */,]}' ELSE ']}' END"
 
 ORACLE = {
+    "treated_traffic": f"WITH {X} SELECT * FROM (SELECT event_id, 'treated' AS view FROM x WHERE treatment = 'treated' ORDER BY \"at\" DESC, event_id DESC LIMIT 1000) a UNION ALL SELECT * FROM (SELECT event_id, 'all' FROM x ORDER BY \"at\" DESC, event_id DESC LIMIT 140) b",
+    "unseen_exchanges": f"WITH {X} SELECT DISTINCT exchange_id FROM x WHERE exchange_id % 3 <> 0 AND NOT (exchange_id % 5 = 1)",
+    "read_routes": "SELECT event_id, event_id % 7 IN (0, 2, 5) AS reads FROM events",
+    "category_order": f"SELECT '{','.join(CATEGORIES)}' AS categories, count(*) AS n FROM customer",
     "treatment_ladder": f"""WITH {R}, l AS (SELECT *, event_id % 3 AS n, CASE WHEN event_type = 'error' THEN 'disabled' WHEN size = 0 THEN 'no body' WHEN event_id % 7 = 0 THEN 'bot check' WHEN user_id % 6 = 0 THEN 'out of scope' WHEN user_id % 5 = 0 OR user_id % 5 = 3 OR user_id % 10 = 1 THEN 'signed' WHEN size > 1048576 THEN 'too large' END AS reason FROM r)
         SELECT event_id, reason, CASE WHEN reason IS NOT NULL THEN 'passthrough' WHEN n = 0 THEN 'clean' ELSE 'treated' END AS treatment, CASE WHEN reason IS NOT NULL THEN reason WHEN n = 1 THEN '1 identifier' WHEN n = 2 THEN '2 identifiers'
           ELSE 'nothing found in ' || CASE WHEN size < 1024 THEN size || ' B' WHEN size < 1048576 THEN regexp_replace(printf('%.1f', floor(size / 1024.0 * 10 + 0.5) / 10), '\\.0$', '') || ' KB' ELSE regexp_replace(printf('%.1f', floor(size / 1048576.0 * 10 + 0.5) / 10), '\\.0$', '') || ' MB' END || ' of application/json' || CASE event_id % 4 WHEN 0 THEN '' WHEN 1 THEN ' (1 near miss)' ELSE ' (' || event_id % 4 || ' near misses)' END END AS said FROM l""",
