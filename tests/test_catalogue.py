@@ -2,6 +2,7 @@
 
 import math
 from collections import Counter
+from hashlib import md5
 
 import duckdb
 import pytest
@@ -47,9 +48,20 @@ def test_query_without_sql_runs(spark, name):
     assert catalogue.QUERIES[name](spark, SF).count() > 0
 
 
-def test_redacted_text_has_the_length_its_stand_ins_give(spark):
-    rows = catalogue.QUERIES["redact_text"](spark, SF).collect()
-    assert rows and all(r["expected_len"] == r["redacted_len"] for r in rows)
+def test_redacted_text_is_spliced_from_its_stand_ins(spark):
+    """Each digest and length against the text put together here from what was kept."""
+    digests = {r["doc_id"]: (r["n_spans"], r["digest"]) for r in catalogue.QUERIES["redact_text"](spark, SF).collect()}
+    sizes = {r["doc_id"]: r["redacted_len"] for r in catalogue.flagship(spark, SF).collect()}
+    rows = privacy.chosen(spark, SF).collect()
+    for r in rows:
+        out, at = [], 0
+        for k in r["kept"]:
+            assert r["text"][k["start"] : k["end"]] == k["value"] and k["start"] >= at
+            out += r["text"][at : k["start"]], k["standin"]
+            at = k["end"]
+        text = "".join([*out, r["text"][at:]])
+        assert (len(r["kept"]), md5(text.encode()).hexdigest()) == digests[r["doc_id"]] and len(text) == sizes[r["doc_id"]]
+    assert len(rows) == len(digests) == len(sizes) > 0
 
 
 def test_facts_are_53_kinds(spark):
