@@ -1,8 +1,8 @@
 """Recognisers: text to typed, scored, located spans, without Python in the tasks.
 
 Offsets are 0-based code points, the end exclusive. No kind goes over a line end or does without a digit, @ or colon, so the
-recognisers look at the lines that have one of these only. A recogniser may have a validator; its score is data, and findings
-below THRESHOLD are near misses.
+recognisers look at the lines that have one of these only, runs of such lines at once. A recogniser may have a validator; its score is
+data, and findings below THRESHOLD are near misses.
 """
 
 from __future__ import annotations
@@ -117,13 +117,21 @@ def literal(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+#: Stand around matches, and before each of several, while they are told from the gaps between them; a text's own ones are searched as
+#: OTHER. No pattern tells the three apart.
+MARK, EACH, OTHER = "\x01", "\x02", "\x03"
+
+
 def matches_sql(text: str, pattern: str, fields: str = "") -> str:
-    """SQL of array<struct<start, end, value, ...>>: a pattern's matches, found by the gaps that they leave; ``fields`` may add more."""
-    step = f"named_struct('at', acc.at + length(x.g) + length(x.v), 'out', array_append(acc.out, named_struct('start', acc.at + length(x.g), 'end', acc.at + length(x.g) + length(x.v), 'value', x.v)))"
+    """SQL of array<struct<start, end, value, ...>>: a pattern's matches, not empty ones; ``fields`` may add more. The matches are
+    marked, as the engine compiles the pattern of a replacement once, and that of a split for each text."""
+    mark, other = literal(MARK), literal(OTHER)
+    marked = f"regexp_replace(replace({text}, {mark}, {other}), {literal(pattern)}, {literal(MARK + '$0' + MARK)})"
+    # every other piece is a match: its marks are not in the text
+    step = f"named_struct('at', acc.at + x.n, 'out', if(x.hit, array_append(acc.out, named_struct('start', acc.at, 'end', acc.at + x.n, 'value', substring({text}, acc.at + 1, x.n))), acc.out))"
     empty = "cast(array() as array<struct<start: int, end: int, value: string>>)"
-    pairs = f"zip_with(slice(split({text}, {literal(pattern)}, -1), 1, size(vs)), vs, (g, v) -> named_struct('g', g, 'v', v))"
-    found = f"if(size(vs) > 0, aggregate({pairs}, named_struct('at', 0, 'out', {empty}), (acc, x) -> {step}, acc -> acc.out), {empty})"
-    found = f"element_at(transform(array(regexp_extract_all({text}, {literal(pattern)}, 0)), vs -> {found}), 1)"
+    pieces = f"transform(split(marked, {mark}, -1), (p, i) -> named_struct('n', length(p), 'hit', i % 2 = 1))"
+    found = f"transform(array({marked}), marked -> if(contains(marked, {mark}), aggregate({pieces}, named_struct('at', 0, 'out', {empty}), (acc, x) -> {step}, acc -> acc.out), {empty}))[0]"
     return f"transform({found}, m -> named_struct({fields}))" if fields else found
 
 
@@ -132,23 +140,59 @@ def matches(text: str, pattern: str) -> Column:
     return F.expr(matches_sql(text, pattern))
 
 
-#: A line with a character that any kind needs; the possessive run finds it, or the line's end, at once.
-TRIGGER = r"(?m)^[^\n0-9@:]*+[0-9@:][^\n]*"
+#: Lines, one after another, with a character that any kind needs; the possessive run finds it, or the line's end, at once. At most
+#: LINES of them, as the matches of a kind are put together one by one.
+LINES = 64
+TRIGGER = rf"(?m)^[^\n0-9@:]*+[0-9@:][^\n]*+(?:\n[^\n0-9@:]*+[0-9@:][^\n]*+){{0,{LINES - 1}}}+"
+
+
+def scored(r: Recogniser, value: str) -> str:
+    """SQL of the score of a value that the pattern has matched."""
+    if not r.valid:
+        return f"{r.score}D"
+    test = r.valid.replace("{d}", "regexp_replace({v}, '[^0-9]', '')").replace("{v}", value)
+    return f"if(coalesce({test}, false), {r.score}D, {r.invalid_score}D)"
+
+
+#: How patterns begin that can only match from the first character of a word on, a letter or digit of ASCII.
+WORD_START = re.compile(r"((?:\(\?i\))?)\\b(?=[^\W_]|\[|\(\?:)")
+
+
+#: The first of the characters that name the patterns of a search for several.
+FIRST = 0x100
+
+
+def by_word_sql(text: str, chosen: list[Recogniser]) -> str:
+    """SQL of array<struct<kind, start, end, value, score>>: the matches of patterns that begin at a word. One search finds the words where
+    any of them matches, and writes there what each has matched; each kind's matches that begin before the end of its one before go, as
+    in a search for it alone."""
+    mark, names = literal(MARK), [chr(FIRST + i) for i in range(len(chosen))]
+    bare = [WORD_START.sub(r"\1", r.pattern, count=1) for r in chosen]
+    pattern = rf"(?=[0-9A-Za-z])\b(?={'|'.join(f'(?:{p})' for p in bare)}){''.join(f'(?=({p})?)' for p in bare)}"
+    plain = f"translate({text}, {literal(MARK + EACH)}, {literal(OTHER * 2)})"
+    plain = f"if(contains({text}, {mark}) or contains({text}, {literal(EACH)}), {plain}, {text})"
+    marked = f"regexp_replace({plain}, {literal(pattern)}, {literal(MARK + ''.join(f'{EACH}{c}${i + 1}' for i, c in enumerate(names)) + MARK)})"
+    # a gap, what each has matched at the word after it, a gap, and so on
+    words = "aggregate(sequence(0, size(ps) - 2, 2), cast(array() as array<int>), (acc, i) -> array_append(acc, coalesce(try_element_at(acc, -1), 0) + length(ps[i])))"
+    hits = f"flatten(transform({words}, (at, c) -> transform(regexp_extract_all(ps[2 * c + 1], {literal(f'{EACH}.[^{EACH}]+')}, 0), v -> named_struct('g', ascii(substring(v, 2, 1)) - {FIRST}, 'start', at, 'end', at + length(v) - 2))))"
+    apart = f"aggregate(sort_array({hits}), named_struct('g', -1, 'end', 0, 'out', cast(array() as array<struct<g: int, start: int, end: int>>)), (acc, h) -> if(h.g = acc.g and h.start < acc.end, acc, named_struct('g', h.g, 'end', h.end, 'out', array_append(acc.out, h))), acc -> acc.out)"
+    valued = f"transform({apart}, h -> named_struct('g', h.g, 'start', h.start, 'end', h.end, 'value', substring({text}, h.start + 1, h.end - h.start)))"
+    value = "m.value"
+    score = f"case m.g {' '.join(f'when {i} then {scored(r, value)}' for i, r in enumerate(chosen))} end"
+    found = f"transform({valued}, m -> named_struct('kind', array({', '.join(literal(r.kind) for r in chosen)})[m.g], 'start', m.start, 'end', m.end, 'value', m.value, 'score', {score}))"
+    empty = "cast(array() as array<struct<kind: string, start: int, end: int, value: string, score: double>>)"
+    return f"transform(array(split({marked}, {mark}, -1)), ps -> if(size(ps) > 1, {found}, {empty}))[0]"
 
 
 def found_sql(text: str, kinds: list[str] | None = None) -> str:
     """SQL of array<struct<kind, start, end, value, score>>: all matches in a text. One string, as hundreds of lambdas take their time to
     build from Python."""
-
-    def of(r: Recogniser) -> str:
-        score = str(r.score) + "D"
-        if r.valid:
-            test = r.valid.replace("{d}", "regexp_replace({v}, '[^0-9]', '')").replace("{v}", "m.value")
-            score = f"if(coalesce({test}, false), {r.score}D, {r.invalid_score}D)"
-        return matches_sql("line.value", r.pattern, f"'kind', '{r.kind}', 'start', line.start + m.start, 'end', line.start + m.end, 'value', m.value, 'score', {score}")
-
-    chosen = [of(r) for r in RECOGNISERS if kinds is None or r.kind in kinds]
-    return f"flatten(transform({matches_sql(text, TRIGGER)}, line -> concat({', '.join(chosen)})))"
+    chosen = [r for r in RECOGNISERS if kinds is None or r.kind in kinds]
+    words = [r for r in chosen if WORD_START.match(r.pattern)]
+    each = [matches_sql("lines.value", r.pattern, f"'kind', '{r.kind}', 'start', m.start, 'end', m.end, 'value', m.value, 'score', {scored(r, 'm.value')}") for r in chosen if r not in words]
+    each += [by_word_sql("lines.value", words)] if words else []
+    placed = f"transform(concat({', '.join(each)}), f -> named_struct('kind', f.kind, 'start', lines.start + f.start, 'end', lines.start + f.end, 'value', f.value, 'score', f.score))"
+    return f"flatten(transform({matches_sql(text, TRIGGER)}, lines -> {placed}))"
 
 
 def found_in(text: str, kinds: list[str] | None = None) -> Column:
