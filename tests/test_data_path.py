@@ -200,3 +200,20 @@ def test_restore_of_a_large_vault(spark, monkeypatch, share):
     put = lambda c, h, t: t if t is None or c not in known or h != "h" else "".join(f"{c}-{p[0]}{p[1:]}" if k else p for k, p in enumerate(t.split("S")))
     expected = [(n, c, h, put(c, h, t), r, t.count("S") if t and put(c, h, t) != t else 0) for n, c, h, t, r in rows]
     assert sorted(map(str, map(tuple, out.collect()))) == sorted(map(str, expected))
+
+
+def test_one_search_finds_what_each_kind_finds_by_itself(spark):
+    lines = [f"{i}: 10.0.{i}.1, http://a\x01b\x02c {i}@b.de\x02 1980-01-0{i % 9 + 1} 12345678901 12345678901 fe80::1:{i}" if i % 50 else "no such thing" for i in range(200)]
+    docs = spark.createDataFrame([(1, "\n".join(lines)), (2, "é12345678901 0A:1F:11:22:33:44:55\x01\r\n\n4@ü.de"), (3, ""), (4, None)], "doc_id long, text string")
+    found = {(r["doc_id"], r["kind"], r["start"], r["end"], r["value"]) for r in detect.findings(docs).collect()}
+    alone = {(r["doc_id"], k.kind, *r["m"]) for k in detect.RECOGNISERS for r in docs.where("text is not null").select("doc_id", F.explode(detect.matches("text", k.pattern)).alias("m")).collect()}
+    assert found == alone and len(found) > 1000
+    sql = detect.found_sql("text")
+    assert sql.count("regexp_replace(replace(") <= 3 + 1 and "split(lines.value, '" not in sql  # not a search a kind and line
+
+
+def test_texts_made_of_a_small_table_are_dealt_to_all_tasks(spark, tmp_path):
+    spark.range(50).withColumnRenamed("id", "c_custkey").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    for rows in (fixtures.records(spark, str(tmp_path)), fixtures.tickets(spark, str(tmp_path))):
+        assert rows.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+        assert rows.count() == 50

@@ -24,6 +24,13 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt evenly to all tasks that can run: for narrow rows that much is made of, as their file is too small to be read by many
+    tasks. A given number, as Spark would join small partitions again."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism))
+
+
 def settled(df: DataFrame) -> DataFrame:
     """df, worked out once for all its uses: a table in spark.checkpoint.dir where that is set, else persisted (Spark works lost
     parts out again). For tables that several later steps read."""

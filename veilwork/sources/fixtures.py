@@ -6,7 +6,7 @@ import re
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from veilwork.session import load
+from veilwork.session import load, spread
 
 # Names, towns and companies of the template texts; addresses have the names folded
 FIRST, FIRST_FOLDED = "Werner,Käthi,Sandra,Livia,Reto,Monika,Stefan,Beat,Simon,Peter", "werner,kaethi,sandra,livia,reto,monika,stefan,beat,simon,peter"
@@ -61,12 +61,17 @@ def records_sql(customer: str, as_bytes: str) -> str:
     return f"SELECT c_custkey AS doc_id, concat({lines}) AS text FROM {customer}"
 
 
+def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Their keys, of each of which a text is made."""
+    return spread(load(spark, sf_dir, "customer").select("c_custkey"))
+
+
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(records_sql("{customer}", "binary"), customer=load(spark, sf_dir, "customer"))
+    return spark.sql(records_sql("{customer}", "binary"), customer=customers(spark, sf_dir))
 
 
 def tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(TICKETS, customer=load(spark, sf_dir, "customer"))
+    return spark.sql(TICKETS, customer=customers(spark, sf_dir))
 
 
 def drawn(seed: int, *parts: Column) -> Column:
