@@ -3,6 +3,7 @@
 import gzip
 import json
 import random
+import time
 from itertools import product
 
 import numpy as np
@@ -10,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from veilwork.functions import detect
-from veilwork.operators import intervals, mutation, names, permuted, ranks
+from veilwork.operators import intervals, mutation, names, permuted, ranks, vault
 from veilwork.sources import bodies, fixtures, policy
 
 BODY = "doc_id long, client string, host string, body binary, content_type string, content_encoding string"
@@ -217,3 +218,23 @@ def test_texts_made_of_a_small_table_are_dealt_to_all_tasks(spark, tmp_path):
     for rows in (fixtures.records(spark, str(tmp_path)), fixtures.tickets(spark, str(tmp_path))):
         assert rows.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
         assert rows.count() == 50
+
+
+def test_restoring_takes_no_longer_with_more_pairs():
+    rng = random.Random(5)
+    for _ in range(300):
+        pairs = {"".join(rng.choice("ab1é") for _ in range(rng.randint(1, 4))): rng.choice(["", "x", "yab"]) for _ in range(rng.randint(1, 9))}
+        text = "".join(rng.choice("ab1é ") for _ in range(rng.randint(0, 30)))
+        look = vault.restorer(pairs)
+        assert vault.replacer(pairs)(text) == look.subn(lambda m: pairs[m[0]], text)
+    many = {f"<ID:{i:08x}>": str(i) for i in range(200_000)}
+    began = time.perf_counter()
+    assert vault.replacer(many)("".join(f"{x}, " for x in list(many)[:5000]))[1] == 5000
+    assert vault.replacer(many)("<ID:zzzz " * 5000) == ("<ID:zzzz " * 5000, 0)
+    assert time.perf_counter() - began < 20
+
+
+def test_features_of_a_token_are_kept():
+    names.numbered.cache_clear()
+    once, again = names.featured(["Frau", "Meier", ",", "3"]), names.featured(["Frau", "Meier", ",", "3"])
+    assert (once == again).all() and names.numbered.cache_info().hits == 4

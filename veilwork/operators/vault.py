@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import hmac
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from hashlib import sha256
 
 import pandas as pd
@@ -100,42 +100,68 @@ def restorer(pairs: dict[str, str]) -> re.Pattern:
     return re.compile("|".join(re.escape(x) for x in sorted(pairs, key=lambda x: (-len(x), x))))
 
 
+def replacer(written: dict[str, str]) -> Callable[[str], tuple[str, int]]:
+    """As ``restorer`` with its replacements, of any number of pairs: a place is looked up by its first characters, then by the lengths of
+    the stand-ins that begin so, the longest first. An expression of alternatives would try all of them at each place."""
+    least = min(map(len, written), default=0)
+    starts: dict[str, list[int]] = {}
+    for head, size in {(x[:least], len(x)) for x in written}:
+        starts.setdefault(head, []).append(size)
+    for sizes in starts.values():
+        sizes.sort(reverse=True)
+
+    def run(text: str) -> tuple[str, int]:
+        out, at, n, i, end = [], 0, 0, 0, len(text) - least if written else -1
+        while i <= end:
+            for size in starts.get(text[i : i + least], ()):
+                held = text[i : i + size]
+                if held in written:
+                    out += (text[at:i], written[held])
+                    i = at = i + len(held)
+                    n += 1
+                    break
+            else:
+                i += 1
+        return "".join((*out, text[at:])), n
+
+    return run
+
+
 def restore(texts: DataFrame, pairs: DataFrame, text: str = "text", syntax: str | None = None) -> DataFrame:
     """texts (client, host) with stand-ins put back, the longest at each place first, and n_restored. Where the column syntax is
     Json, stand-ins are looked for in both spellings of JSON writers, and values written in the one that was found.
 
-    Texts and maps of a client and host come to one task, sorted, the map first: it is sent once, not with each text, and one map is
-    held at a time. A vault with more than SHARE texts is several shares, each with its map, so none is one task.
+    Texts and pairs of a client and host come to one task, sorted, the pairs first, a row each: they are sent once, not with each text,
+    and those of one vault are held at a time. A vault with more than SHARE texts is several shares, each with its pairs, so none is one task.
     pairs come from ``restorable``, so a vault has at most PAIRS of them; of pairs that share a stand-in all the same, the least value
     is written. Texts without a map, of a null client or host, and null texts stay.
     """
-    known = pairs.where("client is not null and host is not null and standin != ''")
-    maps = known.groupBy("client", "host").agg(F.collect_set(F.struct("standin", "value")).alias("_pairs"))
+    known = pairs.where("client is not null and host is not null and standin != ''").groupBy("client", "host", "standin").agg(F.min("value").alias("_value"))
     shares = settled(texts.groupBy("client", "host").count().where(F.col("count") > SHARE).select("client", "host", F.ceil(F.col("count") / SHARE).cast("int").alias("_shares")))
     is_json = F.lit(False) if syntax is None else F.coalesce(F.col(syntax) == "Json", F.lit(False))
     rows = ranks.with_small(texts.select(F.struct(*texts.columns).alias("row"), "client", "host", F.col(text).alias("_text"), is_json.alias("_json")), shares, ["client", "host"], "left").withColumn("_share", F.pmod(F.xxhash64("_text"), F.coalesce("_shares", F.lit(1))).cast("int")).drop("_shares")
-    dealt = ranks.with_small(maps, shares, ["client", "host"], "left").withColumn("_share", F.explode(F.sequence(F.lit(0), F.coalesce("_shares", F.lit(1)) - 1))).drop("_shares")
-    both = rows.unionByName(dealt, allowMissingColumns=True).repartition("client", "host", "_share").sortWithinPartitions("client", "host", "_share", F.col("_pairs").isNull())
+    dealt = ranks.with_small(known.withColumnRenamed("standin", "_standin"), shares, ["client", "host"], "left").withColumn("_share", F.explode(F.sequence(F.lit(0), F.coalesce("_shares", F.lit(1)) - 1))).drop("_shares")
+    both = rows.unionByName(dealt, allowMissingColumns=True).repartition("client", "host", "_share").sortWithinPartitions("client", "host", "_share", F.col("_standin").isNull())
     schema = StructType([StructField("row", StructType(texts.schema.fields)), StructField("text", StringType()), StructField("n", IntegerType())])
 
     def put_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vault_, found, built = None, [], {}
+        vault_, found, built = None, {}, {}
         for b in batches:
-            client, host, held, as_json = (b.column(c).to_pylist() for c in ("client", "host", "_text", "_json"))
-            maps_, kept, out = b.column("_pairs"), [], []
-            for i, s in enumerate(held):
-                if maps_[i].is_valid:
-                    vault_, found, built = (client[i], host[i]), sorted((p["standin"], p["value"]) for p in maps_[i].as_py()), {}
+            names_ = ("client", "host", "_share", "_text", "_json", "_standin", "_value")
+            kept, out = [], []
+            for i, (client, host, share, s, as_json, standin_, value) in enumerate(zip(*(b.column(c).to_pylist() for c in names_), strict=True)):
+                if standin_ is not None:
+                    if vault_ != (client, host, share):
+                        vault_, found, built = (client, host, share), {}, {}
+                    found[standin_] = value
                     continue
                 kept.append(i)
-                if s is None or vault_ != (client[i], host[i]):
+                if s is None or vault_ != (client, host, share):
                     out.append((s, 0))
                     continue
-                if as_json[i] not in built:
-                    written = spelled(dict(reversed(found)), as_json[i])
-                    built[as_json[i]] = written, restorer(written)
-                written, look = built[as_json[i]]
-                out.append(look.subn(lambda x, w=written: w[x[0]], s))
+                if as_json not in built:
+                    built[as_json] = replacer(spelled(found, as_json))
+                out.append(built[as_json](s))
             names, counts = zip(*out) if out else ((), ())
             yield pa.RecordBatch.from_arrays([b.column("row").take(pa.array(kept, pa.int64())), pa.array(names, pa.string()), pa.array(counts, pa.int32())], names=["row", "text", "n"])
 
