@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -33,15 +34,17 @@ def shape(word: str) -> str:
     return re.sub(r"(.)\1+", r"\1", "".join("X" if c.isupper() else "x" if c.isalpha() else "9" if c.isdigit() else c for c in word))
 
 
+@lru_cache(1 << 16)
+def numbered(first: bool, before: str, left: str, w: str, right: str, after: str) -> tuple[int, ...]:
+    """The numbers of a token's features, from its neighbours; kept, as words in the same company come again and in each pass."""
+    names = [f"s{shape(w)}", f"e{w[-2:].lower()}", f"p{left.lower()}", f"n{right.lower()}", f"P{shape(left)}|{shape(w)}", f"N{shape(w)}|{shape(right)}", f"q{before.lower()}", f"m{after.lower()}", f"{shape(left)}|{shape(w)}|{shape(right)}", f"f{first}|{shape(w)}", f"l{min(len(w), 9)}|{shape(w)}"]
+    return tuple(xxhash.xxh32_intdigest(n) % FEATURES for n in names)
+
+
 def featured(words: list[str]) -> np.ndarray:
     """The numbers of each token's features, a row a token."""
-    at = lambda i: words[i] if 0 <= i < len(words) else "<>"
-    rows = []
-    for i, w in enumerate(words):
-        near = [at(i + d) for d in (-2, -1, 1, 2)]
-        names = [f"s{shape(w)}", f"e{w[-2:].lower()}", f"p{near[1].lower()}", f"n{near[2].lower()}", f"P{shape(near[1])}|{shape(w)}", f"N{shape(w)}|{shape(near[2])}", f"q{near[0].lower()}", f"m{near[3].lower()}", f"{shape(near[1])}|{shape(w)}|{shape(near[2])}", f"f{i == 0}|{shape(w)}", f"l{min(len(w), 9)}|{shape(w)}"]
-        rows.append([xxhash.xxh32_intdigest(n) % FEATURES for n in names])
-    return np.array(rows, np.int64).reshape(len(words), -1)
+    at = ["<>", "<>", *words, "<>", "<>"]
+    return np.array([numbered(i == 0, *at[i : i + 5]) for i in range(len(words))], np.int64).reshape(len(words), -1)
 
 
 class Weights:
@@ -66,8 +69,9 @@ class Weights:
         """For each token and tag, the best score of a sequence up to it, and the tag before."""
         best, back = np.empty_like(score), np.zeros(score.shape, int)
         best[0] = score[0] + self.start + self.unbegun
+        moves = self.move + self.barred
         for i in range(1, len(score)):
-            all_ = best[i - 1][:, None] + self.move + self.barred
+            all_ = best[i - 1][:, None] + moves
             back[i] = all_.argmax(0)
             best[i] = all_.max(0) + score[i]
         return best, back
