@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from veilwork.functions import text as T
+from veilwork.session import tasks
 
 # The prior of the weights
 PRIOR_MEAN, PRIOR_SD = 0.5, 2.0
@@ -35,17 +36,18 @@ def features(pairs: DataFrame, group: str) -> DataFrame:
 
 @cache
 def draws(n: int) -> np.ndarray:
-    """The weights drawn for n features: the same in each worker, drawn once."""
-    return np.random.default_rng(SEED).normal(PRIOR_MEAN, PRIOR_SD, (DRAWS, n))
+    """The weights drawn for n features, a row a feature: the same in each worker, drawn once."""
+    return np.ascontiguousarray(np.random.default_rng(SEED).normal(PRIOR_MEAN, PRIOR_SD, (DRAWS, n)).T)
 
 
 def posterior(x: np.ndarray) -> np.ndarray:
     """The mean probability of each row of x (names by features), given that the first is the one."""
-    logits = draws(x.shape[1]) @ x.T
-    p = np.exp(logits - logits.max(1, keepdims=True))
-    p /= p.sum(1, keepdims=True)
-    weight = p[:, 0]
-    return (p * weight[:, None]).sum(0) / weight.sum()
+    # names by draws: names are few, so a draw's sums go down whole rows
+    p = x @ draws(x.shape[1])
+    p -= p.max(0)
+    np.exp(p, out=p)
+    p /= p.sum(0)
+    return p @ p[0] / p[0].sum()
 
 
 def assessed(featured: DataFrame, group: str) -> DataFrame:
@@ -59,7 +61,7 @@ def assessed(featured: DataFrame, group: str) -> DataFrame:
             if table is None or not len(table):
                 continue
             rows = table.to_batches()[0]
-            keys = rows.column(0)
+            keys = rows.column(0).to_pylist()
             x = np.stack([rows.column(c).to_numpy(zero_copy_only=False).astype(float) for c in FEATURES], 1)
             # groups begin where the key is not that of the row before; the last one may go on in the next batch
             begins = [0, *(i for i in range(1, len(rows)) if keys[i] != keys[i - 1])]
@@ -68,9 +70,11 @@ def assessed(featured: DataFrame, group: str) -> DataFrame:
             ends = [*begins[1:], len(rows)]
             risks = [posterior(x[i:j]) for i, j in zip(begins, ends) if j <= whole]
             if risks:
-                yield pa.RecordBatch.from_arrays([keys.slice(0, whole), rows.column("name").slice(0, whole), pa.array(np.concatenate(risks))], names=[group, "name", "risk_probability"])
+                yield pa.RecordBatch.from_arrays([rows.column(0).slice(0, whole), rows.column("name").slice(0, whole), pa.array(np.concatenate(risks))], names=[group, "name", "risk_probability"])
 
-    rows = featured.select(group, "name", "ordinal", *FEATURES).repartition(group).sortWithinPartitions(group, "ordinal")
+    # rows are narrow and their work is not: a given number of tasks, as Spark would join small ones; by a hash of the group, as
+    # Spark would leave out a shuffle by the group itself after a join on it
+    rows = featured.select(group, "name", "ordinal", *FEATURES).repartition(tasks(featured.sparkSession), F.xxhash64(group)).sortWithinPartitions(group, "ordinal")
     return rows.mapInArrow(run, f"{group} {dict(featured.dtypes)[group]}, name string, risk_probability double")
 
 

@@ -24,11 +24,15 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def tasks(spark: SparkSession) -> int:
+    """A number of tasks that keeps all cores at work."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df dealt evenly to all tasks that can run: for narrow rows that much is made of, as their file is too small to be read by many
     tasks. A given number, as Spark would join small partitions again."""
-    spark = df.sparkSession
-    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism))
+    return df.repartition(tasks(df.sparkSession))
 
 
 def settled(df: DataFrame) -> DataFrame:
