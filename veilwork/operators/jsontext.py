@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-TOKEN = re.compile(r'[ \t\r\n]+|//[^\r\n]*|/\*.*?\*/|(?P<string>"(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*")|(?P<atom>(?:-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?|true|false|null)(?![\w.+-]))|(?P<mark>[{}\[\]:,])', re.S)
+TOKEN = re.compile(r'[ \t\r\n]*+(?:(?P<string>"[^"\\\x00-\x1f]*+(?:\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4})[^"\\\x00-\x1f]*+)*+")|(?P<atom>(?:-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?|true|false|null)(?![\w.+-]))|(?P<mark>[{}\[\]:,])|//[^\r\n]*|/\*.*?\*/|\Z)', re.S)
 DEEPEST = 64
 #: What may come next: a value, a value or the end of the list, a key or the end of the object, and so on.
 VALUE, ITEM, KEY, COLON, COMMA, END = "value", "item", "key", ":", ",", "end"
@@ -24,16 +24,22 @@ def whole(text: str) -> str:
     return text.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
 
 
+def unquoted(token: str) -> str:
+    """The value of a string, most of which are as they are written."""
+    return token[1:-1] if token.isascii() and "\\" not in token else whole(json.loads(token))
+
+
 def located(text: str) -> list[tuple[int, int, str, str]] | None:
     """Start, length, value and dotted path of each string value; lists share the path of their key. None if text is no JSON."""
-    out, at, open_, keys, key, want = [], 0, [], [], "", VALUE
+    out, at, open_, keys, key, path, want = [], 0, [], [], "", None, VALUE
     while at < len(text):
         m = TOKEN.match(text, at)
         if m is None:
             return None
-        at, token, kind = m.end(), m[0], m.lastgroup
+        at, kind = m.end(), m.lastgroup
         if kind is None:
             continue
+        token = m[kind]
         if token == ":" or token == ",":
             if want != token:
                 return None
@@ -42,12 +48,12 @@ def located(text: str) -> list[tuple[int, int, str, str]] | None:
             if not open_ or open_[-1] + token not in ("{}", "[]") or want not in (COMMA, KEY, ITEM):
                 return None
             if open_.pop() == "{":
-                key = keys.pop()
+                key, path = keys.pop(), None
             want = COMMA if open_ else END
         elif want == KEY:
             if kind != "string":
                 return None
-            key, want = whole(json.loads(token)), COLON
+            key, path, want = unquoted(token), None, COLON
         elif want not in (VALUE, ITEM):
             return None
         elif kind == "mark":
@@ -57,10 +63,12 @@ def located(text: str) -> list[tuple[int, int, str, str]] | None:
             want = ITEM
             if token == "{":
                 keys.append(key)
-                key, want = "", KEY
+                key, path, want = "", None, KEY
         else:
             if kind == "string":
-                out.append((m.start() + 1, len(token) - 2, whole(json.loads(token)), ".".join(k for k in [*keys, key] if k)))
+                if path is None:
+                    path = ".".join(filter(None, [*keys, key]))
+                out.append((m.start(kind) + 1, len(token) - 2, unquoted(token), path))
             want = COMMA if open_ else END
     return out if want == END else None
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from veilwork.functions import text as T
 from veilwork.operators import compare, jsontext, ranks, risk, route, telemetry, vault
 from veilwork.plans import privacy
-from veilwork.session import load, settled
+from veilwork.session import load, settled, spread
 from veilwork.sources import bodies, corpus
 
 AGENTS = ("Mozilla (iPad)", "Tablet UA", "Mozilla (iPhone)", "Android 14", "Macintosh", "X11; Linux", "curl/8", "")
@@ -104,7 +104,7 @@ def json_bodies(spark, sf_dir):
     """Bodies with nesting, lists, escapes and, in some, comments and trailing commas; every 31st is cut off."""
     tail = F.when(F.col("event_id") % 3 == 0, '/* c */,]}').otherwise("]}")
     body = F.concat(F.lit('{"type": "'), "event_type", F.lit('", "by": {"name": "Ren\\u00e9 \\"'), "user_id", F.lit('\\"", "props": '), "props", F.lit('}, "list": ["a", {"deep": "é'), "event_id", F.lit('"}'), tail)
-    return requests(spark, sf_dir).select(F.col("event_id").alias("id"), F.when(F.col("event_id") % 31 == 0, F.substring(body, F.lit(1), F.length(body) - 1)).otherwise(body).alias("body"))
+    return spread(requests(spark, sf_dir)).select(F.col("event_id").alias("id"), F.when(F.col("event_id") % 31 == 0, F.substring(body, F.lit(1), F.length(body) - 1)).otherwise(body).alias("body"))
 
 
 def json_string_values(spark, sf_dir):
