@@ -41,6 +41,7 @@ from veilwork.llm import common
 BUCKETS, PARTS = 18, 64
 GROUPS, COARSE = 256, 64
 LEAF, FAN = 4096, 8  # classes of a block that meet in one task, of each of two sides; children of a node of the tree
+PAIRS = 1 << 13  # pairs of classes whose counts are held at once
 K1, K2, K3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 S = np.uint64(29)
 WORDS = 1 << 18  # words whose names a worker remembers
@@ -244,8 +245,8 @@ def block_pairs(posted: DataFrame, vectors: DataFrame, percent: int) -> DataFram
         for block in blocks(batches, ("token", "x", "y")):
             leaf, x, y, node, n, comp = (block.column(c).to_numpy() for c in ("leaf", "x", "y", "node", "n", "component"))
             v = vectors_of(block.column("vector"))
-            a, b = tree_join(v, n, comp, np.flatnonzero(leaf == x), np.flatnonzero(leaf == y), x[0] == y[0], percent)
-            yield pa.RecordBatch.from_arrays([pa.array(f(node[a], node[b])) for f in (np.minimum, np.maximum)], names=["a", "b"])
+            for a, b in tree_pairs(v, n, comp, np.flatnonzero(leaf == x), np.flatnonzero(leaf == y), x[0] == y[0], percent):
+                yield pa.RecordBatch.from_arrays([pa.array(f(node[a], node[b])) for f in (np.minimum, np.maximum)], names=["a", "b"])
 
     return met.repartition("token", "x", "y").sortWithinPartitions("token", "x", "y").mapInArrow(meet, "a long, b long").distinct()
 
@@ -297,24 +298,36 @@ def packed_tree(coarse: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, list[Lev
     return order, levels[::-1]
 
 
+def overlaps(a: np.ndarray, p: np.ndarray, b: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """The sum of the coordinate minima of rows p of a and rows q of b, PAIRS at once: near copies leave a million pairs, of 1 KB a side."""
+    out = np.zeros(len(p), "i8")
+    for k in range(0, len(p), PAIRS):
+        np.minimum(a[p[k : k + PAIRS]], b[q[k : k + PAIRS]]).sum(1, out=out[k : k + PAIRS])
+    return out
+
+
 def tree_join(v, n, comp, one, two, same, percent, at_once: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    """``tree_pairs`` at once."""
+    none = np.zeros(0, "i8")
+    return tuple(np.concatenate([none, *x]) for x in zip((none, none), *tree_pairs(v, n, comp, one, two, same, percent, at_once)))
+
+
+def tree_pairs(v, n, comp, one, two, same, percent, at_once: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs of different components whose bound reaches the needed overlap: the points of one side descend the tree of the
     other, some at once; points that are left are held against each other by coarse, then by all groups."""
     need = lambda p, q: percent * (p + q) / (100 + percent) - 1e-6  # noqa: E731  of overlap, for sizes p and q
-    none = np.zeros(0, "i8")
     if not len(one) or not len(two):
-        return none, none
+        return
     coarse = v.reshape(len(v), COARSE, -1).sum(2)
     order, levels = packed_tree(coarse[two], n[two])
     two = two[order]
-    out = [(none, none)]
     for k in range(0, len(one), at_once):
         mine = one[k : k + at_once]
         p, node = np.repeat(mine, len(levels[0].least)), np.tile(np.arange(len(levels[0].least)), len(mine))
         for level in levels:
             fits = (100 * level.most[node] >= percent * n[p]) & (100 * n[p] >= percent * level.least[node])
             p, node = p[fits], node[fits]
-            fits = np.minimum(level.high[node], coarse[p]).sum(1) >= need(n[p], np.maximum(level.least[node], -(-percent * n[p] // 100)))
+            fits = overlaps(level.high, node, coarse, p) >= need(n[p], np.maximum(level.least[node], -(-percent * n[p] // 100)))
             p, node = p[fits], node[fits]
             size = level.end[node] - level.begin[node]
             p, node = np.repeat(p, size), np.repeat(level.begin[node] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
@@ -322,10 +335,9 @@ def tree_join(v, n, comp, one, two, same, percent, at_once: int = 256) -> tuple[
         fits = (comp[q] != comp[p]) & ((q > p) | (not same))
         p, q = p[fits], q[fits]
         for points in (coarse, v):
-            fits = np.minimum(points[p], points[q]).sum(1) >= need(n[p], n[q])
+            fits = overlaps(points, p, points, q) >= need(n[p], n[q])
             p, q = p[fits], q[fits]
-        out.append((p, q))
-    return tuple(np.concatenate(x) for x in zip(*out))
+        yield p, q
 
 
 def join(docs: DataFrame, n: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
