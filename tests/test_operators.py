@@ -5,6 +5,7 @@ import json
 import random
 import time
 import zlib
+from collections import Counter
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -13,7 +14,8 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from veilwork.operators import compare, exchange, gazetteer, jsontext, risk, route, truth, vault
+from veilwork.functions import detect, text as T
+from veilwork.operators import compare, exchange, gazetteer, jsontext, literals, risk, route, truth, vault
 from veilwork.plans import traffic
 from veilwork.sources import bodies, corpus, fixtures
 from veilwork.streaming import exchange as exchanges, reports, restore, vault as live
@@ -112,6 +114,40 @@ def test_truth_of_awkward_documents(spark):
     assert got == {(1, "BIRTHDATE", "1980-01-02", "redact"), (1, "DATE", "1999-12-31", "informational"), (4, "CONTRACT_ID", "NAT-2025-\n4688", "informational"), (4, "MONEY", "CHF 1'000.50", "informational"), (4, "IP", "10.0.0.0/8", "informational"), (5, "ADDRESS", "Güterstrasse 24, 3008 Bern bei Bern", "redact")}
 
 
+def test_entities_are_found_beside_their_texts(spark, capsys):
+    """No text and no candidate is shuffled: what a literal is goes with the automaton."""
+    docs = spark.createDataFrame([(1, "Von: Ann Bo <ann.bo@firma.example>\nAnn Bo, 3008 Bern"), (2, "Ann Bo in Bern"), (3, None)], "doc_id long, text string")
+    found = truth.entities(docs)
+    found.explain()
+    assert "Exchange" not in capsys.readouterr().out
+    assert sorted((r["doc_id"], r["index"], r["kind"], r["value"], r["start"], r["line"]) for r in found.collect()) == [
+        (1, 0, "PERSON", "Ann Bo", 5, 1), (1, 1, "EMAIL", "ann.bo@firma.example", 13, 1), (1, 2, "PERSON", "Ann Bo", 35, 2), (1, 3, "LOCATION", "Bern", 48, 2), (2, 0, "PERSON", "Ann Bo", 0, 1), (2, 1, "LOCATION", "Bern", 10, 1),
+    ]
+
+
+def test_literals_beside_texts_in_any_number_of_blocks(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "😀 Bern, Ann Bern-Lyss"), (2, None), (3, ""), (1, "Ann")], "doc_id long, text string")
+    known = spark.createDataFrame([("Bern", "LOCATION", "strong", 102), ("Bern", "PERSON", "weak", 103), ("Ann", "PERSON", "weak", 103), ("Ann Bern", "PERSON", "strong", 100), ("Lyss", "LOCATION", "strong", 102), ("", "ORG", "strong", 101)], "literal string, kind string, tier string, ordinal int")
+    expected = Counter(tuple(r) for r in gazetteer.occurrences(docs, known).select("doc_id", "start", "end", "literal", "kind", "tier", "ordinal").collect())
+    assert len(expected) == 8
+    for block in (1 << 20, 9, 4):
+        monkeypatch.setattr(literals, "BLOCK", block)
+        rows = literals.beside(docs, known).collect()
+        assert sorted((r["doc_id"], r["text"] or "") for r in rows) == [(1, "Ann"), (1, "😀 Bern, Ann Bern-Lyss"), (2, ""), (3, "")]
+        assert Counter((r["doc_id"], *p) for r in rows for p in r["places"]) == expected
+    assert [r["places"] for r in literals.beside(docs, known.limit(0)).collect()] == [[]] * 4
+
+
+def test_every_match_has_a_needed_string(spark):
+    """Texts that are not searched, as they have no string that every match has, hold no match."""
+    odd = ["A Bo<a@", "[1:02] Ann Bo :", "An:Ann Bo", "Kommentar Ann Bo", "Ann Bo (HR", "|x| Ann Bo |", "Ann Bo\t(+41", "A.B@c.De", "Ab Cd AG", "Ab GmbH", "Ab Genossenschaft", ",3008 Bern bei X", "Abweg 1,3008 Bern", "CH9300762011623852957", "756.9217.0769.85", "+41791234567", "NAT-2025-\r\n4688", "K-12345", "CHF 1", "1999-01-02", "1.2.3.4/5", ""]
+    docs = fixtures.tickets(spark, "/root/testdata/sf0.001").union(spark.createDataFrame([(-1 - i, t) for i, t in enumerate(odd)], "doc_id long, text string"))
+    pairs = [(gazetteer.groups(p), F.regexp_extract_all("text", F.lit(p), F.lit(1))) for p in gazetteer.NEEDED]
+    pairs += [(T.if_any(F.col("text"), truth.NEEDED[k], detect.matches("text", p)), detect.matches("text", p)) for k, p in truth.SHAPES]
+    differ, held = docs.agg(F.array(*[F.count_if(a != b) for a, b in pairs]), F.array(*[F.count_if(F.size(b) > 0) for _, b in pairs])).first()
+    assert set(differ) == {0} and min(held) > 0
+
+
 def test_a_corpus_without_rows(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert truth.entities(none).count() == 0 and gazetteer.towns(none).count() == 0

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from veilwork.functions import text as T
 from veilwork.operators import literals
@@ -32,11 +32,22 @@ LOCAL_PART = r"(?i)\b([a-z0-9_.+-]+)@[a-z0-9_-]+\.[a-z]{2,}\b"
 ORGANISATION = rf"\b({WORD}(?: {WORD}| [A-ZÄÖÜ][a-zäöüß]+)*? (?:AG|GmbH|Genossenschaft))\b"
 TOWN = r",\s*[0-9]{4}\s+([A-ZÄÖÜ][0-9A-Za-z_äöüéèà]+(?:/[A-ZÄÖÜ][0-9A-Za-z_äöüéèà]+)?(?:\s+bei\s+[A-ZÄÖÜ][0-9A-Za-z_äöüéèà]+)?)"
 
+#: Strings of which every match of a pattern has one
+NEEDED = {
+    **dict(zip(VOUCHERS, (("<",), ("[",), (":",), ("Kommentar",), ("(",), ("|",), ("(+41",)), strict=True)),
+    LOCAL_PART: ("@",), ORGANISATION: (" AG", " GmbH", " Genossenschaft"), TOWN: (",",),
+}
+
+
+def groups(pattern: str) -> Column:
+    """The first groups of a pattern's matches in the text."""
+    return T.if_any(F.col("text"), NEEDED.get(pattern, ()), F.regexp_extract_all("text", F.lit(pattern), F.lit(1)))
+
 
 def extracted(docs: DataFrame, patterns: tuple[str, ...] | str, name: str = "name") -> DataFrame:
     """The distinct first groups of the patterns' matches."""
     patterns = (patterns,) if isinstance(patterns, str) else patterns
-    found = F.flatten(F.array(*[F.regexp_extract_all("text", F.lit(p), F.lit(1)) for p in patterns]))
+    found = F.flatten(F.array(*[groups(p) for p in patterns]))
     return docs.where("text is not null").select(F.explode(found).alias(name)).select(F.trim(name).alias(name)).distinct()
 
 
@@ -107,7 +118,7 @@ SOURCES = {"voucher": VOUCHERS, "pair": (FULL_NAME,), "part": (LOCAL_PART,), "or
 def mentions(docs: DataFrame) -> DataFrame:
     """source, name: what all the patterns extract, in one pass over the texts."""
     from_ = lambda source: lambda m: F.struct(F.lit(source).alias("source"), F.trim(m).alias("name"))
-    each = [F.transform(F.regexp_extract_all("text", F.lit(p), F.lit(1)), from_(source)) for source, patterns in SOURCES.items() for p in patterns]
+    each = [F.transform(groups(p), from_(source)) for source, patterns in SOURCES.items() for p in patterns]
     return docs.where("text is not null").select(F.explode(F.concat(*each)).alias("m")).select("m.source", "m.name").distinct()
 
 

@@ -12,7 +12,7 @@ def non_overlapping(spans: str, order: str = "start, -(end - start)") -> Column:
     one is dropped. ``spans`` names an array column, ``order`` sorts by its fields; a fold, as the rule looks at kept spans only."""
     keys = ", ".join(f"'k{i}', {part}" for i, part in enumerate(re.sub("[a-z_]+", r"x.\g<0>", order).split(", ")))
     return F.expr(
-        f"aggregate(array_sort(transform({spans}, x -> named_struct({keys}, 'x', x))), named_struct('last', 0, 'kept', slice({spans}, 1, 0)), "
+        f"aggregate(sort_array(transform({spans}, x -> named_struct({keys}, 'x', x))), named_struct('last', 0, 'kept', slice({spans}, 1, 0)), "
         "(acc, y) -> if(y.x.start >= acc.last, named_struct('last', y.x.end, 'kept', array_append(acc.kept, y.x)), acc), acc -> acc.kept)"
     )
 

@@ -11,7 +11,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, functions as F
 
 from veilwork.functions import detect, text as T
-from veilwork.operators import gazetteer, spans
+from veilwork.operators import gazetteer, literals, spans
 from veilwork.sources import policy
 
 # Shapes in order of precedence, and the words before a birth date
@@ -27,12 +27,14 @@ SHAPES = (
     ("DATE", r"\b(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}\b"),
     ("IP", r"\b[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?:/[0-9]{1,2})?\b"),
 )
+# Strings of which every match of a shape has one
+NEEDED = {"ADDRESS": (",",), "IBAN": ("CH",), "EMAIL": ("@",), "AHV": ("756.",), "PHONE": ("+41",), "CONTRACT_ID": ("NAT-",), "TICKET_ID": ("K-",), "MONEY": ("CHF",), "DATE": ("-",), "IP": (".",)}
 BIRTH_CUE, CUE_LENGTH = r"(?i)(?:geboren am|Geburtsdatum|geb\.)\s*$", 24
 REDACT = tuple(policy.POLICY["redact"])
 
 
-def shaped(docs: DataFrame) -> DataFrame:
-    """Candidates by shape: doc_id, start, end, value, kind, tier, ordinal."""
+def shaped() -> Column:
+    """The text's candidates by shape: an array of start, end, value, kind, tier, ordinal."""
 
     def of(kind: str, ordinal: int):
         def one(m: Column) -> Column:
@@ -43,31 +45,35 @@ def shaped(docs: DataFrame) -> DataFrame:
 
         return one
 
-    # all that needs the text is worked out beside it: only the findings are dealt out
-    each = [F.transform(detect.matches("text", p), of(k, n)) for n, (k, p) in enumerate(SHAPES)]
-    return docs.where("text is not null").select("doc_id", F.explode(F.concat(*each)).alias("x")).select("doc_id", "x.*")
+    return F.concat(*[F.transform(T.if_any(F.col("text"), NEEDED[k], detect.matches("text", p)), of(k, n)) for n, (k, p) in enumerate(SHAPES)])
 
 
-def candidates(docs: DataFrame, literals: DataFrame) -> DataFrame:
-    found = gazetteer.occurrences(docs, literals).withColumnRenamed("literal", "value")
-    return shaped(docs).unionByName(found)
+def found_in(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """doc_id, text and all: a text's candidates, by shape and by literal, beside it; nothing is dealt out to put them together."""
+    rows = literals.beside(docs.where("text is not null").select("doc_id", "text"), known)
+    return rows.select("doc_id", "text", F.concat(shaped(), "places").alias("all"))
+
+
+def candidates(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """doc_id, start, end, value, kind, tier, ordinal."""
+    return found_in(docs, known).select("doc_id", F.explode("all").alias("x")).select("doc_id", "x.*")
 
 
 def policy_of(value: Column, kind: Column, redact: Iterable[str] = REDACT, keep: Iterable[str] = ()) -> Column:
     return F.when(value.isin(*keep) if keep else F.lit(False), "keep").when(kind.isin(*redact), "redact").otherwise("informational")
 
 
-def resolved(docs: DataFrame, found: DataFrame, redact: Iterable[str] = REDACT, keep: Iterable[str] = ()) -> DataFrame:
-    """Entities: of overlapping candidates, by start, the longer first, then the earlier source; with policy, index and line."""
-    each = found.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end", "ordinal", "kind", "value", "tier")).alias("all"))
-    each = each.withColumn("kept", spans.non_overlapping("all", "start, -(end - start), ordinal"))
+def resolved(found: DataFrame, redact: Iterable[str] = REDACT, keep: Iterable[str] = ()) -> DataFrame:
+    """Entities of found (doc_id, text, all): of overlapping candidates, by start, the longer first, then the earlier source, then by kind
+    and value; with policy, index and line."""
+    each = found.withColumn("kept", spans.non_overlapping("all", "start, -(end - start), ordinal, kind, value, tier"))
     kept = F.transform("kept", lambda x: x.withField("line", T.line_number(F.col("text"), x["start"])))
-    rows = docs.select("doc_id", "text").join(each, "doc_id").select("doc_id", F.posexplode(kept).alias("index", "x"))
+    rows = each.select("doc_id", F.posexplode(kept).alias("index", "x"))
     return rows.select("doc_id", "index", "x.kind", "x.value", "x.start", "x.end", "x.tier", policy_of(F.col("x.value"), F.col("x.kind"), redact, keep).alias("policy"), "x.line")
 
 
 def entities(docs: DataFrame, redact: Iterable[str] = REDACT, keep: Iterable[str] = ()) -> DataFrame:
-    return resolved(docs, candidates(docs, gazetteer.build(docs).literals()), redact, keep)
+    return resolved(found_in(docs, gazetteer.build(docs).literals()), redact, keep)
 
 
 def checked_overrides(docs: DataFrame, overrides: DataFrame) -> DataFrame:
