@@ -3,6 +3,7 @@
 import gzip
 import json
 import random
+import re
 import time
 import zlib
 from collections import Counter
@@ -148,6 +149,29 @@ def test_every_match_has_a_needed_string(spark):
     assert set(differ) == {0} and min(held) > 0
 
 
+def test_one_match_and_many_are_told_alike(spark):
+    """Against Python's search: none, one and several matches, marks in the text, characters of two units, empty and null texts."""
+    odd = ["", None, "1.2.3.4", "\U0001f600 1.2.3.4", "1.2.3.4 \U0001f600 10.0.0.1/8,1.2.3.4", "\x01 1.2.3.4\x01", "\x01\x03 1.2.3.4 \x01 5.6.7.8", "x\x02\n2.2.2.2\n3.3.3.3", "a.b"]
+    docs = spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string")
+    pattern = dict(truth.SHAPES)["IP"]
+    expected = {i: [(m.start(), m.end(), m[0]) for m in re.finditer(pattern, t or "")] for i, t in enumerate(odd)}
+    assert {r["doc_id"]: [tuple(m) for m in r["m"]] for r in docs.select("doc_id", detect.matches("text", pattern).alias("m")).collect()} == expected
+    rows = truth.shaped(docs.where("text is not null")).collect()
+    assert {r["doc_id"]: [(x["start"], x["end"], x["value"]) for x in r["shapes"] if x["kind"] == "IP"] for r in rows} == {i: m for i, m in expected.items() if odd[i] is not None}
+
+
+def test_shapes_are_searched_once_and_lines_counted_for_who_asks(spark, capsys):
+    """Spark may not infer a filter by the candidates' number, which searched all shapes once more for each mention of them."""
+    docs = fixtures.tickets(spark, "/root/testdata/sf0.001")
+    known = spark.createDataFrame([("Bern", "LOCATION", "strong", 102)], "literal string, kind string, tier string, ordinal int")
+    entities = truth.resolved(truth.found_in(docs, known))
+    for rows, counted in ((truth.candidates(docs, known), 0), (entities.select("kind", "tier"), 0), (entities.select("line"), 1)):
+        capsys.readouterr()
+        rows.explain()
+        plan = capsys.readouterr().out
+        assert plan.count("regexp_replace(") == len(truth.SHAPES) and plan.count("AS lines#") == counted
+
+
 def test_a_corpus_without_rows(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert truth.entities(none).count() == 0 and gazetteer.towns(none).count() == 0

@@ -122,16 +122,35 @@ def literal(text: str) -> str:
 MARK, EACH, OTHER = "\x01", "\x02", "\x03"
 
 
-def matches_sql(text: str, pattern: str, fields: str = "") -> str:
-    """SQL of array<struct<start, end, value, ...>>: a pattern's matches, not empty ones; ``fields`` may add more. The matches are
-    marked, as the engine compiles the pattern of a replacement once, and that of a split for each text."""
+EMPTY = "cast(array() as array<struct<start: int, end: int, value: string>>)"
+
+
+def marked_sql(text: str, pattern: str) -> str:
+    """SQL of the text with a pattern's matches between marks, as the engine compiles the pattern of a replacement once, and that of a
+    split for each text."""
     mark, other = literal(MARK), literal(OTHER)
-    marked = f"regexp_replace(replace({text}, {mark}, {other}), {literal(pattern)}, {literal(MARK + '$0' + MARK)})"
-    # every other piece is a match: its marks are not in the text
+    plain = f"if(contains({text}, {mark}), replace({text}, {mark}, {other}), {text})"
+    return f"regexp_replace({plain}, {literal(pattern)}, {literal(MARK + '$0' + MARK)})"
+
+
+def one_sql(text: str, pieces: str) -> str:
+    """SQL of the struct of the only match of a text, of what is before it, the match, and what is after it."""
+    start, n = f"length({pieces}[0])", f"length({pieces}[1])"
+    return f"named_struct('start', {start}, 'end', {start} + {n}, 'value', substring({text}, {start} + 1, {n}))"
+
+
+def many_sql(text: str, pieces: str) -> str:
+    """SQL of the matches of a marked text that is split at its marks: every other piece is one, as its marks are not in the text."""
     step = f"named_struct('at', acc.at + x.n, 'out', if(x.hit, array_append(acc.out, named_struct('start', acc.at, 'end', acc.at + x.n, 'value', substring({text}, acc.at + 1, x.n))), acc.out))"
-    empty = "cast(array() as array<struct<start: int, end: int, value: string>>)"
-    pieces = f"transform(split(marked, {mark}, -1), (p, i) -> named_struct('n', length(p), 'hit', i % 2 = 1))"
-    found = f"transform(array({marked}), marked -> if(contains(marked, {mark}), aggregate({pieces}, named_struct('at', 0, 'out', {empty}), (acc, x) -> {step}, acc -> acc.out), {empty}))[0]"
+    return f"aggregate(transform({pieces}, (p, i) -> named_struct('n', length(p), 'hit', i % 2 = 1)), named_struct('at', 0, 'out', {EMPTY}), (acc, x) -> {step}, acc -> acc.out)"
+
+
+def matches_sql(text: str, pattern: str, fields: str = "") -> str:
+    """SQL of array<struct<start, end, value, ...>>: a pattern's matches, not empty ones; ``fields`` may add more."""
+    mark = literal(MARK)
+    # most texts with a match have one
+    told = f"transform(array(split(marked, {mark}, -1)), ps -> if(size(ps) = 3, array({one_sql(text, 'ps')}), {many_sql(text, 'ps')}))[0]"
+    found = f"transform(array({marked_sql(text, pattern)}), marked -> if(contains(marked, {mark}), {told}, {EMPTY}))[0]"
     return f"transform({found}, m -> named_struct({fields}))" if fields else found
 
 

@@ -37,13 +37,15 @@ def contains_folded(text: Column, name: Column) -> Column:
     return F.contains(F.lower(text), F.lower(name))
 
 
+def has_any(text: Column, needed: tuple[str, ...]) -> Column:
+    """Whether the text has one of the needed strings; of none, always. For patterns whose every match has one of them: most texts have
+    none, and to look for a plain string takes a fraction of a pattern's time."""
+    return reduce(Column.__or__, [F.contains(text, F.lit(n)) for n in needed]) if needed else F.lit(True)
+
+
 def if_any(text: Column, needed: tuple[str, ...], found: Column) -> Column:
-    """An array worked out of texts that have one of the needed strings, else empty; without needed strings, of all texts. For patterns
-    whose every match has one of them: most texts have none, and to look for a plain string takes a fraction of a pattern's time."""
-    if not needed:
-        return found
-    test = reduce(Column.__or__, [F.contains(text, F.lit(n)) for n in needed])
-    return F.when(test, found).otherwise(F.array())
+    """An array worked out of texts that have one of the needed strings, else empty; without needed strings, of all texts."""
+    return F.when(has_any(text, needed), found).otherwise(F.array()) if needed else found
 
 
 def clamp(x: Column) -> Column:

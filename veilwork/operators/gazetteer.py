@@ -116,10 +116,11 @@ SOURCES = {"voucher": VOUCHERS, "pair": (FULL_NAME,), "part": (LOCAL_PART,), "or
 
 
 def mentions(docs: DataFrame) -> DataFrame:
-    """source, name: what all the patterns extract, in one pass over the texts."""
-    from_ = lambda source: lambda m: F.struct(F.lit(source).alias("source"), F.trim(m).alias("name"))
-    each = [F.transform(groups(p), from_(source)) for source, patterns in SOURCES.items() for p in patterns]
-    return docs.where("text is not null").select(F.explode(F.concat(*each)).alias("m")).select("m.source", "m.name").distinct()
+    """source, name: what all the patterns extract, in one pass over the texts. A row a source first, so that no lambda is needed: what
+    stands outside of lambdas is compiled."""
+    each = F.array(*[F.struct(F.lit(source).alias("source"), F.concat(*[groups(p) for p in patterns]).alias("names")) for source, patterns in SOURCES.items()])
+    rows = docs.where("text is not null").select(F.explode(each).alias("m")).select("m.source", F.explode("m.names").alias("name"))
+    return rows.select("source", F.trim("name").alias("name")).distinct()
 
 
 def build(docs: DataFrame) -> Gazetteer:

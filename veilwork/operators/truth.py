@@ -33,8 +33,9 @@ BIRTH_CUE, CUE_LENGTH = r"(?i)(?:geboren am|Geburtsdatum|geb\.)\s*$", 24
 REDACT = tuple(policy.POLICY["redact"])
 
 
-def shaped() -> Column:
-    """The text's candidates by shape: an array of start, end, value, kind, tier, ordinal."""
+def shaped(rows: DataFrame) -> DataFrame:
+    """rows (with a text) and ``shapes``: the text's candidates by shape, an array of start, end, value, kind, tier, ordinal. Step by step,
+    a column a shape: what stands outside of lambdas is compiled, and texts with one match of a shape, as most, need no lambda."""
 
     def of(kind: str, ordinal: int):
         def one(m: Column) -> Column:
@@ -45,18 +46,23 @@ def shaped() -> Column:
 
         return one
 
-    return F.concat(*[F.transform(T.if_any(F.col("text"), NEEDED[k], detect.matches("text", p)), of(k, n)) for n, (k, p) in enumerate(SHAPES)])
+    given, mark = rows.columns, F.lit(detect.MARK)
+    marked = rows.select(*given, *[F.when(T.has_any(F.col("text"), NEEDED[k]), F.expr(detect.marked_sql("text", p))).alias(f"_{k}") for k, p in SHAPES])
+    pieces = marked.select(*given, *[F.when(F.contains(F.col(f"_{k}"), mark), F.split(f"_{k}", detect.MARK, -1)).alias(f"_{k}") for k, _ in SHAPES])
+    nothing = F.expr(f"cast(array() as {literals.PLACES})")
+    told = [F.when(F.col(f"_{k}").isNull(), nothing).when(F.size(f"_{k}") == 3, F.array(of(k, n)(F.expr(detect.one_sql("text", f"_{k}"))))).otherwise(F.transform(F.expr(detect.many_sql("text", f"_{k}")), of(k, n))) for n, (k, _) in enumerate(SHAPES)]
+    return pieces.select(*given, F.concat(*told).alias("shapes"))
 
 
 def found_in(docs: DataFrame, known: DataFrame) -> DataFrame:
     """doc_id, text and all: a text's candidates, by shape and by literal, beside it; nothing is dealt out to put them together."""
     rows = literals.beside(docs.where("text is not null").select("doc_id", "text"), known)
-    return rows.select("doc_id", "text", F.concat(shaped(), "places").alias("all"))
+    return shaped(rows).select("doc_id", "text", F.concat("shapes", "places").alias("all"))
 
 
 def candidates(docs: DataFrame, known: DataFrame) -> DataFrame:
     """doc_id, start, end, value, kind, tier, ordinal."""
-    return found_in(docs, known).select("doc_id", F.explode("all").alias("x")).select("doc_id", "x.*")
+    return found_in(docs, known).select("doc_id", F.explode(F.transform("all", lambda x: x)).alias("x")).select("doc_id", "x.*")
 
 
 def policy_of(value: Column, kind: Column, redact: Iterable[str] = REDACT, keep: Iterable[str] = ()) -> Column:
@@ -67,9 +73,11 @@ def resolved(found: DataFrame, redact: Iterable[str] = REDACT, keep: Iterable[st
     """Entities of found (doc_id, text, all): of overlapping candidates, by start, the longer first, then the earlier source, then by kind
     and value; with policy, index and line."""
     each = found.withColumn("kept", spans.non_overlapping("all", "start, -(end - start), ordinal, kind, value, tier"))
-    kept = F.transform("kept", lambda x: x.withField("line", T.line_number(F.col("text"), x["start"])))
-    rows = each.select("doc_id", F.posexplode(kept).alias("index", "x"))
-    return rows.select("doc_id", "index", "x.kind", "x.value", "x.start", "x.end", "x.tier", policy_of(F.col("x.value"), F.col("x.kind"), redact, keep).alias("policy"), "x.line")
+    # lines beside the entities, not in them: who asks for no lines has none counted
+    each = each.withColumn("lines", F.transform("kept", lambda x: T.line_number(F.col("text"), x["start"])))
+    # not the column itself: Spark would filter by its size, and work out all that it is made of once more for that
+    rows = each.select("doc_id", "lines", F.posexplode(F.transform("kept", lambda x: x)).alias("index", "x"))
+    return rows.select("doc_id", "index", "x.kind", "x.value", "x.start", "x.end", "x.tier", policy_of(F.col("x.value"), F.col("x.kind"), redact, keep).alias("policy"), F.get("lines", F.col("index")).alias("line"))
 
 
 def entities(docs: DataFrame, redact: Iterable[str] = REDACT, keep: Iterable[str] = ()) -> DataFrame:
