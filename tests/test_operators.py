@@ -172,6 +172,22 @@ def test_shapes_are_searched_once_and_lines_counted_for_who_asks(spark, capsys):
         assert plan.count("regexp_replace(") == len(truth.SHAPES) and plan.count("AS lines#") == counted
 
 
+def test_documents_with_overrides_are_not_searched(spark, capsys):
+    docs = spark.createDataFrame([(1, "Von: Ann Bo <ann.bo@firma.example>"), (2, "Ann Bo in 3008 Bern"), (3, "Ann Bo, 3008 Bern"), (4, None), (5, "K-12345 Ann Bo")], "doc_id long, text string")
+    given_ = [(1, "PERSON", "Ann Bo", 5, 11), (1, "EMAIL", "gone", 0, 4), (2, "PERSON", "Bo Ann", 0, 6), (4, "PERSON", "x", 0, 1), (9, "PERSON", "Ann", 0, 3)]
+    checked = truth.checked_overrides(docs, spark.createDataFrame([(*g, "strong", "redact") for g in given_], "doc_id long, kind string, value string, start int, end int, tier string, policy string")).persist()
+    found = truth.corrected(docs, checked)
+    found.explain()
+    plan = capsys.readouterr().out
+    assert plan.index("MapInArrow") < plan.index("LeftAnti")  # the search is above what leaves them out
+    got = sorted(map(tuple, found.collect()))
+    assert got == sorted(map(tuple, truth.overridden(truth.entities(docs), checked).collect()))
+    # what the replaced list of document 1 vouches for counts in the others
+    assert [g[0] for g in got] == [1, 3, 3, 5, 5] and got[0][1:3] == ("PERSON", "Ann Bo")
+    more = truth.corrected(docs, checked.where("doc_id < 0"))
+    assert sorted(map(tuple, more.collect())) == sorted(map(tuple, truth.entities(docs).select(truth.OVERRIDE).collect()))
+
+
 def test_a_corpus_without_rows(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert truth.entities(none).count() == 0 and gazetteer.towns(none).count() == 0

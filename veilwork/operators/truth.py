@@ -31,6 +31,9 @@ SHAPES = (
 NEEDED = {"ADDRESS": (",",), "IBAN": ("CH",), "EMAIL": ("@",), "AHV": ("756.",), "PHONE": ("+41",), "CONTRACT_ID": ("NAT-",), "TICKET_ID": ("K-",), "MONEY": ("CHF",), "DATE": ("-",), "IP": (".",)}
 BIRTH_CUE, CUE_LENGTH = r"(?i)(?:geboren am|Geburtsdatum|geb\.)\s*$", 24
 REDACT = tuple(policy.POLICY["redact"])
+OVERRIDE = ["doc_id", "kind", "value", "start", "end", "tier", "policy"]
+# Keys of documents that are sent to all tasks; more are shuffled
+MOST_KEYS = 1 << 20
 
 
 def shaped(rows: DataFrame) -> DataFrame:
@@ -84,6 +87,15 @@ def entities(docs: DataFrame, redact: Iterable[str] = REDACT, keep: Iterable[str
     return resolved(found_in(docs, gazetteer.build(docs).literals()), redact, keep)
 
 
+def corrected(docs: DataFrame, overrides: DataFrame, redact: Iterable[str] = REDACT, keep: Iterable[str] = ()) -> DataFrame:
+    """``overridden`` of the docs' entities: documents that overrides name are not searched, but what they vouch for counts in all others.
+    overrides as from checked_overrides, settled."""
+    ids = overrides.select("doc_id").distinct()
+    rest = docs.join(F.broadcast(ids) if ids.count() <= MOST_KEYS else ids, "doc_id", "left_anti")
+    found = resolved(found_in(rest, gazetteer.build(docs).literals()), redact, keep)
+    return found.select(OVERRIDE).unionByName(overrides.where("problem is null").select(OVERRIDE))
+
+
 def checked_overrides(docs: DataFrame, overrides: DataFrame) -> DataFrame:
     """overrides (doc_id, kind, value, start, end, tier, policy) and problem: null, or why the row does not count any more."""
     rows = overrides.join(docs.select("doc_id", "text", F.lit(True).alias("_known")), "doc_id", "left")
@@ -95,8 +107,7 @@ def checked_overrides(docs: DataFrame, overrides: DataFrame) -> DataFrame:
 def overridden(truth: DataFrame, overrides: DataFrame) -> DataFrame:
     """truth, with a document's whole list replaced where overrides name the document. overrides as from checked_overrides."""
     ids = overrides.select("doc_id").distinct()
-    columns = ["doc_id", "kind", "value", "start", "end", "tier", "policy"]
-    return truth.join(ids, "doc_id", "left_anti").select(columns).unionByName(overrides.where("problem is null").select(columns))
+    return truth.join(ids, "doc_id", "left_anti").select(OVERRIDE).unionByName(overrides.where("problem is null").select(OVERRIDE))
 
 
 def totals(truth: DataFrame) -> DataFrame:

@@ -66,8 +66,8 @@ def override_problems(spark, sf_dir):
     """A correction for every tenth ticket: its first ten characters, or what is not there any more, or no ticket at all."""
     docs = corpus(spark, sf_dir)
     given = docs.where("doc_id % 10 = 0").select((F.col("doc_id") * F.when(F.col("doc_id") % 30 == 0, -1).otherwise(1)).alias("doc_id"), F.lit("PERSON").alias("kind"), F.substring("text", 1, 10).alias("value"), F.expr("cast(doc_id % 20 as int)").alias("start"), F.expr("cast(doc_id % 20 + 10 as int)").alias("end"), F.lit("strong").alias("tier"), F.lit("redact").alias("policy"))
-    checked = truth.checked_overrides(docs, given)
-    kept = truth.overridden(entities(docs), checked).groupBy("doc_id").agg(F.count("*").alias("n_entities"))
+    checked = settled(truth.checked_overrides(docs, given))
+    kept = truth.corrected(docs, checked, keep=KEEP).groupBy("doc_id").agg(F.count("*").alias("n_entities"))
     return checked.select("doc_id", F.coalesce(F.regexp_extract("problem", "(no document|is not at)", 1), F.lit("")).alias("problem")).join(kept, "doc_id", "left").select("doc_id", "problem", F.coalesce("n_entities", F.lit(0)).cast("bigint").alias("n_entities"))
 
 
