@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from veilwork.llm import bpe, chat, jaccard, mixing, pages, queries, repeats, rules, simhash, toxicity, urls
+from veilwork.llm import bpe, chat, common, jaccard, mixing, pages, queries, repeats, rules, simhash, toxicity, urls
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, node long, id long"
@@ -526,6 +526,24 @@ def test_toxicity_on_held_out_rows(spark):
     assert precision > 0.85 and recall > 0.85
 
 
+def test_labels_beyond_the_broadcast_are_not_broadcast(spark, tmp_path, monkeypatch):
+    """The salted copies of the labels are SALT times what their file says; the driver must not gather them."""
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 10)
+    joins, join = [], common.lookup_join
+    monkeypatch.setattr(common, "lookup_join", lambda *a: joins.append(join(*a)) or joins[-1])
+    docs = spark.range(200).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, "you loser").otherwise("good day").alias("text"))
+    labels = docs.select(F.col("doc_id").cast("int").alias("doc_id"), (F.col("doc_id") % 2 == 0).cast("int").alias("toxic"))
+    for most in (500, 100):  # all labels, and about a half of them
+        model = toxicity.learn(docs, labels, most)
+        assert "loser" in model.scores and model.fixed is None
+    assert all("Broadcast" not in j._jdf.queryExecution().toString() for j in joins)
+    n = [j.count() for j in joins]
+    assert n[0] == 200 and 60 < n[1] < 140
+    small = common.materialize(labels.where("doc_id < 50"))
+    for how in ("inner", "left", "left_semi", "left_anti"):
+        same(join(docs, small, "doc_id", how).collect(), list(map(tuple, docs.join(small, "doc_id", how).collect())))
+
+
 def test_segments_are_the_maximal_ones():
     rng = random.Random(2)
 

@@ -73,13 +73,14 @@ def lookup_join(big: DataFrame, small: DataFrame, key: str, how: str = "inner")
     """Join a large table to one that is usually small.
 
     small is a written table, so counting it is cheap. Up to BROADCAST_ROWS it is broadcast; beyond, both sides are
-    salted so that a key holding a third of big's rows is spread over SALT tasks.
+    salted so that a key holding a third of big's rows is spread over SALT tasks. Spark takes the salted table for as small
+    as its file, and would broadcast all SALT copies of it: the hint keeps it from that.
     """
     if small.count() <= BROADCAST_ROWS:
         return big.join(F.broadcast(small), key, how)
     salted = small.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(SALT)])))
     dealt = big.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in big.columns if c != key][:1]), F.lit(SALT)).cast("int"))
-    return dealt.join(salted, [key, "_salt"], how).drop("_salt")
+    return dealt.join(salted.hint("merge"), [key, "_salt"], how).drop("_salt")
 
 
 def written_join(big: DataFrame, small: DataFrame, key: str | list[str], how: str = "inner") -> DataFrame:

@@ -109,7 +109,8 @@ def learn(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED
     count = labels.count()
     rows = docs.select("doc_id", common.text_of().alias("text")).where("doc_id is not null")
     if count > most_labelled:
-        rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < int(1_000_003 * most_labelled / count))
+        taken = lambda of: F.pmod(F.xxhash64(of), F.lit(1_000_003)) < int(1_000_003 * most_labelled / count)
+        rows, labels = rows.where(taken("doc_id")), labels.where(taken(F.col("_id").cast(dict(rows.dtypes)["doc_id"])))
     labels = common.materialize(labels.withColumnRenamed("_id", "doc_id").dropDuplicates())
     rows = common.materialize(common.lookup_join(rows, labels, "doc_id").select("text", "toxic"))
 
