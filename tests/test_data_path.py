@@ -203,6 +203,30 @@ def test_restore_of_a_large_vault(spark, monkeypatch, share):
     assert sorted(map(str, map(tuple, out.collect()))) == sorted(map(str, expected))
 
 
+def test_large_vaults_are_looked_up(spark, monkeypatch):
+    """Texts that look their stand-ins up come back as those whose vault comes whole."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice('ab1Bé"\\<😀') for _ in range(rng.randint(1, 5)))
+    pairs = [(c, "h", word(), f"{c}{i}é") for c in ("c", "d") for i in range(60)] + [("c", "h", "longer stand-in 0a of 1b", "x"), (None, "h", "a", "no"), ("c", "h", "", "no")]
+    texts = []
+    for i in range(300):
+        said = " ".join(rng.choice((word(), rng.choice(pairs)[2], "longer stand-in 0f of 1b", "longer stand-in 0a of 1b")) for _ in range(rng.randint(0, 12)))
+        as_json = i % 3 > 0
+        texts.append((i, rng.choice(("c", "d", "e", None)), rng.choice(("h", "h", "h", None)), json.dumps(said, ensure_ascii=i % 3 == 1) if as_json else said if i % 7 else None, "Json" if as_json else "Text", "odd"))
+    texts = spark.createDataFrame(texts + texts[:40], "n long, client string, host string, text string, syntax string, row string")
+    pairs = spark.createDataFrame(pairs + pairs, "client string, host string, standin string, value string")
+    for syntax in ("syntax", None):
+        whole = vault.restore(texts, pairs, "text", syntax)
+        monkeypatch.setattr(vault, "HELD", 1)
+        monkeypatch.setattr(vault, "beside", None)
+        found = vault.restore(texts, pairs, "text", syntax)
+        monkeypatch.undo()
+        assert found.columns == whole.columns == [*texts.columns, "n_restored"]
+        assert sorted(map(str, found.collect())) == sorted(map(str, whole.collect())) and found.where("n_restored > 2").count() > 50
+    monkeypatch.setattr(vault, "HELD", 1)
+    assert vault.restore(texts.limit(0), pairs).count() == 0 and vault.restore(texts, pairs.limit(0)).count() == texts.count()
+
+
 def test_one_search_finds_what_each_kind_finds_by_itself(spark):
     lines = [f"{i}: 10.0.{i}.1, http://a\x01b\x02c {i}@b.de\x02 1980-01-0{i % 9 + 1} 12345678901 12345678901 fe80::1:{i}" if i % 50 else "no such thing" for i in range(200)]
     docs = spark.createDataFrame([(1, "\n".join(lines)), (2, "é12345678901 0A:1F:11:22:33:44:55\x01\r\n\n4@ü.de"), (3, ""), (4, None)], "doc_id long, text string")

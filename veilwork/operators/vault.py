@@ -7,6 +7,7 @@ vault table is only needed to restore. Use a secret key: an unkeyed hash of a ph
 from __future__ import annotations
 
 import hmac
+import json
 import re
 from collections.abc import Callable, Iterator
 from hashlib import sha256
@@ -127,43 +128,146 @@ def replacer(written: dict[str, str]) -> Callable[[str], tuple[str, int]]:
     return run
 
 
+#: Pairs of a vault that come whole to its texts at most.
+HELD = 1 << 16
+
+
 def restore(texts: DataFrame, pairs: DataFrame, text: str = "text", syntax: str | None = None) -> DataFrame:
     """texts (client, host) with stand-ins put back, the longest at each place first, and n_restored. Where the column syntax is
     Json, stand-ins are looked for in both spellings of JSON writers, and values written in the one that was found.
 
-    Texts and pairs of a client and host come to one task, sorted, the pairs first, a row each: they are sent once, not with each text,
-    and those of one vault are held at a time. A vault with more than SHARE texts is several shares, each with its pairs, so none is one task.
-    pairs come from ``restorable``, so a vault has at most PAIRS of them; of pairs that share a stand-in all the same, the least value
+    Vaults of at most HELD pairs come whole to their texts (``beside``). Where one is larger, texts look up what may be a stand-in
+    (``looked_up``), so no task holds a vault. A pair may be given several times; of pairs that share a stand-in all the same, the least value
     is written. Texts without a map, of a null client or host, and null texts stay.
     """
-    known = pairs.where("client is not null and host is not null and standin != ''").groupBy("client", "host", "standin").agg(F.min("value").alias("_value"))
+    pairs = pairs.where("client is not null and host is not null and standin != ''").select("client", "host", "standin", "value")
+    counts = settled(pairs.groupBy("client", "host", shape(F.col("standin")).alias("shape")).agg(F.count("*").alias("n")))
+    if counts.groupBy("client", "host").agg(F.sum("n").alias("n")).where(F.col("n") > HELD).isEmpty():
+        return beside(texts, pairs, text, syntax)
+    found = counts.select("shape").distinct()
+    if syntax is not None:  # shapes of the stand-ins that JSON spells in another way
+        other = pairs.where(F.col("standin").rlike(r'[^ !#-\[\]-~]')).select(F.explode(F.array(*[shape(jsontext.escape(F.col("standin"), a)) for a in (False, True)])).alias("shape"))
+        found = found.unionByName(other).distinct()
+    return looked_up(texts, pairs, [tuple(r[0]) for r in found.collect()], text, syntax)
+
+
+def beside(texts: DataFrame, pairs: DataFrame, text: str, syntax: str | None) -> DataFrame:
+    """``restore`` by whole vaults. Texts and pairs of a client and host come to one task, sorted, the pairs first, a row each: they are sent
+    once, not with each text, and those of one vault are held at a time. A vault with more than SHARE texts is several shares, each with
+    its pairs, so none is one task."""
+    known = pairs.groupBy("client", "host", "standin").agg(F.min("value").alias("_value"))
     shares = settled(texts.groupBy("client", "host").count().where(F.col("count") > SHARE).select("client", "host", F.ceil(F.col("count") / SHARE).cast("int").alias("_shares")))
-    is_json = F.lit(False) if syntax is None else F.coalesce(F.col(syntax) == "Json", F.lit(False))
-    rows = ranks.with_small(texts.select(F.struct(*texts.columns).alias("row"), "client", "host", F.col(text).alias("_text"), is_json.alias("_json")), shares, ["client", "host"], "left").withColumn("_share", F.pmod(F.xxhash64("_text"), F.coalesce("_shares", F.lit(1))).cast("int")).drop("_shares")
+    rows = ranks.with_small(parts_of(texts, text, syntax), shares, ["client", "host"], "left").withColumn("_share", F.pmod(F.xxhash64("_text"), F.coalesce("_shares", F.lit(1))).cast("int")).drop("_shares")
     dealt = ranks.with_small(known.withColumnRenamed("standin", "_standin"), shares, ["client", "host"], "left").withColumn("_share", F.explode(F.sequence(F.lit(0), F.coalesce("_shares", F.lit(1)) - 1))).drop("_shares")
     both = rows.unionByName(dealt, allowMissingColumns=True).repartition("client", "host", "_share").sortWithinPartitions("client", "host", "_share", F.col("_standin").isNull())
-    schema = StructType([StructField("row", StructType(texts.schema.fields)), StructField("text", StringType()), StructField("n", IntegerType())])
+    return put_back(both, texts, text, ("client", "host", "_share"), replacer)
+
+
+#: Letters and digits that a shape does not tell apart, and how much of a stand-in it tells.
+LIKE = {**dict.fromkeys("123456789abcdefghijklmnopqrstuvwxyz", "0"), **dict.fromkeys("BCDEFGHIJKLMNOPQRSTUVWXYZ", "A")}
+HEAD = 16
+
+
+def shape(standin: Column) -> Column:
+    """A stand-in's length, and how it begins: of a kind's stand-ins, which differ in letters and digits, there are few."""
+    return F.struct(F.length(standin).alias("size"), F.translate(F.left(standin, F.lit(HEAD)), "".join(LIKE), "".join(LIKE.values())).alias("head"))
+
+
+def finder(shapes: list[tuple[int, str]]) -> Callable[[str], set[str]]:
+    """All parts of a text that have one of the shapes: its stand-ins are among them."""
+    like, least = str.maketrans(LIKE), min((len(head) for _, head in shapes), default=0)
+    starts: dict[str, list[tuple[int, str]]] = {}
+    for size, head in shapes:
+        starts.setdefault(head[:least], []).append((size, head))
+
+    def run(text: str) -> set[str]:
+        alike = text.translate(like)
+        at = [i for i in range(len(text) - least + 1) if alike[i : i + least] in starts] if starts else []
+        return {text[i : i + size] for i in at for size, head in starts[alike[i : i + least]] if i + size <= len(text) and alike.startswith(head, i)}
+
+    return run
+
+
+def meant(part: str) -> list[str]:
+    """The stand-ins that a part of a JSON text may spell."""
+    try:
+        return [part, jsontext.whole(json.loads(f'"{part}"'))] if "\\" in part else [part]
+    except ValueError:
+        return [part]
+
+
+def looked_up(texts: DataFrame, pairs: DataFrame, shapes: list[tuple[int, str]], text: str, syntax: str | None) -> DataFrame:
+    """``restore`` for vaults of any size: what has the shape of a stand-in joins the pairs, by a hash of client, host and stand-in, and the
+    pairs found come to their text, by a hash of the text. The text decides which of them it holds, so hashes that meet change nothing."""
+    rows = parts_of(texts, text, syntax).withColumn("_key", F.xxhash64("client", "host", "_text"))
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = finder(shapes)
+        for b in batches:
+            out = []
+            for s, as_json in zip(b.column("_text").to_pylist(), b.column("_json").to_pylist(), strict=True):
+                found = find(s)
+                out.append(list({y for x in found for y in meant(x)} if as_json and "\\" in s else found))
+            yield pa.RecordBatch.from_arrays([b.column(c) for c in ("_key", "client", "host")] + [pa.array(out, pa.list_(pa.string()))], names=["_key", "client", "host", "parts"])
+
+    sought = rows.where("client is not null and host is not null and _text is not null").select("_key", "client", "host", "_text", "_json").mapInArrow(parts, "_key long, client string, host string, parts array<string>")
+    sought = sought.select("_key", "client", "host", F.explode("parts").alias("part")).select("_key", F.xxhash64("client", "host", "part").alias("_pair"))
+    # one shuffle for the sum and the join
+    known = pairs.select(F.xxhash64("client", "host", "standin").alias("_pair"), F.col("standin").alias("_standin"), "value").repartition("_pair").groupBy("_pair", "_standin").agg(F.min("value").alias("_value"))
+    hits = sought.join(known, "_pair").select("_key", "_standin", "_value")
+    both = rows.drop("client", "host").unionByName(hits, allowMissingColumns=True).repartition("_key").sortWithinPartitions("_key", F.col("_standin").isNull())
+    return put_back(both, texts, text, ("_key",), replaced)
+
+
+def parts_of(texts: DataFrame, text: str, syntax: str | None) -> DataFrame:
+    """row (the other columns), client, host, _text, and _json: whether it is one."""
+    is_json = F.lit(False) if syntax is None else F.coalesce(F.col(syntax) == "Json", F.lit(False))
+    return texts.select(F.struct(*[c for c in texts.columns if c != text], F.lit(0).alias("_")).alias("row"), "client", "host", F.col(text).alias("_text"), is_json.alias("_json"))
+
+
+def replaced(written: dict[str, str]) -> Callable[[str], tuple[str, int]]:
+    """As ``replacer``, for few texts and the stand-ins that they hold: each is searched by itself."""
+
+    def run(text: str) -> tuple[str, int]:
+        at, out, end, n = [], [], 0, 0
+        for x in written:
+            i = text.find(x)
+            while i >= 0:
+                at.append((i, -len(x), x))
+                i = text.find(x, i + 1)
+        for i, _, x in sorted(at):
+            if i >= end:
+                out += (text[end:i], written[x])
+                end, n = i + len(x), n + 1
+        return "".join((*out, text[end:])), n
+
+    return run
+
+
+def put_back(both: DataFrame, texts: DataFrame, text: str, by: tuple[str, ...], writer: Callable) -> DataFrame:
+    """texts with the pairs that stand before them among the rows of both, sorted, of the same ``by``."""
+    others = [f for f in texts.schema.fields if f.name != text]
+    schema = StructType([StructField("row", StructType([*others, StructField("_", IntegerType())])), StructField("text", StringType()), StructField("n", IntegerType())])
 
-    def put_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vault_, found, built = None, {}, {}
         for b in batches:
-            names_ = ("client", "host", "_share", "_text", "_json", "_standin", "_value")
             kept, out = [], []
-            for i, (client, host, share, s, as_json, standin_, value) in enumerate(zip(*(b.column(c).to_pylist() for c in names_), strict=True)):
+            for i, (s, as_json, standin_, value, *of) in enumerate(zip(*(b.column(c).to_pylist() for c in ("_text", "_json", "_standin", "_value", *by)), strict=True)):
                 if standin_ is not None:
-                    if vault_ != (client, host, share):
-                        vault_, found, built = (client, host, share), {}, {}
+                    if vault_ != of:
+                        vault_, found, built = of, {}, {}
                     found[standin_] = value
                     continue
                 kept.append(i)
-                if s is None or vault_ != (client, host, share):
+                if s is None or vault_ != of:
                     out.append((s, 0))
                     continue
                 if as_json not in built:
-                    built[as_json] = replacer(spelled(found, as_json))
+                    built[as_json] = writer(spelled(found, as_json))
                 out.append(built[as_json](s))
             names, counts = zip(*out) if out else ((), ())
             yield pa.RecordBatch.from_arrays([b.column("row").take(pa.array(kept, pa.int64())), pa.array(names, pa.string()), pa.array(counts, pa.int32())], names=["row", "text", "n"])
 
-    done = both.mapInArrow(put_back, schema)
+    done = both.mapInArrow(run, schema)
     return done.select(*[F.col("text").alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in texts.columns], F.col("n").alias("n_restored"))
