@@ -227,6 +227,24 @@ def test_large_vaults_are_looked_up(spark, monkeypatch):
     assert vault.restore(texts.limit(0), pairs).count() == 0 and vault.restore(texts, pairs.limit(0)).count() == texts.count()
 
 
+def test_values_that_get_the_same_standin_come_back(spark, monkeypatch):
+    monkeypatch.setattr(vault, "standin", lambda kind, digest: F.concat(F.lit('<"'), kind, F.left(digest, F.lit(1)), F.lit("é>")))
+    rows = [message(i, json.dumps({"a": f"m{i}@example.org, 10.0.0.{i} m{i + 1}@example.org", "b": ["m1@example.org"] * (i % 3)}, ensure_ascii=i % 2 == 0) if i % 5 else f"m{i}@example.org\n10.0.0.{i}", "application/json" if i % 5 else "text/plain", client=f"c{i % 2}" if i % 20 else None) for i in range(120)]
+    rows += [message(200, None), message(201, b"\x1f\x8b broken", encoding="gzip"), message(202, "nothing", "text/plain"), rows[7]]
+    sent = mutation.redacted_apart(spark.createDataFrame(rows, BODY), "key")
+    plain = mutation.redacted(spark.createDataFrame(rows, BODY), "key")
+    state = ["doc_id", "client", "status", "found"]
+    assert sorted(map(str, sent.select(state).collect())) == sorted(map(str, plain.select(state).collect())) and sent.columns == plain.columns
+    pairs = mutation.pairs_of(sent)
+    assert vault.collisions(pairs.where("client is not null")).count() == 0 and vault.collisions(mutation.pairs_of(plain).where("client is not null")).count() > 10
+    answers = sent.select("doc_id", "client", "host", F.coalesce(F.encode("redacted", "UTF-8"), F.col("body")).alias("body"), "content_type", "content_encoding")
+    expected = {r[0]: r[3] for r in rows if r[1] is not None}
+    for held in (vault.HELD, 1):
+        monkeypatch.setattr(vault, "HELD", held)
+        back = {r["doc_id"]: r["restored"] and bytes(r["restored"]) for r in mutation.restored(answers, pairs).where("client is not null").collect()}
+        assert back == expected
+
+
 def test_one_search_finds_what_each_kind_finds_by_itself(spark):
     lines = [f"{i}: 10.0.{i}.1, http://a\x01b\x02c {i}@b.de\x02 1980-01-0{i % 9 + 1} 12345678901 12345678901 fe80::1:{i}" if i % 50 else "no such thing" for i in range(200)]
     docs = spark.createDataFrame([(1, "\n".join(lines)), (2, "é12345678901 0A:1F:11:22:33:44:55\x01\r\n\n4@ü.de"), (3, ""), (4, None)], "doc_id long, text string")

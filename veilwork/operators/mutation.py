@@ -5,8 +5,8 @@ they stand; any other text, also a JSON body that is none, is one value. A value
 written over the raw body: an index map, one breakpoint for each escape, leads from decoded to raw offsets by binary search.
 Outside of the stand-ins the body keeps every character, escapes and white space included.
 
-``redacted`` and ``restored`` work within the row: parsing is a step in batches, all else are expressions, so nothing is shuffled but
-the join of ``restored`` with the vault's pairs. A request that cannot be read (encoding, charset, size) is refused: its body is null, so
+``redacted`` works within the row: parsing is a step in batches, all else are expressions, so nothing is shuffled. ``redacted_apart``
+shuffles what tells equal stand-ins, ``restored`` what joins texts with the vault's pairs. A request that cannot be read (encoding, charset, size) is refused: its body is null, so
 nothing unredacted goes on. A response that cannot be read is left as it is.
 
 Cases: null bodies are passed on as null, with the status none; empty bodies are clean; repeated ids are rows each.
@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from veilwork.functions import detect
 from veilwork.operators import jsontext, route, spans, vault
+from veilwork.session import settled
 from veilwork.sources import bodies
 
 LIMIT = 1 << 20
@@ -41,16 +42,19 @@ def breaks(raw: str) -> list[dict[str, int]]:
     return out
 
 
-def values(text: str, as_json: bool) -> tuple[str, list[dict]]:
-    """The syntax that the text has, and its values."""
+def values(text: str, as_json: bool, wanted: bool = True) -> tuple[str, list[dict]]:
+    """The syntax that the text has, and its values if they are wanted."""
     found = jsontext.located(text) if as_json else None
+    if not wanted:
+        return "Text" if found is None else "Json", []
     if found is None:
         return "Text", [{"start": 0, "value": text, "breaks": []}]
     return "Json", [{"start": s, "value": v, "breaks": breaks(text[s : s + n])} for s, n, v, _ in found]
 
 
-def parsed(messages: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """messages (body, content_type, content_encoding, ...) and text, syntax, values, unread (why the body cannot be read, or null)."""
+def parsed(messages: DataFrame, limit: int = LIMIT, wanted: bool = True) -> DataFrame:
+    """messages (body, content_type, content_encoding, ...) and text, syntax, values (empty if not wanted), unread (why the body cannot
+    be read, or null)."""
     rows = messages.select("*", bodies.charset(F.col("content_type")).alias("_charset"), F.coalesce(route.body_syntax(F.col("content_type")) == "Json", F.lit(False)).alias("_json"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -64,7 +68,7 @@ def parsed(messages: DataFrame, limit: int = LIMIT) -> DataFrame:
                         row["unread"] = "encoding or size"
                     elif body is not None:
                         row["text"] = bytes(plain).decode(charset)
-                        row["syntax"], row["values"] = values(row["text"], as_json)
+                        row["syntax"], row["values"] = values(row["text"], as_json, wanted)
                 except UnicodeDecodeError:
                     row["unread"] = "charset"
                 out.append(row)
@@ -89,34 +93,95 @@ def found_in_values(kinds: list[str] | None = None) -> Column:
     return F.expr(f"flatten(transform(values, v -> {one}))")
 
 
-def redacted(requests: DataFrame, key: str, kinds: list[str] | None = None, limit: int = LIMIT) -> DataFrame:
+def placed(requests: DataFrame, key: str, kinds: list[str] | None = None, limit: int = LIMIT) -> DataFrame:
     """requests (client, host, body, content_type, content_encoding, ...) with status (none, refused, clean or treated), redacted (the
-    body as text, null if refused), found, and tokens (kind, value, standin of what was replaced)."""
+    body as text, null if refused), found, syntax, and places: start and end in the body's text, kind, value, standin of what was replaced."""
     rows = parsed(requests, limit).withColumn("_all", F.when(F.col("unread").isNull(), found_in_values(kinds)))
     rows = rows.withColumn("_sure", F.filter("_all", lambda x: x["score"] >= detect.THRESHOLD)).withColumn("_kept", spans.non_overlapping("_sure", "start, -(end - start), kind"))
 
     def written(x: Column) -> Column:
         standin = vault.standin(x["kind"], vault.digest(key, F.col("client"), F.col("host"), x["kind"], x["value"]))
-        return x.withField("token", standin).withField("standin", F.when(F.col("syntax") == "Json", jsontext.escape(standin)).otherwise(standin))
+        return x.withField("token", standin).withField("standin", spelled(standin))
 
     # an explode of one, not a column: Spark would put it into each of its uses
     rows = rows.withColumn("_put", F.explode(F.array(F.transform("_kept", written))))
     status = F.when(F.col("body").isNull(), "none").when(F.col("unread").isNotNull(), "refused").when(F.size("_put") > 0, "treated").otherwise("clean")
-    tokens = F.array_distinct(F.transform("_put", lambda x: F.struct(x["kind"].alias("kind"), x["value"].alias("value"), x["token"].alias("standin"))))
-    return rows.select(*requests.columns, status.alias("status"), F.when(F.size("_put") > 0, spans.splice("text", "_put")).otherwise(F.col("text")).alias("redacted"), F.coalesce(F.size("_all"), F.lit(0)).alias("found"), F.coalesce(tokens, F.array().cast("array<struct<kind: string, value: string, standin: string>>")).alias("tokens"))
+    places = F.transform("_put", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"), x["value"].alias("value"), x["token"].alias("standin")))
+    return rows.select(*requests.columns, status.alias("status"), F.when(F.size("_put") > 0, spans.splice("text", "_put")).otherwise(F.col("text")).alias("redacted"), F.coalesce(F.size("_all"), F.lit(0)).alias("found"), "syntax", places.alias("places"))
+
+
+def spelled(standin: Column) -> Column:
+    """A stand-in as it is written in a body of the column syntax."""
+    return F.when(F.col("syntax") == "Json", jsontext.escape(standin)).otherwise(standin)
+
+
+def with_tokens(rows: DataFrame, once: bool = True) -> DataFrame:
+    """rows of ``placed`` with tokens (kind, value, standin) for the places; each once, or as often as it stands there."""
+    tokens = F.transform("places", lambda x: F.struct(x["kind"].alias("kind"), x["value"].alias("value"), x["standin"].alias("standin")))
+    tokens = F.array_distinct(tokens) if once else tokens
+    return rows.withColumn("tokens", F.coalesce(tokens, F.array().cast("array<struct<kind: string, value: string, standin: string>>"))).drop("syntax", "places")
+
+
+def redacted(requests: DataFrame, key: str, kinds: list[str] | None = None, limit: int = LIMIT) -> DataFrame:
+    """requests (client, host, body, content_type, content_encoding, ...) with status (none, refused, clean or treated), redacted (the
+    body as text, null if refused), found, and tokens (kind, value, standin of what was replaced)."""
+    return with_tokens(placed(requests, key, kinds, limit))
+
+
+def redacted_apart(requests: DataFrame, key: str, kinds: list[str] | None = None, limit: int = LIMIT) -> DataFrame:
+    """As ``redacted``, and of the values of a client and host that get the same stand-in, all but the first get another: a restore
+    knows which was meant. tokens has a value as often as the body. The bodies are searched once and written; those that hold such values, and no others, are written anew.
+
+    Equal stand-ins are told by hashes, a row of two numbers for each place; what the hashes leave is told exactly.
+    """
+    rows = settled(placed(requests, key, kinds, limit).withColumn("_row", F.monotonically_increasing_id()))
+    each = rows.where("client is not null and host is not null").select("_row", "client", "host", F.posexplode("places").alias("_i", "p")).select("_row", "_i", "client", "host", "p.kind", "p.value", "p.standin").withColumn("_key", F.xxhash64("client", "host", "standin"))
+    value = F.xxhash64("kind", "value")
+    twice = settled(each.groupBy("_key").agg(F.min(value).alias("low"), F.max(value).alias("high")).where("low != high").select("_key"))
+    held = settled(numbers_join(each, twice, "_key", "left_semi").drop("_key"))
+    pairs = held.select("client", "host", "kind", "value", "standin").distinct()
+    other = vault.resolved(pairs.withColumn("_base", F.col("standin"))).where("standin != _base").select("client", "host", "kind", "value", F.col("standin").alias("_new"))
+    moved = settled(held.join(other, ["client", "host", "kind", "value"]).groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("_i", "_new"))).alias("_moved")))
+    which = moved.select("_row")
+    if moved.isEmpty():
+        return with_tokens(rows.drop("_row"), False)
+    anew = numbers_join(rows, which, "_row", "left_semi").join(moved, "_row")
+    # where a place is in the redacted text: what was written before it is longer or shorter than what it stands for
+    wrote = F.transform("places", lambda p, i: F.struct(p["start"].alias("start"), p["end"].alias("end"), F.length(spelled(p["standin"])).alias("n"), spelled(F.coalesce(F.try_element_at("_moved", i), p["standin"])).alias("standin")))
+    shifted = "aggregate(_wrote, named_struct('by', 0, 'out', cast(array() as array<struct<start: int, end: int, standin: string>>)), (acc, p) -> named_struct('by', acc.by + p.n - (p.end - p.start), 'out', array_append(acc.out, named_struct('start', p.start + acc.by, 'end', p.start + acc.by + p.n, 'standin', p.standin))), acc -> acc.out)"
+    anew = anew.withColumn("_wrote", wrote).withColumn("_wrote", F.expr(shifted)).withColumn("redacted", spans.splice("redacted", "_wrote"))
+    anew = anew.withColumn("places", F.transform("places", lambda p, i: p.withField("standin", F.coalesce(F.try_element_at("_moved", i), p["standin"]))))
+    return with_tokens(numbers_join(rows, which, "_row", "left_anti").unionByName(anew.select(rows.columns)).drop("_row"), False)
+
+
+#: Numbers that are broadcast at most: about 50 MB.
+NUMBERS = 1 << 20
+
+
+def numbers_join(rows: DataFrame, numbers: DataFrame, key: str, how: str) -> DataFrame:
+    """Join to a settled table of one column of numbers: a broadcast up to NUMBERS, else a shuffle."""
+    return rows.join(F.broadcast(numbers) if numbers.count() <= NUMBERS else numbers, key, how)
+
+
+def tokens_of(treated: DataFrame) -> DataFrame:
+    """client, host, kind, value, standin of each treated request, a pair as often as requests have it."""
+    return treated.select("client", "host", F.explode("tokens").alias("t")).select("client", "host", "t.kind", "t.value", "t.standin")
 
 
 def pairs_of(treated: DataFrame) -> DataFrame:
     """client, host, kind, value, standin: what the vault keeps of the treated requests."""
-    return treated.select("client", "host", F.explode("tokens").alias("t")).select("client", "host", "t.kind", "t.value", "t.standin").distinct()
+    return tokens_of(treated).distinct()
 
 
 def restored(responses: DataFrame, pairs: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """responses (client, host, body, ...) with status (none, kept, or restored), restored (bytes: the body in UTF-8 with its values put
-    back, or, where it cannot be read, as it came) and n_restored."""
-    rows = vault.restore(parsed(responses, limit).drop("values"), pairs, "text", "syntax")
+    """responses (client, host, ..., without body) with status (none, kept, or restored), restored (bytes: the body in UTF-8 with its
+    values put back, or, where it cannot be read, as it came) and n_restored. A pair may be given several times."""
     status = F.when(F.col("body").isNull(), "none").when(F.col("unread").isNotNull(), "kept").otherwise("restored")
-    return rows.select(*responses.columns, status.alias("status"), F.when(F.col("unread").isNotNull(), F.col("body")).otherwise(F.encode("text", "UTF-8")).alias("restored"), "n_restored")
+    others = [c for c in responses.columns if c != "body"]
+    # bodies that were read go no further than their text
+    rows = parsed(responses, limit, False).select(*others, "text", "syntax", status.alias("status"), F.when(F.col("unread").isNotNull(), F.col("body")).alias("_kept"))
+    rows = vault.restore(rows, pairs, "text", "syntax")
+    return rows.select(*others, "status", F.coalesce("_kept", F.encode("text", "UTF-8")).alias("restored"), "n_restored")
 
 
 #: Mutations by name: requests -> requests with ``redacted``. The first forwards every body as it is.

@@ -32,9 +32,9 @@ def redacted_bodies(spark, sf_dir):
 
 def restored_bodies(spark, sf_dir):
     """The redacted bodies as their own responses: those of the same client and host come back as they were."""
-    sent = settled(mutation.redacted(messages(spark, sf_dir), privacy.KEY))
+    sent = mutation.redacted_apart(messages(spark, sf_dir), privacy.KEY)
     answers = sent.select("doc_id", "client", "host", F.coalesce(F.encode("redacted", "UTF-8"), F.col("body")).alias("body"), "content_type", "content_encoding")
-    back = mutation.restored(answers, mutation.pairs_of(sent))
+    back = mutation.restored(answers, mutation.tokens_of(sent))
     return back.select("doc_id", "status", F.md5("restored").alias("digest"), (F.col("n_restored") > 0).alias("any"))
 
 
