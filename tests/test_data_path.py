@@ -224,6 +224,10 @@ def test_large_vaults_are_looked_up(spark, monkeypatch):
         assert found.columns == whole.columns == [*texts.columns, "n_restored"]
         assert sorted(map(str, found.collect())) == sorted(map(str, whole.collect())) and found.where("n_restored > 2").count() > 50
     monkeypatch.setattr(vault, "HELD", 1)
+    # a search of few and of overlapping places
+    few = {"aa": "x", "aaa": "y", "b": "", '\\"': "z"}
+    for said in ("aaaa b aab", 'b\\"aa', "", "ba"):
+        assert vault.replaced(few)(said) == vault.replacer(few)(said)
     assert vault.restore(texts.limit(0), pairs).count() == 0 and vault.restore(texts, pairs.limit(0)).count() == texts.count()
 
 
@@ -255,6 +259,13 @@ def test_one_search_finds_what_each_kind_finds_by_itself(spark):
     assert sql.count("regexp_replace(replace(") <= 3 + 1 and "split(lines.value, '" not in sql  # not a search a kind and line
 
 
+def test_words_are_searched_by_their_first_character():
+    assert detect.begins(r"\b[A-CEG][0-9]\b") == ("A-Z",) and detect.begins(r"(?i)\baccount") == ("A-Z", "a-z") and detect.begins(r"\b756\.") == ("0-9",)
+    assert all(detect.begins(p) == detect.STARTS for p in (r"\b(?:1|a)", r"\b[0-9]?a", r"\b1*a", r"\b[0-9]{0,2}a", r"\b[0-9A-Fa-f]:", r"\b[0-9]\.|\ba", r"\b1|a"))
+    sql = detect.by_word_sql("text", [detect.BY_KIND["US_PASSPORT_NUMBER"], detect.BY_KIND["AHV"]])
+    assert sql.count("regexp_replace(if(contains(") == 2  # none from a-z on
+
+
 def test_texts_made_of_a_small_table_are_dealt_to_all_tasks(spark, tmp_path):
     spark.range(50).withColumnRenamed("id", "c_custkey").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
     for rows in (fixtures.records(spark, str(tmp_path)), fixtures.tickets(spark, str(tmp_path))):

@@ -181,26 +181,44 @@ WORD_START = re.compile(r"((?:\(\?i\))?)\\b(?=[^\W_]|\[|\(\?:)")
 FIRST = 0x100
 
 
+#: Characters that a word may begin with. Each has a search of its own, with fewer patterns.
+STARTS = ("0-9", "A-Z", "a-z")
+
+
+def begins(pattern: str) -> tuple[str, ...]:
+    """Those of STARTS that a pattern of WORD_START may begin with; all, unless it plainly begins with one of some characters."""
+    outside = re.sub(r"\[[^\]]*\]|\((?:[^()]|\([^()]*\))*\)", "", pattern)
+    m = "|" not in outside and re.match(r"(?:\[([0-9A-Za-z-]+)\]|([0-9A-Za-z]))(?![?*|]|\{0)", WORD_START.sub("", pattern, count=1))
+    if not m:
+        return STARTS
+    first = m[1] or m[2]
+    first += first.swapcase() if "(?i)" in pattern else ""
+    return tuple(c for c in STARTS if re.search(f"[{c}]", first))
+
+
 def by_word_sql(text: str, chosen: list[Recogniser]) -> str:
-    """SQL of array<struct<kind, start, end, value, score>>: the matches of patterns that begin at a word. One search finds the words where
-    any of them matches, and writes there what each has matched; each kind's matches that begin before the end of its one before go, as
-    in a search for it alone."""
-    mark, names = literal(MARK), [chr(FIRST + i) for i in range(len(chosen))]
-    bare = [WORD_START.sub(r"\1", r.pattern, count=1) for r in chosen]
-    pattern = rf"(?=[0-9A-Za-z])\b(?={'|'.join(f'(?:{p})' for p in bare)}){''.join(f'(?=({p})?)' for p in bare)}"
+    """SQL of array<struct<kind, start, end, value, score>>: the matches of patterns that begin at a word. A search for each of STARTS finds the
+    words where any of them matches, and writes there what each has matched; each kind's matches that begin before the end of its one before
+    go, as in a search for it alone."""
+    mark, none = literal(MARK), "cast(array() as array<struct<g: int, start: int, end: int>>)"
     plain = f"translate({text}, {literal(MARK + EACH)}, {literal(OTHER * 2)})"
     plain = f"if(contains({text}, {mark}) or contains({text}, {literal(EACH)}), {plain}, {text})"
-    marked = f"regexp_replace({plain}, {literal(pattern)}, {literal(MARK + ''.join(f'{EACH}{c}${i + 1}' for i, c in enumerate(names)) + MARK)})"
     # a gap, what each has matched at the word after it, a gap, and so on
     words = "aggregate(sequence(0, size(ps) - 2, 2), cast(array() as array<int>), (acc, i) -> array_append(acc, coalesce(try_element_at(acc, -1), 0) + length(ps[i])))"
     hits = f"flatten(transform({words}, (at, c) -> transform(regexp_extract_all(ps[2 * c + 1], {literal(f'{EACH}.[^{EACH}]+')}, 0), v -> named_struct('g', ascii(substring(v, 2, 1)) - {FIRST}, 'start', at, 'end', at + length(v) - 2))))"
-    apart = f"aggregate(sort_array({hits}), named_struct('g', -1, 'end', 0, 'out', cast(array() as array<struct<g: int, start: int, end: int>>)), (acc, h) -> if(h.g = acc.g and h.start < acc.end, acc, named_struct('g', h.g, 'end', h.end, 'out', array_append(acc.out, h))), acc -> acc.out)"
+    searches = []
+    for start in STARTS:
+        those = [(chr(FIRST + i), WORD_START.sub(r"\1", r.pattern, count=1)) for i, r in enumerate(chosen) if start in begins(r.pattern)]
+        if those:
+            pattern = rf"(?=[{start}])\b(?={'|'.join(f'(?:{p})' for _, p in those)}){''.join(f'(?=({p})?)' for _, p in those)}"
+            marked = f"regexp_replace({plain}, {literal(pattern)}, {literal(MARK + ''.join(f'{EACH}{c}${i + 1}' for i, (c, _) in enumerate(those)) + MARK)})"
+            searches.append(f"transform(array(split({marked}, {mark}, -1)), ps -> if(size(ps) > 1, {hits}, {none}))[0]")
+    apart = f"aggregate(sort_array(hs), named_struct('g', -1, 'end', 0, 'out', {none}), (acc, h) -> if(h.g = acc.g and h.start < acc.end, acc, named_struct('g', h.g, 'end', h.end, 'out', array_append(acc.out, h))), acc -> acc.out)"
     valued = f"transform({apart}, h -> named_struct('g', h.g, 'start', h.start, 'end', h.end, 'value', substring({text}, h.start + 1, h.end - h.start)))"
-    value = "m.value"
-    score = f"case m.g {' '.join(f'when {i} then {scored(r, value)}' for i, r in enumerate(chosen))} end"
+    score = f"case m.g {' '.join(f'when {i} then {scored(r, "m.value")}' for i, r in enumerate(chosen))} end"
     found = f"transform({valued}, m -> named_struct('kind', array({', '.join(literal(r.kind) for r in chosen)})[m.g], 'start', m.start, 'end', m.end, 'value', m.value, 'score', {score}))"
     empty = "cast(array() as array<struct<kind: string, start: int, end: int, value: string, score: double>>)"
-    return f"transform(array(split({marked}, {mark}, -1)), ps -> if(size(ps) > 1, {found}, {empty}))[0]"
+    return f"transform(array(concat({', '.join(searches)})), hs -> if(size(hs) > 0, {found}, {empty}))[0]"
 
 
 def found_sql(text: str, kinds: list[str] | None = None) -> str:

@@ -79,40 +79,47 @@ def parsed(messages: DataFrame, limit: int = LIMIT, wanted: bool = True) -> Data
     return rows.mapInArrow(run, f"{fields}, text string, syntax string, values {VALUES}, unread string").drop("_charset", "_json")
 
 
-def raw_offset(breaks: str, at: str) -> str:
-    """SQL: the raw offset of a decoded one, from the last breakpoint that is not behind it."""
+def last_break(breaks: str, at: str) -> str:
+    """SQL: the number, from 1, of the last breakpoint that is not behind a decoded offset; 0 if none is."""
     middle = "(s.low + s.high + 1) div 2"
     step = f"if(s.low >= s.high, s, if(element_at({breaks}, cast({middle} as int)).decoded <= {at}, named_struct('low', cast({middle} as int), 'high', s.high), named_struct('low', s.low, 'high', cast({middle} as int) - 1)))"
-    last = f"aggregate(sequence(0, cast(log2(size({breaks})) as int)), named_struct('low', 0, 'high', size({breaks})), (s, i) -> {step}, s -> s.low)"
-    return f"if(size({breaks}) = 0, {at}, element_at(transform(array({last}), k -> if(k = 0, {at}, {at} - element_at({breaks}, k).decoded + element_at({breaks}, k).raw)), 1))"
+    return f"if(size({breaks}) = 0, 0, aggregate(sequence(0, cast(log2(size({breaks})) as int)), named_struct('low', 0, 'high', size({breaks})), (s, i) -> {step}, s -> s.low))"
 
 
-def found_in_values(kinds: list[str] | None = None) -> Column:
-    """array<struct<start, end (raw), kind, value, score>> of the column values."""
-    one = f"transform({detect.found_sql('v.value', kinds)}, f -> named_struct('start', v.start + {raw_offset('v.breaks', 'f.start')}, 'end', v.start + {raw_offset('v.breaks', 'f.end')}, 'kind', f.kind, 'value', f.value, 'score', f.score))"
-    return F.expr(f"flatten(transform(values, v -> {one}))")
+def raw_offset(breaks: str, at: str, last: str) -> str:
+    """SQL: the raw offset of a decoded one, from its last breakpoint."""
+    return f"if({last} = 0, {at}, {at} - element_at({breaks}, {last}).decoded + element_at({breaks}, {last}).raw)"
+
+
+def kept_in_values(kinds: list[str] | None = None) -> Column:
+    """array<struct<n, kept>>, one for each of the column values: how many findings it has, and array<struct<start, end (raw), kind,
+    value>> of those that are replaced: sure ones, without overlaps. Values do not overlap, so each is told by itself."""
+    # most findings hold no escape, so both their ends have the same last breakpoint
+    end = f"transform(array(if(b < size(v.breaks) and element_at(v.breaks, b + 1).decoded <= f.end, {last_break('v.breaks', 'f.end')}, b)), e -> {raw_offset('v.breaks', 'f.end', 'e')})[0]"
+    raw = f"transform(array({last_break('v.breaks', 'f.start')}), b -> named_struct('start', v.start + {raw_offset('v.breaks', 'f.start', 'b')}, 'end', v.start + {end}, 'kind', f.kind, 'value', f.value))[0]"
+    sure = f"transform(array(filter(fs, f -> f.score >= {detect.THRESHOLD})), sure -> {spans.non_overlapping_sql('sure', 'start, -(end - start), kind')})[0]"
+    return F.expr(f"transform(values, v -> transform(array({detect.found_sql('v.value', kinds)}), fs -> named_struct('n', size(fs), 'kept', transform({sure}, f -> {raw})))[0])")
 
 
 def placed(requests: DataFrame, key: str, kinds: list[str] | None = None, limit: int = LIMIT) -> DataFrame:
     """requests (client, host, body, content_type, content_encoding, ...) with status (none, refused, clean or treated), redacted (the
     body as text, null if refused), found, syntax, and places: start and end in the body's text, kind, value, standin of what was replaced."""
-    rows = parsed(requests, limit).withColumn("_all", F.when(F.col("unread").isNull(), found_in_values(kinds)))
-    rows = rows.withColumn("_sure", F.filter("_all", lambda x: x["score"] >= detect.THRESHOLD)).withColumn("_kept", spans.non_overlapping("_sure", "start, -(end - start), kind"))
+    rows = parsed(requests, limit).withColumn("_each", F.when(F.col("unread").isNull(), kept_in_values(kinds)))
 
     def written(x: Column) -> Column:
         standin = vault.standin(x["kind"], vault.digest(key, F.col("client"), F.col("host"), x["kind"], x["value"]))
         return x.withField("token", standin).withField("standin", spelled(standin))
 
     # an explode of one, not a column: Spark would put it into each of its uses
-    rows = rows.withColumn("_put", F.explode(F.array(F.transform("_kept", written))))
+    rows = rows.withColumn("_put", F.explode(F.array(F.transform(F.flatten(F.transform("_each", lambda v: v["kept"])), written))))
     status = F.when(F.col("body").isNull(), "none").when(F.col("unread").isNotNull(), "refused").when(F.size("_put") > 0, "treated").otherwise("clean")
     places = F.transform("_put", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"), x["value"].alias("value"), x["token"].alias("standin")))
-    return rows.select(*requests.columns, status.alias("status"), F.when(F.size("_put") > 0, spans.splice("text", "_put")).otherwise(F.col("text")).alias("redacted"), F.coalesce(F.size("_all"), F.lit(0)).alias("found"), "syntax", places.alias("places"))
+    return rows.select(*requests.columns, status.alias("status"), F.when(F.size("_put") > 0, spans.splice("text", "_put")).otherwise(F.col("text")).alias("redacted"), F.coalesce(F.aggregate("_each", F.lit(0), lambda n, v: n + v["n"]), F.lit(0)).alias("found"), "syntax", places.alias("places"))
 
 
 def spelled(standin: Column) -> Column:
     """A stand-in as it is written in a body of the column syntax."""
-    return F.when(F.col("syntax") == "Json", jsontext.escape(standin)).otherwise(standin)
+    return F.when((F.col("syntax") == "Json") & standin.rlike(jsontext.ODD), jsontext.escape(standin)).otherwise(standin)
 
 
 def with_tokens(rows: DataFrame, once: bool = True) -> DataFrame:

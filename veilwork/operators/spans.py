@@ -10,8 +10,12 @@ from pyspark.sql import Column, functions as F
 def non_overlapping(spans: str, order: str = "start, -(end - start)") -> Column:
     """The spans that a greedy choice keeps: by start, longer first, a span that starts before the end of the last kept
     one is dropped. ``spans`` names an array column, ``order`` sorts by its fields; a fold, as the rule looks at kept spans only."""
+    return F.expr(non_overlapping_sql(spans, order))
+
+
+def non_overlapping_sql(spans: str, order: str) -> str:
     keys = ", ".join(f"'k{i}', {part}" for i, part in enumerate(re.sub("[a-z_]+", r"x.\g<0>", order).split(", ")))
-    return F.expr(
+    return (
         f"aggregate(sort_array(transform({spans}, x -> named_struct({keys}, 'x', x))), named_struct('last', 0, 'kept', slice({spans}, 1, 0)), "
         "(acc, y) -> if(y.x.start >= acc.last, named_struct('last', y.x.end, 'kept', array_append(acc.kept, y.x)), acc), acc -> acc.kept)"
     )

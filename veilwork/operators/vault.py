@@ -141,12 +141,12 @@ def restore(texts: DataFrame, pairs: DataFrame, text: str = "text", syntax: str
     is written. Texts without a map, of a null client or host, and null texts stay.
     """
     pairs = pairs.where("client is not null and host is not null and standin != ''").select("client", "host", "standin", "value")
-    counts = settled(pairs.groupBy("client", "host", shape(F.col("standin")).alias("shape")).agg(F.count("*").alias("n")))
+    counts = settled(pairs.groupBy("client", "host", shape(F.col("standin")).alias("shape"), F.col("standin").rlike(jsontext.ODD).alias("odd")).agg(F.count("*").alias("n")))
     if counts.groupBy("client", "host").agg(F.sum("n").alias("n")).where(F.col("n") > HELD).isEmpty():
         return beside(texts, pairs, text, syntax)
     found = counts.select("shape").distinct()
-    if syntax is not None:  # shapes of the stand-ins that JSON spells in another way
-        other = pairs.where(F.col("standin").rlike(r'[^ !#-\[\]-~]')).select(F.explode(F.array(*[shape(jsontext.escape(F.col("standin"), a)) for a in (False, True)])).alias("shape"))
+    if syntax is not None and not counts.where("odd").isEmpty():  # shapes of the stand-ins that JSON spells in another way
+        other = pairs.where(F.col("standin").rlike(jsontext.ODD)).select(F.explode(F.array(*[shape(jsontext.escape(F.col("standin"), a)) for a in (False, True)])).alias("shape"))
         found = found.unionByName(other).distinct()
     return looked_up(texts, pairs, [tuple(r[0]) for r in found.collect()], text, syntax)
 
@@ -174,16 +174,24 @@ def shape(standin: Column) -> Column:
 
 
 def finder(shapes: list[tuple[int, str]]) -> Callable[[str], set[str]]:
-    """All parts of a text that have one of the shapes: its stand-ins are among them."""
-    like, least = str.maketrans(LIKE), min((len(head) for _, head in shapes), default=0)
-    starts: dict[str, list[tuple[int, str]]] = {}
+    """All parts of a text that have one of the shapes: its stand-ins are among them. Texts are searched as bytes, one a character, in
+    which those beyond Latin-1 are not told apart."""
+    like, least = bytes.maketrans("".join(LIKE).encode(), "".join(LIKE.values()).encode()), min((len(head) for _, head in shapes), default=0)
+    starts: dict[bytes, set[tuple[int, bytes]]] = {}
     for size, head in shapes:
-        starts.setdefault(head[:least], []).append((size, head))
+        head = head.encode("latin-1", "replace").translate(like)
+        starts.setdefault(head[:least], set()).add((size, head))
 
     def run(text: str) -> set[str]:
-        alike = text.translate(like)
-        at = [i for i in range(len(text) - least + 1) if alike[i : i + least] in starts] if starts else []
-        return {text[i : i + size] for i in at for size, head in starts[alike[i : i + least]] if i + size <= len(text) and alike.startswith(head, i)}
+        alike, out, n = text.encode("latin-1", "replace").translate(like), set(), len(text)
+        for start, longer in starts.items():
+            i = alike.find(start)
+            while i >= 0:
+                for size, head in longer:
+                    if i + size <= n and alike.startswith(head, i):
+                        out.add(text[i : i + size])
+                i = alike.find(start, i + 1)
+        return out
 
     return run
 
